@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_MODULES = ["q_profile"]
+_MODULES = ["q_profile", "q_clean"]
 
 
 def registry():
