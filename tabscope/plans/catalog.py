@@ -59,3 +59,18 @@ def union_all(parts: list[str]) -> str:
 
 def r6(e: str, d: int = 6) -> str:
     return f"round(CAST({e} AS DOUBLE), {d})"
+
+
+def sig(c, digits: int = 9):
+    """Round a DOUBLE column to ``digits`` significant digits (same formula as ``sig_sql``)."""
+    m = (F.lit(digits - 1) - F.floor(F.log10(F.abs(c)))).cast("int")
+    up = F.round(c * F.pow(F.lit(10.0), m)) / F.pow(F.lit(10.0), m)
+    down = F.round(c / F.pow(F.lit(10.0), -m)) * F.pow(F.lit(10.0), -m)
+    return F.when((c == 0) | c.isNull() | F.isnan(c), c).when(m >= 0, up).otherwise(down)
+
+
+def sig_sql(e: str, digits: int = 9) -> str:
+    m = f"CAST({digits - 1} - floor(log10(abs({e}))) AS INTEGER)"
+    return (f"CASE WHEN ({e}) = 0 OR ({e}) IS NULL OR isnan({e}) THEN ({e}) WHEN {m} >= 0 "
+            f"THEN round(({e}) * power(10.0, {m})) / power(10.0, {m}) "
+            f"ELSE round(({e}) / power(10.0, -{m})) * power(10.0, -{m}) END")
