@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_MODULES = ["q_profile", "q_clean", "q_stats", "q_series", "q_forecast", "q_dashboard"]
+_MODULES = ["q_profile", "q_clean", "q_stats", "q_series", "q_forecast", "q_dashboard", "q_sources"]
 
 
 def registry():
