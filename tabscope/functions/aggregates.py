@@ -49,3 +49,32 @@ def sample_kurtosis(x: Column) -> Column:
     return (F.when(n < 4, F.lit(None).cast("double"))
             .when(F.var_pop(x) == 0, F.lit(0.0))
             .otherwise(adj))
+
+
+# Buffer slots of common aggregates (whole-stage codegen is disabled above
+# spark.sql.codegen.maxFields = 100 fields in one operator).
+SLOTS = {"count": 1, "sum": 1, "min": 1, "max": 1, "avg": 2, "stddev": 3, "var": 3, "covar": 4, "skew": 4,
+         "kurt": 5}
+MAX_SLOTS = 90
+
+
+def one_row_agg(df, specs, max_slots: int = MAX_SLOTS):
+    """One-row aggregate of ``specs`` [(alias, expression, slots)], split into several
+    aggregates of at most ``max_slots`` buffer fields so each stays in whole-stage codegen.
+
+    On a columnar source every chunk reads only its own columns, so splitting
+    does not re-read data; the one-row results are cross-joined.
+    """
+    chunks, cur, used = [], [], 0
+    for alias, expr, slots in specs:
+        if cur and used + slots > max_slots:
+            chunks.append(cur)
+            cur, used = [], 0
+        cur.append(expr.alias(alias))
+        used += slots
+    if cur:
+        chunks.append(cur)
+    out = df.agg(*chunks[0])
+    for c in chunks[1:]:
+        out = out.crossJoin(df.agg(*c))
+    return out

@@ -118,12 +118,14 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None, exact: bool
               "p25 double, p50 double, p75 double, max double")
     if not columns:
         return spark.createDataFrame([], schema)
-    aggs = []
+    from ..functions.aggregates import one_row_agg
+
+    specs = []
     for i, c in enumerate(columns):
         v = num(df, c)
-        aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"a{i}"), F.stddev_samp(v).alias(f"s{i}"),
-                 F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
-    wide = df.agg(*aggs)
+        specs += [(f"n{i}", F.count(v), 1), (f"a{i}", F.avg(v), 2), (f"s{i}", F.stddev_samp(v), 3),
+                  (f"lo{i}", F.min(v), 1), (f"hi{i}", F.max(v), 1)]
+    wide = one_row_agg(df, specs)
     rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(df.columns.index(c)).alias("ordinal"),
                               F.col(f"n{i}").alias("count"), F.col(f"a{i}").alias("mean"),
                               F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"),
@@ -200,36 +202,91 @@ def outliers(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return bounds.join(counts, "column_name").select("column_name", "q1", "q3", "lower", "upper", "n_outliers")
 
 
-def pearson(df: DataFrame, columns: list[str] | None = None, digits: int | None = None) -> DataFrame:
-    """(a, b, i, j, r, n): full Pearson matrix over pairwise-complete rows, one aggregate.
+def _has_missing(df: DataFrame, columns: list[str]) -> bool:
+    """One small aggregate: does any of the columns hold a missing value?"""
+    row = df.agg(*[F.count(F.when(num(df, c).isNull(), 1)).alias(f"z{i}") for i, c in enumerate(columns)]).first()
+    return any(row[f"z{i}"] for i in range(len(columns)))
 
-    Diagonal is 1 (NULL for a constant column). ``digits`` rounds r.
+
+def pair_moments(df: DataFrame, columns: list[str], kind: str = "corr") -> DataFrame:
+    """(a, b, i, j, value, n) for all ordered pairs.
+
+    Without missing values (the common case) a two-pass centred form is used:
+    the column means (one small aggregate, C numbers fetched), then sums of
+    centred squares and cross-products (C + C(C-1)/2 one-slot sums, chunked
+    under the codegen field limit). With missing values each pair is
+    restricted to the rows where both are present and uses ``covar_samp``.
     """
-    columns = columns if columns is not None else numeric_columns(df)
-    if len(columns) < 2:
-        return df.sparkSession.createDataFrame([], "a string, b string, i int, j int, r double, n long")
+    from ..functions.aggregates import one_row_agg
+
     vals = {c: num(df, c) for c in columns}
-    aggs = []
+    complete = not _has_missing(df, columns)
+    k = len(columns)
+    if complete:
+        means = one_row_agg(df, [("_rows", F.count(F.lit(1)), 1)] +
+                            [(f"m{i}", F.avg(vals[c]), 2) for i, c in enumerate(columns)]).first()
+        n = int(means["_rows"])
+        # deviations from the first-pass means; expressions are sent as SQL text (one call each)
+        dev = df.select(*[(vals[c] - F.lit(float(means[f"m{i}"] or 0.0))).alias(f"d{i}") for i, c in enumerate(columns)])
+        specs = [(f"sd{i}", F.expr(f"sum(d{i})"), 1) for i in range(k)]
+        specs += [(f"sq{i}", F.expr(f"sum(d{i} * d{i})"), 1) for i in range(k)]
+        specs += [(f"x{i}_{j}", F.expr(f"sum(d{i} * d{j})"), 1) for i in range(k) for j in range(i + 1, k)]
+        wide = one_row_agg(dev, specs)
+        var = [f"try_divide(sq{i} - sd{i} * sd{i} / {n}D, {max(n - 1, 0)}D) AS v{i}" for i in range(k)]
+        cov = [f"try_divide(x{i}_{j} - sd{i} * sd{j} / {n}D, {max(n - 1, 0)}D) AS c{i}_{j}"
+               for i in range(k) for j in range(i + 1, k)]
+        stage = wide.selectExpr(*var, *cov)
+        if kind == "corr":
+            diag = [f"CASE WHEN v{i} > 0 THEN 1.0D END AS r{i}_{i}" for i in range(k)]
+            off = [f"CASE WHEN v{i} > 0 AND v{j} > 0 THEN least(1.0D, greatest(-1.0D, "
+                   f"try_divide(c{i}_{j}, sqrt(v{i}) * sqrt(v{j})))) END AS r{i}_{j}"
+                   for i in range(k) for j in range(i + 1, k)]
+        else:
+            diag = [f"v{i} AS r{i}_{i}" for i in range(k)]
+            off = [f"c{i}_{j} AS r{i}_{j}" for i in range(k) for j in range(i + 1, k)]
+        stage = stage.selectExpr(*diag, *off)
+        structs = ", ".join(
+            f"named_struct('a', '{a}', 'b', '{b}', 'i', {i}, 'j', {j}, 'value', r{min(i, j)}_{max(i, j)}, "
+            f"'n', CAST({n} AS BIGINT))"
+            for i, a in enumerate(columns) for j, b in enumerate(columns))
+        return stage.selectExpr(f"inline(array({structs}))")
+    specs = []
     for i, a in enumerate(columns):
-        for j, b in enumerate(columns):
-            if j < i:
-                continue
-            if i == j:
-                x = vals[a]
-                r = F.when(F.min(x) < F.max(x), F.lit(1.0))
-                aggs += [r.alias(f"r{i}_{j}"), F.count(x).alias(f"n{i}_{j}")]
-            else:
-                aggs += [safe_corr(vals[a], vals[b]).alias(f"r{i}_{j}"),
-                         pair_count(vals[a], vals[b]).alias(f"n{i}_{j}")]
-    wide = df.agg(*aggs)
+        specs += [(f"s{i}", F.stddev_samp(vals[a]), 3), (f"v{i}", F.var_samp(vals[a]), 3),
+                  (f"n{i}_{i}", F.count(vals[a]), 1)]
+        for j in range(i + 1, k):
+            b = columns[j]
+            x, y = F.when(vals[b].isNotNull(), vals[a]), F.when(vals[a].isNotNull(), vals[b])
+            specs += [(f"c{i}_{j}", F.covar_samp(x, y), 4), (f"sx{i}_{j}", F.stddev_samp(x), 3),
+                      (f"sy{i}_{j}", F.stddev_samp(y), 3), (f"n{i}_{j}", F.count(y), 1)]
+    wide = one_row_agg(df, specs)
     structs = []
     for i, a in enumerate(columns):
         for j, b in enumerate(columns):
             lo, hi = min(i, j), max(i, j)
-            structs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(i).alias("i"),
-                                    F.lit(j).alias("j"), F.col(f"r{lo}_{hi}").alias("r"),
-                                    F.col(f"n{lo}_{hi}").alias("n")))
-    out = wide.select(F.inline(F.array(*structs)))
+            n = F.col(f"n{lo}_{hi}")
+            if i == j:
+                v = F.when(F.col(f"s{i}") > 0, F.lit(1.0)) if kind == "corr" else F.col(f"v{i}")
+            else:
+                sx, sy, cov = F.col(f"sx{lo}_{hi}"), F.col(f"sy{lo}_{hi}"), F.col(f"c{lo}_{hi}")
+                v = F.when((sx > 0) & (sy > 0), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.try_divide(cov, sx * sy)))) \
+                    if kind == "corr" else cov
+            structs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(i).alias("i"), F.lit(j).alias("j"),
+                                    v.alias("value"), n.cast("long").alias("n")))
+    return wide.select(F.inline(F.array(*structs)))
+
+
+def pearson(df: DataFrame, columns: list[str] | None = None, digits: int | None = None) -> DataFrame:
+    """(a, b, i, j, r, n): full Pearson matrix over pairwise-complete rows, one aggregate.
+
+    Diagonal is 1 (NULL for a constant column). ``digits`` rounds r. A
+    constant column gives NULL instead of failing (Spark's ``corr`` raises
+    under ANSI); the division is guarded.
+    """
+    columns = columns if columns is not None else numeric_columns(df)
+    if len(columns) < 2:
+        return df.sparkSession.createDataFrame([], "a string, b string, i int, j int, r double, n long")
+    out = pair_moments(df, columns, "corr").withColumnRenamed("value", "r")
     if digits is not None:
         out = out.withColumn("r", F.round("r", digits))
     return out

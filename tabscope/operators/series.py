@@ -40,7 +40,11 @@ def detect_frequency(df: DataFrame, date_col: str, keys: list[str] | None = None
     gaps = prev.where(F.col("prev").isNotNull()).select(*keys, _gap_days(F.col("prev"), F.col("t")).alias("g"))
     hist = gaps.groupBy(*keys, "g").agg(F.count(F.lit(1)).alias("cnt")).select(
         *keys, F.lit("gap").alias("column_name"), F.col("g").cast("double").alias("v"), "cnt")
-    ranked = prefix_sum(hist, keys + ["column_name"], ["v"], "cnt", "before")
+    # the gap histogram holds one row per distinct whole-day gap of a key (bounded by the
+    # key's span in days, not by its rows), so a per-key window ranks it
+    part = [F.col(k) for k in keys] or [F.lit(0)]
+    wr = Window.partitionBy(*part).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = hist.withColumn("before", F.coalesce(F.sum("cnt").over(wr), F.lit(0)).cast("long"))
     med = quantiles_from_ranked(ranked, [0.5], keys).select(*keys, F.col("value").alias("median_gap"))
     counts = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_dates"))
     out = counts.join(med, keys, "left") if keys else counts.crossJoin(med)
@@ -227,22 +231,25 @@ def folds(lengths: DataFrame, keys: list[str] | None = None, n_col: str = "n", o
 def naive_backtest(series: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """F8: last value before each fold's test window, carried over the window.
 
+    One window pass per key: a row is an anchor when the next row starts a
+    test window; each test row takes the latest anchor strictly before it.
     (keys..., model, fold, bucket, y, yhat).
     """
     keys = keys or []
+    part = [F.col(k) for k in keys] or [F.lit(0)]
     s = with_index(series, keys)
-    lens = s.groupBy(*keys).agg(F.max("n").alias("n"))
-    fl = folds(lens, keys)
-    tests = s.join(fl, keys) if keys else s.crossJoin(F.broadcast(fl))
-    tests = tests.where((F.col("idx") >= F.col("test_start")) & (F.col("idx") < F.col("test_end")))
-    last = s.select(*keys, F.col("idx").alias("_li"), F.col("value").alias("yhat"))
-    cond = [tests[k].eqNullSafe(last[k]) for k in keys] + [last["_li"] == tests["test_start"] - 1]
-    c = cond[0]
-    for x in cond[1:]:
-        c = c & x
-    j = tests.join(last, c)
-    return j.select(*[tests[k] for k in keys], F.lit("NaiveLast").alias("model"), "fold", "bucket",
-                    F.col("value").alias("y"), "yhat")
+    k = F.least(F.lit(3), F.greatest(F.lit(2), F.floor(F.col("n") / 10))).cast("long")
+    size = F.floor(F.col("n") / (k + 1)).cast("long")
+    first = F.col("n") - k * size
+    s = s.withColumn("_size", size).withColumn("_first", first)
+    in_test = (F.col("_size") > 0) & (F.col("idx") >= F.col("_first"))
+    anchor = (F.col("_size") > 0) & (F.col("idx") + 1 >= F.col("_first")) & (F.col("idx") + 1 < F.col("n")) & \
+        (F.pmod(F.col("idx") + 1 - F.col("_first"), F.col("_size")) == 0)
+    w = Window.partitionBy(*part).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("yhat", F.last(F.when(anchor, F.col("value")), ignorenulls=True).over(w))
+    return s.where(in_test).select(*keys, F.lit("NaiveLast").alias("model"),
+                                   F.floor((F.col("idx") - F.col("_first")) / F.col("_size")).cast("int").alias("fold"),
+                                   "bucket", F.col("value").alias("y"), "yhat")
 
 
 def metrics(backtest: DataFrame, keys: list[str] | None = None) -> DataFrame:

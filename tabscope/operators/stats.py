@@ -33,11 +33,31 @@ def descriptive_stats(df: DataFrame, columns: list[str] | None = None) -> DataFr
     base = numeric_summary(df, columns)
     if not columns:
         return base.withColumn("skew", F.lit(None).cast("double")).withColumn("kurtosis", F.lit(None).cast("double"))
-    aggs = []
+    from ..functions.aggregates import one_row_agg
+
+    means = one_row_agg(df, [(f"m{i}", F.avg(num(df, c)), 2) for i, c in enumerate(columns)]).first()
+    specs = []
     for i, c in enumerate(columns):
-        v = num(df, c)
-        aggs += [sample_skew(v).alias(f"sk{i}"), sample_kurtosis(v).alias(f"ku{i}")]
-    shape = df.agg(*aggs).select(F.inline(F.array(*[
+        d = num(df, c) - F.lit(means[f"m{i}"] if means[f"m{i}"] is not None else 0.0)
+        specs += [(f"n{i}", F.count(d), 1), (f"d1_{i}", F.sum(d), 1), (f"d2_{i}", F.sum(d * d), 1),
+                  (f"d3_{i}", F.sum(d * d * d), 1), (f"d4_{i}", F.sum(d * d * d * d), 1)]
+    mom = one_row_agg(df, specs)
+    cols_out = []
+    for i in range(len(columns)):
+        n, s1 = F.col(f"n{i}").cast("double"), F.col(f"d1_{i}")
+        mu = F.try_divide(s1, n)  # residual mean of the deviations (corrects the first pass)
+        m2 = F.try_divide(F.col(f"d2_{i}"), n) - mu * mu
+        m3 = F.try_divide(F.col(f"d3_{i}"), n) - 3 * mu * F.try_divide(F.col(f"d2_{i}"), n) + 2 * mu * mu * mu
+        m4 = (F.try_divide(F.col(f"d4_{i}"), n) - 4 * mu * F.try_divide(F.col(f"d3_{i}"), n)
+              + 6 * mu * mu * F.try_divide(F.col(f"d2_{i}"), n) - 3 * mu * mu * mu * mu)
+        g1 = F.try_divide(m3, F.pow(m2, 1.5))
+        g2 = F.try_divide(m4, m2 * m2) - 3
+        sk = (F.when(n < 3, F.lit(None).cast("double")).when(m2 <= 0, F.lit(0.0))
+              .otherwise(F.sqrt(n * (n - 1)) / (n - 2) * g1))
+        ku = (F.when(n < 4, F.lit(None).cast("double")).when(m2 <= 0, F.lit(0.0))
+              .otherwise((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)))
+        cols_out += [sk.alias(f"sk{i}"), ku.alias(f"ku{i}")]
+    shape = mom.select(*cols_out).select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(f"sk{i}").alias("skew"), F.col(f"ku{i}").alias("kurtosis"))
         for i, c in enumerate(columns)])))
     return base.join(shape, "column_name")
@@ -45,21 +65,10 @@ def descriptive_stats(df: DataFrame, columns: list[str] | None = None) -> DataFr
 
 def covariance(df: DataFrame, columns: list[str] | None = None, digits: int | None = 4) -> DataFrame:
     """T5: (a, b, i, j, cov, n) sample covariance over pairwise-complete rows, one aggregate."""
+    from .profile import pair_moments
+
     columns = columns if columns is not None else numeric_columns(df)
-    vals = {c: num(df, c) for c in columns}
-    aggs = []
-    for i, a in enumerate(columns):
-        for j in range(i, len(columns)):
-            b = columns[j]
-            aggs += [F.covar_samp(vals[a], vals[b]).alias(f"c{i}_{j}"), pair_count(vals[a], vals[b]).alias(f"n{i}_{j}")]
-    wide = df.agg(*aggs)
-    structs = []
-    for i, a in enumerate(columns):
-        for j, b in enumerate(columns):
-            lo, hi = min(i, j), max(i, j)
-            structs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(i).alias("i"), F.lit(j).alias("j"),
-                                    F.col(f"c{lo}_{hi}").alias("cov"), F.col(f"n{lo}_{hi}").alias("n")))
-    out = wide.select(F.inline(F.array(*structs)))
+    out = pair_moments(df, columns, "cov").withColumnRenamed("value", "cov")
     return out.withColumn("cov", F.round("cov", digits)) if digits is not None else out
 
 

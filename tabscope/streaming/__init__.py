@@ -1 +1 @@
-
+"""Streaming adapters (see ``live``)."""
