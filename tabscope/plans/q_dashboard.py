@@ -214,3 +214,39 @@ def q_intent_tasks(spark, sf):
 @register("report_lines")
 def q_report_lines(spark, sf):
     return G.report_lines(T_(spark, sf, "orders"), "Satış analizi yap", "orders")
+
+
+@register("analysis_summary")
+def q_analysis_summary(spark, sf):
+    """G7 + S11: the end-to-end analysis of customers as JSON lines (bounded sections, no forecast)."""
+    from .analyze import analyze, summary
+
+    res = analyze(T_(spark, sf, "customer"), "Satış analizi yap", "customer", with_forecast=False)
+    keep = ["intent", "tasks", "cleaning_plan", "model_advice", "data_signals", "chart_advice", "kpis", "date_bounds",
+            "charts", "report", "profile.overview", "profile.missing", "profile.numeric_summary", "errors"]
+    return summary({k: res[k] for k in keep if k in res})
+
+
+@register("stream_kpis", "SELECT CAST(count(*) AS BIGINT) AS rows, "
+          "round(sum(CAST(event_id AS DOUBLE)), 4) AS sum_event_id, round(avg(CAST(event_id AS DOUBLE)), 6) AS mean_event_id, "
+          "round(sum(CAST(user_id AS DOUBLE)), 4) AS sum_user_id, round(avg(CAST(user_id AS DOUBLE)), 6) AS mean_user_id, "
+          "round(sum(value), 4) AS sum_value, round(avg(value), 6) AS mean_value FROM events")
+def q_stream_kpis(spark, sf):
+    """D1-D2 maintained by Structured Streaming over the events files (state store, complete mode)."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..streaming.live import running_kpis
+
+    path = f"{sf}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    # a file stream watches a folder: the table's folder, filtered to this table's files
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    name = f"kpis_{uuid.uuid4().hex[:8]}"
+    ckpt = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}"
+    q = (running_kpis(stream).writeStream.outputMode("complete").format("memory").queryName(name)
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q.awaitTermination()
+    out = spark.table(name)
+    cols = [c for c in out.columns]
+    return out.select(*[F.round(c, 6 if c.startswith("mean") else 4).alias(c) if c != "rows" else F.col(c) for c in cols])

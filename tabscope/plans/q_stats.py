@@ -152,3 +152,9 @@ def q_stat_notes(spark, sf):
     res = {"t_test": S.welch_t(li), "anova": S.anova(li), "trend": S.trend(li, "l_shipdate", "l_extendedprice"),
            "regression": S.ols(li, target="l_orderkey")}
     return S.notes(res)
+
+
+@register("seeded_sample")
+def q_seeded_sample(spark, sf):
+    """Up to 500 values per numeric column chosen by a seeded hash (a sampling operator)."""
+    return S.seeded_sample(T_(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
