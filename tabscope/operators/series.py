@@ -119,14 +119,17 @@ def time_series(df: DataFrame, date_col: str | None = None, value_col: str | Non
     work, dcol, vcol = resolve_columns(df, date_col, value_col)
     raw = work.select(*[col(k) for k in keys], col(dcol).alias("t"), num(work, vcol).alias("v")).na.drop(
         subset=["t", "v"])
+    # one partial aggregate per (key, timestamp); every branch below reads this one exchange
+    per_t = raw.groupBy(*keys, "t").agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("_c"))
+    sizes = per_t.groupBy(*keys).agg(F.sum("_c").alias("n_raw"))
     if frequency:
         labels = {u: name for _, name, u in FREQ_RULES}
-        freq = raw.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_raw")).select(
-            *keys, "n_raw", F.lit(labels.get(frequency, "daily")).alias("frequency"), F.lit(frequency).alias("unit"))
+        freq = sizes.select(*keys, "n_raw", F.lit(labels.get(frequency, "daily")).alias("frequency"),
+                            F.lit(frequency).alias("unit"))
     else:
-        sizes = raw.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_raw"))
-        det = detect_frequency(raw, "t", keys).select(*keys, "frequency", "unit")
+        det = detect_frequency(per_t, "t", keys).select(*keys, "frequency", "unit")
         freq = sizes.join(det, keys) if keys else sizes.crossJoin(det)
+    raw = per_t
     freq = freq.where(F.col("n_raw") >= min_points)
     tagged = raw.join(freq.select(*keys, "unit"), keys) if keys else raw.crossJoin(freq.select("unit"))
     sums = tagged.groupBy(*keys, "unit", bucket_of(F.col("t"), F.col("unit")).alias("bucket")).agg(
