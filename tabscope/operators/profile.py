@@ -208,7 +208,8 @@ def _has_missing(df: DataFrame, columns: list[str]) -> bool:
     return any(row[f"z{i}"] for i in range(len(columns)))
 
 
-def pair_moments(df: DataFrame, columns: list[str], kind: str = "corr") -> DataFrame:
+def pair_moments(df: DataFrame, columns: list[str], kind: str = "corr",
+                 known: tuple[int, list[float]] | None = None) -> DataFrame:
     """(a, b, i, j, value, n) for all ordered pairs.
 
     Without missing values (the common case) a two-pass centred form is used:
@@ -220,12 +221,16 @@ def pair_moments(df: DataFrame, columns: list[str], kind: str = "corr") -> DataF
     from ..functions.aggregates import one_row_agg
 
     vals = {c: num(df, c) for c in columns}
-    complete = not _has_missing(df, columns)
+    complete = known is not None or not _has_missing(df, columns)
     k = len(columns)
     if complete:
-        means = one_row_agg(df, [("_rows", F.count(F.lit(1)), 1)] +
-                            [(f"m{i}", F.avg(vals[c]), 2) for i, c in enumerate(columns)]).first()
-        n = int(means["_rows"])
+        if known is not None:  # (rows, means) known without a pass, e.g. average ranks
+            n, mlist = known
+            means = {f"m{i}": m for i, m in enumerate(mlist)}
+        else:
+            means = one_row_agg(df, [("_rows", F.count(F.lit(1)), 1)] +
+                                [(f"m{i}", F.avg(vals[c]), 2) for i, c in enumerate(columns)]).first()
+            n = int(means["_rows"])
         # deviations from the first-pass means; expressions are sent as SQL text (one call each)
         dev = df.select(*[(vals[c] - F.lit(float(means[f"m{i}"] or 0.0))).alias(f"d{i}") for i, c in enumerate(columns)])
         specs = [(f"sd{i}", F.expr(f"sum(d{i})"), 1) for i in range(k)]
@@ -276,7 +281,8 @@ def pair_moments(df: DataFrame, columns: list[str], kind: str = "corr") -> DataF
     return wide.select(F.inline(F.array(*structs)))
 
 
-def pearson(df: DataFrame, columns: list[str] | None = None, digits: int | None = None) -> DataFrame:
+def pearson(df: DataFrame, columns: list[str] | None = None, digits: int | None = None,
+            known: tuple[int, list[float]] | None = None) -> DataFrame:
     """(a, b, i, j, r, n): full Pearson matrix over pairwise-complete rows, one aggregate.
 
     Diagonal is 1 (NULL for a constant column). ``digits`` rounds r. A
@@ -286,7 +292,7 @@ def pearson(df: DataFrame, columns: list[str] | None = None, digits: int | None
     columns = columns if columns is not None else numeric_columns(df)
     if len(columns) < 2:
         return df.sparkSession.createDataFrame([], "a string, b string, i int, j int, r double, n long")
-    out = pair_moments(df, columns, "corr").withColumnRenamed("value", "r")
+    out = pair_moments(df, columns, "corr", known).withColumnRenamed("value", "r")
     if digits is not None:
         out = out.withColumn("r", F.round("r", digits))
     return out

@@ -98,8 +98,11 @@ def spearman(df: DataFrame, columns: list[str] | None = None, digits: int | None
     src = df.select(*[num(df, c).alias(c) for c in columns])
     nulls = src.agg(*[F.count(F.when(F.col(q(c)).isNull(), 1)).alias(f"z{i}") for i, c in enumerate(columns)]).first()
     if not any(nulls[f"z{i}"] for i in range(len(columns))):
-        ranked = _with_ranks(src, columns, _rank_table(src, columns))
-        out = pearson(ranked, columns)
+        ranks = _rank_table(src, columns)
+        n = src.count()
+        # average ranks of n complete rows always have mean (n + 1) / 2: one pass over the rank frame
+        ranked = _with_ranks(src, columns, ranks)
+        out = pearson(ranked, columns, known=(int(n), [(n + 1) / 2.0] * len(columns)))
     else:
         spark = df.sparkSession
         parts = []
