@@ -205,10 +205,30 @@ def q_primary_intent(spark, sf):
     return I.primary_intent(c, "text", ["conv_id", "turn"]).drop("matched")
 
 
-@register("intent_tasks")
+def _task_values() -> str:
+    rows = []
+    for i, (name, _, _, ts) in enumerate(I.INTENTS):
+        for pos, (tid, title, agent) in enumerate(ts):
+            rows.append(f"('{name}', {pos}, '{tid}', '{title}', '{agent}')")
+    return "(VALUES " + ", ".join(rows) + ") tt(intent, pos, task_id, title, agent)"
+
+
+@register("intent_tasks", f"""WITH s AS ({_INTENT_ROWS}),
+h AS (SELECT conv_id, turn, intent, intent_ord, least(1.0, 0.35 + 0.2 * hits) AS score FROM s WHERE hits > 0),
+m AS (SELECT u.conv_id, u.turn, u.text AS query, coalesce(h.intent, 'general_analysis') AS intent,
+             CASE WHEN length(trim(coalesce(u.text, ''))) = 0 OR h.intent IS NULL THEN 0
+                  ELSE row_number() OVER (PARTITION BY u.conv_id, u.turn ORDER BY h.score DESC, h.intent_ord) END AS irank
+      FROM {_USER} u LEFT JOIN h ON u.conv_id = h.conv_id AND u.turn = h.turn
+      WHERE NOT (length(trim(coalesce(u.text, ''))) = 0 AND h.intent IS NOT NULL)),
+t AS (SELECT m.conv_id, m.turn, m.query, m.irank, tt.pos, tt.task_id, tt.title, tt.agent
+      FROM m JOIN {_task_values()} ON m.intent = tt.intent),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, task_id ORDER BY irank, pos) AS first_seen FROM t)
+SELECT conv_id, turn, query, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY irank, pos) AS INTEGER) AS task_rank,
+       task_id, title, agent
+FROM f WHERE first_seen = 1""")
 def q_intent_tasks(spark, sf):
     c = T_(spark, sf, "conversations").where(F.col("role") == "user")
-    return I.intent_tasks(c, "text", ["conv_id", "turn"])
+    return I.intent_tasks(c, "text", ["conv_id", "turn"]).withColumn("task_rank", F.col("task_rank").cast("int"))
 
 
 @register("report_lines")

@@ -304,3 +304,15 @@ SELECT column_name, CAST(ordinal AS INTEGER) AS ordinal, 'text' AS source, forma
 @register("datetime_columns", _datetime_sql(OT, [("o_orderstatus", 1), ("order_day", 3), ("order_iso", 4)]))
 def q_datetime_columns(spark, sf):
     return R.datetime_columns(fx.orders_text(spark, sf))
+
+
+@register("column_types", """
+SELECT column_name, CAST(ordinal_position - 1 AS INTEGER) AS ordinal,
+  CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
+       WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'DATE' THEN 'date'
+       WHEN 'BOOLEAN' THEN 'boolean' ELSE lower(data_type) END AS dtype,
+  CASE WHEN data_type IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 'numeric' WHEN data_type IN ('TIMESTAMP', 'DATE') THEN 'datetime'
+       WHEN data_type = 'VARCHAR' THEN 'text' WHEN data_type = 'BOOLEAN' THEN 'boolean' ELSE 'other' END AS kind
+FROM information_schema.columns WHERE table_name = 'lineitem'""")
+def q_column_types(spark, sf):
+    return P.column_types(T_(spark, sf, "lineitem"))
