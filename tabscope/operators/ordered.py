@@ -54,9 +54,11 @@ def _key_equals(row: tuple, key: tuple | None) -> bool:
 
 
 def _ranged(df: DataFrame, group_cols: list[str], order_cols: list[str], parts: int | None) -> DataFrame:
-    n = parts or shuffle_partitions(df.sparkSession)
+    """Range partitions on the full ordering key. Without ``parts`` the count is left to AQE, which
+    coalesces adjacent (still ordered) ranges to its advisory size, so partitions track data volume."""
     keys = [F.col(c) for c in group_cols + order_cols]
-    return df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    ranged = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
+    return ranged.sortWithinPartitions(*keys)
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, cols: list[str]) -> DataFrame:

@@ -28,3 +28,10 @@ def test_previous_value(spark):
     pdf = pd.DataFrame({"k": ["a"] * 5 + ["b"] * 3, "t": [1, 3, 4, 9, 10, 2, 5, 6]})
     out = previous_value(spark.createDataFrame(pdf), ["k"], "t", parts=3).toPandas().sort_values(["k", "t"])
     assert out["prev"].fillna(-1).astype(int).tolist() == [-1, 1, 3, 4, 9, -1, 2, 5]
+
+
+def test_prefix_sum_with_adaptive_partition_count(spark):
+    pdf = pd.DataFrame({"k": ["x"] * 400 + ["y"] * 100, "v": np.arange(500, dtype=float), "w": 1})
+    out = prefix_sum(spark.createDataFrame(pdf).repartition(6), ["k"], ["v"], "w").toPandas()
+    got = out.sort_values(["k", "v"])["cum_before"].tolist()
+    assert got == list(range(400)) + list(range(100))
