@@ -30,9 +30,22 @@ def long_values(df: DataFrame, columns: list[str], keys: list[str] | None = None
 
 
 def value_counts(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
-    """(keys..., column_name, v, cnt): partial-aggregated, so a hot value costs one row per task."""
+    """(keys..., column_name, v, cnt): partial-aggregated, so a hot value costs one row per task.
+
+    One aggregate per column, unioned: each branch groups a single double
+    (cheaper than grouping an unpivoted (name, value) pair) and reads only its
+    own column from a columnar source.
+    """
     keys = keys or []
-    return long_values(df, columns, keys).groupBy(*keys, "column_name", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    if not columns:
+        raise ValueError("no numeric columns")
+    parts = [df.select(*[F.col(q(k)) for k in keys], num(df, c).alias("v")).where(F.col("v").isNotNull())
+             .groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("cnt"))
+             .select(*keys, F.lit(c).alias("column_name"), "v", "cnt") for c in columns]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def quantiles(df: DataFrame, columns: list[str], probs: list[float], keys: list[str] | None = None,
