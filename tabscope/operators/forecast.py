@@ -211,7 +211,10 @@ def _node_table(model, spark) -> dict:
         right[ids] = g["rightChild"].to_numpy(dtype=int)
         val[ids] = g["prediction"].to_numpy()
         trees.append((float(weights.get(tid, 1.0)), feat, thr, left, right, val))
-    return {"trees": trees, "average": not weights}
+    from pyspark.ml.regression import RandomForestRegressionModel
+
+    # a forest predicts the mean of its trees; boosting the weighted sum
+    return {"trees": trees, "average": isinstance(model, RandomForestRegressionModel)}
 
 
 def _eval_trees(table: dict, x: np.ndarray) -> float:
