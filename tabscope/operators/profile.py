@@ -87,7 +87,8 @@ def quantiles_from_ranked(ranked: DataFrame, probs: list[float], keys: list[str]
                                          F.struct(F.lit(1).alias("side"), F.ceil("pos").cast("long").alias("rank"))
                                          )).alias("t"))
                .select(*grp, "prob", "frac", "t.side", "t.rank"))
-    r, t = ranked.alias("r"), targets.alias("t")
+    # without group keys the target table has columns x probabilities x 2 rows: a proven-small broadcast
+    r, t = ranked.alias("r"), (F.broadcast(targets) if not keys else targets).alias("t")
     cond = F.lit(True)
     for c in grp:
         cond = cond & F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}"))
