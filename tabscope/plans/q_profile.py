@@ -316,3 +316,37 @@ SELECT column_name, CAST(ordinal_position - 1 AS INTEGER) AS ordinal,
 FROM information_schema.columns WHERE table_name = 'lineitem'""")
 def q_column_types(spark, sf):
     return P.column_types(T_(spark, sf, "lineitem"))
+
+
+VALUE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+
+
+def _value_column_sql() -> str:
+    kw = " OR ".join(f"contains(lower(trim(column_name)), '{k}')" for k in R.VALUE_KEYWORDS)
+    idlike = ("lower(trim(column_name)) IN ('id', 'index') OR ends_with(lower(trim(column_name)), '_id') "
+              "OR ends_with(lower(trim(column_name)), 'id')")
+    tables = ", ".join(f"'{t}'" for t in VALUE_TABLES)
+    return f"""
+WITH c AS (SELECT table_name, column_name, ordinal_position AS pos,
+                  data_type IN ('TINYINT','SMALLINT','INTEGER','BIGINT','FLOAT','DOUBLE','REAL') OR data_type LIKE 'DECIMAL%' AS isnum,
+                  data_type IN ('TIMESTAMP', 'DATE', 'TIMESTAMP WITH TIME ZONE') AS isdate,
+                  ({kw}) AS kw, ({idlike}) AS idlike
+           FROM information_schema.columns WHERE table_name IN ({tables})),
+v AS (SELECT table_name, arg_min(column_name, (CASE WHEN kw THEN 0 WHEN NOT idlike THEN 1 ELSE 2 END) * 1000 + pos) AS value_column
+      FROM c WHERE isnum GROUP BY 1),
+d AS (SELECT table_name, arg_min(column_name, pos) AS date_column FROM c WHERE isdate GROUP BY 1)
+SELECT t.table_name, d.date_column, v.value_column
+FROM (SELECT DISTINCT table_name FROM c) t LEFT JOIN v USING (table_name) LEFT JOIN d USING (table_name)"""
+
+
+@register("value_column", _value_column_sql())
+def q_value_column(spark, sf):
+    """R9 (+ the date choice of F2): the columns a series of each driver table would use."""
+    from ..functions.columns import datetime_typed_columns, numeric_columns
+
+    rows = []
+    for t in VALUE_TABLES:
+        df = T_(spark, sf, t)
+        dates = datetime_typed_columns(df)
+        rows.append((t, dates[0] if dates else None, R.resolve_value_column(numeric_columns(df))))
+    return spark.createDataFrame(rows, "table_name string, date_column string, value_column string")
