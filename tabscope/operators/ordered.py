@@ -61,8 +61,8 @@ def _ranged(df: DataFrame, group_cols: list[str], order_cols: list[str], parts:
     return ranged.sortWithinPartitions(*keys)
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, cols: list[str]) -> DataFrame:
-    l, r = left.alias("_l"), right.alias("_r")
+def _null_safe_join(left: DataFrame, right: DataFrame, cols: list[str], small_right: bool = False) -> DataFrame:
+    l, r = left.alias("_l"), (F.broadcast(right) if small_right else right).alias("_r")
     cond = reduce(lambda a, b: a & b, [F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}")) for c in cols])
     keep = [F.col(f"_l.{c}") for c in left.columns]
     extra = [F.col(f"_r.{c}") for c in right.columns if c not in cols]
@@ -70,11 +70,17 @@ def _null_safe_join(left: DataFrame, right: DataFrame, cols: list[str]) -> DataF
 
 
 def prefix_sum(df: DataFrame, group_cols: list[str], order_cols: list[str], weight_col: str,
-               out_col: str = "cum_before", parts: int | None = None) -> DataFrame:
+               out_col: str = "cum_before", parts: int | None = None, total_col: str | None = None,
+               few_groups: bool = False) -> DataFrame:
     """Exclusive running sum of ``weight_col`` in ``order_cols`` order per group.
 
     The ordering key (group + order columns) should be unique; pre-aggregate
-    repeated keys and carry their multiplicity in ``weight_col``.
+    repeated keys and carry their multiplicity in ``weight_col``. With
+    ``total_col`` every row also carries its group's total weight (taken from
+    the per-partition summary, no extra pass over the rows). ``few_groups``
+    declares the number of groups bounded (e.g. one per column): the offset
+    table (partitions + groups rows) is then broadcast instead of shuffling
+    the rows for the join.
     """
     wtype = df.schema[weight_col].dataType
     integral = isinstance(wtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
@@ -116,8 +122,9 @@ def prefix_sum(df: DataFrame, group_cols: list[str], order_cols: list[str], weig
     tot = loc.groupBy(_PID, *group_cols).agg(F.sum(weight_col).alias("_ptot"))
     part = [F.col(c) for c in group_cols] or [F.lit(0)]
     w = Window.partitionBy(*part).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(_PID, *group_cols, F.coalesce(F.sum("_ptot").over(w), F.lit(0)).alias("_off"))
-    out = _null_safe_join(loc, off, [_PID] + group_cols)
+    extra = [F.sum("_ptot").over(Window.partitionBy(*part)).cast(local_type).alias(total_col)] if total_col else []
+    off = tot.select(_PID, *group_cols, F.coalesce(F.sum("_ptot").over(w), F.lit(0)).alias("_off"), *extra)
+    out = _null_safe_join(loc, off, [_PID] + group_cols, small_right=few_groups or not group_cols)
     return (out.withColumn(out_col, (F.col(_LOCAL) + F.col("_off")).cast(local_type))
             .drop(_PID, _LOCAL, "_off"))
 
@@ -166,6 +173,6 @@ def previous_value(df: DataFrame, group_cols: list[str], order_col: str,
     part = [F.col(c) for c in group_cols] or [F.lit(0)]
     w = Window.partitionBy(*part).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(_PID, *group_cols, F.max("_pmax").over(w).alias("_before"))
-    out = _null_safe_join(loc, off, [_PID] + group_cols)
+    out = _null_safe_join(loc, off, [_PID] + group_cols, small_right=not group_cols)
     return (out.withColumn(out_col, F.coalesce(F.col(_LOCAL), F.col("_before")))
             .drop(_PID, _LOCAL, "_before"))

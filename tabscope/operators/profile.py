@@ -71,34 +71,33 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 def ranked_values(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
     """(keys..., column_name, v, cnt, before): value counts with their rank offsets."""
     keys = keys or []
-    return prefix_sum(value_counts(df, columns, keys), keys + ["column_name"], ["v"], "cnt", "before")
+    # without keys there is one group per column: a bounded offset table
+    return prefix_sum(value_counts(df, columns, keys), keys + ["column_name"], ["v"], "cnt", "before",
+                      total_col="n", few_groups=not keys)
 
 
 def quantiles_from_ranked(ranked: DataFrame, probs: list[float], keys: list[str] | None = None) -> DataFrame:
-    """(keys..., column_name, prob, value) from a ``ranked_values`` table."""
+    """(keys..., column_name, prob, value) from a ``ranked_values`` table.
+
+    Each ranked row (a distinct value with its rank offset ``before``, count
+    ``cnt`` and group size ``n``) checks locally whether it holds the order
+    statistic at floor/ceil(p * (n - 1)) — one filter pass, no join; only the
+    matching rows (at most 2 per probability and group) reach the final aggregate.
+    """
     keys = keys or []
     grp = keys + ["column_name"]
-    sizes = ranked.groupBy(*grp).agg(F.sum("cnt").alias("n"))
-    targets = (sizes.select(*grp, "n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
-               .withColumn("pos", F.col("prob") * (F.col("n") - 1))
-               .withColumn("frac", F.col("pos") - F.floor("pos"))
-               .select(*grp, "prob", "frac",
-                       F.explode(F.array(F.struct(F.lit(0).alias("side"), F.floor("pos").cast("long").alias("rank")),
-                                         F.struct(F.lit(1).alias("side"), F.ceil("pos").cast("long").alias("rank"))
-                                         )).alias("t"))
-               .select(*grp, "prob", "frac", "t.side", "t.rank"))
-    # without group keys the target table has columns x probabilities x 2 rows: a proven-small broadcast
-    r, t = ranked.alias("r"), (F.broadcast(targets) if not keys else targets).alias("t")
-    cond = F.lit(True)
-    for c in grp:
-        cond = cond & F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}"))
-    cond = cond & (F.col("r.before") <= F.col("t.rank")) & (F.col("t.rank") < F.col("r.before") + F.col("r.cnt"))
-    picked = r.join(t, cond).select(*[F.col(f"t.{c}").alias(c) for c in grp], "t.prob", "t.frac", "t.side",
-                                    F.col("r.v").alias("v"))
-    out = picked.groupBy(*grp, "prob").agg(
-        F.max(F.when(F.col("side") == 0, F.col("v"))).alias("_lo"),
-        F.max(F.when(F.col("side") == 1, F.col("v"))).alias("_hi"),
-        F.max("frac").alias("_frac"))
+    if "n" not in ranked.columns:
+        sizes = ranked.groupBy(*grp).agg(F.sum("cnt").alias("n"))
+        ranked = ranked.join(sizes, grp)
+    hits = []
+    for p in probs:
+        pos = F.lit(float(p)) * (F.col("n") - 1)
+        lo, hi = F.floor(pos).cast("long"), F.ceil(pos).cast("long")
+        inside = lambda r: (F.col("before") <= r) & (r < F.col("before") + F.col("cnt"))
+        hits.append(F.struct(F.lit(float(p)).alias("prob"), (pos - F.floor(pos)).alias("frac"),
+                             F.when(inside(lo), F.col("v")).alias("lo"), F.when(inside(hi), F.col("v")).alias("hi")))
+    cand = ranked.select(*grp, F.inline(F.array(*hits))).where(F.col("lo").isNotNull() | F.col("hi").isNotNull())
+    out = cand.groupBy(*grp, "prob").agg(F.max("lo").alias("_lo"), F.max("hi").alias("_hi"), F.max("frac").alias("_frac"))
     return out.select(*grp, "prob", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")).alias("value"))
 
 
