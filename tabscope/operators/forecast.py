@@ -15,7 +15,6 @@
 
 from __future__ import annotations
 
-import math
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 

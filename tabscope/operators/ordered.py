@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import shuffle_partitions, stable
+from ..session import stable
 
 _PID = "_pid"
 _LOCAL = "_local"

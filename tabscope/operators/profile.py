@@ -12,11 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.aggregates import pair_count, safe_corr
-from ..functions.columns import (FLOAT_TYPES, NUMERIC_TYPES, as_text, col, is_missing, kind_of,
+from ..functions.columns import (FLOAT_TYPES, as_text, col, is_missing, kind_of,
                                  numeric_columns, categorical_columns, num)
-from .ordered import prefix_sum
-from .quantiles import value_counts
+from .quantiles import pick_quantiles, ranked_counts
 
 SUMMARY_PROBS = [0.25, 0.5, 0.75]
 
@@ -69,36 +67,13 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def ranked_values(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
-    """(keys..., column_name, v, cnt, before): value counts with their rank offsets."""
-    keys = keys or []
-    # without keys there is one group per column: a bounded offset table
-    return prefix_sum(value_counts(df, columns, keys), keys + ["column_name"], ["v"], "cnt", "before",
-                      total_col="n", few_groups=not keys)
+    """(keys..., column_name, v, cnt, before, n): value counts with their rank offsets."""
+    return ranked_counts(df, columns, keys)
 
 
 def quantiles_from_ranked(ranked: DataFrame, probs: list[float], keys: list[str] | None = None) -> DataFrame:
-    """(keys..., column_name, prob, value) from a ``ranked_values`` table.
-
-    Each ranked row (a distinct value with its rank offset ``before``, count
-    ``cnt`` and group size ``n``) checks locally whether it holds the order
-    statistic at floor/ceil(p * (n - 1)) — one filter pass, no join; only the
-    matching rows (at most 2 per probability and group) reach the final aggregate.
-    """
-    keys = keys or []
-    grp = keys + ["column_name"]
-    if "n" not in ranked.columns:
-        sizes = ranked.groupBy(*grp).agg(F.sum("cnt").alias("n"))
-        ranked = ranked.join(sizes, grp)
-    hits = []
-    for p in probs:
-        pos = F.lit(float(p)) * (F.col("n") - 1)
-        lo, hi = F.floor(pos).cast("long"), F.ceil(pos).cast("long")
-        inside = lambda r: (F.col("before") <= r) & (r < F.col("before") + F.col("cnt"))
-        hits.append(F.struct(F.lit(float(p)).alias("prob"), (pos - F.floor(pos)).alias("frac"),
-                             F.when(inside(lo), F.col("v")).alias("lo"), F.when(inside(hi), F.col("v")).alias("hi")))
-    cand = ranked.select(*grp, F.inline(F.array(*hits))).where(F.col("lo").isNotNull() | F.col("hi").isNotNull())
-    out = cand.groupBy(*grp, "prob").agg(F.max("lo").alias("_lo"), F.max("hi").alias("_hi"), F.max("frac").alias("_frac"))
-    return out.select(*grp, "prob", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")).alias("value"))
+    """(keys..., column_name, prob, value) from a ``ranked_values`` table (see ``quantiles.pick_quantiles``)."""
+    return pick_quantiles(ranked, probs, keys)
 
 
 def _pivot_probs(qs: DataFrame, probs: list[float], names: list[str], keys: list[str]) -> DataFrame:

@@ -6,8 +6,8 @@ Spark's own ``percentile`` keeps a value->count map per group and merges it
 in one task for an ungrouped aggregate, which does not scale to a column with
 billions of distinct values. Here the values are counted per (column, value)
 with a partial aggregate, ranked with a distributed prefix sum, and the two
-order statistics per probability are picked with a join against a tiny
-target table (columns x probabilities x 2 rows).
+order statistics per probability are picked in one filter pass (every
+ranked row knows its group size).
 """
 
 from __future__ import annotations
@@ -48,9 +48,42 @@ def value_counts(df: DataFrame, columns: list[str], keys: list[str] | None = Non
     return out
 
 
+def ranked_counts(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
+    """(keys..., column_name, v, cnt, before, n): value counts with their rank offset and group size."""
+    keys = keys or []
+    # without keys there is one group per column: a bounded offset table
+    return prefix_sum(value_counts(df, columns, keys), keys + ["column_name"], ["v"], "cnt", "before",
+                      total_col="n", few_groups=not keys)
+
+
+def pick_quantiles(ranked: DataFrame, probs: list[float], keys: list[str] | None = None) -> DataFrame:
+    """(keys..., column_name, prob, value) from a ``ranked_counts`` table.
+
+    Each ranked row (a distinct value with its rank offset ``before``, count
+    ``cnt`` and group size ``n``) checks locally whether it holds the order
+    statistic at floor/ceil(p * (n - 1)) — one filter pass, no join; only the
+    matching rows (at most 2 per probability and group) reach the final aggregate.
+    """
+    keys = keys or []
+    grp = keys + ["column_name"]
+    if "n" not in ranked.columns:
+        sizes = ranked.groupBy(*grp).agg(F.sum("cnt").alias("n"))
+        ranked = ranked.join(sizes, grp)
+    hits = []
+    for p in probs:
+        pos = F.lit(float(p)) * (F.col("n") - 1)
+        lo, hi = F.floor(pos).cast("long"), F.ceil(pos).cast("long")
+        inside = lambda r: (F.col("before") <= r) & (r < F.col("before") + F.col("cnt"))
+        hits.append(F.struct(F.lit(float(p)).alias("prob"), (pos - F.floor(pos)).alias("frac"),
+                             F.when(inside(lo), F.col("v")).alias("lo"), F.when(inside(hi), F.col("v")).alias("hi")))
+    cand = ranked.select(*grp, F.inline(F.array(*hits))).where(F.col("lo").isNotNull() | F.col("hi").isNotNull())
+    out = cand.groupBy(*grp, "prob").agg(F.max("lo").alias("_lo"), F.max("hi").alias("_hi"), F.max("frac").alias("_frac"))
+    return out.select(*grp, "prob", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")).alias("value"))
+
+
 def quantiles(df: DataFrame, columns: list[str], probs: list[float], keys: list[str] | None = None,
               exact: bool = True, accuracy: int = 10000) -> DataFrame:
-    """Long table (keys..., column_name, prob, value)."""
+    """Long table (keys..., column_name, prob, value); ``exact=False`` uses ``percentile_approx``."""
     keys = keys or []
     if not exact:
         lv = long_values(df, columns, keys)
@@ -60,42 +93,7 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float], keys: list[
                           F.posexplode("_qs").alias("_i", "value")).withColumn(
             "prob", F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i") + 1)
         ).drop("_i")
-    freq = value_counts(df, columns, keys)
-    return quantiles_from_counts(freq, probs, keys)
-
-
-def quantiles_from_counts(freq: DataFrame, probs: list[float], keys: list[str] | None = None) -> DataFrame:
-    """Exact quantiles from a (keys..., column_name, v, cnt) table."""
-    keys = keys or []
-    grp = keys + ["column_name"]
-    ranked = prefix_sum(freq, grp, ["v"], "cnt", "before")
-    sizes = freq.groupBy(*grp).agg(F.sum("cnt").alias("n"))
-    targets = (sizes
-               .select(*grp, "n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
-               .withColumn("pos", F.col("prob") * (F.col("n") - 1))
-               .withColumn("lo", F.floor("pos").cast("long"))
-               .withColumn("hi", F.ceil("pos").cast("long"))
-               .withColumn("frac", F.col("pos") - F.col("lo"))
-               .select(*grp, "prob", "frac",
-                       F.explode(F.array(
-                           F.struct(F.lit("lo").alias("side"), F.col("lo").alias("rank")),
-                           F.struct(F.lit("hi").alias("side"), F.col("hi").alias("rank")))).alias("t"))
-               .select(*grp, "prob", "frac", "t.side", "t.rank"))
-    r, t = ranked.alias("r"), targets.alias("t")
-    cond = [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in grp]
-    cond.append(F.col("r.before") <= F.col("t.rank"))
-    cond.append(F.col("t.rank") < F.col("r.before") + F.col("r.cnt"))
-    cond_all = cond[0]
-    for c in cond[1:]:
-        cond_all = cond_all & c
-    picked = r.join(t, cond_all, "inner").select(
-        *[F.col(f"t.{c}").alias(c) for c in grp], "t.prob", "t.frac", "t.side", F.col("r.v").alias("v"))
-    out = picked.groupBy(*grp, "prob").agg(
-        F.max(F.when(F.col("side") == "lo", F.col("v"))).alias("_lo"),
-        F.max(F.when(F.col("side") == "hi", F.col("v"))).alias("_hi"),
-        F.max("frac").alias("_frac"))
-    return out.select(*grp, "prob",
-                      (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")).alias("value"))
+    return pick_quantiles(ranked_counts(df, columns, keys), probs, keys)
 
 
 def quantile_wide(df: DataFrame, columns: list[str], probs: list[float], names: list[str],

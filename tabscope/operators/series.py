@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, datetime_typed_columns, num, numeric_columns
-from .ordered import prefix_sum, previous_value
+from .ordered import previous_value
 from .profile import quantiles_from_ranked
 
 # Median-gap thresholds (days) -> frequency label and unit.

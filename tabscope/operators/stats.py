@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dist
-from ..functions.aggregates import pair_count, sample_kurtosis, sample_skew, safe_corr
-from ..functions.columns import NUMERIC_TYPES, as_text, col, num, numeric_columns, q
+from ..functions.aggregates import pair_count, safe_corr
+from ..functions.columns import col, num, numeric_columns, q
 from .ordered import prefix_sum
 from .profile import numeric_summary, pearson, ranked_values
 

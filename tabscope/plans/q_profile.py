@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import profile as P
 from ..operators import roles as R
 from . import fixtures as fx
-from .catalog import (DIRTY_COLS, DIRTY_NUM, EVENTS_NUM, LINEITEM_COLS, LINEITEM_NUM, ORDERS_COLS,
-                      PART_COLS, T_, r6, register, rounded, union_all)
+from .catalog import (DIRTY_COLS, EVENTS_NUM, LINEITEM_COLS, LINEITEM_NUM, T_, r6, register, rounded,
+                      union_all)
 
 D = fx.SQL["events_dirty"]
 PS = fx.SQL["part_sales"]

@@ -11,7 +11,7 @@ from ..operators import roles as R
 from ..session import ensure_checkpoint_dir
 from ..sources import delimited, tables, workbook
 from . import fixtures as fx
-from .catalog import T_, register, rounded
+from .catalog import T_, register
 
 
 def _scratch(spark, name: str) -> str:
