@@ -196,16 +196,19 @@ def pair_moments(df: DataFrame, columns: list[str], kind: str = "corr",
     from ..functions.aggregates import one_row_agg
 
     vals = {c: num(df, c) for c in columns}
-    complete = known is not None or not _has_missing(df, columns)
     k = len(columns)
+    if known is not None:  # (rows, means) known without a pass, e.g. average ranks
+        n, mlist = known
+        means = {f"m{i}": m for i, m in enumerate(mlist)}
+        complete = True
+    else:
+        # first pass: row count, non-missing counts and means together; complete data needs no other check
+        means = one_row_agg(df, [("_rows", F.count(F.lit(1)), 1)] +
+                            [(f"c{i}", F.count(vals[c]), 1) for i, c in enumerate(columns)] +
+                            [(f"m{i}", F.avg(vals[c]), 2) for i, c in enumerate(columns)]).first()
+        n = int(means["_rows"])
+        complete = all(means[f"c{i}"] == n for i in range(k))
     if complete:
-        if known is not None:  # (rows, means) known without a pass, e.g. average ranks
-            n, mlist = known
-            means = {f"m{i}": m for i, m in enumerate(mlist)}
-        else:
-            means = one_row_agg(df, [("_rows", F.count(F.lit(1)), 1)] +
-                                [(f"m{i}", F.avg(vals[c]), 2) for i, c in enumerate(columns)]).first()
-            n = int(means["_rows"])
         # deviations from the first-pass means; expressions are sent as SQL text (one call each)
         dev = df.select(*[(vals[c] - F.lit(float(means[f"m{i}"] or 0.0))).alias(f"d{i}") for i, c in enumerate(columns)])
         specs = [(f"sd{i}", F.expr(f"sum(d{i})"), 1) for i in range(k)]
