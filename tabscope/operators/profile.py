@@ -177,12 +177,6 @@ def outliers(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return bounds.join(counts, "column_name").select("column_name", "q1", "q3", "lower", "upper", "n_outliers")
 
 
-def _has_missing(df: DataFrame, columns: list[str]) -> bool:
-    """One small aggregate: does any of the columns hold a missing value?"""
-    row = df.agg(*[F.count(F.when(num(df, c).isNull(), 1)).alias(f"z{i}") for i, c in enumerate(columns)]).first()
-    return any(row[f"z{i}"] for i in range(len(columns)))
-
-
 def pair_moments(df: DataFrame, columns: list[str], kind: str = "corr",
                  known: tuple[int, list[float]] | None = None) -> DataFrame:
     """(a, b, i, j, value, n) for all ordered pairs.
