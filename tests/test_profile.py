@@ -83,3 +83,20 @@ def test_datetime_detection_iso_and_day_first(spark):
     out = R.datetime_columns(df).toPandas().set_index("column_name")
     assert out.loc["iso", "format"] == "yyyy-MM-dd" and out.loc["tr", "format"] == "dd/MM/yyyy"
     assert "other" not in out.index
+
+
+def test_profile_bundle_all_tables(spark):
+    import datetime as dt
+
+    rows = [(dt.datetime(2024, 1, 7) + dt.timedelta(weeks=i), ["Ege", "Akdeniz"][i % 2], 7600.0 + 100 * i,
+             18 + i % 7, f"C00{i % 6 + 1}") for i in range(52)]
+    df = spark.createDataFrame(rows, "date timestamp, region string, sales double, units long, customer_id string")
+    bundle = P.profile(df)
+    sizes = {k: v.count() for k, v in bundle.items()}
+    assert sizes["overview"] == 1 and sizes["types"] == 5 and sizes["missing"] == 5
+    assert sizes["numeric_summary"] == 2 and sizes["outliers"] == 2 and sizes["correlations"] == 4
+    ov = bundle["overview"].first()
+    assert (ov["n_rows"], ov["n_columns"], ov["duplicate_rows"]) == (52, 5, 0)
+    assert [r["column_name"] for r in bundle["datetime_columns"].collect()] == ["date"]
+    assert bundle["id_columns"].count() == 0  # customer_id: 6 of 52 distinct
+    assert [r["column_name"] for r in bundle["target_candidates"].orderBy("target_rank").collect()][:2] == ["sales", "units"]
