@@ -41,9 +41,17 @@ def get_session(master: str | None = None, app: str = "tabscope",
     return spark
 
 
+# Bytes of an Arrow batch sent to Python at once (unless the session names its own): rows of long texts would make
+# batches of ten thousand rows too large for small executors.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Make a session ready for the library: checkpoint folder + package on the executors."""
+    """Make a session ready for the library: checkpoint folder, Arrow batch size, package on the executors."""
     ensure_checkpoint_dir(spark)
+    for key, value in ARROW_BATCH.items():
+        if spark.sparkContext.getConf().get(key) is None:
+            spark.conf.set(key, value)
     ship_package(spark)
     return spark
 
