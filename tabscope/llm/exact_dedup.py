@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import SPACE, plain, saved
+from .store import SPACE, fresh, keep_ids, plain, saved
 
 COUNTERS = 4096
 
@@ -88,15 +88,12 @@ def drop_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", count
 
     Of rows that repeat both text and id one stays.
     """
-    kept = saved(exact_groups(df, doc_id, text, counters).where("kept")
-                 .select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest")))
-    here = df.withColumns({"_digest_here": text_digest(text)})
-    out = here.join(kept, plain(doc_id).eqNullSafe(F.col("_id")) & (F.col("_digest_here") == F.col("_digest")), "left_semi")
-    repeats = df.groupBy(plain(doc_id).alias("_id")).count().where("count > 1").select("_id")
-    repeats = saved(repeats)
+    here = fresh(df, "_digest")
+    key, value = fresh(df, "_id"), here + "_kept"
+    kept = saved(exact_groups(df, doc_id, text, counters).where("kept").select(F.col("doc_id").alias(key), F.unhex("text_sha256").alias(value)))
+    out = df.withColumn(here, text_digest(text)).join(kept, plain(doc_id).eqNullSafe(F.col(key)) & (F.col(here) == F.col(value)), "left_semi")
+    repeats = saved(df.groupBy(plain(doc_id).alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"))
     if not repeats.isEmpty():  # ids that repeat: only their rows are deduplicated as rows
-        again = plain(doc_id).eqNullSafe(F.col("_id"))
-        once = out.join(repeats, again, "left_anti")
-        more = out.join(repeats, again, "left_semi").dropDuplicates([doc_id, "_digest_here"])
-        out = once.unionByName(more)
+        more = keep_ids(out, doc_id, repeats, "left_semi").dropDuplicates([doc_id, here])
+        out = keep_ids(out, doc_id, repeats, "left_anti").unionByName(more)
     return out.select(*[plain(c) for c in df.columns])

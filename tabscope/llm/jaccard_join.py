@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import sketch
 from .graph import components
 from .prefix_tree import PrefixTree, local_ids
-from .store import bucket_count, plain, saved, text_volume
+from .store import bucket_count, keep_ids, plain, saved, text_volume
 from .words import Words, mix64, pieces
 
 SIZE = 5
@@ -287,6 +287,8 @@ def cross_links(batches):
     for rows in _groups(batches):
         arrays, vocabulary = _ids(rows)
         inside = [i for i, r in enumerate(rows) if not r["probe"]]
+        if not inside:  # no set fell into this chunk
+            continue
         tree = PrefixTree([arrays[i] for i in inside], [rows[i]["n"] for i in inside], vocabulary)
         out = [(r["cls"], rows[inside[j]]["cls"], False) for i, r in enumerate(rows) if r["probe"] for j in tree.probe(arrays[i], r["n"])]
         if out:
@@ -349,6 +351,5 @@ def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     Rows without words stay. Of rows that repeat the kept id all stay; exact deduplication is another operator's.
     """
-    kept = (near_duplicates(df, doc_id, text, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("_id")).distinct())
-    return df.join(kept, plain(doc_id).cast("long").eqNullSafe(F.col("_id")), "left_semi").select(*[plain(c) for c in df.columns])
+    kept = near_duplicates(df, doc_id, text, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return keep_ids(df, doc_id, kept, "left_semi")

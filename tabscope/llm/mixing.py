@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import WORD, plain, saved
+from .store import WORD, fresh, plain, saved
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -103,9 +103,9 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
 
 def mixed_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mix itself: each input row as often as the mix takes it, with all its columns."""
-    plan = mix(df, doc_id, text, source, **options).where("copies > 0")
-    plan = plan.groupBy("doc_id", "source").agg(F.max("copies").alias("_copies"))
-    plan = plan.withColumnRenamed("doc_id", "_id").withColumnRenamed("source", "_source")
-    same = plain(doc_id).eqNullSafe(F.col("_id")) & plain(source).cast("string").eqNullSafe(F.col("_source"))
-    return (df.join(plan, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    key, of, copies = (fresh(df, n) for n in ("_id", "_source", "_copies"))
+    plan = (mix(df, doc_id, text, source, **options).where("copies > 0").groupBy(F.col("doc_id").alias(key), F.col("source").alias(of))
+            .agg(F.max("copies").alias(copies)))
+    same = plain(doc_id).eqNullSafe(F.col(key)) & plain(source).cast("string").eqNullSafe(F.col(of))
+    return (df.join(plan, same).select(*[plain(c) for c in df.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias(copies))
             .select(*[plain(c) for c in df.columns]))

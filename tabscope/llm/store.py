@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,12 +37,16 @@ def plain(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def by_task(df: DataFrame, function, schema: str) -> DataFrame:
-    """mapInArrow with ``function(table) -> iterator of batches`` called once on each non-empty task's whole input."""
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-    def run(batches):
-        batches = [b for b in batches if b.num_rows]
-        if batches:
-            yield from function(pa.Table.from_batches(batches))
 
-    return df.mapInArrow(run, schema)
+def keep_ids(df: DataFrame, doc_id: str, ids: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join of a frame with the first column of ``ids``, null ids equal; the frame's columns stay."""
+    key = fresh(df, "_id")
+    ids = ids.select(plain(ids.columns[0]).alias(key))
+    return df.join(ids, plain(doc_id).eqNullSafe(F.col(key)), how)

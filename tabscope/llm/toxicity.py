@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import fold, labelled, sample_rows
-from .store import plain, saved
+from .store import keep_ids, plain, saved
 from .words import _BYTE_LOWER, Words, mix64, pieces, text_bytes
 
 SAMPLE = 8000  # labelled documents that lexicon, trees and calibration are fitted on
@@ -257,5 +257,5 @@ def drop_toxic(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
     Equal ids with different texts are judged together: one toxic text rejects the id's rows.
     """
-    toxic = score_toxicity(df, labels, doc_id=doc_id, text=text, **options).where("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
-    return df.join(toxic, plain(doc_id).eqNullSafe(F.col("_id")), "left_anti").select(*[plain(c) for c in df.columns])
+    toxic = score_toxicity(df, labels, doc_id=doc_id, text=text, **options).where("predicted = 1").select("doc_id").distinct()
+    return keep_ids(df, doc_id, toxic, "left_anti")

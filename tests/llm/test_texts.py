@@ -140,7 +140,7 @@ def brute_removal(rows, window):
     return out
 
 
-@pytest.mark.parametrize("name,window,bits", [("hand", 35, None), ("hand", 35, 8), ("docs", 35, None), ("docs", 6, 8), ("none", 35, None)])
+@pytest.mark.parametrize("name,window,bits", [("hand", 35, None), ("hand", 35, 10), ("docs", 35, None), ("docs", 6, 10), ("none", 35, None)])
 def test_substring_dedup(request, monkeypatch, name, window, bits):
     """Also with a sketch so small that nearly every window passes to the exact grouping."""
     if bits:
