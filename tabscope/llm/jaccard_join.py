@@ -24,10 +24,10 @@ from . import sketch
 from .graph import components
 from .prefix_tree import PrefixTree, local_ids
 from .store import bucket_count, keep_ids, plain, saved, text_volume
-from .words import Words, mix64, pieces
+from .words import Words, mix64, pairs_index, pieces
 
 SIZE = 5
-BUCKET_BYTES = 64 << 20  # text whose shingles one bucket task sees on average
+BUCKET_BYTES = 24 << 20  # text whose shingles one bucket task sees on average (its memory is about ten times that)
 CHUNK_SHINGLES = 1 << 21  # shingles of the sets in one tree, on average
 BLOOM_BITS = 26
 
@@ -81,33 +81,39 @@ def shingle_classes(rows: DataFrame, size: int) -> DataFrame:
 PACKED = "bucket int, owners binary, counts binary, values binary"
 
 
-def deal(owners: np.ndarray, doc: np.ndarray, values: np.ndarray, buckets: int, width: type) -> pa.RecordBatch:
-    """Rows of PACKED: by bucket of the values' high bits the owners' rows, their counts and the values (low ``width``)."""
-    target = ((values >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    order = np.lexsort((doc, target)) if buckets > 1 else np.arange(len(doc))
-    target, doc, values = target[order], doc[order], values[order].astype(width)
+def deal(owners: np.ndarray, doc: np.ndarray, target: np.ndarray, buckets: int, *values: np.ndarray) -> pa.RecordBatch:
+    """Rows of PACKED (one more column for a second array of values): each bucket's owners, their counts and values."""
+    order = np.lexsort((doc, target)) if buckets > 1 else np.argsort(doc, kind="stable")
+    target, doc, values = target[order], doc[order], [v[order] for v in values]
     edges = np.searchsorted(target, np.arange(buckets + 1))
-    out: list[list] = [[], [], [], []]
+    out: list[list] = [[] for _ in range(3 + len(values))]
     for bucket in np.flatnonzero(np.diff(edges)):
         part = slice(edges[bucket], edges[bucket + 1])
         held, counts = np.unique(doc[part], return_counts=True)
-        for column, value in zip(out, (int(bucket), owners[held].tobytes(), counts.astype(np.uint32).tobytes(), values[part].tobytes())):
+        for column, value in zip(out, (int(bucket), owners[held].tobytes(), counts.astype(np.uint32).tobytes(), *(v[part].tobytes() for v in values))):
             column.append(value)
-    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["bucket", "owners", "counts", "values"])
+    names = ["bucket", "owners", "counts", "values", "often"][:len(out)]
+    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], names)
 
 
-def dealt(batches, width: type, columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def by_value(values: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of a fingerprint, from its high bits."""
+    return ((values >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def dealt(batches, columns: int, *widths: type) -> list[np.ndarray]:
     """All of a bucket task's PACKED rows: owners (n, columns), owner index by value, values."""
-    owners, counts, values = [], [], []
+    owners, counts, values = [], [], [[] for _ in widths]
     for batch in batches:
-        for o, c, v in zip(*(col.to_pylist() for col in batch.columns[1:])):
+        for o, c, *v in zip(*(col.to_pylist() for col in batch.columns[1:])):
             owners.append(np.frombuffer(o, np.int64).reshape(-1, columns))
             counts.append(np.frombuffer(c, np.uint32))
-            values.append(np.frombuffer(v, width))
+            for held, one, width in zip(values, v, widths):
+                held.append(np.frombuffer(one, width))
     if not owners:
-        return np.zeros((0, columns), np.int64), np.zeros(0, np.int64), np.zeros(0, width)
+        return [np.zeros((0, columns), np.int64), np.zeros(0, np.int64), *(np.zeros(0, w) for w in widths)]
     owners = np.concatenate(owners)
-    return owners, np.repeat(np.arange(len(owners)), np.concatenate(counts)), np.concatenate(values)
+    return [owners, np.repeat(np.arange(len(owners)), np.concatenate(counts)), *(np.concatenate(v) for v in values)]
 
 
 def unshared(rows: DataFrame, size: int, buckets: int) -> DataFrame:
@@ -121,14 +127,15 @@ def unshared(rows: DataFrame, size: int, buckets: int) -> DataFrame:
                 first[np.unique(sets.digests, axis=0, return_index=True)[1]] = True  # copies of a class once a piece
                 use = first[sets.doc]
                 if use.any():
-                    yield deal(sets.digests, sets.doc[use], sets.values[use], buckets, np.uint32)
+                    values = sets.values[use]
+                    yield deal(sets.digests, sets.doc[use], by_value(values, buckets), buckets, values.astype(np.uint32))
 
     def count(batches):
-        owners, at, values = dealt(batches, np.uint32, 2)
+        owners, at, values = dealt(batches, 2, np.uint32)
         if not len(owners):
             return
-        classes, owner = np.unique(owners, axis=0, return_inverse=True)
-        owner = owner.ravel()[at]
+        classes, index = pairs_index(owners)
+        owner = index[at]
         order = np.lexsort((owner, values))
         owner, values = owner[order], values[order]
         new = np.ones(len(owner), bool)
@@ -136,12 +143,19 @@ def unshared(rows: DataFrame, size: int, buckets: int) -> DataFrame:
         owner, values = owner[new], values[new]
         fresh = np.ones(len(values), bool)
         fresh[1:] = values[1:] != values[:-1]
-        alone = fresh & np.append(fresh[1:], True)
-        counts = np.bincount(owner[alone], minlength=len(classes))
-        yield pa.RecordBatch.from_arrays([pa.array(classes[:, 0]), pa.array(classes[:, 1]), pa.array(counts, pa.int64())], ["d1", "d2", "alone"])
+        alone = np.bincount(owner[fresh & np.append(fresh[1:], True)], minlength=len(classes))
+        yield deal(classes, np.arange(len(classes)), by_value(classes[:, 0].view(np.uint64), buckets), buckets, alone.astype(np.uint32))
+
+    def total(batches):
+        owners, at, alone = dealt(batches, 2, np.uint32)
+        if not len(owners):
+            return
+        classes, index = pairs_index(owners)
+        sums = np.bincount(index[at], weights=alone, minlength=len(classes)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(classes[:, 0]), pa.array(classes[:, 1]), pa.array(sums)], ["d1", "d2", "alone"])
 
-    parts = rows.mapInArrow(send, PACKED).repartitionById(buckets, F.col("bucket")).mapInArrow(count, "d1 long, d2 long, alone long")
-    return parts.groupBy("d1", "d2").agg(F.sum("alone").alias("alone"))
+    parts = rows.mapInArrow(send, PACKED).repartitionById(buckets, F.col("bucket")).mapInArrow(count, PACKED)
+    return parts.repartitionById(buckets, F.col("bucket")).mapInArrow(total, "d1 long, d2 long, alone long")
 
 
 def _bloom_keys(d1: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
@@ -188,45 +202,45 @@ def ordered_sets(sets: DataFrame, buckets: int) -> DataFrame:
 
     def send(batches):
         for batch in batches:
-            cls = batch.column(0).to_numpy()[:, None]
             arrays = [np.frombuffer(v, np.uint64) for v in batch.column(2).to_pylist()]
             if arrays:
-                yield deal(cls, np.repeat(np.arange(len(arrays)), [len(a) for a in arrays]), np.concatenate(arrays), buckets, np.uint64)
+                values = np.concatenate(arrays)
+                owners = np.stack([batch.column(i).to_numpy() for i in (0, 1)], 1)
+                yield deal(owners, np.repeat(np.arange(len(arrays)), [len(a) for a in arrays]), by_value(values, buckets), buckets, values)
 
     def count(batches):
-        owners, at, values = dealt(batches, np.uint64, 1)
+        owners, at, values = dealt(batches, 2, np.uint64)
         if not len(values):
             return
         _, inverse, counts = np.unique(values, return_inverse=True, return_counts=True)
         often = counts[inverse]
         keep = often > 1
-        values, often, at = values[keep], often[keep].astype(np.uint32), at[keep]
-        ends = np.cumsum(np.bincount(at, minlength=len(owners)))
-        starts = np.concatenate([[0], ends[:-1]])
-        rows = [(int(owners[i, 0]), values[s:e].tobytes(), often[s:e].tobytes()) for i, (s, e) in enumerate(zip(starts, ends)) if e > s]
-        for i in range(0, len(rows), 5000):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i:i + 5000])], ["cls", "values", "often"])
-
-    shared = (sets.mapInArrow(send, PACKED).repartitionById(buckets, F.col("bucket"))
-              .mapInArrow(count, "cls long, values binary, often binary")
-              .groupBy("cls").agg(F.collect_list(F.struct("values", "often")).alias("parts")))
+        if keep.any():
+            target = by_value(mix64(owners[:, 0].view(np.uint64)), buckets)[at[keep]]
+            yield deal(owners, at[keep], target, buckets, values[keep], often[keep].astype(np.uint32))
 
     def order(batches):
-        for batch in batches:
-            out = []
-            for cls, n, parts in zip(*(c.to_pylist() for c in batch.columns)):
-                values = np.concatenate([np.frombuffer(p["values"], np.uint64) for p in parts])
-                often = np.concatenate([np.frombuffer(p["often"], np.uint32) for p in parts])
-                values = values[np.lexsort((values, often))]
-                needed = n - -(-4 * n // 5) + 1 - (n - len(values))  # prefix length less the unshared, which come first
-                if needed > 0:
-                    out.append((cls, n, values.tobytes(), values[:needed].view(np.int64).tolist()))
-            if out:
-                cls, n, values, prefix = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(values, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
-                                                 ["cls", "n", "values", "prefix"])
-
-    return shared.join(sets.select("cls", "n"), "cls").select("cls", "n", "parts").mapInArrow(order, "cls long, n long, values binary, prefix array<long>")
+        owners, at, values, often = dealt(batches, 2, np.uint64, np.uint32)
+        if not len(owners):
+            return
+        classes, index = pairs_index(owners)
+        owner = index[at]
+        by = np.lexsort((values, often, owner))
+        owner, values = owner[by], values[by]
+        ends = np.searchsorted(owner, np.arange(len(classes) + 1))
+        out = []
+        for i, (cls, n) in enumerate(classes.tolist()):
+            own = values[ends[i]:ends[i + 1]]
+            needed = n - -(-4 * n // 5) + 1 - (n - len(own))  # prefix length less the unshared, which come first
+            if needed > 0:
+                out.append((cls, n, own.tobytes(), own[:needed].view(np.int64).tolist()))
+        for i in range(0, len(out), 1000):
+            cls, n, packed, prefix = zip(*out[i:i + 1000])
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(packed, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
+                                             ["cls", "n", "values", "prefix"])
+
+    counted = sets.select("cls", "n", "values").mapInArrow(send, PACKED).repartitionById(buckets, F.col("bucket")).mapInArrow(count, f"{PACKED}, often binary")
+    return counted.repartitionById(buckets, F.col("bucket")).mapInArrow(order, "cls long, n long, values binary, prefix array<long>")
 
 
 def blocks(ordered: DataFrame) -> DataFrame:
@@ -328,9 +342,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     has a null id only if all its documents have. Ids are integers. Other columns are not read. An empty table gives
     an empty result.
     """
-    spark = df.sparkSession
     rows = df.select(plain(doc_id).cast("long").alias("doc_id"), F.coalesce(plain(text), F.lit("")).alias("text"))
-    buckets = bucket_count(spark, text_volume(rows, "text"), BUCKET_BYTES)
+    buckets = bucket_count(text_volume(rows, "text"), BUCKET_BYTES)
     members = saved(shingle_classes(rows, size))
     classes = members.where("n_shingles > 0").groupBy("d1", "d2").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("first_id"))
     left = saved(classes.join(unshared(rows, size, buckets), ["d1", "d2"]).where(F.col("alone") * 5 <= F.col("n_shingles"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabscope.session import ensure_checkpoint_dir
@@ -27,9 +27,9 @@ def text_volume(df: DataFrame, text: str) -> int:
     return df.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
 
 
-def bucket_count(spark: SparkSession, amount: float, per_bucket: float) -> int:
-    """Buckets so that each holds about ``per_bucket``; at least the session's shuffle partitions."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(amount / per_bucket), 1)
+def bucket_count(amount: float, per_bucket: float) -> int:
+    """Buckets so that each holds about ``per_bucket``."""
+    return max(1, math.ceil(amount / per_bucket))
 
 
 def plain(name: str) -> Column:

@@ -13,7 +13,6 @@ lost.
 
 from __future__ import annotations
 
-import hashlib
 from itertools import compress
 
 import numpy as np
@@ -23,10 +22,10 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .store import bucket_count, plain, text_volume
-from .words import Words, pieces
+from .words import Words, pairs_index, pieces
 
 WINDOW = 35
-BUCKET_BYTES = 64 << 20  # text whose windows one exact-grouping task sees on average
+BUCKET_BYTES = 24 << 20  # text whose windows one exact-grouping task sees on average
 FLUSH = 1 << 21  # entries a task gathers before it sends them
 EXCHANGE = "bucket int, hashes binary, tails binary, singles int, keys binary, counts binary, positions binary"
 _NAMES = ["bucket", "hashes", "tails", "singles", "keys", "counts", "positions"]
@@ -153,25 +152,36 @@ def candidates(rows: DataFrame, window: int, bits: int, bitmaps, buckets: int) -
     return rows.mapInArrow(run, EXCHANGE)
 
 
-def repeats(sent: DataFrame, buckets: int) -> DataFrame:
-    """key1, key2, positions (packed): starts of windows whose sequence starts elsewhere too."""
+MARKS = "bucket int, keys binary, counts binary, positions binary"
 
-    def marks(keys, counts, positions):
-        ends = np.cumsum(counts)
-        return [{"key1": int(k[0]), "key2": int(k[1]), "positions": positions[e - c:e].tobytes()} for k, c, e in zip(keys, counts, ends) if c]
 
-    schema = pa.schema([("key1", pa.int64()), ("key2", pa.int64()), ("positions", pa.binary())])
+def _marks(keys: np.ndarray, doc: np.ndarray, positions: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Rows of MARKS, dealt by document: keys (docs, 2), the documents' numbers of positions, positions."""
+    target = (keys[:, 0].view(np.uint64) % np.uint64(buckets)).astype(np.int64)[doc]
+    order = np.lexsort((positions, doc, target))
+    target, doc, positions = target[order], doc[order], positions[order]
+    edges = np.searchsorted(target, np.arange(buckets + 1))
+    out: list[list] = [[], [], [], []]
+    for bucket in np.flatnonzero(np.diff(edges)):
+        part = slice(edges[bucket], edges[bucket + 1])
+        held, counts = np.unique(doc[part], return_counts=True)
+        for column, value in zip(out, (int(bucket), keys[held].tobytes(), counts.astype(np.uint32).tobytes(), positions[part].tobytes())):
+            column.append(value)
+    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["bucket", "keys", "counts", "positions"])
 
-    def run(batches):
+
+def _read(keys: bytes, counts: bytes, positions: bytes):
+    return np.frombuffer(keys, np.int64).reshape(-1, 2), np.frombuffer(counts, np.uint32), np.frombuffer(positions, np.uint32)
+
+
+def repeats(sent: DataFrame, buckets: int) -> DataFrame:
+    """key1, key2, positions (packed): starts of windows whose sequence starts elsewhere too, one row by document."""
+
+    def group(batches):
         held = []
         for batch in batches:
-            for _, h, t, singles, k, c, p in zip(*(col.to_pylist() for col in batch.columns)):
-                row = (np.frombuffer(h, np.uint64), np.frombuffer(t, np.uint32), singles, np.frombuffer(k, np.int64).reshape(-1, 2),
-                       np.frombuffer(c, np.uint32), np.frombuffer(p, np.uint32))
-                if len(row[0]):
-                    held.append(row)
-                else:
-                    yield pa.RecordBatch.from_pylist(marks(*row[3:]), schema)
+            for _, h, t, singles, *places in zip(*(col.to_pylist() for col in batch.columns)):
+                held.append((np.frombuffer(h, np.uint64), np.frombuffer(t, np.uint32), singles, *_read(*places)))
         if not held:
             return
         hashes, tails = np.concatenate([r[0] for r in held]), np.concatenate([r[1] for r in held])
@@ -179,19 +189,42 @@ def repeats(sent: DataFrame, buckets: int) -> DataFrame:
         order = np.lexsort((tails, hashes))
         new = np.ones(len(order), bool)
         new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (tails[order][1:] != tails[order][:-1])
-        group = np.empty(len(order), np.int64)
-        group[order] = np.cumsum(new) - 1
-        again = np.bincount(group, weights=weight)[group] >= 2
-        at = 0
-        for h, _, singles, keys, counts, positions in held:
-            hit = again[at:at + singles]
+        window = np.empty(len(order), np.int64)
+        window[order] = np.cumsum(new) - 1
+        again = np.bincount(window, weights=weight, minlength=1)[window] >= 2
+        at, docs, keys, doc, positions = 0, 0, [], [], []
+        for h, _, singles, key, count, place in held:
+            hit = again[at:at + singles] if len(h) else np.ones(len(place), bool)  # rows without hashes: known repeats
             at += len(h)
-            owner = np.repeat(np.arange(len(counts)), counts)[hit]
-            found = marks(keys, np.bincount(owner, minlength=len(counts)), positions[hit])
-            if found:
-                yield pa.RecordBatch.from_pylist(found, schema)
-
-    return sent.repartitionById(buckets, F.col("bucket")).mapInArrow(run, "key1 long, key2 long, positions binary")
+            doc.append(np.repeat(np.arange(len(key)) + docs, count)[hit])
+            positions.append(place[hit])
+            keys.append(key)
+            docs += len(key)
+        doc = np.concatenate(doc)
+        if len(doc):
+            yield _marks(np.concatenate(keys), doc, np.concatenate(positions), buckets)
+
+    def gather(batches):
+        rows = [_read(*row[1:]) for batch in batches for row in zip(*(col.to_pylist() for col in batch.columns))]
+        if not rows:
+            return
+        keys = np.concatenate([r[0] for r in rows])
+        keys, index = pairs_index(keys)
+        doc = np.repeat(index, np.concatenate([r[1] for r in rows]))
+        positions = np.concatenate([r[2] for r in rows])
+        order = np.lexsort((positions, doc))
+        doc, positions = doc[order], positions[order]
+        new = np.ones(len(doc), bool)  # documents of one key (repeated rows) have the same marks
+        new[1:] = (doc[1:] != doc[:-1]) | (positions[1:] != positions[:-1])
+        doc, positions = doc[new], positions[new]
+        ends = np.searchsorted(doc, np.arange(len(keys) + 1))
+        for i in range(0, len(keys), 1000):
+            last = min(len(keys), i + 1000)
+            packed = [positions[ends[j]:ends[j + 1]].tobytes() for j in range(i, last)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i:last, 0]), pa.array(keys[i:last, 1]), pa.array(packed, pa.binary())], ["key1", "key2", "positions"])
+
+    marks = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(group, MARKS)
+    return marks.repartitionById(buckets, F.col("bucket")).mapInArrow(gather, "key1 long, key2 long, positions binary")
 
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -209,9 +242,8 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     volume = text_volume(rows, "text")
     bits = sketch.bits_for(volume / 6 * 2 / (window - window // 2 + 1))
     bitmaps = spark.sparkContext.broadcast(sketch_windows(keyed, window, bits))
-    buckets = bucket_count(spark, volume, BUCKET_BYTES)
-    marks = (repeats(candidates(keyed, window, bits, bitmaps, buckets), buckets)
-             .groupBy("key1", "key2").agg(F.collect_list("positions").alias("positions")))
+    buckets = bucket_count(volume, BUCKET_BYTES)
+    marks = repeats(candidates(keyed, window, bits, bitmaps, buckets), buckets)
     marked = rows.join(marks, ["key1", "key2"], "left").select("doc_id", "text", "positions")
 
     def run(batches):
@@ -223,9 +255,9 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
                     removed = 0
                     if found.is_valid:
                         steps = np.zeros(len(words) + 1, np.int64)
-                        starts = np.unique(np.concatenate([np.frombuffer(p.as_py(), np.uint32) for p in found.values]))
+                        starts = np.frombuffer(found.as_py(), np.uint32)
                         steps[starts] += 1
-                        np.add.at(steps, starts + window, -1)
+                        steps[starts + np.uint32(window)] -= 1
                         keep = np.cumsum(steps[:-1]) == 0
                         removed = len(words) - int(keep.sum())
                         kept.append(b" ".join(compress(words, keep)).decode())

@@ -138,3 +138,13 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterat
         upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
         yield batch.slice(at, upto - at)
         at = upto
+
+
+def pairs_index(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of an (n, 2) array, sorted, and each row's index among them."""
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    new = np.ones(len(order), bool)
+    new[1:] = (pairs[order][1:] != pairs[order][:-1]).any(1)
+    index = np.empty(len(order), np.int64)
+    index[order] = np.cumsum(new) - 1
+    return pairs[order][new], index
