@@ -13,6 +13,7 @@ import heapq
 import json
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -65,8 +66,9 @@ class WordBpe:
         self.final = [vocab[s + end] for s in symbols]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
-        self.strings = {i: s for s, i in chain(vocab.items(), self.added.items())}
-        self.known: dict[str, list[int]] = {}
+        named = {i: s for s, i in chain(vocab.items(), self.added.items())}
+        self.strings = [named.get(i) for i in range(max(named) + 1)]
+        self.known = KnownWords(self)
 
     def words(self, text: str) -> list[str]:
         """Pre-tokens of a normalised text."""
@@ -122,30 +124,43 @@ class WordBpe:
         return [p for p in parts if p >= 0]
 
     def word(self, word: str) -> list[int]:
-        ids = self.known.get(word)
-        if ids is None:
-            parts = self.symbols(word)
-            ids = self.scan(parts) if len(parts) <= SHORT else self.heap(parts)
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            if len(word) <= SHORT:
-                self.known[word] = ids
-        return ids
+        parts = self.symbols(word)
+        return self.scan(parts) if len(parts) <= SHORT else self.heap(parts)
 
-    def encode(self, text: str | None) -> list[int]:
-        """Ids of a text; strings of added tokens inside it are those tokens, as in the library's default."""
-        out: list[int] = []
+    def packed(self, text: str | None) -> bytes:
+        """Ids of a text as 32-bit integers; strings of added tokens inside it are those tokens, as in the library's default."""
+        out: list[bytes] = []
         for piece in self.cut(text or ""):
             if piece in self.added:
-                out.append(self.added[piece])
+                out.append(np.int32(self.added[piece]).tobytes())
             elif piece:
-                out.extend(chain.from_iterable(map(self.word, self.words(self.normalise(piece)))))
-        return out
+                out.append(b"".join(map(self.known.__getitem__, self.words(self.normalise(piece)))))
+        return b"".join(out)
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Token strings joined by spaces (the file has no decoder); unknown ids are skipped."""
-        strings = self.strings
-        return " ".join([strings[i] for i in ids if i in strings])
+        try:
+            return " ".join(map(self.strings.__getitem__, ids))
+        except (IndexError, TypeError):
+            return " ".join(self.strings[i] for i in ids if 0 <= i < len(self.strings) and self.strings[i] is not None)
+
+
+class KnownWords(dict):
+    """Packed ids of words met before, at most REMEMBERED of them."""
+
+    def __init__(self, model: WordBpe):
+        self.model = model
+
+    def __missing__(self, word: str) -> bytes:
+        ids = np.array(self.model.word(word), np.int32).tobytes()
+        if len(self) >= REMEMBERED:
+            self.clear()
+        if len(word) <= SHORT:
+            self[word] = ids
+        return ids
 
 
 def encode(df: DataFrame, text: str = "text", path: str | None = None, ids: str = "ids", decoded: str | None = None) -> DataFrame:
@@ -168,10 +183,12 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, ids: str
         for batch in batches:
             for at in range(0, batch.num_rows, 200):  # bounds the ids held as Python numbers
                 part = batch.slice(at, 200)
-                found = [model.encode(t.as_py()) for t in part.column(place)]
-                more = [pa.array(found, pa.list_(pa.int32()))]
+                found = [model.packed(t) for t in part.column(place).to_pylist()]
+                ends = np.cumsum([0, *(len(f) // 4 for f in found)]).astype(np.int32)
+                flat = np.frombuffer(b"".join(found), np.int32)
+                more = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
                 if decoded:
-                    more.append(pa.array([model.decode(f) for f in found], pa.string()))
+                    more.append(pa.array([model.decode(np.frombuffer(f, np.int32).tolist()) for f in found], pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], [*keep, *outputs])
 
     return rows.mapInArrow(run, schema)
@@ -186,7 +203,7 @@ def decode(df: DataFrame, ids: str = "ids", path: str | None = None, decoded: st
     def run(batches):
         model = WordBpe(path or model_path())
         for batch in batches:
-            texts = [model.decode(i.as_py() or []) for i in batch.column(place)]
+            texts = [model.decode(i or []) for i in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*keep, decoded])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(decoded, T.StringType())]))
