@@ -515,7 +515,8 @@ def stationarity(df: DataFrame, date_col: str, value_col: str, keys: list[str] |
 
 def statistics(df: DataFrame, target: str | None = None, date_col: str | None = None) -> dict[str, DataFrame]:
     """The suite as a dict of lazy tables, with the reference's input choices."""
-    from .roles import datetime_typed_columns, target_rank_map
+    from ..functions.columns import datetime_typed_columns
+    from .roles import target_rank_map
 
     out: dict[str, DataFrame] = {"descriptive": descriptive_stats(df), "normality": normality(df)}
     numeric = numeric_columns(df)
@@ -556,6 +557,8 @@ def notes(results: dict[str, DataFrame]) -> DataFrame:
         parts.append(results["regression"].where("ord = 0").select(
             F.lit("regression").alias("section"),
             F.format_string("%s modelled on the selected features, R2=%.3f.", "target", "r2").alias("line")))
+    if not parts:
+        raise ValueError("notes need at least one of t_test, anova, trend, regression")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -30,7 +30,7 @@ def analyze(df: DataFrame, query: str = "", source: str | None = None, keys: lis
             else:
                 out[name] = res
         except Exception as exc:  # noqa: BLE001 - one section must not stop the others
-            errors.append((name, str(exc)[:500]))
+            errors.append((name, str(exc)))
 
     section("intent", lambda: intent.primary_intent(q, "query"))
     section("tasks", lambda: intent.intent_tasks(q, "query"))

@@ -80,3 +80,13 @@ def test_seeded_sample_bounded(spark):
     df = spark.range(2000).select(F.col("id").cast("double").alias("v"))
     out = S.seeded_sample(df, ["v"], 500).toPandas()
     assert len(out) == 500 and out["v"].nunique() == 500
+
+
+def test_statistics_suite_runs_as_a_whole(spark):
+    import datetime as dt
+
+    rows = [(dt.datetime(2024, 1, 1) + dt.timedelta(days=i), f"g{i % 3}", float(i % 17), float(i * i % 23)) for i in range(60)]
+    df = spark.createDataFrame(rows, "day timestamp, grp string, x double, y double")
+    out = S.statistics(df)
+    assert {"descriptive", "normality", "t_test", "anova", "trend", "stationarity", "confidence_intervals"} <= set(out)
+    assert all(frame.count() > 0 for frame in out.values())
