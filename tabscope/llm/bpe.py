@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -23,11 +25,15 @@ from .store import plain
 
 MODEL = "word_bpe_49k.json"
 SHORT = 64
-REMEMBERED = 200_000  # words whose ids a task keeps
+REMEMBERED = 400_000  # words whose ids a Python worker keeps
 NONE = 1 << 30
 # Characters whose classes are the same in both regular expression libraries (the tests compare all code points);
 # texts with any other are split by the tokenizer file's own pre-tokenizer.
 OTHER = regex.compile("[^\\x00-\\u0557\\u1e00-\\u2064\\u20a0-\\u20bf\\u3041-\\u3096\\u4e00-\\u9fa5\\uac00-\\ud7a3]")
+# The split and lower case of texts of ASCII alone, for which composition (NFC) changes nothing; white space is never part of a word.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMAL = ["NFC", "Replace", "Lowercase"]
+ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r 0-9a-z]+").findall
 
 
 def byte_symbols() -> list[str]:
@@ -59,6 +65,7 @@ class WordBpe:
         library = Tokenizer.from_file(path)
         self.normalise, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.find = regex.compile(split["pattern"]["Regex"]).findall
+        self.plain_split = split["pattern"]["Regex"] == SPLIT and [n["type"] for n in spec["normalizer"]["normalizers"]] == NORMAL
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split
         symbols = byte_symbols()
@@ -71,7 +78,10 @@ class WordBpe:
         self.known = KnownWords(self)
 
     def words(self, text: str) -> list[str]:
-        """Pre-tokens of a normalised text."""
+        """Pre-tokens of a text."""
+        if self.plain_split and text.isascii():
+            return ASCII_WORDS(text.lower())
+        text = self.normalise(text)
         if OTHER.search(text):
             return [text[a:b] for _, (a, b) in self.split(text)]
         return self.find(text)
@@ -134,7 +144,7 @@ class WordBpe:
             if piece in self.added:
                 out.append(np.int32(self.added[piece]).tobytes())
             elif piece:
-                out.append(b"".join(map(self.known.__getitem__, self.words(self.normalise(piece)))))
+                out.append(b"".join(map(self.known.__getitem__, self.words(piece))))
         return b"".join(out)
 
     def encode(self, text: str | None) -> list[int]:
@@ -148,6 +158,12 @@ class WordBpe:
             return " ".join(self.strings[i] for i in ids if 0 <= i < len(self.strings) and self.strings[i] is not None)
 
 
+@lru_cache(maxsize=2)
+def loaded(path: str) -> WordBpe:
+    """The model of a file, read once by each Python worker; its tasks share the words they meet."""
+    return WordBpe(path)
+
+
 class KnownWords(dict):
     """Packed ids of words met before, at most REMEMBERED of them."""
 
@@ -179,7 +195,7 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, ids: str
     place = keep.index(text)
 
     def run(batches):
-        model = WordBpe(path or model_path())
+        model = loaded(path or model_path())
         for batch in batches:
             for at in range(0, batch.num_rows, 200):  # bounds the ids held as Python numbers
                 part = batch.slice(at, 200)
@@ -201,7 +217,7 @@ def decode(df: DataFrame, ids: str = "ids", path: str | None = None, decoded: st
     place = keep.index(ids)
 
     def run(batches):
-        model = WordBpe(path or model_path())
+        model = loaded(path or model_path())
         for batch in batches:
             texts = [model.decode(i or []) for i in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*keep, decoded])
