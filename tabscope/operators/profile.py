@@ -185,7 +185,7 @@ def pair_moments(df: DataFrame, columns: list[str], kind: str = "corr",
     the column means (one small aggregate, C numbers fetched), then sums of
     centred squares and cross-products (C + C(C-1)/2 one-slot sums, chunked
     under the codegen field limit). With missing values each pair is
-    restricted to the rows where both are present and uses ``covar_samp``.
+    restricted to the rows where both are present, all in one pass (``_gram_moments``).
     """
     from ..functions.aggregates import one_row_agg
 
@@ -227,30 +227,59 @@ def pair_moments(df: DataFrame, columns: list[str], kind: str = "corr",
             f"'n', CAST({n} AS BIGINT))"
             for i, a in enumerate(columns) for j, b in enumerate(columns))
         return stage.selectExpr(f"inline(array({structs}))")
-    specs = []
-    for i, a in enumerate(columns):
-        specs += [(f"s{i}", F.stddev_samp(vals[a]), 3), (f"v{i}", F.var_samp(vals[a]), 3),
-                  (f"n{i}_{i}", F.count(vals[a]), 1)]
-        for j in range(i + 1, k):
-            b = columns[j]
-            x, y = F.when(vals[b].isNotNull(), vals[a]), F.when(vals[a].isNotNull(), vals[b])
-            specs += [(f"c{i}_{j}", F.covar_samp(x, y), 4), (f"sx{i}_{j}", F.stddev_samp(x), 3),
-                      (f"sy{i}_{j}", F.stddev_samp(y), 3), (f"n{i}_{j}", F.count(y), 1)]
-    wide = one_row_agg(df, specs)
-    structs = []
-    for i, a in enumerate(columns):
-        for j, b in enumerate(columns):
-            lo, hi = min(i, j), max(i, j)
-            n = F.col(f"n{lo}_{hi}")
-            if i == j:
-                v = F.when(F.col(f"s{i}") > 0, F.lit(1.0)) if kind == "corr" else F.col(f"v{i}")
-            else:
-                sx, sy, cov = F.col(f"sx{lo}_{hi}"), F.col(f"sy{lo}_{hi}"), F.col(f"c{lo}_{hi}")
-                v = F.when((sx > 0) & (sy > 0), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.try_divide(cov, sx * sy)))) \
-                    if kind == "corr" else cov
-            structs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(i).alias("i"), F.lit(j).alias("j"),
-                                    v.alias("value"), n.cast("long").alias("n")))
-    return wide.select(F.inline(F.array(*structs)))
+    return _gram_moments(df.select(*[(vals[c] - F.lit(float(means[f"m{i}"] or 0.0))).alias(f"d{i}") for i, c in enumerate(columns)]),
+                         columns, kind)
+
+
+def _gram_moments(dev: DataFrame, columns: list[str], kind: str) -> DataFrame:
+    """(a, b, i, j, value, n) from one pass over deviations d0, d1, ... with missing values.
+
+    With the mask m (1 where present) and the deviation d (0 where missing), every pairwise-complete count, sum, sum of
+    squares and cross-product is a cell of the Gram matrix of [m, d, d * d]. Each task sends one row per cell; the cells
+    are summed by Spark, so the cost is one scan whatever the number of pairs.
+    """
+    k = len(columns)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        total = np.zeros((3 * k, 3 * k))
+        for batch in batches:
+            d = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1).astype(np.float64)
+            m = ~np.isnan(d)
+            d = np.where(m, d, 0.0)
+            u = np.hstack([m.astype(np.float64), d, d * d])
+            total += u.T @ u
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(9 * k * k, dtype=np.int32)), pa.array(total.ravel())], ["cell", "s"])
+
+    cells = dev.mapInArrow(run, "cell int, s double").groupBy("cell").agg(F.sum("s").alias("s"))
+    gram = cells.agg(F.map_from_entries(F.collect_list(F.struct("cell", "s"))).alias("g"))  # 9 * columns^2 cells
+
+    def cell(x, y):
+        return F.col("g")[x * F.lit(3 * k) + y]
+
+    names = F.array(*[F.lit(c) for c in columns])
+    at = F.explode(F.sequence(F.lit(0), F.lit(k * k - 1))).alias("p")
+    pairs = gram.select("g", at).select("g", F.floor(F.col("p") / k).cast("int").alias("i"), (F.col("p") % k).cast("int").alias("j"))
+    i, j = F.col("i"), F.col("j")
+    sums = pairs.select(
+        names[i].alias("a"), names[j].alias("b"), "i", "j", cell(i, j).alias("n"),
+        cell(i + k, j).alias("x"), cell(i, j + k).alias("y"), cell(i + 2 * k, j).alias("xx"), cell(i, j + 2 * k).alias("yy"),
+        cell(i + k, j + k).alias("xy"))
+
+    def centred(cross, one, two):
+        return F.col(cross) - F.try_divide(F.col(one) * F.col(two), F.col("n"))
+
+    cxx, cyy, cxy = centred("xx", "x", "x"), centred("yy", "y", "y"), centred("xy", "x", "y")
+    if kind == "corr":
+        # sums of squares below rounding error of their terms belong to constant columns
+        varies = (cxx > F.col("xx") * 1e-14) & (cyy > F.col("yy") * 1e-14) & (F.col("n") > 1)
+        r = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.try_divide(cxy, F.sqrt(cxx) * F.sqrt(cyy))))
+        value = F.when(varies, F.when(i == j, F.lit(1.0)).otherwise(r))
+    else:
+        value = F.when(F.col("n") > 1, F.try_divide(cxy, F.col("n") - 1))
+    return sums.select("a", "b", "i", "j", value.alias("value"), F.col("n").cast("long").alias("n"))
 
 
 def pearson(df: DataFrame, columns: list[str] | None = None, digits: int | None = None,

@@ -49,23 +49,22 @@ def _parse_any(c, fmt: str):
     return F.try_to_timestamp(c, F.lit(fmt))
 
 
-def datetime_formats(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
+def datetime_formats(df: DataFrame) -> DataFrame:
     """(column_name, format, share) for every string column and format.
 
-    One aggregate over the whole column (or the first ``sample_rows`` rows when
-    given): share of non-null values that parse with the format.
+    One aggregate over the whole column: share of non-null values that parse
+    with the format; text without a digit at either end is not tried.
     """
     cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not cols:
         return df.sparkSession.createDataFrame([], "column_name string, format string, share double")
     src = df.select(*[col(c) for c in cols])
-    if sample_rows:
-        src = src.limit(sample_rows)
     specs = []
     for c in cols:
         nn = F.count(col(c))
+        dated = F.length(col(c)).between(8, 32) & col(c).rlike(r"^\s*\d.*\d\s*$")
         for i, fmt in enumerate(DATE_FORMATS):
-            parsed = F.count(F.when(col(c).isNotNull() & _parse_any(col(c), fmt).isNotNull(), 1))
+            parsed = F.count(F.when(F.when(dated, _parse_any(col(c), fmt)).isNotNull(), 1))
             specs.append((c, fmt, i, F.try_divide(parsed.cast("double"), nn.cast("double"))))
     agg = src.agg(*[e.alias(f"s{j}") for j, (_, _, _, e) in enumerate(specs)])
     rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(fmt).alias("format"),
@@ -74,7 +73,7 @@ def datetime_formats(df: DataFrame, sample_rows: int | None = None) -> DataFrame
     return agg.select(F.inline(rows))
 
 
-def datetime_columns(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
+def datetime_columns(df: DataFrame) -> DataFrame:
     """(column_name, ordinal, source, format): typed date columns and parseable text columns."""
     spark = df.sparkSession
     typed = [(f.name, i, "typed", None) for i, f in enumerate(df.schema.fields)
@@ -82,7 +81,7 @@ def datetime_columns(df: DataFrame, sample_rows: int | None = None) -> DataFrame
     typed_df = spark.createDataFrame(typed, "column_name string, ordinal int, source string, format string")
     ordinals = spark.createDataFrame([(f.name, i) for i, f in enumerate(df.schema.fields)],
                                      "column_name string, ordinal int")
-    shares = datetime_formats(df, sample_rows).where(F.col("share") >= DATETIME_SHARE)
+    shares = datetime_formats(df).where(F.col("share") >= DATETIME_SHARE)
     best = shares.groupBy("column_name").agg(
         F.min_by("format", F.struct(-F.col("share"), F.col("fmt_order"))).alias("format"))
     text = best.join(F.broadcast(ordinals), "column_name").select(
@@ -91,11 +90,13 @@ def datetime_columns(df: DataFrame, sample_rows: int | None = None) -> DataFrame
 
 
 def coerce_datetimes(df: DataFrame, formats: dict[str, str]) -> DataFrame:
-    """Parse the given text columns (name -> format); unparseable values become NULL."""
+    """Parse the given text columns (name -> likely format); a value of another known format is read by that one,
+    in the order of ``DATE_FORMATS``; only values that fit none become NULL."""
     out = []
     for f in df.schema.fields:
         if f.name in formats:
-            out.append(_parse_any(col(f.name), formats[f.name]).alias(f.name))
+            order = [formats[f.name], *[x for x in DATE_FORMATS if x != formats[f.name]]]
+            out.append(F.coalesce(*[_parse_any(col(f.name), x) for x in order]).alias(f.name))
         else:
             out.append(col(f.name))
     return df.select(*out)
@@ -147,13 +148,17 @@ def id_columns(df: DataFrame) -> DataFrame:
     return roles(df).where("is_id").select("column_name", "ordinal", "n_distinct", "distinct_ratio")
 
 
-def target_rank_map(df: DataFrame, limit: int = 10) -> dict[str, int]:
-    """Keyword-named columns first, then remaining numerics; at most ``limit``."""
-    names = [c for c in df.columns if _name_has_any(c, TARGET_KEYWORDS)]
-    for c in numeric_columns(df):
-        if c not in names:
-            names.append(c)
-    return {c: i + 1 for i, c in enumerate(names[:limit])}
+def _ranked(names: list[str], rules: list) -> list[str]:
+    """Names ordered by (number of the first rule that holds, position); names that no rule holds for are left out."""
+    classed = [(next((n for n, holds in enumerate(rules) if holds(c)), None), i, c) for i, c in enumerate(names)]
+    return [c for n, _, c in sorted((x for x in classed if x[0] is not None), key=lambda x: x[:2])]
+
+
+def target_rank_map(df: DataFrame, limit: int | None = 10) -> dict[str, int]:
+    """Rank of each target candidate: keyword-named columns, then numerics; at most ``limit`` (None: all)."""
+    numeric = set(numeric_columns(df))
+    order = _ranked(df.columns, [lambda c: _name_has_any(c, TARGET_KEYWORDS), numeric.__contains__])
+    return dict(zip(order[:limit], range(1, len(order) + 1)))
 
 
 def target_candidates(df: DataFrame, limit: int = 10) -> DataFrame:
@@ -163,22 +168,27 @@ def target_candidates(df: DataFrame, limit: int = 10) -> DataFrame:
         "column_name string, target_rank int")
 
 
+def _id_like(name: str) -> bool:
+    low = name.strip().lower()
+    return low in ID_LIKE_NAMES or low.endswith("id")
+
+
+# The value column of a series: the first column of the first class that has any.
+VALUE_RULES = [lambda c: _name_has_any(c.strip(), VALUE_KEYWORDS), lambda c: not _id_like(c), lambda c: True]
+# The factors of the derived revenue by name.
+REVENUE_FACTORS = [QUANTITY_NAMES, PRICE_NAMES]
+
+
 def resolve_value_column(numeric_cols: list[str]) -> str | None:
-    """Value column for a series: keyword name, else first non-id-like, else first."""
-    if not numeric_cols:
-        return None
-    for c in numeric_cols:
-        if _name_has_any(c.strip(), VALUE_KEYWORDS):
-            return c
-    non_id = [c for c in numeric_cols
-              if not (c.strip().lower() in ID_LIKE_NAMES or c.strip().lower().endswith(("_id", "id")))]
-    return (non_id or numeric_cols)[0]
-
-
-def find_revenue_inputs(df: DataFrame) -> tuple[str | None, str | None]:
-    qty = next((c for c in df.columns if c.strip().lower() in QUANTITY_NAMES), None)
-    price = next((c for c in df.columns if c.strip().lower() in PRICE_NAMES), None)
-    return qty, price
+    """Value column for a series: the best-classed numeric by ``VALUE_RULES``, None without numerics."""
+    return (_ranked(numeric_cols, VALUE_RULES) or [None])[0]
+
+
+def find_revenue_inputs(df: DataFrame) -> list[str | None]:
+    """The column of each factor in ``REVENUE_FACTORS``, None where the table has none."""
+    by_name = {c.strip().lower(): c for c in reversed(df.columns)}
+    present = [sorted((by_name[n] for n in names if n in by_name), key=df.columns.index) for names in REVENUE_FACTORS]
+    return [(p or [None])[0] for p in present]
 
 
 def with_revenue(df: DataFrame) -> tuple[DataFrame, str | None]:

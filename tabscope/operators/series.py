@@ -148,14 +148,22 @@ def time_series(df: DataFrame, date_col: str | None = None, value_col: str | Non
 
 def series_status(df: DataFrame, date_col: str, value_col: str, keys: list[str] | None = None,
                   min_points: int = MIN_POINTS) -> DataFrame:
-    """(keys..., n_raw, available, reason) — which keys can be forecast and why not."""
+    """(keys..., n_raw, available, reason) - which keys can be forecast and why not.
+
+    A key needs ``min_points`` raw rows and as many buckets of its detected frequency between its first and last date.
+    """
     keys = keys or []
     raw = df.select(*[col(k) for k in keys], col(date_col).alias("t"), num(df, value_col).alias("v")).na.drop(
         subset=["t", "v"])
-    sizes = raw.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_raw"))
-    ok = F.col("n_raw") >= min_points
-    return sizes.select(*keys, "n_raw", ok.alias("available"),
-                        F.when(ok, F.lit(None).cast("string")).otherwise(F.lit("fewer than 12 points")).alias("reason"))
+    sizes = raw.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_raw"), F.min("t").alias("t0"), F.max("t").alias("t1"))
+    unit = detect_frequency(raw, "t", keys).select(*keys, "unit")
+    j = sizes.join(unit, keys, "left") if keys else sizes.crossJoin(F.broadcast(unit))
+    a, b, u = bucket_of(F.col("t0"), F.col("unit")), bucket_of(F.col("t1"), F.col("unit")), F.col("unit")
+    days, months = F.datediff(b, a), F.timestamp_diff("MONTH", a, b)
+    n_buckets = F.when(u == "W", days / 7).when(u == "MS", months).when(u == "YS", months / 12).otherwise(days) + 1
+    few_rows, few_buckets = F.col("n_raw") < min_points, F.coalesce(n_buckets, F.lit(0)) < min_points
+    reason = F.when(few_rows, F.lit(f"fewer than {min_points} points")).when(few_buckets, F.lit(f"fewer than {min_points} buckets"))
+    return j.select(*keys, "n_raw", (~few_rows & ~few_buckets).alias("available"), reason.alias("reason"))
 
 
 def with_index(series: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -295,40 +295,25 @@ def _positions(df: DataFrame, date_col: str, value_col: str, keys: list[str]) ->
     return prefix_sum(runs, keys, ["d", "y"], "cnt", "start")
 
 
-def trend(df: DataFrame, date_col: str, value_col: str, keys: list[str] | None = None,
-          max_points: int = MAX_TREND_POINTS, min_points: int = 10) -> DataFrame:
-    """T10 + T12: linear trend of value on position in date order, per key.
+def trend(df: DataFrame, date_col: str, value_col: str, keys: list[str] | None = None, min_points: int = 10) -> DataFrame:
+    """Linear trend of value on position in date order over all points, per key.
 
-    Series longer than ``max_points`` keep every (n // max_points)-th point
-    (systematic downsample). The regression sums over the kept positions are
-    closed-form per run, so no row is ordered individually.
+    Positions 0..n-1 have a closed-form mean and spread, and a run of equal (date, value) rows its mean position, so no
+    row is ordered individually. Sums are centred and in DOUBLE. (``downsampled_series`` thins a series where wanted.)
     (keys..., n, slope, intercept, r, statistic, p_value, direction).
     """
     keys = keys or []
     pos = _positions(df, date_col, value_col, keys)
-    sizes = pos.groupBy(*keys).agg(F.sum("cnt").alias("n_all"))
-    step = F.when(F.col("n_all") > max_points, F.floor(F.col("n_all") / max_points)).otherwise(F.lit(1)).cast("long")
+    sizes = pos.groupBy(*keys).agg(F.sum("cnt").cast("double").alias("nd"), F.try_divide(F.sum(F.col("cnt") * F.col("y")), F.sum("cnt")).alias("my"))
     j = pos.join(sizes, keys, "inner") if keys else pos.crossJoin(F.broadcast(sizes))
-    j = j.withColumn("step", step)
-    first = F.ceil(F.col("start") / F.col("step")).cast("long")  # first kept j (x = p / step)
-    last = F.floor((F.col("start") + F.col("cnt") - 1) / F.col("step")).cast("long")
-    j = j.withColumn("j0", first).withColumn("j1", last).withColumn(
-        "k", F.greatest(F.col("j1") - F.col("j0") + 1, F.lit(0)))
-    sx = (F.col("j0") + F.col("j1")) * F.col("k") / 2.0
-    sxx = (F.col("j1") * (F.col("j1") + 1) * (2 * F.col("j1") + 1)
-           - (F.col("j0") - 1) * F.col("j0") * (2 * F.col("j0") - 1)) / 6.0
-    agg = j.where(F.col("k") > 0).groupBy(*keys).agg(
-        F.sum("k").alias("n"), F.sum(sx).alias("sx"), F.sum(sxx).alias("sxx"),
-        F.sum(F.col("k") * F.col("y")).alias("sy"), F.sum(F.col("k") * F.col("y") * F.col("y")).alias("syy"),
-        F.sum(sx * F.col("y")).alias("sxy"))
-    n = F.col("n")
-    cxx = F.col("sxx") - F.col("sx") * F.col("sx") / n
-    cyy = F.col("syy") - F.col("sy") * F.col("sy") / n
-    cxy = F.col("sxy") - F.col("sx") * F.col("sy") / n
-    slope = F.try_divide(cxy, cxx)
-    r = F.when(cyy > 0, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.try_divide(cxy, F.sqrt(cxx * cyy)))))
-    out = agg.where(n >= min_points).select(
-        *keys, "n", slope.alias("slope"), (F.col("sy") / n - slope * F.col("sx") / n).alias("intercept"), r.alias("r"))
+    cnt, dy = F.col("cnt").cast("double"), F.col("y") - F.col("my")
+    dx = F.col("start").cast("double") + (cnt - 1) / 2 - (F.col("nd") - 1) / 2
+    agg = j.groupBy(*keys, "nd", "my").agg(F.sum(cnt * dx * dy).alias("cxy"), F.sum(cnt * dy * dy).alias("cyy"))
+    nd, cxx = F.col("nd"), F.col("nd") * (F.col("nd") * F.col("nd") - 1) / 12
+    slope = F.try_divide(F.col("cxy"), cxx)
+    r = F.when(F.col("cyy") > 0, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.try_divide(F.col("cxy"), F.sqrt(cxx) * F.sqrt("cyy")))))
+    out = agg.where(nd >= min_points).select(*keys, nd.cast("long").alias("n"), slope.alias("slope"),
+                                             (F.col("my") - slope * (nd - 1) / 2).alias("intercept"), r.alias("r"))
     tstat = F.try_divide(F.col("r") * F.sqrt(F.col("n") - 2), F.sqrt(F.greatest(1 - F.col("r") * F.col("r"), F.lit(0.0))))
     out = out.withColumn("statistic", tstat).withColumn(
         "p_value", F.when(F.abs(F.col("r")) >= 1.0, F.lit(0.0)).otherwise(dist.t_pvalue(F.col("statistic"), F.col("n") - 2)))
@@ -408,21 +393,29 @@ def shapiro_wilk(x: np.ndarray) -> tuple[float, float]:
 
 
 def seeded_sample(df: DataFrame, columns: list[str], n: int = 500, seed: int = 42) -> DataFrame:
-    """(column_name, v) — up to n non-missing values per column, chosen by a seeded hash.
+    """(column_name, v) - n non-missing values per column (all, if fewer), each row with the same chance.
 
-    ``row_number() <= n`` over the hash order is planned as a WindowGroupLimit:
-    each task keeps n rows per column before the shuffle.
+    Values are counted and put in the order of a seeded hash; of the N rows in that order, those at positions
+    floor(i * N / n) are taken. Equal rows are interchangeable, so the sample depends on the values alone, not on their
+    partitions, and a value held by a third of the rows costs one row per map task.
     """
     from .quantiles import long_values
 
-    lv = long_values(df, columns).withColumn("_rid", F.monotonically_increasing_id())
-    h = F.xxhash64(F.lit(seed), F.col("column_name"), F.col("v"), F.col("_rid"))
-    w = Window.partitionBy("column_name").orderBy(h)
-    return lv.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).select("column_name", "v")
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("column_name"), F.col("v").cast("string")))
+    counts = long_values(df, columns).groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("cnt")).withColumn("h", key)
+    placed = prefix_sum(counts, ["column_name"], ["h", "v"], "cnt", "start")
+    sizes = counts.groupBy("column_name").agg(F.sum("cnt").alias("total"))  # one row per column
+    j = placed.join(F.broadcast(sizes), "column_name")
+
+    def taken_before(p):
+        return F.expr(f"CASE WHEN total <= {n} THEN {p} ELSE ({p} * {n} + total - 1) DIV total END")
+
+    copies = (taken_before("(start + cnt)") - taken_before("start")).cast("int")
+    return j.where(copies > 0).select("column_name", F.explode(F.array_repeat("v", copies)).alias("v"))
 
 
-def normality(df: DataFrame, max_cols: int = 8, sample: int = 500, seed: int = 42, min_n: int = 8) -> DataFrame:
-    """Shapiro-Wilk on a seeded sample of <= 500 values for the first ``max_cols`` numerics.
+def normality(df: DataFrame, max_cols: int | None = None, sample: int = 500, seed: int = 42, min_n: int = 8) -> DataFrame:
+    """Shapiro-Wilk on a seeded sample of <= 500 values for every numeric column (or the first ``max_cols``).
 
     (column_name, n, statistic, p_value, is_normal, skipped).
     """
@@ -557,8 +550,20 @@ def notes(results: dict[str, DataFrame]) -> DataFrame:
         parts.append(results["regression"].where("ord = 0").select(
             F.lit("regression").alias("section"),
             F.format_string("%s modelled on the selected features, R2=%.3f.", "target", "r2").alias("line")))
+    if "descriptive" in results:
+        parts.append(results["descriptive"].where(F.abs("skew") > 1).select(
+            F.lit("descriptive").alias("section"), F.format_string("%s is skewed (%.2f).", "column_name", "skew").alias("line")))
+    if "pearson" in results:
+        parts.append(results["pearson"].where((F.col("i") < F.col("j")) & (F.abs("r") >= 0.7)).select(
+            F.lit("correlation").alias("section"), F.format_string("%s and %s move together (r=%.2f).", "a", "b", "r").alias("line")))
+    if "normality" in results:
+        parts.append(results["normality"].where(~F.col("is_normal")).select(
+            F.lit("normality").alias("section"), F.format_string("%s departs from a normal distribution.", "column_name").alias("line")))
+    if "stationarity" in results:
+        parts.append(results["stationarity"].select(F.lit("stationarity").alias("section"), F.when(
+            F.col("is_stationary"), F.lit("The series looks stationary.")).otherwise(F.lit("The series may not be stationary.")).alias("line")))
     if not parts:
-        raise ValueError("notes need at least one of t_test, anova, trend, regression")
+        raise ValueError("notes need at least one section of the suite")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

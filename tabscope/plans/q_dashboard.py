@@ -180,7 +180,7 @@ def _intent_sql_hits(kws, pats):
     return " + ".join(terms)
 
 
-_USER = "(SELECT conv_id, turn, text FROM conversations WHERE role = 'user')"
+_USER = "(SELECT conv_id, turn, text FROM conversations)"
 _INTENT_ROWS = union_all([
     f"SELECT conv_id, turn, text AS query, '{name}' AS intent, {i} AS intent_ord, {_intent_sql_hits(k, p)} AS hits FROM {_USER} u"
     for i, (name, k, p, _) in enumerate(I.INTENTS)])
@@ -189,7 +189,7 @@ _INTENT_ROWS = union_all([
 @register("intent_scores", f"""WITH s AS ({_INTENT_ROWS})
 SELECT conv_id, turn, query, intent, intent_ord, hits, least(1.0, 0.35 + 0.2 * hits) AS score FROM s WHERE hits > 0""")
 def q_intent_scores(spark, sf):
-    c = T_(spark, sf, "conversations").where(F.col("role") == "user")
+    c = T_(spark, sf, "conversations")
     return I.intent_scores(c, "text", ["conv_id", "turn"])
 
 
@@ -201,7 +201,7 @@ SELECT u.conv_id, u.turn, u.text AS query,
   CASE WHEN length(trim(coalesce(u.text, ''))) = 0 THEN 0.5 WHEN b.intent IS NULL THEN 0.4 ELSE b.score END AS confidence
 FROM {_USER} u LEFT JOIN b USING (conv_id, turn)""")
 def q_primary_intent(spark, sf):
-    c = T_(spark, sf, "conversations").where(F.col("role") == "user")
+    c = T_(spark, sf, "conversations")
     return I.primary_intent(c, "text", ["conv_id", "turn"]).drop("matched")
 
 
@@ -227,7 +227,7 @@ SELECT conv_id, turn, query, CAST(row_number() OVER (PARTITION BY conv_id, turn
        task_id, title, agent
 FROM f WHERE first_seen = 1""")
 def q_intent_tasks(spark, sf):
-    c = T_(spark, sf, "conversations").where(F.col("role") == "user")
+    c = T_(spark, sf, "conversations")
     return I.intent_tasks(c, "text", ["conv_id", "turn"]).withColumn("task_rank", F.col("task_rank").cast("int"))
 
 

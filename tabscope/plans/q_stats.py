@@ -63,8 +63,7 @@ FROM m WHERE n_a >= 6 AND n_b >= 6"""
 @register("welch_t", _WELCH)
 def q_welch_t(spark, sf):
     out = S.welch_t(T_(spark, sf, "lineitem"))
-    return rounded(out.select("a", "b", "n_a", "n_b", "mean_a", "mean_b", "statistic"), 6).join(
-        out.select(F.round("df", 4).alias("df")))
+    return out.select("a", "b", "n_a", "n_b", *[F.round(c, 6).alias(c) for c in ("mean_a", "mean_b", "statistic")], F.round("df", 4).alias("df"))
 
 
 @register("welch_t_test")
@@ -114,9 +113,7 @@ def q_confidence_intervals(spark, sf):
 _TREND = """
 WITH s AS (SELECT o_orderdate AS d, CAST(o_totalprice AS DOUBLE) AS y FROM orders
            WHERE o_orderdate IS NOT NULL AND o_totalprice IS NOT NULL),
-p AS (SELECT d, y, row_number() OVER (ORDER BY d, y) - 1 AS p, count(*) OVER () AS n_all FROM s),
-k AS (SELECT y, CAST(p / CASE WHEN n_all > 5000 THEN n_all // 5000 ELSE 1 END AS DOUBLE) AS x FROM p
-      WHERE p % (CASE WHEN n_all > 5000 THEN n_all // 5000 ELSE 1 END) = 0)
+k AS (SELECT y, CAST(row_number() OVER (ORDER BY d, y) - 1 AS DOUBLE) AS x FROM s)
 SELECT CAST(count(*) AS BIGINT) AS n, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 4) AS intercept,
        round(corr(y, x), 6) AS r, CASE WHEN regr_slope(y, x) > 0 THEN 'up' WHEN regr_slope(y, x) < 0 THEN 'down'
        ELSE 'flat' END AS direction
@@ -154,7 +151,10 @@ def q_stat_notes(spark, sf):
     return S.notes(res)
 
 
-@register("seeded_sample")
+@register("seeded_sample", union_all([f"""SELECT '{c}' AS column_name, v FROM (
+  SELECT v, row_number() OVER (ORDER BY md5('42|{c}|' || CAST(v AS VARCHAR)), v) - 1 AS p, count(*) OVER () AS total
+  FROM (SELECT CAST({c} AS DOUBLE) AS v FROM lineitem) WHERE v IS NOT NULL)
+WHERE total <= 500 OR p IN (SELECT (i * total) // 500 FROM range(500) r(i))""" for c in LINEITEM_NUM]))
 def q_seeded_sample(spark, sf):
-    """Up to 500 values per numeric column chosen by a seeded hash (a sampling operator)."""
-    return S.seeded_sample(T_(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
+    """500 values per numeric column, placed by a seeded hash (a sampling operator)."""
+    return S.seeded_sample(T_(spark, sf, "lineitem"), LINEITEM_NUM)
