@@ -1,98 +1,100 @@
 """Delimited text with encoding and delimiter detection.
 
-Detection reads a bounded head sample of the first file (``limit`` on the
-line reader), decides encoding and delimiter on the driver from those few
-lines, then the whole input is read by one distributed CSV scan.
+Every file is judged by all its bytes: one distributed pass over the lines counts, by file, lines that are not UTF-8,
+lines with bytes of Turkish letters, and the field counts under each candidate delimiter. The result has one row per
+file. Files of equal encoding and delimiter are read by one CSV scan, the scans are united by column name.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Candidate delimiters in the reference's order, and the
-# encodings considered (Turkish code pages before Latin-1).
+# Candidate delimiters in the reference's order.
 DELIMITERS = [",", ";", "|", "\t"]
-SINGLE_COLUMN_REJECTED = [",", ";", "|"]
-ENCODINGS = ["UTF-8", "windows-1254", "ISO-8859-9", "ISO-8859-1"]
-TURKISH_LETTERS = "ğĞşŞıİ"
-SAMPLE_LINES = 200
-
-
-def _head(spark: SparkSession, paths: list[str], encoding: str, n: int = SAMPLE_LINES) -> list[str]:
-    if encoding not in ("UTF-8", "utf-8"):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    lines = (spark.read.option("encoding", encoding).option("sep", "\u0001").option("quote", "\u0000")
-             .option("header", "false").csv(paths[0]).limit(n).collect())
-    return [r[0] or "" for r in lines]
-
-
-def _field_counts(lines: list[str], sep: str) -> Counter:
-    out: Counter = Counter()
-    for ln in lines:
-        if ln.strip():
-            out[ln.count(sep) + 1] += 1
-    return out
-
-
-def detect_delimiter(lines: list[str], tsv: bool = False) -> str:
-    """First delimiter (tab first for .tsv) whose modal field count is > 1 on >= 80% of lines."""
-    order = (["\t"] if tsv else []) + DELIMITERS
-    for sep in order:
-        counts = _field_counts(lines, sep)
-        if not counts:
-            continue
-        fields, hits = counts.most_common(1)[0]
-        if fields > 1 and hits >= 0.8 * sum(counts.values()):
-            return sep
-    return "\t" if tsv else ","
-
-
-def detect_encoding(spark: SparkSession, paths: list[str]) -> str:
-    """UTF-8 when the head decodes cleanly; else the Turkish code page if it yields Turkish
-    letters, else Latin-1."""
-    utf = _head(spark, paths, "UTF-8")
-    if not any("�" in ln for ln in utf):
-        return "UTF-8"
-    tr = _head(spark, paths, "windows-1254")
-    if sum(ch in TURKISH_LETTERS for ln in tr for ch in ln) > 0:
-        return "windows-1254"
-    return "ISO-8859-1"
+# Bytes of the Turkish letters in windows-1254, as Latin-1 shows them.
+TURKISH_BYTES = "\u00d0\u00dd\u00de\u00f0\u00fd\u00fe"
+DELIMITER_SHARE = 0.8
+UTF8 = ("UTF-8", "utf-8")
+
+
+def detect_files(spark: SparkSession, paths: str | list[str], tsv: bool = False) -> DataFrame:
+    """(file, encoding, delimiter): one row per file with any line that is not blank, judged by all its lines.
+
+    UTF-8 if every line is; else the Turkish code page if a line holds a byte of a Turkish letter, else Latin-1. The
+    delimiter is the first (tab first for ``tsv``) whose most frequent field count is above 1 and holds for at least
+    80 % of the lines; without any, the first of that order.
+    """
+    order = list(dict.fromkeys((["\t"] if tsv else []) + DELIMITERS))
+    latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("utf8"), latin.alias("line")).where(F.trim("line") != "")
+    widths = F.array(*[F.struct(F.lit(n).alias("place"), (F.length("line") - F.length(F.replace("line", F.lit(sep))) + 1).alias("fields"))
+                       for n, sep in enumerate(order)])
+    counts = lines.select("file", "utf8", F.col("line").rlike(f"[{TURKISH_BYTES}]").alias("turkish"), F.inline(widths)).groupBy(
+        "file", "place", "fields").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("utf8")).alias("bad"),
+                                       F.count_if(F.col("turkish")).alias("turkish"))
+    # per file and delimiter: all lines, and the most frequent field count
+    by_place = counts.groupBy("file", "place").agg(
+        F.sum("n").alias("lines"), F.max("n").alias("most"), F.max_by("fields", F.struct("n", "fields")).alias("fields"),
+        F.sum("bad").alias("bad"), F.sum("turkish").alias("turkish"))
+    fits = (F.col("fields") > 1) & (F.col("most") >= DELIMITER_SHARE * F.col("lines"))
+    files = by_place.groupBy("file").agg(F.coalesce(F.min(F.when(fits, F.col("place"))), F.lit(0)).alias("place"),
+                                         F.max("bad").alias("bad"), F.max("turkish").alias("turkish"))
+    encoding = F.when(F.col("bad") == 0, "UTF-8").when(F.col("turkish") > 0, "windows-1254").otherwise("ISO-8859-1")
+    return files.select("file", encoding.alias("encoding"), F.array(*[F.lit(x) for x in order])[F.col("place")].alias("delimiter"))
+
+
+def _formats(spark: SparkSession, paths: list[str], encoding: str | None, delimiter: str | None, tsv: bool) -> list[tuple]:
+    """[(encoding, delimiter, files)]: one entry per format, so the driver holds file names only."""
+    if encoding and delimiter:
+        return [(encoding, delimiter, paths)]
+    found = detect_files(spark, paths, tsv)
+    rows = (found.withColumn("encoding", F.lit(encoding) if encoding else F.col("encoding"))
+            .withColumn("delimiter", F.lit(delimiter) if delimiter else F.col("delimiter"))
+            .groupBy("encoding", "delimiter").agg(F.sort_array(F.collect_list("file")).alias("files"))
+            .orderBy(F.size("files").desc(), "encoding", "delimiter").collect())
+    default = (encoding or "UTF-8", delimiter or ("\t" if tsv else ","), paths)
+    return [(r["encoding"], r["delimiter"], r["files"]) for r in rows] or [default]
 
 
 def detect_csv(spark: SparkSession, paths: str | list[str], encoding: str | None = None,
                delimiter: str | None = None, tsv: bool = False) -> dict:
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    enc = encoding or detect_encoding(spark, paths)
-    sep = delimiter or detect_delimiter(_head(spark, paths, enc), tsv)
+    """Encoding and delimiter of most files (``detect_files`` has those of each)."""
+    enc, sep, _ = _formats(spark, [paths] if isinstance(paths, str) else list(paths), encoding, delimiter, tsv)[0]
     return {"encoding": enc, "delimiter": sep}
 
 
 def read_delimited(spark: SparkSession, paths: str | list[str], encoding: str | None = None,
                    delimiter: str | None = None, tsv: bool = False, header: bool = True,
                    infer_schema: bool = True, schema=None) -> DataFrame:
-    """Detect, then one distributed CSV scan; a BOM is dropped from the first header."""
+    """Detect by file, one CSV scan per format, united by column name; a BOM is dropped from the first header."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    meta = detect_csv(spark, paths, encoding, delimiter, tsv)
-    if meta["encoding"] not in ("UTF-8", "utf-8"):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    reader = (spark.read.option("encoding", meta["encoding"]).option("sep", meta["delimiter"])
-              .option("header", str(header).lower()).option("multiLine", "false"))
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", str(infer_schema).lower())
-    df = reader.csv(paths)
-    first = df.columns[0] if df.columns else None
-    if first and first.startswith("﻿"):
-        df = df.withColumnRenamed(first, first.lstrip("﻿"))
-    return df
+    out = None
+    for enc, sep, files in _formats(spark, paths, encoding, delimiter, tsv):
+        if enc not in UTF8:
+            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+        reader = (spark.read.option("encoding", enc).option("sep", sep)
+                  .option("header", str(header).lower()).option("multiLine", "false"))
+        reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", str(infer_schema).lower())
+        df = reader.csv(files)
+        first = df.columns[0] if df.columns else None
+        if first and first.startswith("\ufeff"):
+            df = df.withColumnRenamed(first, first.lstrip("\ufeff"))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
 
 
 def delimited_meta(spark: SparkSession, paths: str | list[str], **kw) -> DataFrame:
-    """S5 for text files: (encoding, delimiter, file_name, rows, columns)."""
+    """S5 for text files: (encoding, delimiter, file_name, rows, columns), formats as detected by file."""
     from .tables import load_meta
 
-    meta = detect_csv(spark, paths, kw.get("encoding"), kw.get("delimiter"), kw.get("tsv", False))
-    df = read_delimited(spark, paths, **kw)
-    return load_meta(df).select(F.lit(meta["encoding"]).alias("encoding"),
-                                F.lit(meta["delimiter"]).alias("delimiter"), "*")
+    metas = []
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    for enc, sep, files in _formats(spark, paths, kw.get("encoding"), kw.get("delimiter"), kw.get("tsv", False)):
+        df = read_delimited(spark, files, **{**kw, "encoding": enc, "delimiter": sep})
+        metas.append(load_meta(df).select(F.lit(enc).alias("encoding"), F.lit(sep).alias("delimiter"), "*"))
+    out = metas[0]
+    for m in metas[1:]:
+        out = out.unionByName(m)
+    return out

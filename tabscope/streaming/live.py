@@ -8,12 +8,10 @@ on a stream the same KPI and bar aggregates are maintained incrementally.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, num, numeric_columns
+from ..functions.columns import num, numeric_columns
 
 
 def running_kpis(stream: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -24,32 +22,3 @@ def running_kpis(stream: DataFrame, columns: list[str] | None = None) -> DataFra
     for c in columns:
         aggs += [F.sum(num(stream, c)).alias(f"sum_{c}"), F.avg(num(stream, c)).alias(f"mean_{c}")]
     return stream.agg(*aggs)
-
-
-def running_bar(stream: DataFrame, x: str, y: str) -> DataFrame:
-    """D9 on a stream: group sums per category, maintained in the state store (top-k applied by the reader)."""
-    return stream.groupBy(col(x).alias(x)).agg(F.sum(num(stream, y)).alias(y), F.count(F.lit(1)).alias("rows"))
-
-
-def windowed_series(stream: DataFrame, ts: str, value: str, every: str = "1 day", watermark: str = "1 day",
-                    keys: list[str] | None = None) -> DataFrame:
-    """F2 on a stream: sums per event-time window (and key); late rows up to ``watermark`` are merged,
-    closed windows are emitted once in ``append`` mode."""
-    keys = keys or []
-    return (stream.withWatermark(ts, watermark)
-            .groupBy(F.window(col(ts), every).alias("window"), *[col(k) for k in keys])
-            .agg(F.sum(num(stream, value)).alias("value"), F.count(F.lit(1)).alias("rows"))
-            .select(F.col("window.start").alias("bucket"), *keys, "value", "rows"))
-
-
-def for_each_batch(stream: DataFrame, operator: Callable[[DataFrame], DataFrame], sink: str,
-                   checkpoint: str, fmt: str = "parquet", trigger_once: bool = True):
-    """Apply any batch operator of the library to each micro-batch and append its result to
-    ``sink``; the checkpoint folder (shared storage) makes restarts exactly-once per batch."""
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        operator(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("append").format(fmt).save(sink)
-
-    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-    writer = writer.trigger(availableNow=True) if trigger_once else writer
-    return writer.start()

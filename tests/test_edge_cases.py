@@ -5,7 +5,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from tabscope.operators import advice, clean, dashboard, intent, profile, series, stats
+from tabscope.operators import advice, clean, dashboard, intent, profile, roles, series, stats
 from tabscope.sources import delimited, tables
 
 
@@ -94,3 +94,33 @@ def test_model_advice_without_signals(spark):
     assert [r["type"] for r in advice.model_advice(df).collect()] == ["exploration"]
     charts = [r["chart"] for r in advice.chart_advice(df).collect()]
     assert charts == ["table", "3d_pie"]
+
+
+def test_missing_values_in_correlations(spark):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    a = rng.normal(1e6, 5, 300)
+    pdf = pd.DataFrame({"a": a, "b": 2 * a + rng.normal(0, 3, 300), "c": np.full(300, 7.1), "d": rng.normal(0, 1, 300)})
+    pdf.loc[::7, "a"] = np.nan
+    pdf.loc[::5, "d"] = np.nan
+    df = spark.createDataFrame(pdf)
+    for kind, want in (("corr", pdf.corr()), ("cov", pdf.cov())):
+        got = profile.pair_moments(df, list(pdf.columns), kind).toPandas()
+        for r in got.itertuples():
+            w = want.loc[r.a, r.b]
+            assert (pd.isna(w) and pd.isna(r.value)) or abs(r.value - w) < 1e-6
+            assert r.n == int((pdf[r.a].notna() & pdf[r.b].notna()).sum())
+
+
+def test_mixed_date_formats_short_spans_and_samples(spark):
+    mixed = spark.createDataFrame([(f"2024-01-{i:02d}",) for i in range(1, 10)] + [("05/02/2024",), ("none",)], "t string")
+    got = [r["t"] for r in roles.coerce_datetimes(mixed, {"t": "yyyy-MM-dd"}).collect()]
+    assert sum(g is None for g in got) == 1 and any(g and (g.month, g.day) == (2, 5) for g in got)
+    day = spark.createDataFrame([(f"2024-01-01 {i:02d}:00:00", 1.0) for i in range(20)], "t string, v double").selectExpr(
+        "cast(t as timestamp) t", "v")
+    assert series.series_status(day, "t", "v").first()["available"] is False
+    rows = spark.range(5000).selectExpr("cast(id % 7 as double) v")
+    one, two = (sorted(r["v"] for r in stats.seeded_sample(rows.repartition(n), ["v"], 70).collect()) for n in (3, 8))
+    assert one == two and len(one) == 70 and all(9 <= one.count(v) <= 11 for v in range(7))

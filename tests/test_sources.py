@@ -34,3 +34,20 @@ def test_checks(spark):
     res = {(r["check"], r["column_name"]): r["n_bad"] for r in
            tables.checks(df, required=["k", "zz"], not_null=["v"], unique=["k"]).collect()}
     assert res[("required", "zz")] == 1 and res[("not_null", "v")] == 1 and res[("unique", "k")] == 1
+
+
+def test_formats_are_detected_by_file_and_over_all_lines(spark, tmp_path):
+    late, semi, comma = tmp_path / "late.csv", tmp_path / "semi.csv", tmp_path / "comma.csv"
+    late.write_bytes(("id;city\n" + "".join(f"{i};Ankara\n" for i in range(400)) + "400;Muğla Şişli\n").encode("cp1254"))
+    semi.write_text("id;v\n1;2\n3;4\n")
+    comma.write_text("id,v\n5,6\n")
+    rows = {r["id"]: r["city"] for r in delimited.read_delimited(spark, str(late)).collect()}
+    assert len(rows) == 401 and rows[400] == "Muğla Şişli"
+    both = delimited.read_delimited(spark, [str(semi), str(comma)])
+    assert sorted((r["id"], r["v"]) for r in both.collect()) == [(1, 2), (3, 4), (5, 6)]
+    found = {r["file"].rsplit("/", 1)[1]: (r["encoding"], r["delimiter"]) for r in
+             delimited.detect_files(spark, [str(late), str(semi), str(comma)]).collect()}
+    assert found == {"late.csv": ("windows-1254", ";"), "semi.csv": ("UTF-8", ";"), "comma.csv": ("UTF-8", ",")}
+    empty = tmp_path / "empty.csv"
+    empty.write_text("")
+    assert delimited.detect_csv(spark, str(empty)) == {"encoding": "UTF-8", "delimiter": ","}
