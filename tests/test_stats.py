@@ -48,20 +48,21 @@ def test_ols_recovers_coefficients(spark):
     assert math.isclose(co["intercept"], 3, abs_tol=1e-8) and math.isclose(co["x1"], 2, abs_tol=1e-8)
 
 
-def test_trend_downsampling_matches_brute_force(spark):
+def test_trend_over_all_points_and_downsampling_match_brute_force(spark):
     rng = np.random.default_rng(3)
     n = 12001
     dates = pd.to_datetime("2020-01-01") + pd.to_timedelta(rng.integers(0, 4000, n), unit="D")
     y = rng.normal(size=n).round(1) + np.arange(n) * 0.001
     pdf = pd.DataFrame({"d": dates, "y": y})
-    out = S.trend(spark.createDataFrame(pdf), "d", "y").first()
+    df = spark.createDataFrame(pdf)
+    out = S.trend(df, "d", "y").first()
     s = pdf.sort_values(["d", "y"])["y"].to_numpy()
-    step = n // 5000
-    kept = s[::step]
-    x = np.arange(len(kept))
-    slope = np.polyfit(x, kept, 1)[0]
-    assert out["n"] == len(kept) and math.isclose(out["slope"], slope, rel_tol=1e-6)
-    assert math.isclose(out["r"], np.corrcoef(x, kept)[0, 1], rel_tol=1e-6)
+    x = np.arange(n)
+    assert out["n"] == n and math.isclose(out["slope"], np.polyfit(x, s, 1)[0], rel_tol=1e-6)
+    assert math.isclose(out["r"], np.corrcoef(x, s)[0, 1], rel_tol=1e-6)
+    kept = s[::n // 5000]
+    thin = S.downsampled_series(df, "d", "y").orderBy("x").toPandas()
+    assert thin["x"].tolist() == list(range(len(kept))) and np.allclose(thin["y"], kept)
 
 
 def test_shapiro_and_adf_behave():
