@@ -180,10 +180,18 @@ def map_points(df: DataFrame, max_points: int | None = None, cell: float = 0.01)
             .agg(F.count(F.lit(1)).alias("count")))
 
 
+# Charts shown where an advice table recommends none.
+FALLBACK_CHARTS = ["line", "bar", "scatter", "heatmap"]
+
+
 def chart_specs(df: DataFrame, advice: DataFrame | None = None, cap: int = 8) -> DataFrame:
     """(ord, chart, title, x, y, names, values) from chart advice, else the fallback set."""
     from .advice import chart_advice
 
-    advice = advice if advice is not None else chart_advice(df)
+    given = advice is not None
+    advice = advice if given else chart_advice(df)
     rec = advice.where(F.col("advice") == "recommend")
+    none = rec.agg((F.count(F.lit(1)) == 0).alias("_none"))
+    own = chart_advice(df).where(F.col("chart").isin(FALLBACK_CHARTS) & (F.col("advice") == "recommend"))
+    rec = rec.unionByName(own.crossJoin(F.broadcast(none)).where("_none").drop("_none")) if given else rec
     return rec.select("ord", "chart", "title", "x", "y", "names", "values").where(F.col("ord") <= cap)

@@ -111,21 +111,22 @@ def q_preview(spark, sf):
     return D.preview(T_(spark, sf, "customer"))
 
 
+# (condition, advice, chart, title, x, y, names, values, why as SQL)
 _CHART_ROWS = [
-    ("TRUE", "recommend", "line", "Trend line", "o_orderdate", "o_orderkey", None, None, "A line shows change over time best."),
-    ("TRUE", "recommend", "area", "Area trend", "o_orderdate", "o_orderkey", None, None, "An area chart conveys volume over time."),
-    ("TRUE", "recommend", "bar", "Bar by category", "o_orderstatus", "o_orderkey", None, None,
-     "Bars compare magnitudes across categories."),
-    ("nd <= 8", "recommend", "pie", "Share (pie)", None, None, "o_orderstatus", "o_orderkey",
-     "A pie can show shares when there are few categories."),
-    ("nd > 8", "avoid", "pie", None, None, None, None, None,
-     "''o_orderstatus'' has too many categories for a readable pie; use bars."),
-    ("TRUE", "recommend", "scatter", "Scatter", "o_orderkey", "o_custkey", None, None,
-     "A scatter shows the relation of two numeric variables."),
-    ("TRUE", "recommend", "heatmap", "Correlation heatmap", None, None, None, None, "A heatmap reads many correlations at once."),
-    ("TRUE", "recommend", "histogram", "Distribution", "o_orderkey", None, None, None,
-     "A histogram shows one variable''s distribution."),
-    ("TRUE", "avoid", "3d_pie", None, None, None, None, None, "3-D pies distort perception."),
+    ("TRUE", "recommend", "line", "line: o_orderdate, o_orderkey", "o_orderdate", "o_orderkey", None, None,
+     "'date o_orderdate, measure o_orderkey'"),
+    ("TRUE", "recommend", "area", "area: o_orderdate, o_orderkey", "o_orderdate", "o_orderkey", None, None,
+     "'date o_orderdate, measure o_orderkey'"),
+    ("TRUE", "recommend", "bar", "bar: o_orderstatus, o_orderkey", "o_orderstatus", "o_orderkey", None, None,
+     "'category o_orderstatus, measure o_orderkey'"),
+    ("nd <= 8", "recommend", "pie", "pie: o_orderstatus, o_orderkey", None, None, "o_orderstatus", "o_orderkey",
+     "'category o_orderstatus, measure o_orderkey; distinct values: ' || nd"),
+    ("nd > 8", "avoid", "pie", None, None, None, None, None, "'category o_orderstatus, measure o_orderkey; distinct values: ' || nd"),
+    ("TRUE", "recommend", "scatter", "scatter: o_orderkey, o_custkey", "o_orderkey", "o_custkey", None, None,
+     "'measure o_orderkey, measure2 o_custkey'"),
+    ("TRUE", "recommend", "heatmap", "heatmap", None, None, None, None, "'measure o_orderkey, measure2 o_custkey'"),
+    ("TRUE", "recommend", "histogram", "histogram: o_orderkey", "o_orderkey", None, None, None, "'measure o_orderkey'"),
+    ("TRUE", "avoid", "3d_pie", None, None, None, None, None, "'any table'"),
 ]
 
 
@@ -135,7 +136,7 @@ def _lit(v):
 
 _CHART_SQL = "WITH nd AS (SELECT count(DISTINCT o_orderstatus) AS nd FROM orders), r AS (" + union_all(
     [f"SELECT {k} AS k, ({cond}) AS on_, {_lit(a)} AS advice, {_lit(c)} AS chart, {_lit(t)} AS title, {_lit(x)} AS x, "
-     f"{_lit(y)} AS y, {_lit(n)} AS names, {_lit(v)} AS \"values\", {_lit(w)} AS why FROM nd"
+     f"{_lit(y)} AS y, {_lit(n)} AS names, {_lit(v)} AS \"values\", {w} AS why FROM nd"
      for k, (cond, a, c, t, x, y, n, v, w) in enumerate(_CHART_ROWS)]) + ")"
 
 
@@ -156,12 +157,12 @@ def q_chart_specs(spark, sf):
 @register("model_advice", """
 WITH s AS (SELECT count(*) AS n_rows, count(DISTINCT o_orderkey) AS nd FROM orders),
 r AS (
-  SELECT 'forecasting' AS type, 0.9 AS score, 'Date and numeric measure found; time-series forecasting fits.' AS why, TRUE AS on_ FROM s
-  UNION ALL SELECT 'regression', 0.88, 'Target candidate ''o_orderkey'' is continuous.', nd > greatest(15, floor(n_rows * 0.05)) FROM s
-  UNION ALL SELECT 'classification', 0.85, 'Target candidate ''o_orderkey'' has few distinct values.', nd <= greatest(15, floor(n_rows * 0.05)) FROM s
-  UNION ALL SELECT 'clustering', 0.7, 'Several numeric features; segmentation can be tried.', TRUE FROM s
-  UNION ALL SELECT 'anomaly_detection', 0.65, 'Numeric distributions allow outlier / fraud checks.', TRUE FROM s
-  UNION ALL SELECT 'recommendation', 0.55, 'Categorical identifiers may support a recommender.', TRUE FROM s)
+  SELECT 'Forecasting' AS type, 0.9 AS score, 'date o_orderdate, measure o_orderkey' AS why, TRUE AS on_ FROM s
+  UNION ALL SELECT 'Regresyon', 0.88, 'target o_orderkey; distinct values: ' || nd, nd > greatest(15, floor(n_rows * 0.05)) FROM s
+  UNION ALL SELECT 'Sınıflandırma', 0.85, 'target o_orderkey; distinct values: ' || nd, nd <= greatest(15, floor(n_rows * 0.05)) FROM s
+  UNION ALL SELECT 'Kümeleme', 0.7, 'measure o_orderkey, measure2 o_custkey', TRUE FROM s
+  UNION ALL SELECT 'Anomali Tespiti', 0.65, 'measure o_orderkey, measure2 o_custkey', TRUE FROM s
+  UNION ALL SELECT 'Recommendation System', 0.55, 'category o_orderstatus, subject o_orderkey', TRUE FROM s)
 SELECT CAST(row_number() OVER (ORDER BY score DESC) AS INTEGER) AS rank, type, CAST(score AS DOUBLE) AS score, why
 FROM r WHERE on_""")
 def q_model_advice(spark, sf):

@@ -39,7 +39,12 @@ def test_chart_and_model_advice(spark):
     avoid = [r["chart"] for r in A.chart_advice(df).where("advice = 'avoid'").collect()]
     assert avoid == ["pie", "3d_pie"]
     types = [r["type"] for r in A.model_advice(df).collect()]
-    assert types[0] == "forecasting"
+    assert types[0] == "Forecasting"
+    empty = A.chart_advice(df).where("advice = 'avoid'")
+    assert [r["chart"] for r in D.chart_specs(df, empty).orderBy("ord").collect()] == ["line", "bar", "scatter", "heatmap"]
+    bare = df.sparkSession.createDataFrame([("a",)], "s string")
+    assert [r["chart"] for r in A.chart_advice(bare).collect()] == ["table", "3d_pie"]
+    assert [r["type"] for r in A.model_advice(bare).collect()] == ["Keşifsel Analiz"]
 
 
 def test_map_points_by_name(spark):
