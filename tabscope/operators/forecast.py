@@ -2,10 +2,11 @@
 
 * NaiveLast and the metrics are plain relational work (``series``).
 * ARIMA(1,1,1) is fitted per series (conditional sum of squares) inside
-  ``applyInPandas``; each group is one series of at most 3,000 buckets (F5).
+  ``applyInPandas``; a group is one series of buckets (as long as its time span, see ``recent`` for a limit).
 * Random forest and the two gradient-boosting configurations are Spark ML
   estimators trained on the lag rows of *all* series pooled (values scaled
-  per series), one fit per backtest fold, fits submitted concurrently.
+  by each series' training rows), one fit per backtest fold, fits submitted
+  concurrently. A candidate that cannot be fitted is left out with a warning.
 * The recursive multi-step forecast feeds each prediction back as a lag.
   Looping Spark jobs per step would not scale, so the fitted trees are
   written as node tables (Spark ML's own model format), read back (their
@@ -15,24 +16,28 @@
 
 from __future__ import annotations
 
+import logging
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
+from .ordered import stable
 from . import series as TS
 
 # Model settings of the reference's candidates.
-FOREST = {"backtest_trees": 120, "final_trees": 200, "seed": 42}
+# Depth 12 stands for fully grown trees: it bounds the node table (8,191 nodes a tree) whatever the number of rows.
+FOREST = {"backtest_trees": 120, "final_trees": 200, "depth": 12, "seed": 42}
 BOOST_A = {"backtest_iter": 150, "final_iter": 200, "depth": 4, "rate": 0.08, "seed": 42, "subsample": 1.0}
 BOOST_B = {"backtest_iter": 150, "final_iter": 200, "depth": 5, "rate": 0.08, "seed": 42, "subsample": 0.8}
 ML_MODELS = {"RandomForest": FOREST, "XGBoost": BOOST_A, "LightGBM": BOOST_B}
 MAX_LAGS = 7
+LOG = logging.getLogger(__name__)
 
 
 # ---------------------------------------------------------------- ARIMA(1,1,1)
@@ -101,7 +106,7 @@ def arima_backtest(series: DataFrame, keys: list[str]) -> DataFrame:
     names = eff + ["model", "fold", "bucket", "y", "yhat"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bucket").tail(TS.MAX_POINTS).reset_index(drop=True)
+        pdf = pdf.sort_values("bucket").reset_index(drop=True)
         y = pdf["value"].to_numpy(dtype=float)
         kv = [pdf[k].iloc[0] for k in eff]
         rows = []
@@ -117,15 +122,19 @@ def arima_backtest(series: DataFrame, keys: list[str]) -> DataFrame:
 
 # ------------------------------------------------------------- pooled trees
 
-def _scaled_lags(series: DataFrame, keys: list[str]) -> DataFrame:
-    """Lag rows with a per-series scale, plus the position among lag rows (``r``)."""
+def _lag_rows(series: DataFrame, keys: list[str]) -> DataFrame:
+    """Lag rows with their position ``r`` among the series' ``n_rows`` lag rows."""
     lf = TS.lag_features(series, keys, MAX_LAGS)
-    part = [F.col(k) for k in keys] or [F.lit(0)]
-    scale = F.avg(F.abs("value")).over(Window.partitionBy(*part))
-    lf = lf.withColumn("scale", F.when(scale > 0, scale).otherwise(F.lit(1.0)))
-    lf = lf.withColumn("r", F.col("idx") - F.col("n_lags")).withColumn("n_rows", F.col("n") - F.col("n_lags"))
+    return lf.withColumn("r", F.col("idx") - F.col("n_lags")).withColumn("n_rows", F.col("n") - F.col("n_lags"))
+
+
+def _scaled(lag: DataFrame, by: list[str], known: Column) -> DataFrame:
+    """Features and label over ``scale``, the mean absolute value of the ``known`` rows of each group."""
+    part = [F.col(k) for k in by] or [F.lit(0)]
+    scale = F.avg(F.when(known, F.abs("value"))).over(Window.partitionBy(*part))
+    lag = lag.withColumn("scale", F.when(scale > 0, scale).otherwise(F.lit(1.0)))
     feats = [F.coalesce(F.col(f"lag_{k}") / F.col("scale"), F.lit(-1.0)).alias(f"f{k}") for k in range(1, MAX_LAGS + 1)]
-    return lf.select("*", *feats, (F.col("value") / F.col("scale")).alias("label"))
+    return lag.select("*", *feats, (F.col("value") / F.col("scale")).alias("label"))
 
 
 def _assemble(df: DataFrame) -> DataFrame:
@@ -140,8 +149,8 @@ def _estimator(model: str, final: bool):
 
     cfg = ML_MODELS[model]
     if model == "RandomForest":
-        return RandomForestRegressor(labelCol="label", featuresCol="features",
-                                     numTrees=cfg["final_trees"] if final else cfg["backtest_trees"], seed=cfg["seed"])
+        return RandomForestRegressor(labelCol="label", featuresCol="features", maxDepth=cfg["depth"], minInstancesPerNode=1,
+                                     featureSubsetStrategy="all", numTrees=cfg["final_trees"] if final else cfg["backtest_trees"], seed=cfg["seed"])
     return GBTRegressor(labelCol="label", featuresCol="features", maxIter=cfg["final_iter"] if final else cfg["backtest_iter"],
                         maxDepth=cfg["depth"], stepSize=cfg["rate"], subsamplingRate=cfg["subsample"], seed=cfg["seed"])
 
@@ -149,16 +158,18 @@ def _estimator(model: str, final: bool):
 def ml_backtest(series: DataFrame, keys: list[str], models: list[str] | None = None) -> DataFrame:
     """F10-F12 backtests: per global fold index one pooled fit per model; test rows predicted.
 
-    The split is the expanding split over each series' lag rows; fold i of
-    every series trains one model (series with fewer folds skip fold 2).
+    The expanding split cuts each series' lag rows into as many folds as the
+    series' length asks for; fold i of every series trains one model (series
+    with fewer folds skip fold 2). Values are scaled by the fold's training rows.
     """
     models = models or list(ML_MODELS)
-    lag = _scaled_lags(series, keys)
-    lens = lag.groupBy(*keys).agg(F.max("n_rows").alias("n_rows")) if keys else lag.agg(F.max("n_rows").alias("n_rows"))
-    fl = TS.folds(lens, keys, n_col="n_rows")
+    lag = _lag_rows(series, keys)
+    lens = lag.groupBy(*keys).agg(F.max("n").alias("n"), F.max("n_rows").alias("n_rows"))
+    fl = TS.folds(lens, keys, n_col="n_rows", count_col="n")
     tagged = lag.join(fl, keys) if keys else lag.crossJoin(F.broadcast(fl))
-    data = _assemble(tagged).select(*keys, "bucket", "value", "scale", "fold", "r", "test_start", "test_end",
-                                    "features", "label").cache()
+    scaled = _scaled(tagged, [*keys, "fold"], F.col("r") < F.col("test_start"))
+    data = stable(_assemble(scaled).select(*keys, "bucket", "value", "scale", "fold", "r", "test_start", "test_end",
+                                           "features", "label"))
     jobs = [(m, f) for m in models for f in range(3)]
 
     def fit_predict(job):
@@ -168,19 +179,34 @@ def ml_backtest(series: DataFrame, keys: list[str], models: list[str] | None = N
         test = part.where((F.col("r") >= F.col("test_start")) & (F.col("r") < F.col("test_end")))
         if train.isEmpty() or test.isEmpty():
             return None
-        fitted = _estimator(m, final=False).fit(train)
-        return fitted.transform(test).select(*keys, F.lit(m).alias("model"), F.col("fold").cast("int").alias("fold"),
-                                             "bucket", F.col("value").alias("y"),
-                                             (F.col("prediction") * F.col("scale")).alias("yhat"))
-
-    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
-        parts = [p for p in pool.map(fit_predict, jobs) if p is not None]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        return _estimator(m, final=False).fit(train).transform(test).select(
+            *keys, F.lit(m).alias("model"), F.col("fold").cast("int").alias("fold"), "bucket", F.col("value").alias("y"),
+            (F.col("prediction") * F.col("scale")).alias("yhat"))
+
+    parts = _tolerant(fit_predict, jobs)
+    # a candidate counts only with all its folds
+    failed = {m for (m, _), ok, _ in parts if not ok}
+    out = data.where(F.lit(False)).select(*keys, F.lit("").alias("model"), F.col("fold").cast("int").alias("fold"), "bucket",
+                                          F.col("value").alias("y"), F.col("value").alias("yhat"))
+    for (m, _), _, rows in parts:
+        if rows is not None and m not in failed:
+            out = out.unionByName(rows)
     return out
 
 
+def _tolerant(fit, jobs: list) -> list[tuple]:
+    """(job, succeeded, result) of each job, run at the same time; a failed fit is logged."""
+    def run(job):
+        try:
+            return job, True, fit(job)
+        except Exception as exc:  # noqa: BLE001 - one candidate must not stop the others
+            LOG.warning("%s could not be fitted: %s", job, exc)
+            return job, False, None
+
+    with ThreadPoolExecutor(max_workers=max(1, len(jobs))) as pool:
+        return list(pool.map(run, jobs))
+
+
 def _node_table(model, spark) -> dict:
     """Write a fitted tree ensemble in Spark ML's format and read its nodes back as arrays."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/{uuid.uuid4().hex}"
@@ -194,36 +220,31 @@ def _node_table(model, spark) -> dict:
         weights = dict(zip(meta["treeID"], meta["weight"]))
     except Exception:  # noqa: BLE001 - forests have no tree weights
         weights = {}
-    trees = []
-    for tid, g in nodes.groupby("treeID"):
-        g = g.sort_values("id")
-        size = int(g["id"].max()) + 1
-        feat = np.full(size, -1, dtype=int)
-        thr = np.zeros(size)
-        left = np.full(size, -1, dtype=int)
-        right = np.full(size, -1, dtype=int)
-        val = np.zeros(size)
-        ids = g["id"].to_numpy()
-        feat[ids] = g["featureIndex"].fillna(-1).to_numpy(dtype=int)
-        thr[ids] = g["thr"].fillna(0.0).to_numpy()
-        left[ids] = g["leftChild"].to_numpy(dtype=int)
-        right[ids] = g["rightChild"].to_numpy(dtype=int)
-        val[ids] = g["prediction"].to_numpy()
-        trees.append((float(weights.get(tid, 1.0)), feat, thr, left, right, val))
     from pyspark.ml.regression import RandomForestRegressionModel
 
+    # nodes of all trees one after another; ids count from 0 in each tree
+    nodes = nodes.sort_values(["treeID", "id"])
+    sizes = nodes.groupby("treeID").size()
+    start = (sizes.cumsum() - sizes).reindex(nodes["treeID"]).to_numpy()
+    inner = nodes["leftChild"].to_numpy() >= 0
+    own = np.arange(len(nodes))
     # a forest predicts the mean of its trees; boosting the weighted sum
-    return {"trees": trees, "average": isinstance(model, RandomForestRegressionModel)}
+    forest = isinstance(model, RandomForestRegressionModel)
+    weight = np.full(len(sizes), 1.0 / len(sizes)) if forest else np.array([weights.get(t, 1.0) for t in sizes.index])
+    return {"feature": nodes["featureIndex"].fillna(-1).to_numpy(dtype=int), "threshold": nodes["thr"].fillna(0.0).to_numpy(),
+            "left": np.where(inner, start + nodes["leftChild"].to_numpy(), own),
+            "right": np.where(inner, start + nodes["rightChild"].to_numpy(), own),
+            "value": nodes["prediction"].to_numpy(), "root": (sizes.cumsum() - sizes).to_numpy(), "weight": weight}
 
 
 def _eval_trees(table: dict, x: np.ndarray) -> float:
-    total = 0.0
-    for w, feat, thr, left, right, val in table["trees"]:
-        node = 0
-        while left[node] >= 0:
-            node = left[node] if x[feat[node]] <= thr[node] else right[node]
-        total += w * val[node]
-    return total / len(table["trees"]) if table["average"] else total
+    """Prediction for one feature vector: all trees go down one level at a time; leaves point to themselves."""
+    node = table["root"]
+    while True:
+        child = np.where(x[table["feature"][node]] <= table["threshold"][node], table["left"][node], table["right"][node])
+        if np.array_equal(child, node):
+            return float(table["weight"] @ table["value"][node])
+        node = child
 
 
 # ----------------------------------------------------------- selection + final
@@ -247,15 +268,12 @@ def backtest(series: DataFrame, keys: list[str] | None = None, models: list[str]
 
 
 def final_models(series: DataFrame, keys: list[str], models: list[str]) -> dict[str, dict]:
-    """Fit each tree model on all lag rows (pooled) and return its node arrays."""
-    lag = _assemble(_scaled_lags(series, keys)).select("features", "label").cache()
+    """Fit each tree model on all lag rows (pooled) and return its node arrays; one that fails is left out."""
+    if not models:
+        return {}
+    lag = stable(_assemble(_scaled(_lag_rows(series, keys), keys, F.lit(True))).select("features", "label"))
     spark = series.sparkSession
-
-    def fit(m):
-        return m, _node_table(_estimator(m, final=True).fit(lag), spark)
-
-    with ThreadPoolExecutor(max_workers=max(1, len(models))) as pool:
-        return dict(pool.map(fit, models))
+    return {m: table for m, ok, table in _tolerant(lambda m: _node_table(_estimator(m, final=True).fit(lag), spark), models) if ok}
 
 
 def forecast_points(series: DataFrame, choice: DataFrame, keys: list[str] | None = None,
@@ -280,7 +298,7 @@ def forecast_points(series: DataFrame, choice: DataFrame, keys: list[str] | None
     unit_days = TS.UNIT_DAYS
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bucket").tail(TS.MAX_POINTS).reset_index(drop=True)
+        pdf = pdf.sort_values("bucket").reset_index(drop=True)
         y = pdf["value"].to_numpy(dtype=float)
         model, unit = pdf["model"].iloc[0], pdf["unit"].iloc[0]
         kv = [pdf[k].iloc[0] for k in eff]
@@ -316,17 +334,21 @@ def forecast_points(series: DataFrame, choice: DataFrame, keys: list[str] | None
 
 def forecast(df: DataFrame, date_col: str | None = None, value_col: str | None = None,
              keys: list[str] | None = None, frequency: str | None = None,
-             models: list[str] | None = None) -> dict[str, DataFrame]:
-    """the forecast bundle for every key: series, backtest, metrics, choice, points, status."""
+             models: list[str] | None = None, max_points: int | None = TS.MAX_POINTS) -> dict[str, DataFrame]:
+    """the forecast bundle for every key: series, backtest, metrics, choice, points, status.
+
+    ``max_points`` keeps the most recent buckets of each series (F5), None all. Only models that some key chose are fitted.
+    """
     keys = keys or []
     models = models or TS.MODEL_ORDER
     work, dcol, vcol = TS.resolve_columns(df, date_col, value_col)
-    ser = TS.recent(TS.time_series(work, dcol, vcol, keys, frequency), keys)
+    ser = TS.time_series(work, dcol, vcol, keys, frequency)
+    ser = stable(ser if max_points is None else TS.recent(ser, keys, max_points))
     bt = backtest(ser, keys, models)
-    met = TS.metrics(bt, keys)
+    met = stable(TS.metrics(bt, keys))
     choice = TS.choose(met, keys)
-    ml = [m for m in models if m in ML_MODELS]
-    tables = final_models(ser, keys, ml) if ml else {}
+    chosen = [r["model"] for r in choice.select("model").distinct().collect()]  # at most one row per candidate
+    tables = final_models(ser, keys, [m for m in chosen if m in ML_MODELS])
     pts = forecast_points(ser, choice, keys, tables)
     return {"series": ser, "backtest": bt, "metrics": met, "choice": choice, "points": pts,
             "status": TS.series_status(work, dcol, vcol, keys)}

@@ -221,15 +221,17 @@ def lag_features(series: DataFrame, keys: list[str] | None = None, max_lags: int
     return s.where(F.col("idx") >= F.col("n_lags"))
 
 
-def folds(lengths: DataFrame, keys: list[str] | None = None, n_col: str = "n", offset_col: str | None = None) -> DataFrame:
+def folds(lengths: DataFrame, keys: list[str] | None = None, n_col: str = "n", offset_col: str | None = None,
+          count_col: str | None = None) -> DataFrame:
     """expanding splits, k = min(3, max(2, n // 10)), test size = n // (k + 1).
 
     (keys..., fold, test_start, test_end) in the key's own positions
-    (shifted by ``offset_col`` when the split is over lag rows).
+    (shifted by ``offset_col`` when the split is over lag rows). ``count_col``
+    is the length that decides the number of folds where it is not ``n_col``.
     """
     keys = keys or []
     n = F.col(n_col)
-    k = F.least(F.lit(3), F.greatest(F.lit(2), F.floor(n / 10))).cast("int")
+    k = F.least(F.lit(3), F.greatest(F.lit(2), F.floor(F.col(count_col or n_col) / 10))).cast("int")
     size = F.floor(n / (k + 1)).cast("long")
     base = lengths.select(*keys, n.alias("_n"), k.alias("n_folds"), size.alias("test_size"),
                           (F.col(offset_col) if offset_col else F.lit(0)).cast("long").alias("_off"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import forecast as FC
 from ..operators import series as TS
+from ..operators.ordered import stable
 from .catalog import T_, register, rounded
 
 K = "o_orderpriority"
@@ -43,8 +44,14 @@ def q_forest_forecast(spark, sf):
 
 @register("boosting_forecast")
 def q_boosting_forecast(spark, sf):
-    ser = _weekly(spark, sf)
-    return rounded(TS.metrics(FC.ml_backtest(ser, [K], ["XGBoost", "LightGBM"]), [K]), 4)
+    """Backtest metrics of both boosting candidates beside each one's points on every horizon."""
+    ser = stable(_weekly(spark, sf))
+    models = ["XGBoost", "LightGBM"]
+    metrics = TS.metrics(FC.ml_backtest(ser, [K], models), [K])
+    tables = FC.final_models(ser, [K], models)
+    keys = ser.select(K).distinct()
+    pts = [FC.forecast_points(ser, keys.withColumn("model", F.lit(m)), [K], tables) for m in models]
+    return rounded(pts[0].unionByName(pts[1]).join(metrics.select(K, "model", "rmse", "mae", "r2"), [K, "model"]), 4)
 
 
 @register("model_choice")
@@ -56,8 +63,6 @@ def q_model_choice(spark, sf):
 
 @register("forecast_points")
 def q_forecast_points(spark, sf):
-    """Bundle points with the fast candidates (boosting is covered by boosting_forecast / model_choice)."""
+    """Points of the whole bundle: every candidate is backtested, each key's best one fitted on all its buckets."""
     o = T_(spark, sf, "orders")
-    out = FC.forecast(o, "o_orderdate", "o_totalprice", [K], frequency="W",
-                      models=["NaiveLast", "ARIMA", "RandomForest"])
-    return rounded(out["points"], 4)
+    return rounded(FC.forecast(o, "o_orderdate", "o_totalprice", [K], frequency="W")["points"], 4)

@@ -50,3 +50,27 @@ def test_forecast_bundle_per_key(spark):
     assert len(pts) == 14 and pts["bucket"].iloc[0] == pd.Timestamp("2024-03-01")
     # a linear trend is extrapolated by ARIMA(1,1,1) far better than carried forward
     assert choice["a"] == "ARIMA"
+
+
+def test_lag_folds_follow_the_series_length_and_scale_by_training_rows(spark):
+    start = dt.date(2024, 1, 1)
+    rows = [("a", start + dt.timedelta(days=i), float(i + 1), "D", "D") for i in range(32)]
+    ser = spark.createDataFrame(rows, "k string, bucket date, value double, frequency string, unit string")
+    bt = FC.ml_backtest(ser, ["k"], ["RandomForest"]).toPandas()
+    assert bt.groupby("fold").size().tolist() == [7, 7, 7]  # 29 lag rows in the 3 folds of 32 buckets
+    # the last training row is the best a tree can say about a rising line: no look at the test window's scale
+    first = bt[bt["fold"] == 0]
+    assert np.allclose(first["y"].min(), 12) and (first["yhat"] <= 11 + 1e-9).all()
+
+
+def test_a_candidate_that_fails_is_left_out(spark, monkeypatch):
+    start = dt.date(2024, 1, 1)
+    ser = spark.createDataFrame([(start + dt.timedelta(days=i), float(i % 5), "D", "D") for i in range(30)],
+                                "bucket date, value double, frequency string, unit string")
+
+    def broken(model, final):
+        raise ValueError("no estimator")
+
+    monkeypatch.setattr(FC, "_estimator", broken)
+    assert FC.ml_backtest(ser, [], ["XGBoost"]).count() == 0 and FC.final_models(ser, [], ["XGBoost"]) == {}
+    assert {r["model"] for r in FC.backtest(ser, [], ["NaiveLast", "XGBoost"]).collect()} == {"NaiveLast"}
