@@ -531,6 +531,10 @@ def statistics(df: DataFrame, target: str | None = None, date_col: str | None =
     return out
 
 
+# Order of the suite's sections in the report.
+NOTE_SECTIONS = ["descriptive", "correlation", "regression", "t_test", "anova", "trend", "normality", "stationarity"]
+
+
 def notes(results: dict[str, DataFrame]) -> DataFrame:
     """Plain-language lines from the suite's significance flags (section, line)."""
     parts = []

@@ -234,18 +234,18 @@ def q_intent_tasks(spark, sf):
 
 @register("report_lines")
 def q_report_lines(spark, sf):
-    return G.report_lines(T_(spark, sf, "orders"), "Satış analizi yap", "orders")
+    from ..operators import stats as S
+
+    df = T_(spark, sf, "orders")
+    return G.report_lines(df, "Satış analizi yap", "orders", notes=S.notes(S.statistics(df)))
 
 
 @register("analysis_summary")
 def q_analysis_summary(spark, sf):
-    """G7 + S11: the end-to-end analysis of customers as JSON lines (bounded sections, no forecast)."""
+    """G7 + S11: the end-to-end analysis of orders with every section and a forecast, as JSON lines."""
     from .analyze import analyze, summary
 
-    res = analyze(T_(spark, sf, "customer"), "Satış analizi yap", "customer", with_forecast=False)
-    keep = ["intent", "tasks", "cleaning_plan", "model_advice", "data_signals", "chart_advice", "kpis", "date_bounds",
-            "charts", "report", "profile.overview", "profile.missing", "profile.numeric_summary", "errors"]
-    return summary({k: res[k] for k in keep if k in res})
+    return summary(analyze(T_(spark, sf, "orders"), "Satış analizi yap", "orders", forecast_models=["NaiveLast", "ARIMA"]))
 
 
 @register("stream_kpis", "SELECT CAST(count(*) AS BIGINT) AS rows, "

@@ -1,5 +1,9 @@
+import datetime as dt
 import json
 
+from pyspark.sql import functions as F
+
+import tabscope.plans.analyze as analyze_module
 from tabscope.plans.analyze import analyze, summary
 from tabscope.sources import tables
 
@@ -17,6 +21,24 @@ def test_failing_section_is_reported_and_others_run(spark):
     assert all(isinstance(json.loads(r["row"]), dict) for r in lines)
 
 
+def test_every_section_runs_and_failures_at_run_time_are_reported(spark, monkeypatch):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(start + dt.timedelta(days=i), float(i + i % 7), float(3 * i + i % 5), "ab"[i % 2], "xyz"[i % 3]) for i in range(40)]
+    df = spark.createDataFrame(rows, "t timestamp, sales double, cost double, g string, h string")
+    res = analyze(df, "Satış analizi yap", "inline", forecast_models=["NaiveLast", "ARIMA"])
+    assert res["errors"].collect() == []
+    assert {"notes", "forecast.points", "statistics.trend", "statistics.stationarity", "profile.overview", "filters"} <= set(res)
+    lines = [(r["section"], r["ord"]) for r in res["report"].collect()]
+    assert len(lines) == len(set(lines)) and ("technical", 6) in lines and ("executive", 5) in lines and ("insights", 7) in lines
+    assert ("technical", 12) not in lines
+
+    failing = df.select(F.raise_error(F.lit("late")).cast("double").alias("value"))
+    monkeypatch.setattr(analyze_module.dashboard, "kpis", lambda d: failing)
+    res = analyze(df, with_forecast=False)
+    assert [r["section"] for r in res["errors"].collect()] == ["kpis"] and "kpis" not in res
+    assert summary(res).count() > 20
+
+
 def test_read_and_write_dispatch(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, s string")
     for fmt in ["parquet", "json", "csv"]:
