@@ -91,7 +91,7 @@ def test_turkish_letters_in_intent_and_one_column_file(spark, tmp_path):
 
 def test_model_advice_without_signals(spark):
     df = spark.createDataFrame([("a",), ("b",)], "s string")
-    assert [r["type"] for r in advice.model_advice(df).collect()] == ["exploration"]
+    assert [r["type"] for r in advice.model_advice(df).collect()] == ["Keşifsel Analiz"]
     charts = [r["chart"] for r in advice.chart_advice(df).collect()]
     assert charts == ["table", "3d_pie"]
 
