@@ -9,7 +9,9 @@ A workbook is the unit of work (a zip cannot be split).
 from __future__ import annotations
 
 import io
+import os
 import re
+import uuid
 import zipfile
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
@@ -174,18 +176,23 @@ def workbook_bytes(columns: list[str], rows) -> bytes:
     return buf.getvalue()
 
 
+def _target(path: str):
+    """(file system, path in it) of a folder given by path or URI, on whichever process asks."""
+    from pyarrow import fs
+
+    if path.startswith("file:") or ":/" not in path:
+        return fs.LocalFileSystem(), os.path.abspath("/" + path[len("file:"):].lstrip("/") if path.startswith("file:") else path)
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+
+
 def write_workbooks(df: DataFrame, path: str) -> DataFrame:
-    """One workbook (sheet ``data``) per partition under ``path`` (a shared, mounted folder).
+    """One workbook (sheet ``data``) per partition under ``path``, a shared folder or a URI that pyarrow can write.
 
-    Returns the (file, rows) written, evaluated eagerly.
+    A partition is one workbook, so it has to fit one sheet. Returns the (file, rows) written, evaluated eagerly.
     """
-    import os
-    import uuid
-
     cols = df.columns
-    if path.startswith("file:"):
-        path = "/" + path[len("file:"):].lstrip("/")
-    os.makedirs(path, exist_ok=True)
+    path = path if ":/" in path else os.path.abspath(path)
+    run = uuid.uuid4().hex[:8]  # one name a partition: a task that runs again writes its file anew
 
     def write(batches):
         from pyspark import TaskContext
@@ -195,9 +202,10 @@ def write_workbooks(df: DataFrame, path: str) -> DataFrame:
             rows.extend(pdf.astype(object).where(pdf.notna(), None).itertuples(index=False, name=None))
         if not rows:
             return
-        pid = TaskContext.get().partitionId()
-        name = os.path.join(path, f"part-{pid:05d}-{uuid.uuid4().hex[:8]}.xlsx")
-        with open(name, "wb") as fh:
+        system, folder = _target(path)
+        system.create_dir(folder, recursive=True)
+        name = f"{folder}/part-{TaskContext.get().partitionId():05d}-{run}.xlsx"
+        with system.open_output_stream(name) as fh:
             fh.write(workbook_bytes(cols, rows))
         yield pd.DataFrame({"file": [name], "rows": [len(rows)]})
 
