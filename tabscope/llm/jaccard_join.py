@@ -8,9 +8,13 @@
 3. Among the classes left, shingles get exact frequencies and one global order, rare first. Two linked sets share a
    shingle of their prefixes (the first n - ceil(0.8 n) + 1), so the components of "shares a prefix shingle" (found
    from one edge per posting, to the posting's smallest class) are blocks that no link leaves.
-4. The sets of a block are stored in prefix trees, split into chunks of bounded size. Each chunk is probed with the
-   block's first set; sets linked to it are one component and need not probe each other, all others probe all chunks.
+4. The sets of a block are stored in prefix trees, split into chunks of bounded size. Each chunk's tree is probed with
+   its own sets and those of the block's later chunks, so that any two classes meet once; links are counted by class,
+   weighted by the documents of the class at the other end.
 5. Components of the links, carried back to the classes' documents.
+
+Where components alone are asked for, each chunk is probed with the block's first set; sets linked to it are one
+component and need not probe each other, all others probe all chunks.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from .words import Words, mix64, pairs_index, pieces
 SIZE = 5
 BUCKET_BYTES = 24 << 20  # text whose shingles one bucket task sees on average (its memory is about ten times that)
 CHUNK_SHINGLES = 1 << 21  # shingles of the sets in one tree, on average
+LINK_SHINGLES = 1 << 19  # the same where every set probes: the work of a task grows with its square
 BLOOM_BITS = 26
 
 
@@ -332,10 +337,56 @@ def tree_links(ordered: DataFrame, block_of: DataFrame, chunk_shingles: int) ->
     return links.unionByName(more.select("u", "v"))
 
 
+def every_link(batches):
+    """By (block, chunk, side): all links within a chunk (side = chunk) or between a chunk's tree and the sets of chunk
+    ``side``. One row per linked class: the smallest class it hangs together with here and the documents it links to."""
+    for rows in _groups(batches):
+        arrays, vocabulary = _ids(rows)
+        inside = [i for i, r in enumerate(rows) if not r["probe"]]
+        asking = [i for i, r in enumerate(rows) if r["probe"]]
+        within = rows[0]["side"] == rows[0]["chunk"]
+        if not inside or not (within or asking):  # no set fell into one of the chunks
+            continue
+        tree = PrefixTree([arrays[i] for i in inside], [rows[i]["n"] for i in inside], vocabulary)
+        probes = np.array(inside if within else asking)
+        copies = np.array([r["copies"] for r in rows], np.int64)
+        linked, root = np.zeros(len(rows), np.int64), np.arange(len(rows))
+        for own, found in tree.probe_all([arrays[i] for i in probes], [rows[i]["n"] for i in probes]):
+            own, found = inside[own], probes[found]
+            found = found[found != own]
+            linked[found] += copies[own]
+            if not within:
+                linked[own] += copies[found].sum()
+            if (root[found] != root[own]).any():
+                joined = np.unique(np.append(root[found], root[own]))
+                root[np.isin(root, joined)] = joined[0]
+        cls = np.array([r["cls"] for r in rows], np.int64)
+        at = np.flatnonzero(linked)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(cls[at]), pa.array(cls[root[at]]), pa.array(linked[at])], ["cls", "root", "linked"])
+
+
+def all_links(ordered: DataFrame, block_of: DataFrame, copies: DataFrame, chunk_shingles: int) -> DataFrame:
+    """cls, root, linked: by class and pair of chunks the documents of other classes it links to; (cls, root) are edges
+    with the components of all links. ``copies`` has the documents of each class (cls, copies)."""
+    sets = (ordered.select("cls", "n", "values").join(block_of.select(F.col("node").alias("cls"), F.col("root").alias("block")), "cls")
+            .join(copies, "cls"))
+    total = sets.groupBy("block").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / min(chunk_shingles, LINK_SHINGLES))).alias("chunks"))
+    sets = saved(sets.join(total, "block").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks"))))
+    columns = ["block", "chunk", "side", "cls", "n", "copies", "values", "probe"]
+    trees = sets.withColumn("side", F.explode(F.sequence("chunk", F.col("chunks") - 1))).withColumn("probe", F.lit(False))
+    probes = (sets.where("chunk > 0").withColumn("side", F.col("chunk")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("side") - 1)))
+              .withColumn("probe", F.lit(True)))
+    return (trees.select(*columns).unionByName(probes.select(*columns)).repartition(*TASK).sortWithinPartitions(*TASK, "cls")
+            .mapInArrow(every_link, "cls long, root long, linked long"))
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE,
-                    chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, at a similarity of 0.8 or more.
+                    chunk_shingles: int = CHUNK_SHINGLES, links: bool = True) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, n_links, at a similarity of 0.8 or more.
 
+    n_links is the number of other documents that the row's document links with, copies included. Without ``links`` it
+    is left out, and links that components don't need are not searched.
     component_id is the smallest id reachable by links, the row's own id included. Texts without words have no
     shingles and link with nothing; texts of fewer than five words have one, the whole sequence. Rows that repeat an id
     are documents of their own (equal texts link). Null ids take part; they are larger than any other, so a component
@@ -345,18 +396,27 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     rows = df.select(plain(doc_id).cast("long").alias("doc_id"), F.coalesce(plain(text), F.lit("")).alias("text"))
     buckets = bucket_count(text_volume(rows, "text"), BUCKET_BYTES)
     members = saved(shingle_classes(rows, size))
-    classes = members.where("n_shingles > 0").groupBy("d1", "d2").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("first_id"))
+    classes = members.where("n_shingles > 0").groupBy("d1", "d2").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     left = saved(classes.join(unshared(rows, size, buckets), ["d1", "d2"]).where(F.col("alone") * 5 <= F.col("n_shingles"))
                  .withColumn("cls", F.monotonically_increasing_id()))
     ordered = saved(ordered_sets(saved(class_sets(rows, left, size)), buckets))
-    linked = components(tree_links(ordered, blocks(ordered), chunk_shingles))
+    if links:
+        pairs = saved(all_links(ordered, blocks(ordered), left.select("cls", "copies"), chunk_shingles))
+        linked = components(pairs.select(F.col("cls").alias("u"), F.col("root").alias("v")))
+        counts = pairs.groupBy("cls").agg(F.sum("linked").alias("linked"))
+    else:
+        linked = components(tree_links(ordered, blocks(ordered), chunk_shingles))
+        counts = linked.select(F.col("node").alias("cls"), F.lit(0).alias("linked"))
     grouped = left.select("cls", "first_id").join(linked.withColumnRenamed("node", "cls"), "cls")
     smallest = grouped.groupBy("root").agg(F.min("first_id").alias("linked_id"))
     found = (left.select("cls", "d1", "d2").join(linked.withColumnRenamed("node", "cls"), "cls").join(smallest, "root")
-             .select("d1", "d2", "linked_id"))
-    known = classes.join(found, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("linked_id", "first_id").alias("component_id"))
-    return members.join(known, ["d1", "d2"], "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+             .join(counts, "cls").select("d1", "d2", "linked_id", "linked"))
+    known = classes.join(found, ["d1", "d2"], "left").select(
+        "d1", "d2", F.coalesce("linked_id", "first_id").alias("component_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    out = members.join(known, ["d1", "d2"], "left").select(
+        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out if links else out.drop("n_links")
 
 
 def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -364,5 +424,5 @@ def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     Rows without words stay. Of rows that repeat the kept id all stay; exact deduplication is another operator's.
     """
-    kept = near_duplicates(df, doc_id, text, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    kept = near_duplicates(df, doc_id, text, **options, links=False).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     return keep_ids(df, doc_id, kept, "left_semi")

@@ -57,6 +57,11 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"), links=False)
+
+
+def op9_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9_ngram_join with the number of links of each document."""
     return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
@@ -66,7 +71,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_counts, op3_mixing, op4_quality, op5_nearest, op6_toxicity, op7_bpe,
-                                   op8_chat, op9_ngram_join, op10_substring_dedup)}
+                                   op8_chat, op9_ngram_join, op9_ngram_links, op10_substring_dedup)}
 
 ORACLE = {
     "op1_exact_dedup": rf"""

@@ -101,6 +101,43 @@ def test_ngram_join_chain_and_boundary(spark):
     assert got == brute_components(rows_of(df))
 
 
+def brute_links(rows):
+    sets = [shingles(t) for _, t in rows]
+    near = [[100 * len(a & b) >= 80 * len(a | b) for b in sets] for a in sets]
+    return Counter((i, len(s), sum(n) - 1 if s else 0) for (i, _), s, n in zip(rows, sets, near))
+
+
+@pytest.mark.parametrize("name,chunk", [("hand", 1 << 21), ("docs", 200), ("none", 100)])
+def test_ngram_links(request, name, chunk):
+    df = request.getfixturevalue(name)
+    got = jaccard_join.near_duplicates(df, chunk_shingles=chunk)
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "n_links"]
+    rows = got.collect()
+    assert Counter((r.doc_id, r.n_shingles, r.n_links) for r in rows) == brute_links(rows_of(df))
+    short = jaccard_join.near_duplicates(df, chunk_shingles=chunk, links=False)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in rows) == Counter(map(tuple, short.collect()))
+
+
+@pytest.mark.parametrize("chunk", [1 << 21, 1500])
+def test_ngram_links_of_many_distinct_near_copies(spark, chunk):
+    """Near copies that all link to the first set, but not all to each other; some of them in copies."""
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        near = [f"v{j}" for j in range(150)]
+        for at in rng.sample(range(150), i % 4):
+            near[at] = f"e{i}"
+        rows += [(100 + i, " ".join(near))] + [(500 + i, " ".join(near))] * (i % 5 == 0)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = jaccard_join.near_duplicates(df, chunk_shingles=chunk).collect()
+    expected = brute_links(rows)
+    assert len({n for _, _, n in expected}) > 3
+    assert Counter((r.doc_id, r.n_shingles, r.n_links) for r in got) == expected
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+
+
 def test_drop_near_duplicates(hand):
     out = jaccard_join.drop_near_duplicates(hand)
     assert out.columns == hand.columns
@@ -125,6 +162,19 @@ def test_prefix_tree_finds_exactly_the_similar_sets():
         assert set(tree.probe(arrays[i], len(s)).tolist()) == expected
 
 
+def test_prefix_tree_probes_in_batches_as_one_by_one(monkeypatch):
+    import numpy as np
+
+    from tabscope.llm import prefix_tree
+
+    rng = np.random.default_rng(2)
+    arrays, vocabulary = local_ids([np.unique(rng.integers(0, 60 + i % 3, 40 + i % 50)).astype(np.uint64) for i in range(90)])
+    tree = PrefixTree(arrays, [len(a) for a in arrays], vocabulary)
+    monkeypatch.setattr(prefix_tree, "CELLS", 7 * vocabulary)
+    together = {(i, own) for own, found in tree.probe_all(arrays, [len(a) for a in arrays]) for i in found.tolist()}
+    assert together == {(i, own) for i, a in enumerate(arrays) for own in tree.probe(a, len(a)).tolist()}
+
+
 def brute_removal(rows, window):
     found = Counter()
     texts = [WORD.findall(t) for _, t in rows]
