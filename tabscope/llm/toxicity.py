@@ -16,11 +16,11 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality import fold, labelled, sample_rows
-from .store import keep_ids, plain, saved
+from .store import fresh, plain, saved
 from .words import _BYTE_LOWER, Words, mix64, pieces, text_bytes
 
 SAMPLE = 8000  # labelled documents that lexicon, trees and calibration are fitted on
@@ -207,12 +207,14 @@ class ToxicityModel:
     def vectors(df: DataFrame) -> DataFrame:
         return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(df)
 
-    def score(self, df: DataFrame, doc_id: str, text: str) -> DataFrame:
-        rows = df.select(plain(doc_id).alias("doc_id"), F.coalesce(plain(text), F.lit("")).alias("text"))
+    def score(self, df: DataFrame, doc_id: str, text: str, **more: Column) -> DataFrame:
+        """doc_id, columns ``more`` and score of each row."""
+        rows = df.select(plain(doc_id).alias("doc_id"), F.coalesce(plain(text), F.lit("")).alias("text"), *[c.alias(n) for n, c in more.items()])
+        names = ["doc_id", *more]
         if self.trees is None:
-            return rows.select("doc_id", F.lit(float(self.constant)).alias("score"))
-        margins = margin(self.trees, self.vectors(featured(rows, {None: self.lexicon}))).select("doc_id", "margin")
-        return self.isotonic.transform(margins).select("doc_id", F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)).alias("score"))
+            return rows.select(*names, F.lit(float(self.constant)).alias("score"))
+        margins = margin(self.trees, self.vectors(featured(rows, {None: self.lexicon}))).select(*names, "margin")
+        return self.isotonic.transform(margins).select(*names, F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)).alias("score"))
 
 
 def margin(trees, df: DataFrame) -> DataFrame:
@@ -240,22 +242,23 @@ def train(df: DataFrame, marks: DataFrame, limit: int = SAMPLE, doc_id: str = "d
 
 
 def score_toxicity(df: DataFrame, labels: DataFrame, column: str = "toxic", folds: int = 4, held: int = 2,
-                   doc_id: str = "doc_id", text: str = "text", limit: int = SAMPLE, threshold: float = 0.3) -> DataFrame:
-    """One row per input row: doc_id, held_out, score, predicted; learnt from labels outside the held-out fold.
+                   doc_id: str = "doc_id", text: str = "text", limit: int = SAMPLE, threshold: float = 0.3, **more: Column) -> DataFrame:
+    """One row per input row: doc_id, columns ``more``, held_out, score, predicted; learnt from labels outside the held-out fold.
 
     Null and empty texts have zero features and get their score; repeated rows are scored alike; null ids are scored,
     never learnt from. Null, other than 0/1 and contradicting labels are left out. With labels of one kind only the
     score is that label, without any 0.5. An empty table gives an empty result.
     """
     marks = labelled(labels, column).where(fold(F.col("doc_id"), folds) != held)
-    return (train(df, marks, limit, doc_id, text, folds).score(df, doc_id, text)
-            .select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")))
+    return (train(df, marks, limit, doc_id, text, folds).score(df, doc_id, text, **more)
+            .select("doc_id", *more, (fold(F.col("doc_id"), folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")))
 
 
 def drop_toxic(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The input's rows (all columns) whose document is not predicted toxic.
-
-    Equal ids with different texts are judged together: one toxic text rejects the id's rows.
-    """
-    toxic = score_toxicity(df, labels, doc_id=doc_id, text=text, **options).where("predicted = 1").select("doc_id").distinct()
-    return keep_ids(df, doc_id, toxic, "left_anti")
+    """The input's rows (all columns) whose text is not predicted toxic; each row is judged by its own text, whatever its id."""
+    here, key = fresh(df, "_digest"), fresh(df, "_id")
+    digest = F.unhex(F.sha2(F.coalesce(plain(text), F.lit("")), 256))
+    toxic = (score_toxicity(df, labels, doc_id=doc_id, text=text, **options, digest=digest).where("predicted = 1")
+             .select(F.col("doc_id").alias(key), F.col("digest").alias(here + "_toxic")).distinct())
+    out = df.withColumn(here, digest).join(toxic, plain(doc_id).eqNullSafe(F.col(key)) & (F.col(here) == F.col(here + "_toxic")), "left_anti")
+    return out.select(*[plain(c) for c in df.columns])

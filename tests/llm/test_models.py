@@ -1,6 +1,7 @@
 """Chat formatting, nearest neighbours and classifiers."""
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -66,6 +67,19 @@ def test_classifiers_without_labels_and_on_odd_texts(spark, hand, none):
         assert score(none, labels).count() == 0
 
 
+def test_drop_toxic_judges_each_row_by_its_own_text(spark):
+    """One toxic text under a null or repeated id takes no clean row with it."""
+    clean, bad = "we walked to the lake and had a calm day", "you stupid idiot you are trash and scum"
+    marks = [(i, f"{clean} number {i}" if i % 2 else f"{bad} number {i}", i % 2 == 0) for i in range(200)]
+    odd = [(None, clean), (None, bad), (None, clean + " again"), (None, None), (500, clean), (500, bad), (501, ""), (501, bad), (501, bad)]
+    df = spark.createDataFrame([(i, t) for i, t, _ in marks] + odd, "doc_id long, text string").withColumn("digest", F.lit(1)).repartition(3)
+    labels = spark.createDataFrame([(i, int(toxic)) for i, _, toxic in marks], "doc_id long, toxic int")
+    out = toxicity.drop_toxic(df, labels)
+    assert out.columns == df.columns
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    assert got == Counter([(i, t) for i, t, toxic in marks if not toxic] + [r for r in odd if r[1] is None or bad not in r[1]])
+
+
 def test_attention_gradient():
     rng = np.random.default_rng(1)
     x, counts, y = rng.normal(size=(9, 4)), np.array([2, 3, 4]), np.array([1.0, 0.0, 1.0])
