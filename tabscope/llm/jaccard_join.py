@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import sketch
 from .graph import components
 from .prefix_tree import PrefixTree, local_ids
-from .store import bucket_count, keep_ids, plain, saved, text_volume
+from .store import WORD, bucket_count, fresh, plain, saved, text_volume
 from .words import Words, mix64, pairs_index, pieces
 
 SIZE = 5
@@ -71,16 +71,16 @@ def _int64(column: pa.Array) -> np.ndarray:
 
 
 def shingle_classes(rows: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, d1, d2 for each row of (doc_id, text)."""
+    """doc_id, n_shingles, d1, d2 and the text's digest for each row of (doc_id, text, digest)."""
 
     def run(batches):
         for batch in batches:
             for piece in pieces(batch, "text"):
                 sets = ShingleSets(piece.column(1), size)
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sets.sizes, pa.int64()), *(pa.array(d) for d in sets.digests.T)],
-                                                 ["doc_id", "n_shingles", "d1", "d2"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sets.sizes, pa.int64()), *(pa.array(d) for d in sets.digests.T), piece.column(2)],
+                                                 ["doc_id", "n_shingles", "d1", "d2", "digest"])
 
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, digest binary")
 
 
 PACKED = "bucket int, owners binary, counts binary, values binary"
@@ -381,6 +381,37 @@ def all_links(ordered: DataFrame, block_of: DataFrame, copies: DataFrame, chunk_
             .mapInArrow(every_link, "cls long, root long, linked long"))
 
 
+def joined(rows: DataFrame, size: int, chunk_shingles: int, links: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n_shingles, d1, d2, digest) of (doc_id, text, digest), and their classes: d1, d2, component_id,
+    n_links, first_id and digest (the row of the smallest id, then digest), kept (one class of each component)."""
+    texts = rows.select("doc_id", "text")
+    buckets = bucket_count(text_volume(texts, "text"), BUCKET_BYTES)
+    members = saved(shingle_classes(rows, size))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "digest"))
+    classes = (members.where("n_shingles > 0").groupBy("d1", "d2")
+               .agg(F.first("n_shingles").alias("n_shingles"), first.alias("first"), F.count(F.lit(1)).alias("copies"))
+               .select("d1", "d2", "n_shingles", F.col("first.doc_id").alias("first_id"), F.col("first.digest").alias("digest"), "copies"))
+    left = saved(classes.join(unshared(texts, size, buckets), ["d1", "d2"]).where(F.col("alone") * 5 <= F.col("n_shingles"))
+                 .withColumn("cls", F.monotonically_increasing_id()))
+    ordered = saved(ordered_sets(saved(class_sets(texts, left, size)), buckets))
+    if links:
+        pairs = saved(all_links(ordered, blocks(ordered), left.select("cls", "copies"), chunk_shingles))
+        linked = components(pairs.select(F.col("cls").alias("u"), F.col("root").alias("v")))
+        counts = pairs.groupBy("cls").agg(F.sum("linked").alias("linked"))
+    else:
+        linked = components(tree_links(ordered, blocks(ordered), chunk_shingles))
+        counts = linked.select(F.col("node").alias("cls"), F.lit(0).alias("linked"))
+    grouped = left.select("cls", "first_id", "d1", "d2").join(linked.withColumnRenamed("node", "cls"), "cls")
+    place = F.struct(F.col("first_id").isNull().alias("absent"), "first_id", "d1", "d2")
+    smallest = grouped.groupBy("root").agg(F.min(place).alias("least"))
+    found = (grouped.join(smallest, "root").join(counts, "cls")
+             .select("d1", "d2", F.col("least.first_id").alias("linked_id"), "linked", ((F.col("least.d1") == F.col("d1")) & (F.col("least.d2") == F.col("d2"))).alias("least")))
+    known = classes.join(found, ["d1", "d2"], "left").select(
+        "d1", "d2", F.coalesce("linked_id", "first_id").alias("component_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"),
+        "first_id", "digest", F.coalesce("least", F.lit(True)).alias("kept"))
+    return members, known
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE,
                     chunk_shingles: int = CHUNK_SHINGLES, links: bool = True) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, n_links, at a similarity of 0.8 or more.
@@ -393,36 +424,34 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     has a null id only if all its documents have. Ids are integers. Other columns are not read. An empty table gives
     an empty result.
     """
-    rows = df.select(plain(doc_id).cast("long").alias("doc_id"), F.coalesce(plain(text), F.lit("")).alias("text"))
-    buckets = bucket_count(text_volume(rows, "text"), BUCKET_BYTES)
-    members = saved(shingle_classes(rows, size))
-    classes = members.where("n_shingles > 0").groupBy("d1", "d2").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    left = saved(classes.join(unshared(rows, size, buckets), ["d1", "d2"]).where(F.col("alone") * 5 <= F.col("n_shingles"))
-                 .withColumn("cls", F.monotonically_increasing_id()))
-    ordered = saved(ordered_sets(saved(class_sets(rows, left, size)), buckets))
-    if links:
-        pairs = saved(all_links(ordered, blocks(ordered), left.select("cls", "copies"), chunk_shingles))
-        linked = components(pairs.select(F.col("cls").alias("u"), F.col("root").alias("v")))
-        counts = pairs.groupBy("cls").agg(F.sum("linked").alias("linked"))
-    else:
-        linked = components(tree_links(ordered, blocks(ordered), chunk_shingles))
-        counts = linked.select(F.col("node").alias("cls"), F.lit(0).alias("linked"))
-    grouped = left.select("cls", "first_id").join(linked.withColumnRenamed("node", "cls"), "cls")
-    smallest = grouped.groupBy("root").agg(F.min("first_id").alias("linked_id"))
-    found = (left.select("cls", "d1", "d2").join(linked.withColumnRenamed("node", "cls"), "cls").join(smallest, "root")
-             .join(counts, "cls").select("d1", "d2", "linked_id", "linked"))
-    known = classes.join(found, ["d1", "d2"], "left").select(
-        "d1", "d2", F.coalesce("linked_id", "first_id").alias("component_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-    out = members.join(known, ["d1", "d2"], "left").select(
+    rows = df.select(plain(doc_id).cast("long").alias("doc_id"), F.coalesce(plain(text), F.lit("")).alias("text"), F.lit(None).cast("binary").alias("digest"))
+    members, known = joined(rows, size, chunk_shingles, links)
+    out = members.join(known.drop("digest"), ["d1", "d2"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return out if links else out.drop("n_links")
 
 
-def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The input's rows, of each component only those of its smallest id (all columns).
+def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE,
+                         chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
+    """The input's rows, of each component one row, of its smallest id (all columns).
 
-    Rows without words stay. Of rows that repeat the kept id all stay; exact deduplication is another operator's.
+    Components are told apart by their rows, not by ids: rows that share an id, or have none, stand for their own
+    component only. Rows without words stay, all of them.
     """
-    kept = near_duplicates(df, doc_id, text, **options, links=False).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return keep_ids(df, doc_id, kept, "left_semi")
+    here, key = fresh(df, "_digest"), fresh(df, "_id")
+    value, number = here + "_kept", plain(doc_id).cast("long")
+    whole = F.coalesce(plain(text), F.lit(""))
+    digest = F.unhex(F.sha2(whole, 256))
+    members, known = joined(df.select(number.alias("doc_id"), whole.alias("text"), digest.alias("digest")), size, chunk_shingles, False)
+    kept = saved(known.where("kept").select(F.col("first_id").alias(key), F.col("digest").alias(value))
+                 .unionByName(members.where("n_shingles = 0").select(F.col("doc_id").alias(key), F.col("digest").alias(value)).distinct()))
+    out = df.withColumn(here, digest).join(kept, number.eqNullSafe(F.col(key)) & (F.col(here) == F.col(value)), "left_semi")
+    repeats = saved(members.where("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    if not repeats.isEmpty():  # ids that repeat: of their rows of one text with words one stays
+        again = repeats.select(F.col("doc_id").alias(key))
+        same = number.eqNullSafe(F.col(key))
+        worded = whole.rlike(WORD)
+        more = out.where(worded).join(again, same, "left_semi").dropDuplicates([doc_id, here])
+        out = out.where(~worded).unionByName(out.where(worded).join(again, same, "left_anti")).unionByName(more)
+    return out.select(*[plain(c) for c in df.columns])

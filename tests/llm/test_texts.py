@@ -145,6 +145,39 @@ def test_drop_near_duplicates(hand):
     assert {r.doc_id for r in out.collect()} == kept
 
 
+def test_drop_near_duplicates_keeps_one_row_of_each_component(spark, hand):
+    """Whole rows with counts: null ids, ids under several texts, rows that repeat id and text, rows without words."""
+    import random
+
+    rng = random.Random(9)
+    texts = [" ".join(f"{k}{j}" for j in range(100)) for k in "pqrst"]
+    near = [t + " end" for t in texts]
+    odd = [(None, texts[0]), (None, near[0]), (None, None), (None, None), (None, ""), (60, texts[1]), (61, near[1]), (61, texts[2]), (62, near[2]),
+           (62, texts[3]), (62, texts[3]), (63, near[3]), (60, near[4]), (60, texts[4]), (None, texts[4])]
+    rng.shuffle(odd)
+    more = spark.createDataFrame(odd, "doc_id long, text string")
+    for df in (more.withColumn("row", F.lit(1)).repartition(3), hand):
+        out = jaccard_join.drop_near_duplicates(df)
+        assert out.columns == df.columns
+        rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+        got = [(r.doc_id, r.text) for r in out.collect()]
+        assert not Counter(got) - Counter(rows)
+        assert Counter(r for r in got if not shingles(r[1] or "")) == Counter(r for r in rows if not shingles(r[1] or ""))
+        sets = [(i, shingles(t)) for i, t in rows if shingles(t or "")]
+        group = list(range(len(sets)))
+        for a in range(len(sets)):
+            for b in range(a):
+                if 100 * len(sets[a][1] & sets[b][1]) >= 80 * len(sets[a][1] | sets[b][1]):
+                    group = [group[b] if g == group[a] else g for g in group]
+        stay = Counter()
+        for i, t in got:
+            if shingles(t or ""):
+                mine = {group[j] for j, (_, s) in enumerate(sets) if s == shingles(t)}
+                assert len(mine) == 1 and i == min((sets[j][0] for j in range(len(sets)) if group[j] in mine), key=big)
+                stay.update(mine)
+        assert stay == Counter(set(group))
+
+
 def test_prefix_tree_finds_exactly_the_similar_sets():
     import random
 
