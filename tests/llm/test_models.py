@@ -54,6 +54,32 @@ def test_nearest_recall_ties_and_odd_vectors(spark):
     assert cross_polytope.nearest(df.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def test_nearest_small_tables_and_scores_closer_than_single_precision(spark):
+    """All of a few vectors are found; of many nearly parallel vectors the nearest and, at equal scores, the smallest ids."""
+    rng = np.random.default_rng(3)
+    few = rng.normal(size=(5, 48))
+    base = np.zeros(16)
+    base[0] = 1.0
+    rows = [(i, v) for i, v in enumerate(few)] + [(100, base)]
+    for i in range(60):  # multiples, larger ids first in the table
+        rows.append((300 - i, base * 2.0 ** (i - 30)))
+    for i in range(60):  # cosines that differ from 1 in the tenth digit, and are equal as floats
+        near = np.zeros(20)
+        near[0], near[1] = 1.0, 1e-5 * (60 - i)
+        rows.append((400 + i, near))
+    one = np.zeros(20)
+    one[0] = 1.0
+    rows.append((1000, one))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in sorted(cross_polytope.nearest(df, F.col("id").isin(0, 100, 1000)).collect(), key=lambda r: r.rank):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    unit = few / np.linalg.norm(few, axis=1, keepdims=True)
+    assert got[0] == sorted(range(1, 5), key=lambda i: -(unit[i] @ unit[0]))
+    assert got[100] == [241, 242, 243, 244, 245]
+    assert got[1000] == [459, 458, 457, 456, 455]
+
+
 def test_hadamard_is_orthogonal():
     h = cross_polytope.hadamard(np.eye(16))
     assert np.allclose(h @ h.T, 16 * np.eye(16))
