@@ -133,15 +133,30 @@ def pie_data(df: DataFrame, names: str, values: str, k: int = 8, by: str = "key"
 
 
 def scatter_data(df: DataFrame, x: str, y: str, max_points: int | None = None, seed: int = 42) -> DataFrame:
-    """(x, y) pairs; above ``max_points`` a seeded hash sample (a sampling operator)."""
+    """(x, y) pairs; above ``max_points`` so many of them, each row with the same chance (a sampling operator).
+
+    Pairs are counted and put in the order of a seeded hash; of the N rows in that order, those at positions
+    floor(i * N / max_points) are taken, as in ``stats.seeded_sample``.
+    """
+    from .ordered import prefix_sum
+
     pts = df.select(num(df, x).alias(x), num(df, y).alias(y))
     if max_points is None:
         return pts
     n = df.count()
     if n <= max_points:
         return pts
-    frac = max_points / n
-    return pts.where((F.abs(F.xxhash64(F.lit(seed), *[F.col(c) for c in (x, y)])) % 1000000) < int(frac * 1000000))
+    pair = [F.coalesce(c.cast("string"), F.lit("null")) for c in (F.col("x"), F.col("y"))]
+    counts = (pts.toDF("x", "y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("cnt"))
+              .withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), *pair))).withColumn("g", F.lit(0)))
+    placed = prefix_sum(counts, ["g"], ["h"], "cnt", "start")
+
+    def taken_before(p):
+        return f"({p} * {max_points} + {n - 1}) DIV {n}"
+
+    copies = F.expr(f"CAST({taken_before('(start + cnt)')} - {taken_before('start')} AS INT)")
+    return placed.select("x", "y", copies.alias("copies")).where("copies > 0").select(
+        "x", "y", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("one")).drop("one").toDF(x, y)
 
 
 def histogram(df: DataFrame, x: str, bins: int = 20) -> DataFrame:
@@ -174,7 +189,7 @@ def map_points(df: DataFrame, max_points: int | None = None, cell: float = 0.01)
     if lat is None or lon is None:
         return df.sparkSession.createDataFrame([], "lat double, lon double")
     pts = df.select(num(df, lat).alias("lat"), num(df, lon).alias("lon")).na.drop()
-    if max_points is None:
+    if max_points is None or pts.count() <= max_points:
         return pts
     return (pts.groupBy((F.floor(F.col("lat") / cell) * cell).alias("lat"), (F.floor(F.col("lon") / cell) * cell).alias("lon"))
             .agg(F.count(F.lit(1)).alias("count")))
