@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, cross_polytope, exact_dedup, jaccard_join, mixing, quality, substring_dedup, token_counts, toxicity
+from . import bpe, chat, cross_polytope, exact_dedup, jaccard_join, mixing, quality, quality_rules, substring_dedup, token_counts, toxicity
 
 SPACE, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
 
@@ -70,8 +70,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality_rules.quality_rules(_table(spark, sf_dir, "documents"), trusted).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_counts, op3_mixing, op4_quality, op5_nearest, op6_toxicity, op7_bpe,
-                                   op8_chat, op9_ngram_join, op9_ngram_links, op10_substring_dedup)}
+                                   op8_chat, op9_ngram_join, op9_ngram_links, op10_substring_dedup, op11_quality_rules)}
 
 ORACLE = {
     "op1_exact_dedup": rf"""
@@ -125,4 +131,25 @@ ORACLE = {
         x AS (SELECT doc_id, unnest(range(1, len(words) + 1)) AS k, unnest(words) AS word FROM w),
         y AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.k) AS kept, count(*) AS n FROM x ANTI JOIN c ON x.doc_id = c.doc_id AND x.k = c.k GROUP BY x.doc_id)
         SELECT w.doc_id, len(words) AS n_words, len(words) - coalesce(y.n, 0) AS n_removed, sha256(coalesce(y.kept, '')) AS kept_sha256 FROM w LEFT JOIN y ON y.doc_id = w.doc_id""",
+    "op11_quality_rules": rf"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents),
+        g AS MATERIALIZED (SELECT row, doc_id, unnest(words || [words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))]) AS gram FROM d),
+        t AS (SELECT [list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) FOR i IN range(256)] AS crc),
+        h AS (SELECT gram, list_prepend(4294967295, [('0x' || substr(hex(gram), 2 * i + 1, 2))::BIGINT FOR i IN range(strlen(gram))]) AS bytes FROM (SELECT DISTINCT gram FROM g)),
+        b AS MATERIALIZED (SELECT gram, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295) % 16384 AS bucket FROM h, t),
+        trusted AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+        n AS (SELECT bucket, count(*) AS raw, count(l.doc_id) AS target FROM g JOIN b USING (gram) LEFT JOIN trusted l ON l.doc_id = g.doc_id GROUP BY bucket),
+        w AS (SELECT bucket, round(ln((target + 5.0::DOUBLE) / (raw * ((SELECT sum(target) FROM n)::DOUBLE / (SELECT sum(raw) FROM n)) + 5.0::DOUBLE)) * 65536)::BIGINT AS weight FROM n),
+        s AS (SELECT row, sum(weight) AS total, count(*) AS n_grams FROM g JOIN b USING (gram) JOIN w USING (bucket) GROUP BY row),
+        p AS (SELECT row, i, array_to_string(words[i:i + 4], ' ') AS seq FROM (SELECT row, words, unnest(range(1, len(words) - 3)) AS i FROM d WHERE len(words) >= 5)),
+        q AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, seq) AS n FROM p) WHERE n > 1),
+        r AS (SELECT row, count(DISTINCT k) AS n FROM (SELECT row, unnest(range(i, i + 5)) AS k FROM q) GROUP BY row),
+        f AS (SELECT d.row, doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '{SPACE}', '', 'g'))::BIGINT AS word_chars,
+                     (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+                     (len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')))
+                      - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')))))::BIGINT AS n_dup_lines,
+                     coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN r ON r.row = d.row)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+               NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(total, 0) >= -7209 * coalesce(n_grams, 0) AS kept
+        FROM f LEFT JOIN s ON s.row = f.row""",
 }
