@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, cross_polytope, exact_dedup, jaccard_join, mixing, quality, quality_rules, substring_dedup, token_counts, toxicity
+from . import bpe, chat, cross_polytope, exact_dedup, jaccard_join, merkle, mixing, quality, quality_rules, substring_dedup, token_counts, toxicity
 
 SPACE, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
 
@@ -76,8 +76,14 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forged = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return merkle.document_manifest(_table(spark, sf_dir, "documents"), forged).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_counts, op3_mixing, op4_quality, op5_nearest, op6_toxicity, op7_bpe,
-                                   op8_chat, op9_ngram_join, op9_ngram_links, op10_substring_dedup, op11_quality_rules)}
+                                   op8_chat, op9_ngram_join, op9_ngram_links, op10_substring_dedup, op11_quality_rules, op13_merkle_manifest)}
 
 ORACLE = {
     "op1_exact_dedup": rf"""
@@ -152,4 +158,34 @@ ORACLE = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
                NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(total, 0) >= -7209 * coalesce(n_grams, 0) AS kept
         FROM f LEFT JOIN s ON s.row = f.row""",
+    "op13_merkle_manifest": r"""
+        WITH RECURSIVE t AS (SELECT [list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) FOR i IN range(256)] AS crc),
+        d AS MATERIALIZED (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+                                  coalesce(strlen(text) || ':' || text, '-') AS tail,
+                                  xor(list_reduce(list_prepend(4294967295, [ascii(x) FOR x IN string_split(doc_id::VARCHAR, '')]), lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295) % 7 = 0 AS forged
+                           FROM documents, t),
+        l AS MATERIALIZED (SELECT doc_id, lang, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+                                  CASE WHEN forged THEN sha256(head || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || tail) END AS other FROM d),
+        p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM l),
+        a(level, lang, pos, h, n) AS (SELECT 0, lang, pos, leaf, n FROM p UNION ALL
+            SELECT level + 1, lang, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), max((n + 1) // 2) FROM a WHERE n > 1 GROUP BY level, lang, pos // 2),
+        nodes AS MATERIALIZED (SELECT * FROM a),
+        s AS MATERIALIZED (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+        b(level, pos, h, n) AS (SELECT 0, pos, subroot, n FROM s UNION ALL
+            SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), max((n + 1) // 2) FROM b WHERE n > 1 GROUP BY level, pos // 2),
+        tops AS MATERIALIZED (SELECT * FROM b),
+        steps AS MATERIALIZED (
+            SELECT o.level, o.lang, o.pos, o.pos % 2 AS own, coalesce(x.h, '') AS sibling FROM nodes o
+            LEFT JOIN nodes x ON x.level = o.level AND x.lang IS NOT DISTINCT FROM o.lang AND x.pos = xor(o.pos, 1) WHERE o.n > 1),
+        above AS MATERIALIZED (SELECT s.lang, list(struct_pack(own := o.pos % 2, sibling := coalesce(x.h, '')) ORDER BY o.level) AS path FROM s
+            JOIN tops o ON o.pos = s.pos >> o.level AND o.n > 1 LEFT JOIN tops x ON x.level = o.level AND x.pos = xor(o.pos, 1) GROUP BY s.lang),
+        inside AS MATERIALIZED (SELECT p.lang, p.pos, list(struct_pack(own := e.own, sibling := e.sibling) ORDER BY e.level) AS path
+            FROM p JOIN steps e ON e.lang IS NOT DISTINCT FROM p.lang AND e.pos = p.pos >> e.level GROUP BY p.lang, p.pos),
+        f AS (SELECT p.*, s.subroot, (SELECT h FROM tops WHERE n = 1) AS root, coalesce(i.path, []) || coalesce(u.path, []) AS path FROM p
+              JOIN s ON s.lang IS NOT DISTINCT FROM p.lang LEFT JOIN above u ON u.lang IS NOT DISTINCT FROM p.lang
+              LEFT JOIN inside i ON i.lang IS NOT DISTINCT FROM p.lang AND i.pos = p.pos),
+        z AS (SELECT *, sha256(array_to_string([e.sibling FOR e IN path], '')) AS proof_sha256,
+                     list_reduce(list_prepend(coalesce(other, leaf), [e.own || e.sibling FOR e IN path]),
+                                 lambda h, e: CASE WHEN e[1] = '0' THEN sha256(h || e[2:]) ELSE sha256(e[2:] || h) END) AS folded_root FROM f)
+        SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM z""",
 }

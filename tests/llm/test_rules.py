@@ -1,5 +1,6 @@
 """Quality rules, filter interaction audit and Merkle manifest against brute force."""
 
+import hashlib
 import math
 import re
 import zlib
@@ -8,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tabscope.llm import quality_rules
+from tabscope.llm import merkle, quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -72,3 +73,77 @@ def test_keep_good_judges_rows(spark):
     kept = quality_rules.keep_good(df, trusted)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == list(range(60))
+
+
+def sha(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def encode(*values):
+    return "".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values)
+
+
+def levels(hashes, fanout):
+    out = [hashes]
+    while len(out[-1]) > 1:
+        out.append([sha(*out[-1][i:i + fanout]) for i in range(0, len(out[-1]), fanout)])
+    return out
+
+
+def route(tree, at, fanout):
+    """(before, after) of a leaf at each level below the root."""
+    path = []
+    for nodes in tree[:-1]:
+        first = at - at % fanout
+        path.append(("".join(nodes[first:at]), "".join(nodes[at + 1:first + fanout])))
+        at //= fanout
+    return path
+
+
+def brute_manifest(rows, fanout):
+    parts = {}
+    for r in rows:
+        leaf = sha(encode(r.doc_id, r.source, r.lang, r.n_chars, r.text))
+        hit = r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 7 == 0
+        other = sha(encode(r.doc_id, r.source, r.lang, None if r.n_chars is None else r.n_chars + 1, r.text)) if hit else leaf
+        parts.setdefault(r.lang, []).append(((r.doc_id is not None, r.doc_id or 0), leaf, other, r.doc_id))
+    names = sorted(parts, key=lambda x: (x is not None, (x or "").encode()))
+    trees = {}
+    for name in names:
+        parts[name].sort(key=lambda x: x[:2])
+        trees[name] = levels([x[1] for x in parts[name]], fanout)
+    top = levels([trees[name][-1][0] for name in names], fanout) if names else []
+    out = Counter()
+    for k, name in enumerate(names):
+        for at, (_, leaf, other, doc_id) in enumerate(parts[name]):
+            path = route(trees[name], at, fanout) + route(top, k, fanout)
+            h = other
+            for before, after in path:
+                h = sha(before, h, after)
+            out[(doc_id, leaf, trees[name][-1][0], top[-1][0], sha(*[x for e in path for x in e]), h, h == top[-1][0])] += 1
+    return out
+
+
+def manifest_rows(n):
+    """Parts of one to many rows, null and empty values, repeated ids and rows, an id at the end of the long range."""
+    rows = [(i, f"text {i} é" * (i % 4), ("en", "de", "fr")[i % 3 if i % 5 else 0], ("a", None, "")[i % 3], None if i % 6 == 0 else i) for i in range(n)]
+    return rows + [(5, "alone", "it", None, 2**63 - 1), (7, None, None, None, None), (None, "", None, "a", 0), (None, "x", "en", "a", 0), rows[3], rows[3], rows[3],
+                   (2**63 - 1, "long " * 50_000, "en", "s", 1), (14, "tie", "Ünï", "s", 2**63 - 1)]
+
+
+@pytest.mark.parametrize("n,fanout,height", [(60, 2, 4), (60, 2, 1), (45, 3, 2), (4, 4, 2)])
+def test_manifest(spark, n, fanout, height):
+    df = spark.createDataFrame(manifest_rows(n), "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    clashing = df.select("*", *[F.lit(1).alias(c) for c in ("part", "pos", "h", "n", "block", "_row", "path", "leaf", "root")])
+    out = merkle.document_manifest(clashing, hit, fanout, height).collect()
+    got = Counter((r.doc_id, r.leaf, r.subroot, r.root, r.proof_sha256, r.folded_root, r.verified) for r in out)
+    assert got == brute_manifest(df.collect(), fanout)
+    assert {r.verified for r in out} == {True, False}
+
+
+def test_manifest_of_one_row_and_none(spark):
+    df = spark.createDataFrame([(3, "only", "en", "a", 4)], "doc_id long, text string, lang string, source string, n_chars long")
+    one = merkle.document_manifest(df).first()
+    assert one.root == one.leaf == one.subroot == one.folded_root and one.path == [] and one.verified and one.proof_sha256 == sha("")
+    assert merkle.document_manifest(df.limit(0)).collect() == []
