@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, cross_polytope, exact_dedup, jaccard_join, merkle, mixing, quality, quality_rules, substring_dedup, token_counts, toxicity
+from . import bpe, chat, cross_polytope, exact_dedup, filter_audit, jaccard_join, merkle, mixing, quality, quality_rules, substring_dedup, token_counts, toxicity
 
 SPACE, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
 
@@ -76,6 +76,10 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", _table(spark, sf_dir, "labels"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     forged = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
     return merkle.document_manifest(_table(spark, sf_dir, "documents"), forged).select(
@@ -83,7 +87,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_counts, op3_mixing, op4_quality, op5_nearest, op6_toxicity, op7_bpe,
-                                   op8_chat, op9_ngram_join, op9_ngram_links, op10_substring_dedup, op11_quality_rules, op13_merkle_manifest)}
+                                   op8_chat, op9_ngram_join, op9_ngram_links, op10_substring_dedup, op11_quality_rules, op12_filter_audit, op13_merkle_manifest)}
 
 ORACLE = {
     "op1_exact_dedup": rf"""
@@ -188,4 +192,28 @@ ORACLE = {
                      list_reduce(list_prepend(coalesce(other, leaf), [e.own || e.sibling FOR e IN path]),
                                  lambda h, e: CASE WHEN e[1] = '0' THEN sha256(h || e[2:]) ELSE sha256(e[2:] || h) END) AS folded_root FROM f)
         SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM z""",
+    "op12_filter_audit": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents),
+        m AS (SELECT *, min(doc_id) OVER (PARTITION BY text) AS first FROM w),
+        d AS MATERIALIZED (SELECT part, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = m.doc_id AND l.quality = 1) AS good,
+                     EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = m.doc_id AND l.toxic = 1) AS toxic,
+                     CASE WHEN len(words) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 2 ELSE 0 END
+                     + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 4 ELSE 0 END
+                     + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+                     + CASE WHEN first IS NOT NULL AND (doc_id IS NULL OR doc_id > first) THEN 16 ELSE 0 END AS mask FROM m),
+        c AS MATERIALIZED (SELECT part, mask, good, toxic, count(*) AS n FROM d GROUP BY ALL),
+        o(filter_order, step, bit, before) AS (
+            SELECT letter, 1, bit, 0 FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) f(letter, bit)
+            UNION ALL SELECT filter_order || letter, step + 1, f.bit, before + o.bit FROM o JOIN (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) f(letter, bit)
+            ON (before + o.bit) & f.bit = 0),
+        s AS MATERIALIZED (SELECT full_order.filter_order, o.step, o.bit, o.before FROM o JOIN o full_order ON full_order.step = 5 AND starts_with(full_order.filter_order, o.filter_order)),
+        r AS (SELECT part, filter_order, step, bit, sum(CASE WHEN mask & (bit | before) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+                     sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+                     sum(CASE WHEN mask & bit <> 0 AND mask & before <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+                     sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                     sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 AND good THEN n ELSE 0 END)::BIGINT AS good_lost,
+                     sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost
+              FROM c, s GROUP BY part, filter_order, step, bit)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r""",
 }

@@ -12,6 +12,7 @@ from tabscope.session import ensure_checkpoint_dir
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -45,6 +46,18 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def words_of(text: Column) -> Column:
+    """The words of a text (not null) in order."""
+    inner = F.btrim(text, F.lit(BLANKS))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE))
+
+
+def fixed(*columns: Column) -> Column:
+    """The columns as the single row of a generator: computed once a row, and no filter of a caller is pushed below them
+    (pushed filters repeat the expressions they name, and would split the text again for each word)."""
+    return F.inline(F.array(F.struct(*columns)))
+
+
 def keep_ids(df: DataFrame, doc_id: str, ids: DataFrame, how: str) -> DataFrame:
     """Semi or anti join of a frame with the first column of ``ids``, null ids equal; the frame's columns stay."""
     key = fresh(df, "_id")

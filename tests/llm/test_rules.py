@@ -4,12 +4,13 @@ import hashlib
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
+from itertools import permutations
 
 import pytest
 from pyspark.sql import functions as F
 
-from tabscope.llm import merkle, quality_rules
+from tabscope.llm import filter_audit, merkle, quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -147,3 +148,77 @@ def test_manifest_of_one_row_and_none(spark):
     one = merkle.document_manifest(df).first()
     assert one.root == one.leaf == one.subroot == one.folded_root and one.path == [] and one.verified and one.proof_sha256 == sha("")
     assert merkle.document_manifest(df.limit(0)).collect() == []
+
+
+def brute_audit(rows, good, toxic):
+    rows = [(i, t or "", p or "") for i, t, p in rows]
+    least = {}
+    for i, t, _ in rows:
+        least[t] = min(least.get(t, (True, 0)), (i is None, i or 0))
+    marked = []
+    for i, t, p in rows:
+        w = WORD.findall(t)
+        fails = {"A": len(w) < 50, "B": 100 * len(set(w)) < 65 * len(w), "C": 100 * sum("A" <= c <= "Z" for c in t) > 5 * len(t),
+                 "D": bool(re.search(r"[#$%&*|]", t)), "E": (i is None, i or 0) > least[t]}
+        marked.append((p, {f for f, x in fails.items() if x}, i in good, i in toxic))
+    out, shapley = {}, defaultdict(int)
+    for p in {m[0] for m in marked}:
+        for order in map("".join, permutations("ABCDE")):
+            for k, f in enumerate(order):
+                own = [m for m in marked if m[0] == p]
+                gone = [m for m in own if f in m[1] and not m[1] & set(order[:k])]
+                shapley[p, f] += len(gone)
+                out[p, order, k + 1] = (sum(not m[1] & set(order[:k + 1]) for m in own), len(gone), sum(f in m[1] and bool(m[1] & set(order[:k])) for m in own),
+                                        sum(m[1] == {f} for m in own), sum(m[2] for m in gone), sum(m[3] for m in gone))
+    return {(*key, *v, shapley[key[0], key[1][key[2] - 1]]) for key, v in out.items()}
+
+
+def audit_rows():
+    """Copies whose smallest id comes late, repeated rows and ids, null ids, texts and parts, a text of each failure."""
+    long = " ".join(f"w{i}" for i in range(60))
+    texts = [None, "", "short", long, long + " #", long.upper(), "la " * 90, "LA| " * 90, long]
+    rows = [(100 - i, texts[i % len(texts)], ("a", "b", None)[i % 3]) for i in range(60)]
+    return rows + [(None, long, "a"), (None, "alone", "b"), (None, "alone", "c"), rows[3], rows[3], (41, long, "only here"), (5, "x " * 100_000, "a")]
+
+
+@pytest.fixture(scope="module")
+def audit_table(spark, tmp_path_factory):
+    """Five files, so that several micro-batches bring smaller ids of texts already counted."""
+    path = str(tmp_path_factory.mktemp("audit") / "documents.parquet")
+    rows = audit_rows()
+    for k in range(5):
+        part = spark.createDataFrame(rows[k::5], "doc_id long, text string, source string").withColumn("mask", F.lit(1)).withColumn("id", F.lit(2))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+AUDIT = ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
+
+
+@pytest.mark.parametrize("batches", [1, 5])
+def test_audit(spark, audit_table, batches):
+    labels = spark.createDataFrame([(i, i % 2, i % 3 // 2) for i in range(200)] + [(50, None, None), (None, 1, 1), (51, 0, 1)], "doc_id long, quality int, toxic int")
+    good = {r.doc_id for r in labels.where("quality = 1 and doc_id is not null").collect()}
+    toxic = {r.doc_id for r in labels.where("toxic = 1 and doc_id is not null").collect()}
+    got = filter_audit.audit(spark, audit_table, labels, batches=batches)
+    assert {tuple(r[c] for c in AUDIT) for r in got.collect()} == brute_audit(audit_rows(), good, toxic)
+
+
+def test_audit_retracts_and_repeats_a_batch(spark, tmp_path):
+    """A batch that is added again after a failure counts once; a smaller id moves the earlier original to the copies."""
+    marks = filter_audit.marks_of(spark.createDataFrame([(9, 1, 0)], "doc_id long, quality int, toxic int"))
+    state = filter_audit.Audit(spark, str(tmp_path / "audit"), marks)
+    one = filter_audit.rows_of(spark.createDataFrame([(9, "same", "p"), (9, "same", "p"), (12, "same", "q")], "doc_id long, text string, source string"), "doc_id", "text", "source")
+    two = filter_audit.rows_of(spark.createDataFrame([(3, "same", "q"), (9, "same", "p")], "doc_id long, text string, source string"), "doc_id", "text", "source")
+    counted = lambda: {(r.part, r["mask"] & 16, r.good): r.n for r in state.counters().collect()}
+    state.add(one, 0)
+    assert counted() == {("p", 0, True): 2, ("q", 16, False): 1}
+    state.add(two, 1)
+    state.add(two, 1)
+    assert counted() == {("p", 16, True): 3, ("q", 16, False): 1, ("q", 0, False): 1}
+
+
+def test_audit_of_an_empty_table(spark, tmp_path):
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(path)
+    assert filter_audit.audit(spark, path, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect() == []
