@@ -14,32 +14,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import SPACE, plain, saved
+from .store import BLANKS, fixed, plain, saved, words_of
 
 BUCKETS = 1 << 14
 PRIOR = 5.0  # added to both expected and seen trusted counts of a bucket: rare n-grams weigh little
 THRESHOLD = -0.11  # least mean log ratio of a document that stays
 SCALE = 65536  # fixed-point unit of the weights
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 RUN = 5  # words of a window whose repetition counts
 LEAST_WORDS, MOST_REPEATED = 10, 20  # fewer words, or more than this percentage in repeated windows, fail
 
 
-def words_of(text: Column) -> Column:
-    """The words of a text in order."""
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
-
-
 def bucket_of(gram: Column, buckets: int) -> Column:
     return (F.crc32(gram.cast("binary")) % buckets).cast("int")
 
 
-def fixed(*columns: Column) -> Column:
-    """The columns as the single row of a generator: computed once a row, and no filter of a caller is pushed below them
-    (pushed filters repeat the expressions they name, and would split the text again for each word)."""
-    return F.inline(F.array(F.struct(*columns)))
-
-
 def gram_buckets(words: Column, buckets: int) -> Column:
     """Buckets of all words and of all pairs of neighbouring words (one space between), repeats included."""
     later = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
@@ -77,38 +66,41 @@ def bucket_weights(counts: DataFrame, buckets: int = BUCKETS, prior: float = PRI
 def repeated_words(words: Column, run: int = RUN) -> Column:
     """Words covered by windows of ``run`` words that occur twice or more in the same text, first occurrence included.
 
-    Distinct window hashes prove most texts free of repeats. Only the others sort their windows, by hash and then word
-    by word, and compare neighbours, so a hash collision changes no result.
+    Distinct window hashes prove most texts free of repeats. Only the others sort their windows by hash and compare
+    neighbours, by hash and word by word.
     """
-    starts = F.sequence(F.lit(0), F.size(words) - run)
-
-    def window(i: Column) -> list[Column]:
-        return [F.get(words, i + k) for k in range(run)]  # slice() would copy the whole array for each window
-
-    hashed = F.transform(starts, lambda i: F.xxhash64(*window(i)))
-    unique = (F.size(words) <= run) | (F.size(F.array_distinct(hashed)) == F.size(words) - (run - 1))
-    windows = F.sort_array(F.transform(starts, lambda i: F.struct(F.xxhash64(*window(i)).alias("h"), F.struct(*window(i)).alias("w"), i.alias("i"))))
+    def word(i: Column, k: int) -> Column:
+        return F.get(words, i + k)  # slice() would copy the whole array for each window
 
     def same(one: Column, other: Column) -> Column:
-        return F.coalesce((one["h"] == other["h"]) & (one["w"] == other["w"]), F.lit(False))
+        equal = one["h"] == other["h"]
+        for k in range(run):
+            equal = equal & (word(one["i"], k) == word(other["i"], k))
+        return F.coalesce(equal, F.lit(False))
+
+    def covered(hashes: Column) -> Column:
+        # Each array is bound as the element of a one-element array, so that it is made once and not for each neighbour.
+        ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        places = F.sort_array(F.get(F.transform(F.array(ordered), lambda s: F.transform(
+            F.filter(s, lambda x, k: same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1))), lambda x: x["i"])), F.lit(0)))
+        none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-run).alias("last"))
+        return F.aggregate(places, none, lambda a, i: F.struct(
+            (a["n"] + F.least(F.lit(run), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
 
-    # The sorted windows are the element of a one-element array, so that they are sorted once and not for each neighbour.
-    places = F.flatten(F.transform(F.array(windows), lambda s: F.transform(
-        F.filter(s, lambda x, k: same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1))), lambda x: x["i"])))
-    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-run).alias("last"))
-    covered = F.aggregate(F.sort_array(places), none, lambda a, i: F.struct(
-        (a["n"] + F.least(F.lit(run), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
-    return F.when(unique, F.lit(0).cast("long")).otherwise(covered)
+    hashed = F.transform(F.sequence(F.lit(0), F.size(words) - run), lambda i: F.xxhash64(*[word(i, k) for k in range(run)]))
+    counted = F.get(F.transform(F.array(hashed), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h))), F.lit(0))
+    return F.when(F.size(words) <= run, F.lit(0).cast("long")).otherwise(counted)
 
 
 def surface(text: Column, words: Column) -> dict[str, Column]:
     """Counts of one text (not null): n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    lines = F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(BLANKS)) != "")
+    repeated = F.get(F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x))), F.lit(0))
     counts = {
         "n_words": F.size(words),
-        "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")),
-        "n_symbols": F.length(text) - F.length(F.translate(text, SYMBOLS, "")),
-        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+        "word_chars": F.length(F.array_join(words, "")),
+        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)),
+        "n_dup_lines": repeated,
         "n_repeat_words": repeated_words(words),
     }
     return {name: value.cast("long") for name, value in counts.items()}
