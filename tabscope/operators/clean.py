@@ -4,9 +4,9 @@ Nothing changes a table unless ``apply_cleaning`` is called with the step
 ids; steps always run in the fixed order drop-high-missing -> dedup ->
 median -> mode -> winsorize, each on the previous step's output.
 
-Per-column statistics (medians, modes, IQR fences) are computed as a
-one-row frame and cross-joined as a broadcast: its size is one row whatever
-the data size.
+Medians and IQR fences are exact order statistics (``brackets``), known when
+a step is planned and put into its projection as constants; modes are a
+one-row frame joined as a broadcast, whatever the data size.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ from pyspark.sql import types as T
 
 from ..functions.columns import (DATETIME_TYPES, NUMERIC_TYPES, as_text, col, is_missing, num,
                                  numeric_columns, q)
-from .profile import iqr_bounds, quantiles_from_ranked, ranked_values
+from ..session import saved
+from .brackets import Sketch, interpolate, order_statistics, quantile_ranks
+from .profile import iqr_fences
 
 # Step identifiers (the public names of the steps).
 DROP_HIGH_MISSING = "drop_high_missing_columns"
@@ -125,22 +127,62 @@ def _one_row(df: DataFrame, names: list[str], long: DataFrame, value_col: str) -
                                 for i, c in enumerate(names)])
 
 
-def impute_median(df: DataFrame) -> DataFrame:
-    """Numeric NULL/NaN -> exact column median; numeric columns come back as DOUBLE."""
-    cols = numeric_columns(df)
-    if not cols:
-        return df
-    med = quantiles_from_ranked(ranked_values(df, cols), [0.5])
-    stats = F.broadcast(_one_row(df, cols, med, "value"))
-    out = df.crossJoin(stats)
+def _numeric_rules(df: DataFrame, median: bool, fences: bool) -> dict[str, tuple[float | None, tuple[float, float] | None]]:
+    """By numeric column the median that fills its gaps and the fences that clip it, from three scans for both.
+
+    Filling z gaps with the median m puts z copies of m into the sorted values. A rank of the filled column is then m,
+    or the same rank of the values below m, or the rank less z of those above: the fences of the filled column come
+    from the ranks of the original one, and nothing is filled and sorted again.
+    """
+    columns = numeric_columns(df)
+    sketch = Sketch(df, columns)
+    gaps = {c: sketch.rows - sketch.count[c] if median else 0 for c in columns}
+    filled = {c: sketch.count[c] + gaps[c] if sketch.count[c] else 0 for c in columns}
+    ranks = {}
+    for c in columns:
+        quarter = quantile_ranks(filled[c], [0.25, 0.75]) if fences else []
+        ranks[c] = (quantile_ranks(sketch.count[c], [0.5]) if median else []) + quarter + [r - gaps[c] for r in quarter]
+    found, _ = order_statistics(df, sketch, ranks)
+    out = {}
+    for c in columns:
+        n, z, middle = sketch.count[c], gaps[c], None
+        if median and n:
+            low, high = (found[c, r] for r in (quantile_ranks(n, [0.5])[0], quantile_ranks(n, [0.5])[-1]))
+            middle = interpolate(lambda r, c=c: found[c, r].value, n, 0.5)
+            at = next((h for h in (low, high) if h.value == middle), None)
+            below, equal = (at.below, at.equal) if at else (high.below, 0)
+
+        def value_at(rank, c=c, z=z):
+            if not z or rank < below:
+                return found[c, rank].value
+            return middle if rank < below + equal + z else found[c, rank - z].value
+
+        clip = None
+        if fences and n:
+            q1, q3 = (interpolate(value_at, filled[c], p) for p in (0.25, 0.75))
+            clip = iqr_fences({c: [q1, q3]})[c][2:]
+        out[c] = (middle, clip)
+    return out
+
+
+def _apply_rules(df: DataFrame, rules: dict) -> DataFrame:
+    """One projection; numeric columns come back as DOUBLE."""
     sel = []
     for f in df.schema.fields:
-        if f.name in cols:
-            i = cols.index(f.name)
-            sel.append(F.coalesce(num(df, f.name), F.col(f"_s{i}")).alias(f.name))
-        else:
+        if f.name not in rules:
             sel.append(col(f.name))
-    return out.select(*sel)
+            continue
+        middle, clip = rules[f.name]
+        v = num(df, f.name) if middle is None else F.coalesce(num(df, f.name), F.lit(middle))
+        if clip is not None:
+            v = F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(clip[0])), F.lit(clip[1])))
+        sel.append(v.alias(f.name))
+    return df.select(*sel)
+
+
+def impute_median(df: DataFrame) -> DataFrame:
+    """Numeric NULL/NaN -> exact column median; numeric columns come back as DOUBLE."""
+    return _apply_rules(df, _numeric_rules(df, True, False)) if numeric_columns(df) else df
 
 
 def column_modes(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -176,24 +218,7 @@ def impute_mode(df: DataFrame) -> DataFrame:
 
 def winsorize(df: DataFrame) -> DataFrame:
     """Clip numeric values to the IQR fences; NULLs stay NULL; result DOUBLE."""
-    cols = numeric_columns(df)
-    if not cols:
-        return df
-    b = iqr_bounds(df, cols)
-    lo = _one_row(df, cols, b, "lower")
-    hi = _one_row(df, cols, b, "upper").select(*[F.col(f"_s{i}").alias(f"_h{i}") for i in range(len(cols))])
-    out = df.crossJoin(F.broadcast(lo.crossJoin(hi)))
-    sel = []
-    for f in df.schema.fields:
-        if f.name in cols:
-            i = cols.index(f.name)
-            v = num(df, f.name)
-            clipped = F.when(v.isNull(), v).when(F.col(f"_s{i}").isNull(), v).otherwise(
-                F.least(F.greatest(v, F.col(f"_s{i}")), F.col(f"_h{i}")))
-            sel.append(clipped.alias(f.name))
-        else:
-            sel.append(col(f.name))
-    return out.select(*sel)
+    return _apply_rules(df, _numeric_rules(df, False, True)) if numeric_columns(df) else df
 
 
 def standard_scale(df: DataFrame) -> DataFrame:
@@ -264,13 +289,7 @@ def datetime_parts(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     return out
 
 
-_STEPS = {
-    DROP_HIGH_MISSING: drop_high_missing,
-    DROP_DUPLICATES: drop_duplicates,
-    IMPUTE_MEDIAN: impute_median,
-    IMPUTE_MODE: impute_mode,
-    WINSORIZE: winsorize,
-}
+_STEPS = {DROP_HIGH_MISSING: drop_high_missing, DROP_DUPLICATES: drop_duplicates}
 
 
 def apply_cleaning(df: DataFrame, operations: list[str] | None = None,
@@ -278,15 +297,21 @@ def apply_cleaning(df: DataFrame, operations: list[str] | None = None,
     """C11: run the approved steps in the fixed order; unknown ids are ignored.
 
     ``operations=None`` means the safe defaults, of which there are none, so
-    the table comes back unchanged; so does ``apply=False``.
+    the table comes back unchanged; so does ``apply=False``. Modes concern the
+    columns that medians and fences don't, so the numeric steps share their scans.
     """
     if not apply:
         return df, []
-    ops = set(operations or [])
-    applied = []
+    applied = [step for step in APPLY_ORDER if step in set(operations or [])]
     out = df
-    for step in APPLY_ORDER:
-        if step in ops:
+    for step in (DROP_HIGH_MISSING, DROP_DUPLICATES):
+        if step in applied:
             out = _STEPS[step](out)
-            applied.append(step)
-    return out, applied
+    if DROP_DUPLICATES in applied and len(applied) > applied.index(DROP_DUPLICATES) + 1:
+        out = saved(out)  # the later steps scan it several times
+    rules = {}
+    if {IMPUTE_MEDIAN, WINSORIZE} & set(applied) and numeric_columns(out):
+        rules = _numeric_rules(out, IMPUTE_MEDIAN in applied, WINSORIZE in applied)
+    if IMPUTE_MODE in applied:
+        out = impute_mode(out)
+    return _apply_rules(out, rules), applied

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import (FLOAT_TYPES, as_text, col, is_missing, kind_of,
                                  numeric_columns, categorical_columns, num)
+from .brackets import column_quantiles
 from .quantiles import pick_quantiles, ranked_counts
 
 SUMMARY_PROBS = [0.25, 0.5, 0.75]
@@ -81,39 +82,46 @@ def _pivot_probs(qs: DataFrame, probs: list[float], names: list[str], keys: list
     return qs.groupBy(*keys, "column_name").agg(*aggs)
 
 
-def numeric_summary(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
-    """(column_name, ordinal, count, mean, std, min, p25, p50, p75, max) — pandas ``describe``.
+SUMMARY_SCHEMA = ("column_name string, ordinal int, count long, mean double, std double, min double, "
+                  "p25 double, p50 double, p75 double, max double")
 
-    Moments come from one wide aggregate; quartiles from the distributed
-    exact quantile (or ``percentile_approx`` when ``exact=False``).
-    """
-    columns = columns if columns is not None else numeric_columns(df)
-    spark = df.sparkSession
-    schema = ("column_name string, ordinal int, count long, mean double, std double, min double, "
-              "p25 double, p50 double, p75 double, max double")
-    if not columns:
-        return spark.createDataFrame([], schema)
-    from ..functions.aggregates import one_row_agg
 
+def summary_specs(df: DataFrame, columns: list[str]) -> list[tuple]:
+    """Aggregates of the plain moments of each column, for one scan."""
     specs = []
     for i, c in enumerate(columns):
         v = num(df, c)
         specs += [(f"n{i}", F.count(v), 1), (f"a{i}", F.avg(v), 2), (f"s{i}", F.stddev_samp(v), 3),
                   (f"lo{i}", F.min(v), 1), (f"hi{i}", F.max(v), 1)]
-    wide = one_row_agg(df, specs)
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(df.columns.index(c)).alias("ordinal"),
-                              F.col(f"n{i}").alias("count"), F.col(f"a{i}").alias("mean"),
-                              F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"),
-                              F.col(f"hi{i}").alias("max")) for i, c in enumerate(columns)])
-    moments = wide.select(F.inline(rows))
+    return specs
+
+
+def summary_rows(df: DataFrame, columns: list[str], quartiles: dict[str, list], row: dict) -> list[tuple]:
+    """Rows of ``SUMMARY_SCHEMA`` from the quartiles and the aggregates of ``summary_specs``."""
+    return [(c, df.columns.index(c), row[f"n{i}"], row[f"a{i}"], row[f"s{i}"], row[f"lo{i}"], *quartiles[c], row[f"hi{i}"])
+            for i, c in enumerate(columns)]
+
+
+def numeric_summary(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
+    """(column_name, ordinal, count, mean, std, min, p25, p50, p75, max) — pandas ``describe``.
+
+    Exact quartiles in three scans (``brackets``), the moments on the way of the second; one row per column comes back
+    through the driver. ``exact=False`` takes ``percentile_approx``.
+    """
+    columns = columns if columns is not None else numeric_columns(df)
+    spark = df.sparkSession
+    if not columns:
+        return spark.createDataFrame([], SUMMARY_SCHEMA)
     if exact:
-        qs = quantiles_from_ranked(ranked_values(df, columns), SUMMARY_PROBS)
+        quartiles, _, row = column_quantiles(df, columns, SUMMARY_PROBS, more=lambda _: summary_specs(df, columns))
     else:
         from .quantiles import quantiles
-        qs = quantiles(df, columns, SUMMARY_PROBS, exact=False)
-    quart = _pivot_probs(qs, SUMMARY_PROBS, ["p25", "p50", "p75"], [])
-    return moments.join(quart, "column_name", "left").select(
-        "column_name", "ordinal", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+        from ..functions.aggregates import one_row_agg
+
+        row = one_row_agg(df, summary_specs(df, columns)).first().asDict()
+        near = {(r["column_name"], r["prob"]): r["value"] for r in quantiles(df, columns, SUMMARY_PROBS, exact=False).collect()}
+        quartiles = {c: [near.get((c, p)) for p in SUMMARY_PROBS] for c in columns}
+    return spark.createDataFrame(summary_rows(df, columns, quartiles, row), SUMMARY_SCHEMA)
 
 
 def value_frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -149,32 +157,41 @@ def categorical_summary(df: DataFrame, columns: list[str] | None = None, k: int
     return distinct.join(top, "column_name").select("column_name", "n_distinct", "rank", "value", "count")
 
 
-def iqr_bounds(df: DataFrame, columns: list[str] | None = None, ranked: DataFrame | None = None,
-               keys: list[str] | None = None) -> DataFrame:
+def iqr_fences(quartiles: dict[str, list]) -> dict[str, tuple[float, float, float, float]]:
+    """(q1, q3, lower, upper) of each column that has values; fences 1.5 interquartile ranges beyond the quartiles."""
+    return {c: (q1, q3, q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)) for c, (q1, q3) in quartiles.items() if q1 is not None}
+
+
+def iqr_bounds(df: DataFrame, columns: list[str] | None = None, keys: list[str] | None = None) -> DataFrame:
     """(keys..., column_name, q1, q3, lower, upper) with q -/+ 1.5 IQR; all-null columns skipped."""
     keys = keys or []
     columns = columns if columns is not None else numeric_columns(df)
-    ranked = ranked if ranked is not None else ranked_values(df, columns, keys)
-    qs = _pivot_probs(quantiles_from_ranked(ranked, [0.25, 0.75], keys), [0.25, 0.75], ["q1", "q3"], keys)
+    if not keys:
+        fences = iqr_fences(column_quantiles(df, columns, [0.25, 0.75])[0])
+        return df.sparkSession.createDataFrame([(c, *f) for c, f in fences.items()], "column_name string, q1 double, q3 double, lower double, upper double")
+    qs = _pivot_probs(quantiles_from_ranked(ranked_values(df, columns, keys), [0.25, 0.75], keys), [0.25, 0.75], ["q1", "q3"], keys)
     iqr = F.col("q3") - F.col("q1")
     return qs.select(*keys, "column_name", "q1", "q3", (F.col("q1") - 1.5 * iqr).alias("lower"),
                      (F.col("q3") + 1.5 * iqr).alias("upper"))
 
 
 def outliers(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column_name, lower, upper, n_outliers): values strictly outside the IQR fences.
+    """(column_name, q1, q3, lower, upper, n_outliers): values strictly outside the IQR fences.
 
-    Counted on the (column, value, count) table, not on the rows, so the
-    second pass reads distinct values only.
+    Three scans for the quartiles, one aggregate that counts against the fences.
     """
+    from ..functions.aggregates import one_row_agg
+
     columns = columns if columns is not None else numeric_columns(df)
-    ranked = ranked_values(df, columns)
-    bounds = iqr_bounds(df, columns, ranked)
-    outside = (F.col("v") < F.col("lower")) | (F.col("v") > F.col("upper"))
-    # bounds has one row per column: a proven-small broadcast side
-    counts = ranked.join(F.broadcast(bounds.select("column_name", "lower", "upper")), "column_name").groupBy(
-        "column_name").agg(F.sum(F.when(outside, F.col("cnt")).otherwise(0)).cast("long").alias("n_outliers"))
-    return bounds.join(counts, "column_name").select("column_name", "q1", "q3", "lower", "upper", "n_outliers")
+    schema = "column_name string, q1 double, q3 double, lower double, upper double, n_outliers long"
+    fences = iqr_fences(column_quantiles(df, columns, [0.25, 0.75])[0]) if columns else {}
+    if not fences:
+        return df.sparkSession.createDataFrame([], schema)
+    held = list(fences)
+    outside = [(f"o{i}", F.count(F.when((num(df, c) < F.lit(fences[c][2])) | (num(df, c) > F.lit(fences[c][3])), 1)), 1) for i, c in enumerate(held)]
+    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), *[F.lit(x).alias(n) for n, x in zip(("q1", "q3", "lower", "upper"), fences[c])],
+                              F.col(f"o{i}").alias("n_outliers")) for i, c in enumerate(held)])
+    return one_row_agg(df, outside).select(F.inline(rows))
 
 
 def pair_moments(df: DataFrame, columns: list[str], kind: str = "corr",

@@ -21,46 +21,46 @@ from pyspark.sql import types as T
 from ..functions import dist
 from ..functions.aggregates import pair_count, safe_corr
 from ..functions.columns import col, num, numeric_columns, q
+from .brackets import column_quantiles
 from .ordered import prefix_sum
-from .profile import numeric_summary, pearson, ranked_values
+from .profile import SUMMARY_PROBS, SUMMARY_SCHEMA, pearson, ranked_values, summary_rows, summary_specs
 
 ALPHA = 0.05
 
 
+def shape_specs(df: DataFrame, columns: list[str], means: dict[str, float]) -> list[tuple]:
+    """Sums of the first four powers of the deviations from about the mean, for one scan."""
+    specs = []
+    for i, c in enumerate(columns):
+        d = num(df, c) - F.lit(means[c])
+        specs += [(f"d1_{i}", F.sum(d), 1), (f"d2_{i}", F.sum(d * d), 1), (f"d3_{i}", F.sum(d * d * d), 1), (f"d4_{i}", F.sum(d * d * d * d), 1)]
+    return specs
+
+
+def skew_and_kurtosis(n: int, sums: list[float]) -> tuple[float | None, float | None]:
+    """Bias-adjusted skewness (from 3 values) and excess kurtosis (from 4); 0 for equal values."""
+    if n < 3:
+        return None, None
+    mu, r2, r3, r4 = (s / n for s in sums)  # mu: what the shift left of the mean
+    m2 = r2 - mu * mu
+    m3 = r3 - 3 * mu * r2 + 2 * mu ** 3
+    m4 = r4 - 4 * mu * r3 + 6 * mu * mu * r2 - 3 * mu ** 4
+    if m2 <= 0 or math.isnan(m2):
+        return 0.0, (0.0 if n >= 4 else None)
+    skew = math.sqrt(n * (n - 1)) / (n - 2) * m3 / m2 ** 1.5
+    return skew, ((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / (m2 * m2) - 3) + 6) if n >= 4 else None)
+
+
 def descriptive_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Numeric summary plus bias-adjusted skewness and excess kurtosis."""
+    """Numeric summary plus bias-adjusted skewness and excess kurtosis, in the summary's three scans."""
     columns = columns if columns is not None else numeric_columns(df)
-    base = numeric_summary(df, columns)
+    schema = f"{SUMMARY_SCHEMA}, skew double, kurtosis double"
     if not columns:
-        return base.withColumn("skew", F.lit(None).cast("double")).withColumn("kurtosis", F.lit(None).cast("double"))
-    from ..functions.aggregates import one_row_agg
-
-    means = one_row_agg(df, [(f"m{i}", F.avg(num(df, c)), 2) for i, c in enumerate(columns)]).first()
-    specs = []
-    for i, c in enumerate(columns):
-        d = num(df, c) - F.lit(means[f"m{i}"] if means[f"m{i}"] is not None else 0.0)
-        specs += [(f"n{i}", F.count(d), 1), (f"d1_{i}", F.sum(d), 1), (f"d2_{i}", F.sum(d * d), 1),
-                  (f"d3_{i}", F.sum(d * d * d), 1), (f"d4_{i}", F.sum(d * d * d * d), 1)]
-    mom = one_row_agg(df, specs)
-    cols_out = []
-    for i in range(len(columns)):
-        n, s1 = F.col(f"n{i}").cast("double"), F.col(f"d1_{i}")
-        mu = F.try_divide(s1, n)  # residual mean of the deviations (corrects the first pass)
-        m2 = F.try_divide(F.col(f"d2_{i}"), n) - mu * mu
-        m3 = F.try_divide(F.col(f"d3_{i}"), n) - 3 * mu * F.try_divide(F.col(f"d2_{i}"), n) + 2 * mu * mu * mu
-        m4 = (F.try_divide(F.col(f"d4_{i}"), n) - 4 * mu * F.try_divide(F.col(f"d3_{i}"), n)
-              + 6 * mu * mu * F.try_divide(F.col(f"d2_{i}"), n) - 3 * mu * mu * mu * mu)
-        g1 = F.try_divide(m3, F.pow(m2, 1.5))
-        g2 = F.try_divide(m4, m2 * m2) - 3
-        sk = (F.when(n < 3, F.lit(None).cast("double")).when(m2 <= 0, F.lit(0.0))
-              .otherwise(F.sqrt(n * (n - 1)) / (n - 2) * g1))
-        ku = (F.when(n < 4, F.lit(None).cast("double")).when(m2 <= 0, F.lit(0.0))
-              .otherwise((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)))
-        cols_out += [sk.alias(f"sk{i}"), ku.alias(f"ku{i}")]
-    shape = mom.select(*cols_out).select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"sk{i}").alias("skew"), F.col(f"ku{i}").alias("kurtosis"))
-        for i, c in enumerate(columns)])))
-    return base.join(shape, "column_name")
+        return df.sparkSession.createDataFrame([], schema)
+    quartiles, _, row = column_quantiles(df, columns, SUMMARY_PROBS,
+                                         more=lambda s: summary_specs(df, columns) + shape_specs(df, columns, s.mean))
+    shapes = [skew_and_kurtosis(row[f"n{i}"], [row[f"d{k}_{i}"] for k in range(1, 5)]) for i in range(len(columns))]
+    return df.sparkSession.createDataFrame([(*r, *x) for r, x in zip(summary_rows(df, columns, quartiles, row), shapes)], schema)
 
 
 def covariance(df: DataFrame, columns: list[str] | None = None, digits: int | None = 4) -> DataFrame:

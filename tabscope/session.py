@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -112,5 +113,10 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def saved(df: DataFrame) -> DataFrame:
+    """Write a frame as Parquet into the checkpoint folder and read it back: cuts lineage, later scans read only their columns."""
+    if len({c.lower() for c in df.columns}) < len(df.columns) or any(t == "void" for _, t in df.dtypes):
+        return stable(df)  # Parquet holds no such columns
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/saved-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
