@@ -69,64 +69,68 @@ def _null_safe_join(left: DataFrame, right: DataFrame, cols: list[str], small_ri
     return l.join(r, cond, "inner").select(*keep, *extra)
 
 
-def prefix_sum(df: DataFrame, group_cols: list[str], order_cols: list[str], weight_col: str,
-               out_col: str = "cum_before", parts: int | None = None, total_col: str | None = None,
-               few_groups: bool = False) -> DataFrame:
-    """Exclusive running sum of ``weight_col`` in ``order_cols`` order per group.
+def prefix_sums(df: DataFrame, group_cols: list[str], order_cols: list[str], weights: list[str], outs: list[str],
+                totals: list[str] | None = None, parts: int | None = None, few_groups: bool = False) -> DataFrame:
+    """Exclusive running sums of several weight columns in ``order_cols`` order per group, one range sort for all.
 
     The ordering key (group + order columns) should be unique; pre-aggregate
-    repeated keys and carry their multiplicity in ``weight_col``. With
-    ``total_col`` every row also carries its group's total weight (taken from
-    the per-partition summary, no extra pass over the rows). ``few_groups``
+    repeated keys and carry their multiplicity in a weight. With ``totals``
+    every row also carries its group's total of each weight (taken from the
+    per-partition summary, no extra pass over the rows). ``few_groups``
     declares the number of groups bounded (e.g. one per column): the offset
     table (partitions + groups rows) is then broadcast instead of shuffling
     the rows for the join.
     """
-    wtype = df.schema[weight_col].dataType
-    integral = isinstance(wtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
-    local_type = T.LongType() if integral else T.DoubleType()
-    schema = T.StructType(df.schema.fields + [T.StructField(_PID, T.IntegerType(), False),
-                                              T.StructField(_LOCAL, local_type, False)])
+    integral = [isinstance(df.schema[w].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) for w in weights]
+    kinds = [T.LongType() if i else T.DoubleType() for i in integral]
+    local_cols = [f"{_LOCAL}{k}" for k in range(len(weights))]
+    schema = T.StructType(df.schema.fields + [T.StructField(_PID, T.IntegerType(), False)]
+                          + [T.StructField(n, t, False) for n, t in zip(local_cols, kinds)])
 
     def local(batches):
         from pyspark import TaskContext
 
         pid = TaskContext.get().partitionId()
-        carry_key, carry = None, 0
+        carry_key, carry = None, [0] * len(weights)
         for pdf in batches:
             if pdf.empty:
                 continue
-            w = pdf[weight_col].fillna(0)
-            w = w.astype("int64") if integral else w.astype("float64")
             if group_cols:
                 keys = pdf[group_cols].reset_index(drop=True)
                 changed = ~_same_key(keys, keys.shift(1))
-                first = tuple(keys.iloc[0])
-                continues = _key_equals(first, carry_key)
+                continues = _key_equals(tuple(keys.iloc[0]), carry_key)
                 changed.iloc[0] = not continues
                 gid = changed.cumsum().to_numpy()
             else:
                 continues = carry_key is not None
                 gid = pd.Series(0, index=range(len(pdf))).to_numpy()
-            wv = pd.Series(w.to_numpy())
-            excl = wv.groupby(gid).cumsum() - wv
-            if continues:
-                excl[gid == 0] += carry
-            last_gid = gid[-1]
-            last_total = wv[gid == last_gid].sum() + (carry if (continues and last_gid == 0) else 0)
+            added = {}
+            for k, w in enumerate(weights):
+                wv = pd.Series(pdf[w].fillna(0).astype("int64" if integral[k] else "float64").to_numpy())
+                excl = wv.groupby(gid).cumsum() - wv
+                if continues:
+                    excl[gid == 0] += carry[k]
+                carry[k] = wv[gid == gid[-1]].sum() + (carry[k] if (continues and gid[-1] == 0) else 0)
+                added[local_cols[k]] = excl.to_numpy()
             carry_key = tuple(pdf[group_cols].iloc[-1]) if group_cols else ()
-            carry = last_total
-            yield pdf.assign(**{_PID: pid, _LOCAL: excl.to_numpy()})
+            yield pdf.assign(**{_PID: pid, **added})
 
     loc = stable(_ranged(df, group_cols, order_cols, parts).mapInPandas(local, schema))
-    tot = loc.groupBy(_PID, *group_cols).agg(F.sum(weight_col).alias("_ptot"))
+    tot = loc.groupBy(_PID, *group_cols).agg(*[F.sum(w).alias(f"_ptot{k}") for k, w in enumerate(weights)])
     part = [F.col(c) for c in group_cols] or [F.lit(0)]
     w = Window.partitionBy(*part).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    extra = [F.sum("_ptot").over(Window.partitionBy(*part)).cast(local_type).alias(total_col)] if total_col else []
-    off = tot.select(_PID, *group_cols, F.coalesce(F.sum("_ptot").over(w), F.lit(0)).alias("_off"), *extra)
-    out = _null_safe_join(loc, off, [_PID] + group_cols, small_right=few_groups or not group_cols)
-    return (out.withColumn(out_col, (F.col(_LOCAL) + F.col("_off")).cast(local_type))
-            .drop(_PID, _LOCAL, "_off"))
+    extra = [F.sum(f"_ptot{k}").over(Window.partitionBy(*part)).cast(kinds[k]).alias(t) for k, t in enumerate(totals or [])]
+    offsets = [F.coalesce(F.sum(f"_ptot{k}").over(w), F.lit(0)).alias(f"_off{k}") for k in range(len(weights))]
+    out = _null_safe_join(loc, tot.select(_PID, *group_cols, *offsets, *extra), [_PID] + group_cols, small_right=few_groups or not group_cols)
+    sums = [(F.col(local_cols[k]) + F.col(f"_off{k}")).cast(kinds[k]).alias(o) for k, o in enumerate(outs)]
+    return out.select(*[c for c in df.columns if c not in outs], *(totals or []), *sums)
+
+
+def prefix_sum(df: DataFrame, group_cols: list[str], order_cols: list[str], weight_col: str,
+               out_col: str = "cum_before", parts: int | None = None, total_col: str | None = None,
+               few_groups: bool = False) -> DataFrame:
+    """``prefix_sums`` of one weight."""
+    return prefix_sums(df, group_cols, order_cols, [weight_col], [out_col], [total_col] if total_col else None, parts, few_groups)
 
 
 def row_index(df: DataFrame, group_cols: list[str], order_cols: list[str],

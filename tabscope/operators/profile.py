@@ -194,32 +194,29 @@ def outliers(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return one_row_agg(df, outside).select(F.inline(rows))
 
 
-def pair_moments(df: DataFrame, columns: list[str], kind: str = "corr",
-                 known: tuple[int, list[float]] | None = None) -> DataFrame:
+WIDE = 24  # columns up to which pairs are single aggregate expressions
+
+
+def pair_moments(df: DataFrame, columns: list[str], kind: str = "corr") -> DataFrame:
     """(a, b, i, j, value, n) for all ordered pairs.
 
     Without missing values (the common case) a two-pass centred form is used:
     the column means (one small aggregate, C numbers fetched), then sums of
     centred squares and cross-products (C + C(C-1)/2 one-slot sums, chunked
-    under the codegen field limit). With missing values each pair is
-    restricted to the rows where both are present, all in one pass (``_gram_moments``).
+    under the codegen field limit). With missing values, or more than ``WIDE`` columns, all pairs come from one pass
+    over the rows where both are present (``_gram_moments``).
     """
     from ..functions.aggregates import one_row_agg
 
     vals = {c: num(df, c) for c in columns}
     k = len(columns)
-    if known is not None:  # (rows, means) known without a pass, e.g. average ranks
-        n, mlist = known
-        means = {f"m{i}": m for i, m in enumerate(mlist)}
-        complete = True
-    else:
-        # first pass: row count, non-missing counts and means together; complete data needs no other check
-        means = one_row_agg(df, [("_rows", F.count(F.lit(1)), 1)] +
-                            [(f"c{i}", F.count(vals[c]), 1) for i, c in enumerate(columns)] +
-                            [(f"m{i}", F.avg(vals[c]), 2) for i, c in enumerate(columns)]).first()
-        n = int(means["_rows"])
-        complete = all(means[f"c{i}"] == n for i in range(k))
-    if complete:
+    # first pass: row count, non-missing counts and means together; complete data needs no other check
+    means = one_row_agg(df, [("_rows", F.count(F.lit(1)), 1)] +
+                        [(f"c{i}", F.count(vals[c]), 1) for i, c in enumerate(columns)] +
+                        [(f"m{i}", F.avg(vals[c]), 2) for i, c in enumerate(columns)]).first()
+    n = int(means["_rows"])
+    complete = all(means[f"c{i}"] == n for i in range(k))
+    if complete and k <= WIDE:
         # deviations from the first-pass means; expressions are sent as SQL text (one call each)
         dev = df.select(*[(vals[c] - F.lit(float(means[f"m{i}"] or 0.0))).alias(f"d{i}") for i, c in enumerate(columns)])
         specs = [(f"sd{i}", F.expr(f"sum(d{i})"), 1) for i in range(k)]
@@ -249,16 +246,17 @@ def pair_moments(df: DataFrame, columns: list[str], kind: str = "corr",
 
 
 def _gram_moments(dev: DataFrame, columns: list[str], kind: str) -> DataFrame:
-    """(a, b, i, j, value, n) from one pass over deviations d0, d1, ... with missing values.
+    """(a, b, i, j, value, n) from one pass over deviations d0, d1, ... with or without missing values.
 
     With the mask m (1 where present) and the deviation d (0 where missing), every pairwise-complete count, sum, sum of
-    squares and cross-product is a cell of the Gram matrix of [m, d, d * d]. Each task sends one row per cell; the cells
-    are summed by Spark, so the cost is one scan whatever the number of pairs.
+    squares and cross-product is a cell of the Gram matrix of [m, d, d * d]. Each task sends one row per cell and Spark
+    sums them; the 9 * columns^2 sums come to the driver, whatever the number of rows, and give the columns^2 results.
     """
+    import numpy as np
+
     k = len(columns)
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         total = np.zeros((3 * k, 3 * k))
@@ -270,37 +268,25 @@ def _gram_moments(dev: DataFrame, columns: list[str], kind: str) -> DataFrame:
             total += u.T @ u
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(9 * k * k, dtype=np.int32)), pa.array(total.ravel())], ["cell", "s"])
 
-    cells = dev.mapInArrow(run, "cell int, s double").groupBy("cell").agg(F.sum("s").alias("s"))
-    gram = cells.agg(F.map_from_entries(F.collect_list(F.struct("cell", "s"))).alias("g"))  # 9 * columns^2 cells
-
-    def cell(x, y):
-        return F.col("g")[x * F.lit(3 * k) + y]
-
-    names = F.array(*[F.lit(c) for c in columns])
-    at = F.explode(F.sequence(F.lit(0), F.lit(k * k - 1))).alias("p")
-    pairs = gram.select("g", at).select("g", F.floor(F.col("p") / k).cast("int").alias("i"), (F.col("p") % k).cast("int").alias("j"))
-    i, j = F.col("i"), F.col("j")
-    sums = pairs.select(
-        names[i].alias("a"), names[j].alias("b"), "i", "j", cell(i, j).alias("n"),
-        cell(i + k, j).alias("x"), cell(i, j + k).alias("y"), cell(i + 2 * k, j).alias("xx"), cell(i, j + 2 * k).alias("yy"),
-        cell(i + k, j + k).alias("xy"))
-
-    def centred(cross, one, two):
-        return F.col(cross) - F.try_divide(F.col(one) * F.col(two), F.col("n"))
-
-    cxx, cyy, cxy = centred("xx", "x", "x"), centred("yy", "y", "y"), centred("xy", "x", "y")
-    if kind == "corr":
-        # sums of squares below rounding error of their terms belong to constant columns
-        varies = (cxx > F.col("xx") * 1e-14) & (cyy > F.col("yy") * 1e-14) & (F.col("n") > 1)
-        r = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.try_divide(cxy, F.sqrt(cxx) * F.sqrt(cyy))))
-        value = F.when(varies, F.when(i == j, F.lit(1.0)).otherwise(r))
-    else:
-        value = F.when(F.col("n") > 1, F.try_divide(cxy, F.col("n") - 1))
-    return sums.select("a", "b", "i", "j", value.alias("value"), F.col("n").cast("long").alias("n"))
+    sums = dev.mapInArrow(run, "cell int, s double").groupBy("cell").agg(F.sum("s").alias("s")).collect()
+    gram = np.zeros(9 * k * k)
+    for r in sums:
+        gram[r["cell"]] = r["s"]
+    gram = gram.reshape(3, k, 3, k)
+    n, x, y, xy, xx, yy = gram[0, :, 0], gram[1, :, 0], gram[0, :, 1], gram[1, :, 1], gram[2, :, 0], gram[0, :, 2]
+    with np.errstate(all="ignore"):
+        cxx, cyy, cxy = xx - x * x / n, yy - y * y / n, xy - x * y / n
+        if kind == "corr":
+            # sums of squares below rounding error of their terms belong to constant columns
+            value = np.where((cxx > xx * 1e-14) & (cyy > yy * 1e-14) & (n > 1), np.clip(cxy / np.sqrt(cxx * cyy), -1, 1), np.nan)
+            np.fill_diagonal(value, np.where(np.isnan(np.diag(value)), np.nan, 1.0))
+        else:
+            value = np.where(n > 1, cxy / (n - 1), np.nan)
+    rows = [(columns[i], columns[j], i, j, None if np.isnan(value[i, j]) else float(value[i, j]), int(n[i, j])) for i in range(k) for j in range(k)]
+    return dev.sparkSession.createDataFrame(rows, "a string, b string, i int, j int, value double, n long")
 
 
-def pearson(df: DataFrame, columns: list[str] | None = None, digits: int | None = None,
-            known: tuple[int, list[float]] | None = None) -> DataFrame:
+def pearson(df: DataFrame, columns: list[str] | None = None, digits: int | None = None) -> DataFrame:
     """(a, b, i, j, r, n): full Pearson matrix over pairwise-complete rows, one aggregate.
 
     Diagonal is 1 (NULL for a constant column). ``digits`` rounds r. A
@@ -310,7 +296,7 @@ def pearson(df: DataFrame, columns: list[str] | None = None, digits: int | None
     columns = columns if columns is not None else numeric_columns(df)
     if len(columns) < 2:
         return df.sparkSession.createDataFrame([], "a string, b string, i int, j int, r double, n long")
-    out = pair_moments(df, columns, "corr", known).withColumnRenamed("value", "r")
+    out = pair_moments(df, columns, "corr").withColumnRenamed("value", "r")
     if digits is not None:
         out = out.withColumn("r", F.round("r", digits))
     return out

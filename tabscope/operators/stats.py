@@ -11,6 +11,7 @@ group size bounded by the sample (500) or the downsampled series (< 10,000).
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,11 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dist
-from ..functions.aggregates import pair_count, safe_corr
+from ..functions.aggregates import one_row_agg
 from ..functions.columns import col, num, numeric_columns, q
 from .brackets import column_quantiles
-from .ordered import prefix_sum
-from .profile import SUMMARY_PROBS, SUMMARY_SCHEMA, pearson, ranked_values, summary_rows, summary_specs
+from .ordered import prefix_sum, prefix_sums
+from ..session import stable
+from .profile import SUMMARY_PROBS, SUMMARY_SCHEMA, pearson, summary_rows, summary_specs
 
 ALPHA = 0.05
 
@@ -72,63 +74,68 @@ def covariance(df: DataFrame, columns: list[str] | None = None, digits: int | No
     return out.withColumn("cov", F.round("cov", digits)) if digits is not None else out
 
 
-def _rank_table(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_name, v, rank): average 1-based rank of each distinct value (distributed)."""
-    r = ranked_values(df, columns)
-    return r.select("column_name", "v", (F.col("before") + (F.col("cnt") + 1) / 2.0).alias("rank"))
+def _ranks(src: DataFrame, columns: list[str], gappy: list[int]) -> DataFrame:
+    """(column_name, v, cnt, r, n; for each gappy column g: cnt{g}, r{g}, n{g}): average ranks of each distinct value.
 
-
-def _with_ranks(df: DataFrame, columns: list[str], ranks: DataFrame) -> DataFrame:
-    """Replace each column by its average rank (joins on the value; AQE picks broadcast at runtime)."""
-    out = df.select(*[num(df, c).alias(c) for c in columns])
-    for c in columns:
-        rc = ranks.where(F.col("column_name") == c).select(F.col("v").alias(f"_v_{c}"), F.col("rank").alias(f"_r_{c}"))
-        out = out.join(rc, F.col(q(c)) == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")
-    return out.select(*[F.col(f"_r_{c}").alias(c) for c in columns])
+    r is the rank among the column's n values, r{g} the rank among the n{g} of them whose row has a value in column g
+    as well: the running count of all rows gives the first, those of the rows complete with g the others. Values are
+    counted before the shuffle, and one range sort serves all columns and all their partners.
+    """
+    partners = [F.count(F.col(f"x{g}")).alias(f"cnt{g}") for g in gappy]
+    tables = [src.where(F.col(f"x{i}").isNotNull()).groupBy(F.col(f"x{i}").alias("v")).agg(F.count(F.lit(1)).alias("cnt"), *partners)
+              .select(F.lit(i).alias("column"), "*") for i in range(len(columns))]
+    weights = ["cnt", *[f"cnt{g}" for g in gappy]]
+    placed = prefix_sums(reduce(DataFrame.unionByName, tables), ["column"], ["v"], weights, [w.replace("cnt", "before") for w in weights],
+                         [w.replace("cnt", "n") for w in weights], few_groups=True)
+    ranks = [(F.col(w.replace("cnt", "before")) + (F.col(w) + 1) / 2.0).alias(w.replace("cnt", "r")) for w in weights]
+    return placed.select("column", "v", *weights, *[w.replace("cnt", "n") for w in weights], *ranks)
 
 
 def spearman(df: DataFrame, columns: list[str] | None = None, digits: int | None = 4) -> DataFrame:
-    """T4: (a, b, i, j, r, n) Spearman matrix with average ranks over pairwise-complete rows.
+    """T4: (a, b, i, j, r, n) Spearman matrix with average ranks over the rows where both columns have values.
 
-    Without missing values every column is ranked once (distributed prefix
-    sum over its value counts) and joined back; with missing values each
-    pair is re-ranked over the rows where both are present.
+    Each column is ranked once, for itself and against every column with missing values (``_ranks``), and joined back
+    to the rows by its value; one aggregate then sums the products of all pairs. Means of ranks are known, and their
+    squares are summed over distinct values. So shuffles grow with the number of columns, not of pairs, with missing
+    values or without. Sums of columns^2 numbers come to the driver.
     """
     columns = columns if columns is not None else numeric_columns(df)
-    src = df.select(*[num(df, c).alias(c) for c in columns])
-    nulls = src.agg(*[F.count(F.when(F.col(q(c)).isNull(), 1)).alias(f"z{i}") for i, c in enumerate(columns)]).first()
-    if not any(nulls[f"z{i}"] for i in range(len(columns))):
-        ranks = _rank_table(src, columns)
-        n = src.count()
-        # average ranks of n complete rows always have mean (n + 1) / 2: one pass over the rank frame
-        ranked = _with_ranks(src, columns, ranks)
-        out = pearson(ranked, columns, known=(int(n), [(n + 1) / 2.0] * len(columns)))
-    else:
-        spark = df.sparkSession
-        parts = []
-        for i, a in enumerate(columns):
-            for j, b in enumerate(columns):
-                if j < i:
-                    continue
-                pair = [a] if i == j else [a, b]
-                sub = src.select(*[F.col(q(c)) for c in pair]).na.drop()
-                rk = _with_ranks(sub, pair, _rank_table(sub, pair))
-                if i == j:
-                    x = F.col(q(a))
-                    agg = rk.agg(F.when(F.min(x) < F.max(x), F.lit(1.0)).alias("r"), F.count(x).alias("n"))
-                else:
-                    agg = rk.agg(safe_corr(F.col(q(a)), F.col(q(b))).alias("r"),
-                                 pair_count(F.col(q(a)), F.col(q(b))).alias("n"))
-                parts.append(agg.select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(i).alias("i"),
-                                        F.lit(j).alias("j"), "r", "n"))
-                if i != j:
-                    parts.append(agg.select(F.lit(b).alias("a"), F.lit(a).alias("b"), F.lit(j).alias("i"),
-                                            F.lit(i).alias("j"), "r", "n"))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        del spark
-    return out.withColumn("r", F.round("r", digits)) if digits is not None else out
+    spark, k = df.sparkSession, len(columns)
+    schema = "a string, b string, i int, j int, r double, n long"
+    if k < 2:
+        return spark.createDataFrame([], schema)
+    src = df.select(*[num(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
+    gaps = one_row_agg(src, [("rows", F.count(F.lit(1)), 1)] + [(f"x{i}", F.count(f"x{i}"), 1) for i in range(k)]).first()
+    gappy = [i for i in range(k) if gaps[f"x{i}"] < gaps["rows"]]
+    ranks = stable(_ranks(src, columns, gappy))
+    names = ["", *map(str, gappy)]
+
+    def off(name):
+        return F.col(f"r{name}") - (F.col(f"n{name}") + 1) / 2.0
+
+    spread = {r["column"]: r for r in ranks.groupBy("column").agg(
+        *[F.max(f"n{g}").alias(f"n{g}") for g in names], *[F.sum(F.col(f"cnt{g}") * off(g) * off(g)).alias(f"s{g}") for g in names]).collect()}
+    rows = src
+    for i in range(k):
+        own = ranks.where(F.col("column") == i).select(F.col("v").alias(f"v{i}"), *[off(g).alias(f"d{i}_{g}") for g in names if g != str(i)])
+        rows = rows.join(own, F.col(f"x{i}") == F.col(f"v{i}"), "left").drop(f"v{i}")
+    partner = {i: str(i) if i in gappy else "" for i in range(k)}
+    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
+    cross = one_row_agg(rows, [(f"c{i}_{j}", F.expr(f"sum(d{i}_{partner[j]} * d{j}_{partner[i]})"), 1) for i, j in pairs]).first()
+    out = []
+    for i, j in [(i, i) for i in range(k)] + pairs:
+        one, other = spread.get(i), spread.get(j)
+        if i == j:
+            r, n = (1.0 if one and one["s"] > 0 else None), (one["n"] if one else 0)
+        elif one is None or other is None:
+            r, n = None, 0
+        else:
+            squares = math.sqrt(one[f"s{partner[j]}"]) * math.sqrt(other[f"s{partner[i]}"])
+            n = one[f"n{partner[j]}"]
+            r = max(-1.0, min(1.0, cross[f"c{i}_{j}"] / squares)) if squares > 0 else None
+        out += [(columns[i], columns[j], i, j, r, n)] + ([(columns[j], columns[i], j, i, r, n)] if i != j else [])
+    table = spark.createDataFrame(out, schema)
+    return table.withColumn("r", F.round("r", digits)) if digits is not None else table
 
 
 def correlation_analysis(df: DataFrame, columns: list[str] | None = None) -> dict[str, DataFrame]:

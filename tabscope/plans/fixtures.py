@@ -48,7 +48,29 @@ def orders_text(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.date_format("o_orderdate", "yyyy-MM-dd").alias("order_iso"))
 
 
+def lineitem_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineitem numerics with values missing in three columns, in overlapping rows, and one column without any value."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.when(F.col("l_orderkey") % 7 != 0, F.col("l_quantity")).alias("l_quantity"),
+        F.when((F.col("l_orderkey") + F.col("l_linenumber")) % 3 != 0, F.col("l_extendedprice")).alias("l_extendedprice"), "l_discount",
+        F.when(F.col("l_linenumber") != 3, F.col("l_tax")).alias("l_tax"), F.lit(None).cast("double").alias("l_none"))
+
+
+def lineitem_blends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineitem numerics with two mixtures of quantity and discount, correlated a little above and a little below 0.7."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.withColumn("blend_above", F.col("l_quantity") + 440 * F.col("l_discount")).withColumn(
+        "blend_below", F.col("l_quantity") + 500 * F.col("l_discount"))
+
+
 SQL = {
+    "lineitem_gaps": """
+        (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_orderkey % 7 <> 0 THEN l_quantity END AS l_quantity,
+                CASE WHEN (l_orderkey + l_linenumber) % 3 <> 0 THEN l_extendedprice END AS l_extendedprice, l_discount,
+                CASE WHEN l_linenumber <> 3 THEN l_tax END AS l_tax, CAST(NULL AS DOUBLE) AS l_none FROM lineitem)""",
+    "lineitem_blends": """
+        (SELECT *, l_quantity + 440 * l_discount AS blend_above, l_quantity + 500 * l_discount AS blend_below FROM lineitem)""",
     "events_dirty": """
         (WITH b AS (
            SELECT event_id, ts, user_id,

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import profile as P
 from ..operators import stats as S
+from . import fixtures as fx
 from .catalog import LINEITEM_COLS, LINEITEM_NUM, T_, r6, register, rounded, union_all
 from .q_profile import _pair_sql, _summary_sql
 
@@ -31,6 +33,50 @@ def q_spearman_matrix(spark, sf):
     return S.spearman(T_(spark, sf, "lineitem")).select("a", "b", "r", "n")
 
 
+GAP_NUM = [*LINEITEM_NUM, "l_none"]
+
+
+def _spearman_gaps_sql(table: str, cols: list[str]) -> str:
+    """Ranks of each pair among the rows where both columns have values."""
+    parts = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            if i == j:
+                parts.append(f"SELECT '{a}' AS a, '{b}' AS b, CASE WHEN min({a}) < max({a}) THEN 1.0::DOUBLE END AS r, count({a}) AS n FROM t")
+                continue
+            ranks = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE AS {x}" for c, x in ((a, "x"), (b, "y")))
+            parts.append(f"SELECT '{a}', '{b}', CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN round(corr(x, y), 4) END, count(*) "
+                         f"FROM (SELECT {ranks} FROM t WHERE {a} IS NOT NULL AND {b} IS NOT NULL)")
+    return f"WITH t AS MATERIALIZED (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in cols)} FROM {table}) {union_all(parts)}"
+
+
+@register("spearman_gaps", _spearman_gaps_sql(fx.SQL["lineitem_gaps"] + " g0", GAP_NUM))
+def q_spearman_gaps(spark, sf):
+    """T4 with missing values: each pair is ranked over the rows where both have one."""
+    return S.spearman(fx.lineitem_gaps(spark, sf)).select("a", "b", "r", "n")
+
+
+@register("pearson_gaps", f"WITH g AS {fx.SQL['lineitem_gaps']} SELECT a, b, r, n FROM ({_pair_sql('g', GAP_NUM, 'corr')})")
+def q_pearson_gaps(spark, sf):
+    return P.pearson(fx.lineitem_gaps(spark, sf), digits=4).select("a", "b", "r", "n")
+
+
+@register("covariance_gaps", f"WITH g AS {fx.SQL['lineitem_gaps']} SELECT a, b, cov, n FROM ({_pair_sql('g', GAP_NUM, 'cov')})")
+def q_covariance_gaps(spark, sf):
+    return S.covariance(fx.lineitem_gaps(spark, sf)).select("a", "b", "cov", "n")
+
+
+BLEND_NUM = [*LINEITEM_NUM, "blend_above", "blend_below"]
+
+
+@register("strong_pairs_rule", f"""
+WITH g AS {fx.SQL['lineitem_blends']}, m AS ({_pair_sql('g', BLEND_NUM, 'corr', None)})
+SELECT a, b, round(r, 4) AS r FROM m WHERE i < j AND abs(r) >= 0.7 ORDER BY abs(r) DESC, i, j LIMIT 20""")
+def q_strong_pairs_rule(spark, sf):
+    """P10 with its threshold, on a table with one pair a little above 0.7 and one a little below."""
+    return P.strong_pairs(fx.lineitem_blends(spark, sf)).withColumn("r", F.round("r", 4))
+
+
 @register("ols_single", """
 SELECT 'intercept' AS term, 0 AS ord, round(regr_intercept(l_extendedprice, l_quantity), 6) AS coefficient,
        round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n
