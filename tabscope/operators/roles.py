@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import (DATETIME_TYPES, INTEGER_TYPES, NUMERIC_TYPES, as_text, col,
-                                 kind_of, numeric_columns, q)
+from ..functions.columns import (ATOMIC_TYPES, DATETIME_TYPES, INTEGER_TYPES, NUMERIC_TYPES, as_text, col,
+                                 is_missing, kind_of, numeric_columns, q)
 
 # Fixed values (must equal the reference's rules).
 # Name fragments that mark an identifier column.
@@ -42,6 +42,7 @@ DATE_FORMATS = [
     "yyyy/MM/dd",
 ]
 DATETIME_SHARE = 0.8
+ID_SHARE = 0.9
 REVENUE_COLUMN = "_computed_revenue"
 
 
@@ -103,14 +104,39 @@ def coerce_datetimes(df: DataFrame, formats: dict[str, str]) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column_name, n_distinct) exact, nulls ignored, via one unpivot + two aggregates."""
+    """(column_name, n_distinct), nulls ignored, NaN is missing: one pass over all columns and two aggregates.
+
+    Values are told apart by two 64-bit hashes of the typed value, so that no text is shuffled, however long.
+    """
     columns = columns if columns is not None else df.columns
     if not columns:
         return df.sparkSession.createDataFrame([], "column_name string, n_distinct long")
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), as_text(df, c).alias("value")) for c in columns])
-    freq = (df.select(F.inline(pairs)).where(F.col("value").isNotNull())
-            .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt")))
-    return freq.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
+    cells = F.array(*[F.when(~is_missing(df, c), F.struct(F.lit(i).alias("i"), F.xxhash64(_hashable(df, c)).alias("h1"),
+                                                          F.xxhash64(F.lit(7), _hashable(df, c)).alias("h2"))) for i, c in enumerate(columns)])
+    freq = df.select(F.inline(F.array_compact(cells))).groupBy("i", "h1", "h2").agg(F.count(F.lit(1)).alias("cnt"))
+    names = F.array(*[F.lit(c) for c in columns])
+    return freq.groupBy("i").agg(F.count(F.lit(1)).alias("n_distinct")).select(names[F.col("i")].alias("column_name"), "n_distinct")
+
+
+def _hashable(df: DataFrame, name: str):
+    """A column that Spark can hash: maps and the like by their text."""
+    kind = df.schema[name].dataType
+    return col(name) if isinstance(kind, ATOMIC_TYPES) else as_text(df, name)
+
+
+DISTINCT_ERROR = 0.02  # standard error of the sketches
+SIGMAS = 6
+
+
+def distinct_bounds(df: DataFrame, columns: list[str]) -> tuple[int, dict[str, tuple[float, float]]]:
+    """Row count and, by column, bounds of the number of distinct values, from one pass with a HyperLogLog sketch each.
+
+    The bounds are six standard errors wide and serve to leave columns out; what is reported is counted exactly.
+    """
+    sketches = [F.approx_count_distinct(F.when(~is_missing(df, c), _hashable(df, c)), DISTINCT_ERROR).alias(f"d{i}") for i, c in enumerate(columns)]
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *sketches).first()
+    margin = SIGMAS * DISTINCT_ERROR
+    return row["rows"], {c: (row[f"d{i}"] * (1 - margin) - 2, row[f"d{i}"] * (1 + margin) + 2) for i, c in enumerate(columns)}
 
 
 def _name_has_any(name: str, tokens: list[str]) -> bool:
@@ -137,15 +163,32 @@ def roles(df: DataFrame) -> DataFrame:
            .withColumn("distinct_ratio", F.try_divide(F.col("n_distinct").cast("double"),
                                                       F.greatest(F.col("n_rows"), F.lit(1)).cast("double")))
            .withColumn("is_id", (F.col("n_rows") > 0) & (
-               (F.col("id_name") & (F.col("distinct_ratio") >= 0.9))
+               (F.col("id_name") & (F.col("distinct_ratio") >= ID_SHARE))
                | (F.col("is_integer") & (F.col("distinct_ratio") == 1.0)))))
     return out.select("column_name", "ordinal", "dtype", "kind", "n_rows", "n_distinct",
                       "distinct_ratio", "is_id", "target_rank")
 
 
 def id_columns(df: DataFrame) -> DataFrame:
-    """(column_name, ordinal, n_distinct, distinct_ratio) of identifier-like columns."""
-    return roles(df).where("is_id").select("column_name", "ordinal", "n_distinct", "distinct_ratio")
+    """(column_name, ordinal, n_distinct, distinct_ratio) of identifier-like columns.
+
+    Only id-named and integer columns can be one; of those, a sketch leaves out all that are clearly below their share
+    of distinct values, and the rest are counted exactly.
+    """
+    shares = {f.name: ID_SHARE if _name_has_any(f.name, ID_NAME_TOKENS) else 1.0 for f in df.schema.fields
+              if _name_has_any(f.name, ID_NAME_TOKENS) or isinstance(f.dataType, INTEGER_TYPES)}
+    spark = df.sparkSession
+    schema = "column_name string, ordinal int, n_distinct long, distinct_ratio double"
+    if not shares:
+        return spark.createDataFrame([], schema)
+    rows, bounds = distinct_bounds(df, list(shares))
+    open_ = [c for c, share in shares.items() if rows and bounds[c][1] >= share * rows]
+    if not open_:
+        return spark.createDataFrame([], schema)
+    meta = spark.createDataFrame([(c, df.columns.index(c), shares[c]) for c in open_], "column_name string, ordinal int, share double")
+    ratio = F.col("n_distinct") / F.lit(float(rows))
+    return (distinct_counts(df, open_).join(F.broadcast(meta), "column_name").withColumn("distinct_ratio", ratio)
+            .where(F.col("distinct_ratio") >= F.col("share")).select("column_name", "ordinal", "n_distinct", "distinct_ratio"))
 
 
 def _ranked(names: list[str], rules: list) -> list[str]:
@@ -209,11 +252,18 @@ def categorical_projection(df: DataFrame) -> DataFrame:
 
 
 def low_cardinality_columns(df: DataFrame, max_distinct: int = 8) -> DataFrame:
-    """Non-numeric columns with at most ``max_distinct`` distinct values (nulls ignored)."""
+    """Non-numeric columns with at most ``max_distinct`` distinct values (nulls ignored): (column_name, n_distinct, ordinal).
+
+    Columns that a sketch shows to have clearly more are not counted, so the counting shuffles few rows per task.
+    """
     cats = [f.name for f in df.schema.fields if not isinstance(f.dataType, NUMERIC_TYPES)]
-    ordinals = df.sparkSession.createDataFrame([(c, df.columns.index(c)) for c in cats],
-                                               "column_name string, ordinal int")
-    return (distinct_counts(df, cats).join(F.broadcast(ordinals), "column_name")
+    spark = df.sparkSession
+    bounds = distinct_bounds(df, cats)[1] if cats else {}
+    few = [c for c in cats if bounds[c][0] <= max_distinct]
+    if not few:
+        return spark.createDataFrame([], "column_name string, n_distinct long, ordinal int")
+    ordinals = spark.createDataFrame([(c, df.columns.index(c)) for c in few], "column_name string, ordinal int")
+    return (distinct_counts(df, few).join(F.broadcast(ordinals), "column_name")
             .where(F.col("n_distinct") <= max_distinct))
 
 

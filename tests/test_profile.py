@@ -100,3 +100,26 @@ def test_profile_bundle_all_tables(spark):
     assert [r["column_name"] for r in bundle["datetime_columns"].collect()] == ["date"]
     assert bundle["id_columns"].count() == 0  # customer_id: 6 of 52 distinct
     assert [r["column_name"] for r in bundle["target_candidates"].orderBy("target_rank").collect()][:2] == ["sales", "units"]
+
+
+def test_distinct_counts_and_what_is_counted(spark, monkeypatch):
+    """Sketches leave columns out; what is reported is exact, at the thresholds too."""
+    from pyspark.sql import functions as F
+
+    from tabscope.operators import roles as R
+
+    n = 3000
+    df = spark.range(n).select(
+        "id", (F.col("id") % 2999).alias("almost"), F.concat(F.lit("x" * 300), F.least(F.col("id"), F.lit(2699)).cast("string")).alias("code_a"),
+        F.least(F.col("id"), F.lit(2698)).cast("string").alias("code_b"), (F.col("id") % 8).cast("string").alias("eight"),
+        (F.col("id") % 9).cast("string").alias("nine"), F.when(F.col("id") % 2 == 0, F.lit(float("nan"))).otherwise(F.col("id") % 5).alias("f"),
+        F.lit(None).cast("string").alias("none"), F.array((F.col("id") % 3)).alias("list"), (F.col("id") % 2 == 0).alias("flag")).repartition(6)
+    want = {"id": 3000, "almost": 2999, "code_a": 2700, "code_b": 2699, "eight": 8, "nine": 9, "f": 5, "list": 3, "flag": 2}
+    assert {r.column_name: r.n_distinct for r in R.distinct_counts(df).collect()} == want
+    counted = []
+    exact = R.distinct_counts
+    monkeypatch.setattr(R, "distinct_counts", lambda d, c=None: counted.append(c) or exact(d, c))
+    assert {r.column_name for r in R.id_columns(df).collect()} == {"id", "code_a"}
+    assert {r.column_name: r.n_distinct for r in R.low_cardinality_columns(df).collect()} == {"eight": 8, "list": 3, "flag": 2}
+    assert counted[0] == ["id", "almost", "code_a", "code_b"] and "code_a" not in counted[1] and "code_b" not in counted[1]
+    assert R.id_columns(df.limit(0)).collect() == []
