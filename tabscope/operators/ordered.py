@@ -61,7 +61,7 @@ def _ranged(df: DataFrame, group_cols: list[str], order_cols: list[str], parts:
     return ranged.sortWithinPartitions(*keys)
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, cols: list[str], small_right: bool = False) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, cols: list[str], small_right: bool = False) -> DataFrame:
     l, r = left.alias("_l"), (F.broadcast(right) if small_right else right).alias("_r")
     cond = reduce(lambda a, b: a & b, [F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}")) for c in cols])
     keep = [F.col(f"_l.{c}") for c in left.columns]
@@ -121,7 +121,7 @@ def prefix_sums(df: DataFrame, group_cols: list[str], order_cols: list[str], wei
     w = Window.partitionBy(*part).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     extra = [F.sum(f"_ptot{k}").over(Window.partitionBy(*part)).cast(kinds[k]).alias(t) for k, t in enumerate(totals or [])]
     offsets = [F.coalesce(F.sum(f"_ptot{k}").over(w), F.lit(0)).alias(f"_off{k}") for k in range(len(weights))]
-    out = _null_safe_join(loc, tot.select(_PID, *group_cols, *offsets, *extra), [_PID] + group_cols, small_right=few_groups or not group_cols)
+    out = null_safe_join(loc, tot.select(_PID, *group_cols, *offsets, *extra), [_PID] + group_cols, small_right=few_groups or not group_cols)
     sums = [(F.col(local_cols[k]) + F.col(f"_off{k}")).cast(kinds[k]).alias(o) for k, o in enumerate(outs)]
     return out.select(*[c for c in df.columns if c not in outs], *(totals or []), *sums)
 
@@ -177,6 +177,6 @@ def previous_value(df: DataFrame, group_cols: list[str], order_col: str,
     part = [F.col(c) for c in group_cols] or [F.lit(0)]
     w = Window.partitionBy(*part).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(_PID, *group_cols, F.max("_pmax").over(w).alias("_before"))
-    out = _null_safe_join(loc, off, [_PID] + group_cols, small_right=not group_cols)
+    out = null_safe_join(loc, off, [_PID] + group_cols, small_right=not group_cols)
     return (out.withColumn(out_col, F.coalesce(F.col(_LOCAL), F.col("_before")))
             .drop(_PID, _LOCAL, "_before"))

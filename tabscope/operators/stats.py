@@ -3,9 +3,8 @@ one-way ANOVA, confidence intervals, trend, Shapiro-Wilk and ADF.
 
 Test statistics come from aggregates (partial + final); p-values and
 quantiles are applied to the aggregate rows by Arrow UDFs (``dist``).
-Shapiro-Wilk and ADF need the ordered values of one bounded sample or
-series, so they run per column / per key in ``applyInPandas`` with a
-group size bounded by the sample (500) or the downsampled series (< 10,000).
+Shapiro-Wilk needs the ordered values of one bounded sample (500) and runs
+per column in ``applyInPandas``; ADF sums Gram matrices of blocks of points.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ from ..functions import dist
 from ..functions.aggregates import one_row_agg
 from ..functions.columns import col, num, numeric_columns, q
 from .brackets import column_quantiles
-from .ordered import prefix_sum, prefix_sums
+from .ordered import null_safe_join, prefix_sum, prefix_sums, row_index
 from ..session import stable
 from .profile import SUMMARY_PROBS, SUMMARY_SCHEMA, pearson, summary_rows, summary_specs
 
@@ -483,34 +482,87 @@ def adf_test(values: np.ndarray, maxlag: int | None = None) -> tuple[float, floa
     return stat, mackinnon_p(stat) if not math.isnan(stat) else float("nan"), lag, nobs
 
 
+ADF_BLOCK = 1 << 16  # consecutive points of one series that a task regresses at a time
+
+
+def _lagged_gram(points: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., n, lag, i, j, v): Gram matrix of 1, the lagged differences, the level and the difference, in this order.
+
+    points: keys, pos, x, n, lag. Blocks of consecutive points meet in one task with the lag + 1 points before them, so
+    that a series of any length is regressed in parallel; the blocks' matrices are summed by Spark.
+    """
+    names = [*keys, "n", "lag", "i", "j", "v"]
+    fields = [f for f in points.schema.fields if f.name in keys]
+    schema = T.StructType(sorted(fields, key=lambda f: keys.index(f.name)) + [
+        T.StructField("n", T.LongType()), T.StructField("lag", T.IntegerType()), T.StructField("i", T.IntegerType()),
+        T.StructField("j", T.IntegerType()), T.StructField("v", T.DoubleType())])
+    block = F.floor(F.col("pos") / ADF_BLOCK)
+    ahead = F.when((F.col("pos") % ADF_BLOCK >= ADF_BLOCK - 1 - F.col("lag")) & ((block + 1) * ADF_BLOCK < F.col("n")), block + 1)
+    dealt = points.withColumn("block", F.explode(F.array_compact(F.array(block, ahead))))
+
+    def gram(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        first, pos, x = pdf.iloc[0], pdf["pos"].to_numpy(), pdf["x"].to_numpy(float)
+        lag = int(first["lag"])
+        at = np.flatnonzero((pos >= first["block"] * ADF_BLOCK) & (pos > lag))
+        dx = np.diff(x, prepend=x[0])
+        u = np.column_stack([np.ones(len(at)), *[dx[at - k] for k in range(1, lag + 1)], x[at - 1], dx[at]])
+        m = u.T @ u
+        i, j = np.indices(m.shape)
+        out = pd.DataFrame({"n": first["n"], "lag": lag, "i": i.ravel(), "j": j.ravel(), "v": m.ravel()})
+        for k in keys:
+            out[k] = [first[k]] * len(out)
+        return out[names]
+
+    return dealt.groupBy(*keys, "block").applyInPandas(gram, schema).groupBy(*keys, "n", "lag", "i", "j").agg(F.sum("v").alias("v"))
+
+
+def adf_from_gram(gram: np.ndarray, nobs: int) -> float:
+    """ADF t-statistic of the level from the Gram matrix of (constant, lagged differences, level, difference)."""
+    rest, last = gram[:-2, :-2], gram[:-2, -2:]
+    left = gram[-2:, -2:] - last.T @ np.linalg.pinv(rest, hermitian=True) @ last  # level and difference less the others
+    level, cross, square = left[0, 0], left[0, 1], left[1, 1]
+    sigma2 = (square - cross * cross / level) / (nobs - (len(gram) - 1)) if level > 0 else float("nan")
+    return float(cross / level / math.sqrt(sigma2 / level)) if sigma2 > 0 else float("nan")
+
+
 def stationarity(df: DataFrame, date_col: str, value_col: str, keys: list[str] | None = None,
-                 max_points: int = MAX_TREND_POINTS, min_points: int = 10) -> DataFrame:
-    """ADF per key on the (downsampled) date-ordered series; groups hold < 2 x max_points rows.
+                 max_points: int | None = None, min_points: int = 10, max_lag: int | None = None) -> DataFrame:
+    """ADF with a constant on all points of each date-ordered series, equal dates in order of value.
 
+    The lag is min(20, max(1, n // 20)) or ``max_lag``; ``max_points`` thins long series first (``downsampled_series``).
+    No series is gathered in one task. A series too short for its lag gets no statistic.
     (keys..., n, lag, statistic, p_value, is_stationary).
     """
     keys = keys or []
     eff = keys or ["_all"]
-    pts = downsampled_series(df, date_col, value_col, keys, max_points)
-    if not keys:
-        pts = pts.withColumn("_all", F.lit(0))
-    kf = [f for f in pts.schema.fields if f.name in eff]
-    schema = T.StructType(kf + [T.StructField("n", T.LongType()), T.StructField("lag", T.IntegerType()),
-                                T.StructField("statistic", T.DoubleType()), T.StructField("p_value", T.DoubleType())])
-    names = eff + ["n", "lag", "statistic", "p_value"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("x")
-        if len(pdf) < min_points:
-            return pd.DataFrame([], columns=names)
-        kv = [pdf[k].iloc[0] for k in eff]
-        stat, p, lag, _ = adf_test(pdf["y"].to_numpy())
-        return pd.DataFrame([kv + [len(pdf), lag, stat, p]], columns=names)
-
-    res = pts.groupBy(*eff).applyInPandas(run, schema)
+    if max_points:
+        src = downsampled_series(df, date_col, value_col, keys, max_points).select(*keys, F.col("x").alias("pos"), "y")
+    else:
+        src = df.select(*[col(k) for k in keys], col(date_col).alias("d"), num(df, value_col).alias("y")).na.drop(subset=["d", "y"])
+        src = row_index(src.withColumn("_row", F.monotonically_increasing_id()), keys, ["d", "y", "_row"], "pos").select(*keys, "pos", "y")
     if not keys:
-        res = res.drop("_all")
-    return res.withColumn("is_stationary", F.col("p_value") < ALPHA)
+        src = src.withColumn("_all", F.lit(0))
+    sizes = src.groupBy(*eff).agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("my")).where(F.col("n") >= min_points)
+    lag = F.lit(max_lag) if max_lag is not None else F.least(F.lit(20), F.greatest(F.lit(1), F.floor(F.col("n") / 20)))
+    points = null_safe_join(src, sizes, eff, small_right=not keys).select(*eff, "pos", (F.col("y") - F.col("my")).alias("x"), "n", lag.cast("int").alias("lag"))
+    gram = _lagged_gram(points, eff)
+    names = [*eff, "n", "lag", "statistic", "p_value"]
+    schema = T.StructType([gram.schema[k] for k in eff] + [T.StructField("n", T.LongType()), T.StructField("lag", T.IntegerType()),
+                                                           T.StructField("statistic", T.DoubleType()), T.StructField("p_value", T.DoubleType())])
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        n, lag, stat = int(first["n"]), int(first["lag"]), float("nan")
+        if n - 1 - lag > lag + 3:
+            m = np.zeros((lag + 3, lag + 3))
+            m[pdf["i"], pdf["j"]] = pdf["v"]
+            stat = adf_from_gram(m, n - 1 - lag)
+        return pd.DataFrame([[*[first[k] for k in eff], n, lag, stat, float("nan") if math.isnan(stat) else mackinnon_p(stat)]], columns=names)
+
+    res = gram.groupBy(*eff).applyInPandas(solve, schema)
+    res = res.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("statistic", "p_value")})
+    return res.drop("_all").withColumn("is_stationary", F.col("p_value") < ALPHA)
 
 
 def statistics(df: DataFrame, target: str | None = None, date_col: str | None = None) -> dict[str, DataFrame]:

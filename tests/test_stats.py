@@ -122,3 +122,25 @@ def test_correlations_of_many_columns(spark):
     want = pdf.corr()
     got = P.pearson(spark.createDataFrame(pdf)).toPandas().pivot(index="i", columns="j", values="r").to_numpy()
     assert np.allclose(got, want.to_numpy(), atol=1e-9)
+
+
+def test_adf_over_blocks_matches_one_regression(spark, monkeypatch):
+    """All points of long and short series, in blocks with a halo, with ties, a null key and one series without a key."""
+    monkeypatch.setattr(S, "ADF_BLOCK", 128)
+    rng = np.random.default_rng(8)
+    parts = []
+    for key, n in (("walk", 1500), ("noise", 900), (None, 128), ("edge", 256), ("short", 12), ("tiny", 9)):
+        y = np.cumsum(rng.normal(size=n)) if key == "walk" else rng.normal(size=n).round(1)
+        parts.append(pd.DataFrame({"k": key, "d": pd.Timestamp("2020-01-01") + pd.to_timedelta(rng.integers(0, n // 2 + 1, n), unit="D"), "y": y}))
+    pdf = pd.concat(parts, ignore_index=True)
+    df = spark.createDataFrame(pdf.sample(frac=1, random_state=1)).repartition(6)
+    got = {r["k"]: r for r in S.stationarity(df, "d", "y", keys=["k"]).collect()}
+    assert set(got) == {"walk", "noise", None, "edge", "short"}
+    for key, r in got.items():
+        own = pdf[pdf["k"].isna()] if key is None else pdf[pdf["k"] == key]
+        values = own.sort_values(["d", "y"])["y"].to_numpy()
+        stat, p, lag, _ = S.adf_test(values)
+        assert (r["n"], r["lag"]) == (len(values), lag)
+        assert math.isclose(r["statistic"], stat, rel_tol=1e-7) and math.isclose(r["p_value"], p, rel_tol=1e-6, abs_tol=1e-12)
+    whole = S.stationarity(df, "d", "y").first()
+    assert math.isclose(whole["statistic"], S.adf_test(pdf.sort_values(["d", "y"])["y"].to_numpy())[0], rel_tol=1e-7)
