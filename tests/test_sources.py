@@ -51,3 +51,52 @@ def test_formats_are_detected_by_file_and_over_all_lines(spark, tmp_path):
     empty = tmp_path / "empty.csv"
     empty.write_text("")
     assert delimited.detect_csv(spark, str(empty)) == {"encoding": "UTF-8", "delimiter": ","}
+
+
+def _tricky_rows(n):
+    """Fields with delimiters, quotes, line breaks and blank lines inside."""
+    texts = ["plain", 'say "hi"', "a;b;c", "two\nlines", "three\n\nlines; with \"quotes\"\nand more", "", "5\" pipe", "end\n", ";;;;;", "ö\nş"]
+    return [[str(i), texts[i % len(texts)], str(i * 2.5)] for i in range(n)]
+
+
+def test_quoted_delimiters_and_line_breaks_over_many_pieces(spark, tmp_path):
+    import csv
+
+    files = []
+    for name, cols, n in (("one.csv", ["id", "note", "x"], 400), ("two.csv", ["id", "note", "x", "extra"], 60)):
+        with open(tmp_path / name, "w", newline="", encoding="utf-8") as fh:
+            writer = csv.writer(fh, delimiter=";", lineterminator="\n")
+            writer.writerow(cols)
+            writer.writerows(r + ["e"] * (len(cols) - 3) for r in _tricky_rows(n))
+        files.append(str(tmp_path / name))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")  # records cross the pieces of a file
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        found = {r["file"].rsplit("/", 1)[1]: (r["encoding"], r["delimiter"], r["crosses"]) for r in delimited.detect_files(spark, files).collect()}
+        assert found == {"one.csv": ("UTF-8", ";", True), "two.csv": ("UTF-8", ";", True)}
+        df = delimited.read_delimited(spark, files)
+        assert dict(df.dtypes)["id"] == "int" and dict(df.dtypes)["x"] == "double"
+        got = sorted(((r["id"], r["note"] or "", r["x"], r["extra"]) for r in df.collect()), key=lambda r: (r[3] or "", r[0]))
+        want = [(int(a), b, float(c), None) for a, b, c in _tricky_rows(400)] + [(int(a), b, float(c), "e") for a, b, c in _tricky_rows(60)]
+        assert got == want
+        meta = {r["file_name"]: (r["rows"], r["suffix"]) for r in delimited.delimited_meta(spark, files).collect()}
+        assert meta == {"one.csv": (400, ".csv"), "two.csv": (60, ".csv")}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_quotes_do_not_count_and_settings_are_restored(spark, tmp_path):
+    p = tmp_path / "q.csv"
+    p.write_text('id,note\n' + "".join(f'{i},"a;b;c, d"\n' for i in range(20)) + '20,5" pipe\n')
+    rows = delimited.read_delimited(spark, str(p)).orderBy("id").collect()
+    assert len(rows) == 21 and rows[0]["note"] == "a;b;c, d" and rows[20]["note"] == '5" pipe'
+    latin = tmp_path / "l.csv"
+    latin.write_bytes('ad;not\nŞükrü;"iki\nsatır"\n'.encode("cp1254"))
+    row = delimited.read_delimited(spark, str(latin)).first()
+    assert (row["ad"], row["not"]) == ("Şükrü", "iki\nsatır")
+    assert spark.conf.get("spark.sql.legacy.javaCharsets", "false") == "false"
+    open_ = tmp_path / "open.csv"
+    open_.write_text('a,b\n1,"never closed\n2,3\n')
+    assert [tuple(r) for r in delimited.read_delimited(spark, str(open_)).collect()][0][0] == 1
