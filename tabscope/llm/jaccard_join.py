@@ -278,27 +278,35 @@ def _ids(rows: list[dict]) -> tuple[list[np.ndarray], int]:
     return local_ids([np.frombuffer(r["values"], np.uint64) for r in rows])
 
 
-def _edges(pairs: list[tuple[int, int, bool]]) -> pa.RecordBatch:
-    u, v, pending = zip(*pairs)
-    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(pending, pa.bool_())], ["u", "v", "pending"])
+def _unite(root: np.ndarray, own: int, found: np.ndarray) -> None:
+    """One component of ``own`` and the sets found for it."""
+    if (root[found] != root[own]).any():
+        joined = np.unique(np.append(root[found], root[own]))
+        root[np.isin(root, joined)] = joined[0]
+
+
+def _edges(rows: list[dict], root: np.ndarray, pending: np.ndarray) -> pa.RecordBatch:
+    """u, v, pending: a row of each set that is pending or hangs together with another, v the component's set."""
+    cls = np.array([r["cls"] for r in rows], np.int64)
+    at = np.flatnonzero(pending | (root != np.arange(len(rows))))
+    return pa.RecordBatch.from_arrays([pa.array(cls[at]), pa.array(cls[root[at]]), pa.array(pending[at])], ["u", "v", "pending"])
 
 
 def chunk_links(batches):
-    """First step, by (block, chunk): links within the chunk and to the block's first set; pending rows (u = v) mark
-    sets not linked to that set, which still have to probe the block's other chunks."""
+    """First step, by (block, chunk): one row for each set of the chunk's components and those of the block's first set;
+    sets not linked to that set are pending, as they still have to probe the block's other chunks."""
     for rows in _groups(batches):
         arrays, vocabulary = _ids(rows)
         hub = next(i for i, r in enumerate(rows) if r["cls"] == r["block"])
         tree = PrefixTree(arrays, [r["n"] for r in rows], vocabulary)
-        star = tree.probe(arrays[hub], rows[hub]["n"])
         near = np.zeros(len(rows), bool)
-        near[star] = near[hub] = True
-        out = [(rows[i]["cls"], rows[hub]["cls"], False) for i in star if i != hub]
-        for i in np.flatnonzero(~near):
-            out += [(rows[i]["cls"], rows[j]["cls"], False) for j in tree.probe(arrays[i], rows[i]["n"]) if j != i]
-            out.append((rows[i]["cls"], rows[i]["cls"], True))
-        if out:
-            yield _edges(out)
+        near[tree.probe(arrays[hub], rows[hub]["n"])] = near[hub] = True
+        root = np.arange(len(rows))
+        root[near] = hub
+        asking = np.flatnonzero(~near)
+        for own, found in tree.probe_all([arrays[i] for i in asking], [rows[i]["n"] for i in asking]) if len(asking) else ():
+            _unite(root, own, asking[found])
+        yield _edges(rows, root, ~near)
 
 
 def cross_links(batches):
@@ -306,12 +314,14 @@ def cross_links(batches):
     for rows in _groups(batches):
         arrays, vocabulary = _ids(rows)
         inside = [i for i, r in enumerate(rows) if not r["probe"]]
-        if not inside:  # no set fell into this chunk
+        asking = np.array([i for i, r in enumerate(rows) if r["probe"]], np.int64)
+        if not inside or not len(asking):  # no set fell into one of the chunks
             continue
         tree = PrefixTree([arrays[i] for i in inside], [rows[i]["n"] for i in inside], vocabulary)
-        out = [(r["cls"], rows[inside[j]]["cls"], False) for i, r in enumerate(rows) if r["probe"] for j in tree.probe(arrays[i], r["n"])]
-        if out:
-            yield _edges(out)
+        root = np.arange(len(rows))
+        for own, found in tree.probe_all([arrays[i] for i in asking], [rows[i]["n"] for i in asking]):
+            _unite(root, inside[own], asking[found])
+        yield _edges(rows, root, np.zeros(len(rows), bool))
 
 
 def tree_links(ordered: DataFrame, block_of: DataFrame, chunk_shingles: int) -> DataFrame:
@@ -324,7 +334,7 @@ def tree_links(ordered: DataFrame, block_of: DataFrame, chunk_shingles: int) ->
     first = sets.unionByName(everywhere.withColumn("chunk", F.col("at")).drop("at")).withColumn("side", F.lit(0).cast("long")).select(*columns)
     kind = "u long, v long, pending boolean"
     step = saved(first.repartition("block", "chunk", "side").sortWithinPartitions(*TASK, "cls").mapInArrow(chunk_links, kind))
-    links = step.where("not pending").select("u", "v")
+    links = step.where("u <> v").select("u", "v")
     open_ = sets.where("chunks > 1").join(step.where("pending").select(F.col("u").alias("cls")).distinct(), "cls")
     if open_.isEmpty():
         return links
@@ -357,9 +367,7 @@ def every_link(batches):
             linked[found] += copies[own]
             if not within:
                 linked[own] += copies[found].sum()
-            if (root[found] != root[own]).any():
-                joined = np.unique(np.append(root[found], root[own]))
-                root[np.isin(root, joined)] = joined[0]
+            _unite(root, own, found)
         cls = np.array([r["cls"] for r in rows], np.int64)
         at = np.flatnonzero(linked)
         if len(at):
