@@ -51,6 +51,15 @@ def q_csv_roundtrip(spark, sf):
                        F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"), "o_orderpriority")
 
 
+@register("csv_quoted", "SELECT doc_id, sha256(text) AS text_sha256, lang, source, n_chars FROM documents")
+def q_csv_quoted(spark, sf):
+    """Whole documents, with line breaks, quotes and delimiters inside, written as quoted text and read back by pieces."""
+    path = _scratch(spark, "documents-csv")
+    T_(spark, sf, "documents").write.option("header", "true").option("sep", ";").option("escape", '"').csv(path)
+    back = delimited.read_delimited(spark, path)
+    return back.select(F.col("doc_id").cast("long"), F.sha2("text", 256).alias("text_sha256"), "lang", "source", F.col("n_chars").cast("long"))
+
+
 @register("csv_detect", "SELECT 'UTF-8' AS encoding, ';' AS delimiter, CAST(count(*) AS BIGINT) AS rows, "
           "CAST(6 AS BIGINT) AS columns FROM orders")
 def q_csv_detect(spark, sf):

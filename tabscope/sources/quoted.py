@@ -81,7 +81,7 @@ PIECES = ("file string, block long, sep string, entry int, state int, ended bool
 
 def lines_of(spark: SparkSession, paths) -> DataFrame:
     """file, block, value (bytes) of each line, in the order of the file within a block (a split of it)."""
-    return spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+    return spark.read.text(paths, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                                          F.col("value").cast("binary").alias("value"))
 
 
@@ -209,6 +209,7 @@ def records(lines: DataFrame, sep: str, starts: dict[tuple[str, int], tuple[int,
                 state = step(line, delimiter, state)[0] if b'"' in line else state
                 gathered.append(line)
                 if state == OUTSIDE:
+                    gathered[-1] = gathered[-1].removesuffix(b"\r")
                     out.append((file, began, place if ended else -1, block, b"\n".join(gathered)))
                     began, place, gathered = block, place + 1 if ended else 0, []
                     ended = True

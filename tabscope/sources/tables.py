@@ -108,5 +108,5 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w = w.option("header", "true")
+        w = w.options(**{"header": "true", "escape": '"', **options})
     w.save(path)
