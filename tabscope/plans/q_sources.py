@@ -18,7 +18,7 @@ def _scratch(spark, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:10]}"
 
 
-@register("load_meta", "SELECT 'lineitem.parquet' AS file_name, CAST(count(*) AS BIGINT) AS rows, "
+@register("load_meta", "SELECT 'lineitem.parquet' AS file_name, '.parquet' AS suffix, CAST(count(*) AS BIGINT) AS rows, "
           "CAST(11 AS BIGINT) AS columns FROM lineitem")
 def q_load_meta(spark, sf):
     return tables.load_meta(tables.read_table(spark, f"{sf}/lineitem.parquet"))
@@ -81,6 +81,27 @@ def q_workbook_roundtrip(spark, sf):
                        F.round(F.col("c_acctbal").cast("double"), 2).alias("c_acctbal"), "c_mktsegment")
 
 
+@register("workbook_headers", "SELECT c_custkey, c_name, NULL::DOUBLE AS c_acctbal, 'a' AS book FROM customer "
+          "UNION ALL SELECT c_custkey, c_name, round(c_acctbal, 2), 'b' FROM customer")
+def q_workbook_headers(spark, sf):
+    """Workbooks of two headers, with columns in another order and one more, united by name."""
+    path = _scratch(spark, "mixed-xlsx")
+    customer = T_(spark, sf, "customer")
+    workbook.write_workbooks(customer.select("c_custkey", "c_name", F.lit("a").alias("book")), path)
+    workbook.write_workbooks(customer.select(F.lit("b").alias("book"), "c_name", "c_acctbal", "c_custkey"), path)
+    back = tables.read_table(spark, path, fmt="xlsx")
+    return back.select(F.col("c_custkey").cast("long"), "c_name", F.round(F.col("c_acctbal").cast("double"), 2).alias("c_acctbal"), "book")
+
+
+@register("workbook_meta", "SELECT '.xlsx' AS suffix, 'data' AS sheets, 'data' AS selected_sheet, CAST(count(*) AS BIGINT) AS rows, CAST(5 AS BIGINT) AS columns FROM customer")
+def q_workbook_meta(spark, sf):
+    path = _scratch(spark, "customer-xlsx")
+    workbook.write_workbooks(T_(spark, sf, "customer"), path)
+    meta = workbook.workbook_meta(spark, path)
+    return meta.groupBy("suffix", F.array_join("sheets", ",").alias("sheets"), "selected_sheet").agg(
+        F.sum("rows").cast("long").alias("rows"), F.max("columns").cast("long").alias("columns"))
+
+
 @register("datetime_coercion", "SELECT o_orderkey, CAST(strptime(order_day, '%d/%m/%Y') AS TIMESTAMP) AS order_day FROM "
           + fx.SQL["orders_text"] + " t")
 def q_datetime_coercion(spark, sf):

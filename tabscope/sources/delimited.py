@@ -161,7 +161,7 @@ def delimited_meta(spark: SparkSession, paths: str | list[str], **kw) -> DataFra
             meta = rows.groupBy(F.element_at(F.split("file", "/"), -1).alias("file_name")).agg((F.count(F.lit(1)) - head).alias("rows")).withColumn(
                 "columns", F.lit(len(df.columns)).cast("long"))
         else:
-            meta = load_meta(df)
+            meta = load_meta(df).drop("suffix")
         suffix = F.lower(F.regexp_extract("file_name", r"\.[^.]*$", 0)).alias("suffix")
         metas.append(meta.select(F.lit(fmt.encoding).alias("encoding"), F.lit(fmt.delimiter).alias("delimiter"), "file_name", suffix, "rows", "columns"))
     out = metas[0]

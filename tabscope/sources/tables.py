@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +27,13 @@ def _suffix(path: str) -> str:
 
 
 def read_table(spark: SparkSession, path: str | list[str], fmt: str | None = None,
-               sheet: str | int | None = None, **options) -> DataFrame:
+               sheet: str | int | None = None, allow_empty: bool = False, **options) -> DataFrame:
     """S3: read a file, directory, glob or list with the reader its suffix (or ``fmt``) names.
 
+    Whatever can't be read (missing, of unknown type, broken, without the
+    sheet, in an unknown code page, without rows unless ``allow_empty``)
+    raises ``LoadError``; later failures of a file's contents are Spark's.
+
     Delimited text goes through encoding/delimiter detection (S1),
     workbooks through the distributed workbook reader (S2); a directory
     without suffix is read as parquet.
@@ -36,15 +41,25 @@ def read_table(spark: SparkSession, path: str | list[str], fmt: str | None = Non
     paths = [path] if isinstance(path, str) else list(path)
     if not paths:
         raise LoadError("no path given")
+    try:
+        df = _open(spark, paths, fmt, sheet, options)
+        return df if allow_empty else require_non_empty(df)
+    except LoadError:
+        raise
+    except (PySparkException, LookupError, ValueError) as problem:
+        raise LoadError(f"{paths[0]}: {str(problem).splitlines()[0]}") from problem
+
+
+def _open(spark: SparkSession, paths: list[str], fmt: str | None, sheet: str | int | None, options: dict) -> DataFrame:
     suffix = fmt and f".{fmt.lstrip('.')}" or _suffix(paths[0])
     if suffix in DELIMITED or fmt in ("csv", "tsv", "txt"):
         from .delimited import read_delimited
 
         return read_delimited(spark, paths, tsv=suffix == ".tsv", **options)
     if suffix in WORKBOOK or fmt in ("xlsx", "workbook"):
-        from .workbook import read_workbooks, workbook_table
+        from .workbook import open_workbooks
 
-        return workbook_table(read_workbooks(spark, paths), sheet=sheet)
+        return open_workbooks(spark, paths, sheet)
     if suffix == ".xls":
         raise LoadError("legacy binary .xls workbooks are not supported")
     kind = NATIVE.get(suffix, fmt or ("parquet" if suffix == "" else None))
@@ -54,10 +69,11 @@ def read_table(spark: SparkSession, path: str | list[str], fmt: str | None = Non
 
 
 def load_meta(df: DataFrame) -> DataFrame:
-    """(file_name, rows, columns) per input file of a file-based DataFrame."""
+    """(file_name, suffix, rows, columns) per input file of a file-based DataFrame."""
     n_cols = len(df.columns)
     return (df.select(F.col("_metadata.file_name").alias("file_name")).groupBy("file_name")
-            .agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(n_cols).cast("long")))
+            .agg(F.count(F.lit(1)).alias("rows"))
+            .select("file_name", F.lower(F.regexp_extract("file_name", r"\.[^.]*$", 0)).alias("suffix"), "rows", F.lit(n_cols).cast("long").alias("columns")))
 
 
 def checks(df: DataFrame, required: list[str] | None = None, not_null: list[str] | None = None,

@@ -100,3 +100,40 @@ def test_quotes_do_not_count_and_settings_are_restored(spark, tmp_path):
     open_ = tmp_path / "open.csv"
     open_.write_text('a,b\n1,"never closed\n2,3\n')
     assert [tuple(r) for r in delimited.read_delimited(spark, str(open_)).collect()][0][0] == 1
+
+
+def test_workbooks_of_different_headers_sheets_and_errors(spark, tmp_path, monkeypatch):
+    import pytest
+
+    folder = str(tmp_path / "mixed")
+    workbook.write_workbooks(spark.createDataFrame([(1, "a"), (2, None)], "id long, name string").coalesce(1), folder)
+    workbook.write_workbooks(spark.createDataFrame([("b", 3, 1.5)], "name string, id long, extra double").coalesce(1), folder)
+    rows = {(r["id"], r["name"], r["extra"]) for r in tables.read_table(spark, folder, fmt="xlsx").collect()}
+    assert rows == {(1, "a", None), (2, None, None), (3, "b", 1.5)}
+    meta = workbook.workbook_meta(spark, folder).collect()
+    assert {(r["rows"], r["columns"], r["selected_sheet"], tuple(r["sheets"]), r["suffix"]) for r in meta} == {(2, 2, "data", ("data",), ".xlsx"), (1, 3, "data", ("data",), ".xlsx")}
+    assert tables.read_table(spark, folder, fmt="xlsx", sheet="data").count() == 3
+    for bad in ("other", 1):
+        with pytest.raises(tables.LoadError):
+            tables.read_table(spark, folder, fmt="xlsx", sheet=bad)
+    (tmp_path / "broken.xlsx").write_bytes(b"no archive")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "head.csv").write_text("a,b\n")
+    (tmp_path / "t.csv").write_text("a,b\n1,2\n")
+    for name, options in (("broken.xlsx", {}), ("empty.csv", {}), ("head.csv", {}), ("missing.csv", {}), ("missing.parquet", {}), ("t.csv", {"encoding": "no-such-page"}),
+                          ("x.doc", {}), ("old.xls", {})):
+        with pytest.raises(tables.LoadError):
+            tables.read_table(spark, str(tmp_path / name), **options)
+    assert tables.read_table(spark, str(tmp_path / "head.csv"), allow_empty=True).columns == ["a", "b"]
+
+
+def test_large_partitions_give_several_workbooks(spark, tmp_path):
+    import io
+
+    buffer = io.BytesIO()
+    book = workbook.SheetWriter(buffer, ["a", "b"])
+    for i in range(5000):
+        book.add((i, f"<{i}> & é"))
+    book.close()
+    rows = list(workbook.sheet_rows(buffer.getvalue()))
+    assert len(rows) == 5001 and rows[0][3] == ["a", "b"] and rows[5000] == ("data", 0, 5000, ["4999", "<4999> & é"])
