@@ -8,10 +8,14 @@ with odd multipliers, so that every run of words costs two prefix-sum look-ups.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
+# Bytes up to which a word's polynomial is its fingerprint. Beyond, well-known words of 1024 bytes and more (Thue-Morse)
+# collide for any multiplier modulo 2^64, so that longer words are hashed by BLAKE2. N-grams have far fewer words.
+LONG = 64
 CHUNK_BYTES = 4 << 20  # text hashed at a time; bounds the temporary arrays, not what is hashed
 
 
@@ -96,6 +100,15 @@ class Words:
         self.bounds = np.searchsorted(self.starts, offsets)
         self.table = table if table is not None else _BYTE_LOWER if lower else _BYTE_VALUES
         self.hashes = self.spans(self.ends)
+        for i in np.flatnonzero(self.ends - self.starts > LONG):  # few; see LONG
+            self.hashes[i] = self._long(self.starts[i], self.ends[i])
+
+    def _long(self, start: int, end: int) -> np.uint64:
+        """Fingerprint of one word's bytes, as ``table`` maps them, that no choice of bytes collides on purpose."""
+        out = blake2b(digest_size=8)
+        for at in range(start, end, CHUNK_BYTES):
+            out.update(self.table[self.data[at:min(end, at + CHUNK_BYTES)]].tobytes())
+        return np.uint64(int.from_bytes(out.digest(), "little"))
 
     def spans(self, ends: np.ndarray) -> np.ndarray:
         """Fingerprint of the bytes from each word's start to the given ends (not past the word's own)."""

@@ -352,3 +352,28 @@ def test_mixes_are_nested(docs):
     large = {r.doc_id: r.copies for r in mixing.mix(docs, share=0.9).collect()}
     assert all(small[i] <= large[i] for i in small)
     assert mixing.mix(docs.withColumn("source", F.lit("only")), share=0.5).agg(F.sum("taken") / F.sum("size")).first()[0] == pytest.approx(0.5, abs=0.1)
+
+
+def thue_morse(n):
+    """Two words of n bytes that a polynomial modulo 2^64 can't tell apart, whatever its multiplier."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_made_to_collide_stay_apart(spark):
+    one, two = thue_morse(2048)
+    pairs = spark.createDataFrame([(1, f"x {one}"), (2, f"x {two}"), (3, f"X {one.upper()}"), (4, f"x {one} y")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(pairs).collect()} == {1: 1, 2: 2, 3: 1, 4: 4}
+    windows = spark.createDataFrame([(1, " ".join([one] + ["w"] * 34)), (2, " ".join([two] + ["w"] * 34)), (3, " ".join([one] + ["w"] * 34))], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(windows).collect()} == {1: 35, 2: 0, 3: 35}
+
+
+def test_components_need_one_row_a_set():
+    """A group of sets that hang together without the block's first set sends one row each, not one per link."""
+    import numpy as np
+    import pyarrow as pa
+
+    values = np.arange(1, 60, dtype=np.uint64)
+    rows = [{"block": 0, "chunk": 0, "side": 0, "cls": i, "n": 58, "values": (np.delete(values, i % 59) if i else np.arange(100, 158, dtype=np.uint64)).tobytes()} for i in range(40)]
+    out = pa.Table.from_batches(jaccard_join.chunk_links([pa.RecordBatch.from_pylist(rows)])).to_pylist()
+    assert len(out) == 39 and all(r["pending"] for r in out) and len({r["v"] for r in out}) == 1
