@@ -33,36 +33,29 @@ DATETIME_PARTS = "feature_datetime_parts"
 APPLY_ORDER = [DROP_HIGH_MISSING, DROP_DUPLICATES, IMPUTE_MEDIAN, IMPUTE_MODE, WINSORIZE]
 HIGH_MISSING = 0.6
 
+# What each step computes, in the order of the plan.
 _PLAN = [
-    (1, DROP_HIGH_MISSING, "Drop columns with a high missing share",
-     "Columns with 60% or more missing values are candidates."),
-    (2, IMPUTE_MEDIAN, "Fill numeric gaps with the median", "NULL numeric values become the column median."),
-    (3, IMPUTE_MODE, "Fill categorical gaps with the mode", "NULL categorical values become the most frequent value."),
-    (4, DROP_DUPLICATES, "Drop duplicate rows", "Exact duplicate rows are removed."),
-    (5, WINSORIZE, "Clip outliers to the IQR fences", "Outliers are not removed; they are clipped to q1-1.5IQR, q3+1.5IQR."),
-    (6, SCALE, "Standardise numeric features", "Z-score scaling before model training."),
-    (7, ONEHOT, "One-hot encode categorical fields", "Suitable for low-cardinality categories."),
-    (8, DATETIME_PARTS, "Derive year/month/day from dates", "Feature engineering from date columns."),
+    (1, DROP_HIGH_MISSING, f"Columns missing {HIGH_MISSING:.0%} or more", f"keeps the columns whose share of missing values is below {HIGH_MISSING}; an empty table keeps all"),
+    (2, IMPUTE_MEDIAN, "Median into numeric gaps", "exact median of each numeric column in place of NULL and NaN; such columns become DOUBLE"),
+    (3, IMPUTE_MODE, "Mode into other gaps", "most frequent value of each text, boolean and date column in place of NULL, the smallest of ties"),
+    (4, DROP_DUPLICATES, "One row of each set of equal rows", "groups by all columns, NULLs equal"),
+    (5, WINSORIZE, "Values beyond the IQR fences", "moves values below q1 - 1.5 IQR or above q3 + 1.5 IQR to the fence, after imputation; no row goes"),
+    (6, SCALE, "Z-scores", "(x - mean) / sample standard deviation of each numeric column, NULL for a constant one"),
+    (7, ONEHOT, "0/1 columns of text levels", "a column per value of each text column with at most 20 values"),
+    (8, DATETIME_PARTS, "Parts of dates", "year, month and day of each date column beside it"),
 ]
 
 
-def _signals(df: DataFrame) -> DataFrame:
+def _signals(df: DataFrame, one: DataFrame | None = None, duplicates: DataFrame | None = None) -> DataFrame:
     """One row: n_rows, missing_total, duplicate_rows, high-missing and all-null column lists."""
-    from .profile import duplicate_rows
-
-    n = F.count(F.lit(1))
-    aggs = [n.alias("n_rows")]
-    for i, c in enumerate(df.columns):
-        aggs.append(F.sum(is_missing(df, c).cast("long")).alias(f"m{i}"))
-    agg = df.agg(*aggs)
-    total = sum((F.coalesce(F.col(f"m{i}"), F.lit(0)) for i in range(len(df.columns))), F.lit(0).cast("long"))
-    high = F.filter(F.array(*[F.when(F.col(f"m{i}") / F.greatest(F.col("n_rows"), F.lit(1)) >= HIGH_MISSING,
-                                     F.lit(c)) for i, c in enumerate(df.columns)]), lambda x: x.isNotNull())
-    allnull = F.filter(F.array(*[F.when((F.col("n_rows") > 0) & (F.col(f"m{i}") == F.col("n_rows")), F.lit(c))
-                                 for i, c in enumerate(df.columns)]), lambda x: x.isNotNull())
-    sig = agg.select("n_rows", total.cast("long").alias("missing_total"), high.alias("high_missing"),
-                     allnull.alias("all_null_columns"))
-    return sig.crossJoin(duplicate_rows(df).select("duplicate_rows"))
+    from .profile import duplicate_rows, missing_specs, one_row
+
+    total = sum((F.col(f"_m{i}") for i in range(len(df.columns))), F.lit(0).cast("long"))
+    high = F.array_compact(F.array(*[F.when(F.col(f"_m{i}") / F.greatest(F.col("_n"), F.lit(1)) >= HIGH_MISSING, F.lit(c)) for i, c in enumerate(df.columns)]))
+    allnull = F.array_compact(F.array(*[F.when((F.col("_n") > 0) & (F.col(f"_m{i}") == F.col("_n")), F.lit(c)) for i, c in enumerate(df.columns)]))
+    sig = one_row(df, missing_specs(df), one).select(F.col("_n").alias("n_rows"), total.cast("long").alias("missing_total"), high.alias("high_missing"),
+                                                     allnull.alias("all_null_columns"))
+    return sig.crossJoin(F.broadcast((duplicates if duplicates is not None else duplicate_rows(df)).select("duplicate_rows")))
 
 
 def validation(df: DataFrame) -> DataFrame:
@@ -73,11 +66,12 @@ def validation(df: DataFrame) -> DataFrame:
                     "missing_total", "duplicate_rows")
 
 
-def plan(df: DataFrame) -> DataFrame:
-    """(ord, id, title, detail, safe_default, impact) rows whose condition holds."""
+def plan(df: DataFrame, one: DataFrame | None = None, duplicates: DataFrame | None = None) -> DataFrame:
+    """(ord, id, title, detail, safe_default, impact) rows whose condition holds; ``one`` (``missing_specs``) and
+    ``duplicates`` if known already."""
     has_numeric = bool(numeric_columns(df))
     has_text = any(isinstance(f.dataType, T.StringType) for f in df.schema.fields)
-    s = _signals(df)
+    s = _signals(df, one, duplicates)
     conds = {
         DROP_HIGH_MISSING: F.col("missing_total") > 0,
         IMPUTE_MEDIAN: F.col("missing_total") > 0,

@@ -13,26 +13,40 @@ from pyspark.sql import types as T
 
 from ..functions.columns import (DATETIME_TYPES, NUMERIC_TYPES, as_text, col, datetime_typed_columns, num,
                                  numeric_columns)
+from .profile import one_row, value_frequencies
 from .roles import geo_columns
 
 KPI_COLUMNS = 3
 KPI_CAP = 8
 
 
-def kpis(df: DataFrame, intent: str = "general_analysis") -> DataFrame:
+def kpi_specs(df: DataFrame) -> list[tuple]:
+    """Row count, and count, sum and mean of the first numeric columns, for one scan."""
+    specs = [("_rows", F.count(F.lit(1)).cast("double"), 1)]
+    for i, c in enumerate(numeric_columns(df)[:KPI_COLUMNS]):
+        v = num(df, c)
+        specs += [(f"_n{i}", F.count(v), 1), (f"_s{i}", F.sum(v), 1), (f"_a{i}", F.avg(v), 2)]
+    return specs
+
+
+def bound_specs(df: DataFrame, date_col: str | None = None) -> list[tuple]:
+    """First and last date of a column (the first date column by default), for one scan; none without one."""
+    date_col = date_col or next(iter(datetime_typed_columns(df)), None)
+    if date_col is None:
+        return []
+    return [("_min_date", F.min(col(date_col)).cast("date"), 1), ("_max_date", F.max(col(date_col)).cast("date"), 1)]
+
+
+def kpis(df: DataFrame, intent: str = "general_analysis", one: DataFrame | None = None) -> DataFrame:
     """(ord, id, label, value) — row count, sum and mean of the first three numerics
     (all-null ones skipped), and the margin for the ``profit_loss`` intent; at most 8 cards."""
     numeric = numeric_columns(df)
     first = numeric[:KPI_COLUMNS]
-    aggs = [F.count(F.lit(1)).cast("double").alias("_rows")]
-    for i, c in enumerate(first):
-        v = num(df, c)
-        aggs += [F.count(v).alias(f"_n{i}"), F.sum(v).alias(f"_s{i}"), F.avg(v).alias(f"_a{i}")]
+    specs = kpi_specs(df)
     margin = intent == "profit_loss" and len(numeric) >= 2
     if margin:
-        aggs.append((F.sum(F.coalesce(num(df, numeric[0]), F.lit(0.0)))
-                     - F.sum(F.coalesce(num(df, numeric[1]), F.lit(0.0)))).alias("_margin"))
-    agg = df.agg(*aggs)
+        specs.append(("_margin", F.sum(F.coalesce(num(df, numeric[0]), F.lit(0.0))) - F.sum(F.coalesce(num(df, numeric[1]), F.lit(0.0))), 2))
+    agg = one_row(df, specs, None if margin else one)
     cards = [F.struct(F.lit(0).alias("k"), F.lit("row_count").alias("id"), F.lit("Row count").alias("label"),
                       F.col("_rows").alias("value"), F.lit(True).alias("_on"))]
     for i, c in enumerate(first):
@@ -60,26 +74,25 @@ def margin_kpi(df: DataFrame, a: str | None = None, b: str | None = None) -> Dat
                   ).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "value")
 
 
-def filter_options(df: DataFrame, max_columns: int = 4, max_values: int = 50) -> DataFrame:
+def filter_options(df: DataFrame, max_columns: int = 4, max_values: int = 50, freq: DataFrame | None = None) -> DataFrame:
     """(column_name, ord, value) — up to 50 distinct string values for the first four
     non-numeric columns, in value order (deterministic stand-in for first-seen order)."""
     cats = [f.name for f in df.schema.fields if not isinstance(f.dataType, NUMERIC_TYPES)][:max_columns]
     if not cats:
         return df.sparkSession.createDataFrame([], "column_name string, ord int, value string")
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), as_text(df, c).alias("value")) for c in cats])
-    distinct = df.select(F.inline(pairs)).where(F.col("value").isNotNull()).groupBy("column_name", "value").agg(
-        F.count(F.lit(1)).alias("_c"))
+    distinct = freq.where(F.col("column_name").isin(cats)) if freq is not None else value_frequencies(df, cats)
     w = Window.partitionBy("column_name").orderBy("value")
     return distinct.select("column_name", F.row_number().over(w).alias("ord"), "value").where(F.col("ord") <= max_values)
 
 
-def date_bounds(df: DataFrame, date_col: str | None = None) -> DataFrame:
+def date_bounds(df: DataFrame, date_col: str | None = None, one: DataFrame | None = None) -> DataFrame:
     """One row (column_name, min_date, max_date) for the first date column."""
-    date_col = date_col or next(iter(datetime_typed_columns(df)), None)
-    if date_col is None:
+    specs = bound_specs(df, date_col)
+    if not specs:
         return df.sparkSession.createDataFrame([], "column_name string, min_date date, max_date date")
-    return df.agg(F.min(col(date_col)).cast("date").alias("min_date"), F.max(col(date_col)).cast("date").alias("max_date")
-                  ).where(F.col("min_date").isNotNull()).select(F.lit(date_col).alias("column_name"), "min_date", "max_date")
+    name = date_col or datetime_typed_columns(df)[0]
+    return one_row(df, specs, one).where(F.col("_min_date").isNotNull()).select(
+        F.lit(name).alias("column_name"), F.col("_min_date").alias("min_date"), F.col("_max_date").alias("max_date"))
 
 
 def apply_filters(df: DataFrame, members: dict[str, list[str]] | None = None,

@@ -20,14 +20,35 @@ from .quantiles import pick_quantiles, ranked_counts
 SUMMARY_PROBS = [0.25, 0.5, 0.75]
 
 
-def overview(df: DataFrame) -> DataFrame:
-    """One row: n_rows, n_columns, missing_cells, duplicate_rows."""
-    miss = sum((F.sum(is_missing(df, c).cast("long")) for c in df.columns), F.lit(0).cast("long")) \
-        if df.columns else F.lit(0).cast("long")
-    base = df.agg(F.count(F.lit(1)).alias("n_rows"), miss.alias("missing_cells"))
-    dup = duplicate_rows(df).select("duplicate_rows")
-    return base.crossJoin(dup).select(
-        "n_rows", F.lit(len(df.columns)).cast("long").alias("n_columns"), "missing_cells", "duplicate_rows")
+def missing_specs(df: DataFrame) -> list[tuple]:
+    """Row count and missing values of each column, for one scan."""
+    return [("_n", F.count(F.lit(1)), 1)] + [(f"_m{i}", F.count(F.when(is_missing(df, c), 1)), 1) for i, c in enumerate(df.columns)]
+
+
+def volume_specs(df: DataFrame) -> list[tuple]:
+    """Bytes of each column, for one scan."""
+    specs = []
+    for i, f in enumerate(df.schema.fields):
+        width = next((w for t, w in _WIDTHS.items() if isinstance(f.dataType, t)), 16 if isinstance(f.dataType, T.DecimalType) else None)
+        bytes_ = F.count(F.lit(1)) * width if width is not None else F.coalesce(F.sum(F.octet_length(col(f.name).cast("string"))), F.lit(0))
+        specs.append((f"_b{i}", bytes_.cast("long"), 1))
+    return specs
+
+
+def one_row(df: DataFrame, specs: list[tuple], one: DataFrame | None = None) -> DataFrame:
+    """The one-row aggregate of ``specs``, or ``one`` where another pass has computed them already."""
+    from ..functions.aggregates import one_row_agg
+
+    return one if one is not None else one_row_agg(df, specs)
+
+
+def overview(df: DataFrame, one: DataFrame | None = None, duplicates: DataFrame | None = None) -> DataFrame:
+    """One row: n_rows, n_columns, missing_cells, duplicate_rows; ``one`` and ``duplicates`` if known already."""
+    base = one_row(df, missing_specs(df), one)
+    cells = sum((F.col(f"_m{i}") for i in range(len(df.columns))), F.lit(0).cast("long"))
+    dup = (duplicates if duplicates is not None else duplicate_rows(df)).select("duplicate_rows")
+    return base.crossJoin(F.broadcast(dup)).select(F.col("_n").alias("n_rows"), F.lit(len(df.columns)).cast("long").alias("n_columns"),
+                                                   cells.alias("missing_cells"), "duplicate_rows")
 
 
 def column_types(df: DataFrame) -> DataFrame:
@@ -37,17 +58,14 @@ def column_types(df: DataFrame) -> DataFrame:
         "column_name string, ordinal int, dtype string, kind string")
 
 
-def missing(df: DataFrame) -> DataFrame:
+def missing(df: DataFrame, one: DataFrame | None = None) -> DataFrame:
     """(column_name, ordinal, n_missing, pct_missing) — pct = missing / max(rows, 1) * 100, 2 places."""
     if not df.columns:
         return df.sparkSession.createDataFrame(
             [], "column_name string, ordinal int, n_missing long, pct_missing double")
-    agg = df.agg(F.count(F.lit(1)).alias("_n"),
-                 *[F.sum(is_missing(df, c).cast("long")).alias(f"_m{i}") for i, c in enumerate(df.columns)])
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("ordinal"),
-                              F.coalesce(F.col(f"_m{i}"), F.lit(0)).cast("long").alias("n_missing"))
+    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("ordinal"), F.col(f"_m{i}").alias("n_missing"))
                      for i, c in enumerate(df.columns)])
-    return agg.select("_n", F.inline(rows)).select(
+    return one_row(df, missing_specs(df), one).select("_n", F.inline(rows)).select(
         "column_name", "ordinal", "n_missing",
         F.round(F.col("n_missing") / F.greatest(F.col("_n"), F.lit(1)) * 100, 2).alias("pct_missing"))
 
@@ -132,7 +150,7 @@ def value_frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFr
             .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("count")))
 
 
-def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 10) -> DataFrame:
+def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 10, freq: DataFrame | None = None) -> DataFrame:
     """(column_name, rank, value, count): k most frequent values; ties by value ascending.
 
     ``row_number() <= k`` over ``partitionBy(column)`` is planned as a
@@ -141,16 +159,16 @@ def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 10) ->
     columns = columns if columns is not None else categorical_columns(df)
     if not columns:
         return df.sparkSession.createDataFrame([], "column_name string, rank int, value string, count long")
-    freq = value_frequencies(df, columns)
+    freq = freq if freq is not None else value_frequencies(df, columns)
     w = Window.partitionBy("column_name").orderBy(F.col("count").desc(), F.col("value").asc())
     return (freq.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("column_name", "rank", "value", "count"))
 
 
-def categorical_summary(df: DataFrame, columns: list[str] | None = None, k: int = 10) -> DataFrame:
-    """(column_name, n_distinct, rank, value, count) — P7 with distinct count per column."""
+def categorical_summary(df: DataFrame, columns: list[str] | None = None, k: int = 10, freq: DataFrame | None = None) -> DataFrame:
+    """(column_name, n_distinct, rank, value, count) — P7 with distinct count per column; ``freq``: known frequencies."""
     columns = columns if columns is not None else categorical_columns(df)
-    freq = value_frequencies(df, columns)
+    freq = freq if freq is not None else value_frequencies(df, columns)
     distinct = freq.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
     w = Window.partitionBy("column_name").orderBy(F.col("count").desc(), F.col("value").asc())
     top = freq.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -175,16 +193,19 @@ def iqr_bounds(df: DataFrame, columns: list[str] | None = None, keys: list[str]
                      (F.col("q3") + 1.5 * iqr).alias("upper"))
 
 
-def outliers(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def outliers(df: DataFrame, columns: list[str] | None = None, quartiles: dict[str, list] | None = None) -> DataFrame:
     """(column_name, q1, q3, lower, upper, n_outliers): values strictly outside the IQR fences.
 
-    Three scans for the quartiles, one aggregate that counts against the fences.
+    Three scans for the quartiles (none if ``quartiles`` gives q1 and q3 by column), one aggregate that counts against
+    the fences.
     """
     from ..functions.aggregates import one_row_agg
 
     columns = columns if columns is not None else numeric_columns(df)
     schema = "column_name string, q1 double, q3 double, lower double, upper double, n_outliers long"
-    fences = iqr_fences(column_quantiles(df, columns, [0.25, 0.75])[0]) if columns else {}
+    if quartiles is None:
+        quartiles = column_quantiles(df, columns, [0.25, 0.75])[0] if columns else {}
+    fences = iqr_fences(quartiles)
     if not fences:
         return df.sparkSession.createDataFrame([], schema)
     held = list(fences)
@@ -252,9 +273,12 @@ def _gram_moments(dev: DataFrame, columns: list[str], kind: str) -> DataFrame:
     squares and cross-product is a cell of the Gram matrix of [m, d, d * d]. Each task sends one row per cell and Spark
     sums them; the 9 * columns^2 sums come to the driver, whatever the number of rows, and give the columns^2 results.
     """
-    import numpy as np
+    return pair_table(dev.sparkSession, gram_sums(dev, len(columns)), columns, kind)
 
-    k = len(columns)
+
+def gram_sums(dev: DataFrame, k: int):
+    """(3, k, 3, k) Gram matrix of presence, deviation and squared deviation of the k columns."""
+    import numpy as np
 
     def run(batches):
         import pyarrow as pa
@@ -272,7 +296,14 @@ def _gram_moments(dev: DataFrame, columns: list[str], kind: str) -> DataFrame:
     gram = np.zeros(9 * k * k)
     for r in sums:
         gram[r["cell"]] = r["s"]
-    gram = gram.reshape(3, k, 3, k)
+    return gram.reshape(3, k, 3, k)
+
+
+def pair_table(spark, gram, columns: list[str], kind: str) -> DataFrame:
+    """(a, b, i, j, value, n) of the correlations ("corr") or covariances of a Gram matrix."""
+    import numpy as np
+
+    k = len(columns)
     n, x, y, xy, xx, yy = gram[0, :, 0], gram[1, :, 0], gram[0, :, 1], gram[1, :, 1], gram[2, :, 0], gram[0, :, 2]
     with np.errstate(all="ignore"):
         cxx, cyy, cxy = xx - x * x / n, yy - y * y / n, xy - x * y / n
@@ -283,7 +314,7 @@ def _gram_moments(dev: DataFrame, columns: list[str], kind: str) -> DataFrame:
         else:
             value = np.where(n > 1, cxy / (n - 1), np.nan)
     rows = [(columns[i], columns[j], i, j, None if np.isnan(value[i, j]) else float(value[i, j]), int(n[i, j])) for i in range(k) for j in range(k)]
-    return dev.sparkSession.createDataFrame(rows, "a string, b string, i int, j int, value double, n long")
+    return spark.createDataFrame(rows, "a string, b string, i int, j int, value double, n long")
 
 
 def pearson(df: DataFrame, columns: list[str] | None = None, digits: int | None = None) -> DataFrame:
@@ -303,9 +334,9 @@ def pearson(df: DataFrame, columns: list[str] | None = None, digits: int | None
 
 
 def strong_pairs(df: DataFrame, columns: list[str] | None = None, threshold: float = 0.7,
-                 k: int = 20) -> DataFrame:
-    """(a, b, r): |r| >= threshold for i < j, strongest first, at most k (a top-k report)."""
-    m = pearson(df, columns)
+                 k: int = 20, matrix: DataFrame | None = None) -> DataFrame:
+    """(a, b, r): |r| >= threshold for i < j, strongest first, at most k (a top-k report); ``matrix``: pearson() if known."""
+    m = matrix if matrix is not None else pearson(df, columns)
     return (m.where((F.col("i") < F.col("j")) & (F.abs("r") >= threshold))
             .orderBy(F.abs("r").desc(), "i", "j").limit(k).select("a", "b", "r"))
 
@@ -315,42 +346,33 @@ _WIDTHS = {T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.LongType: 8, T.Flo
            T.DoubleType: 8, T.BooleanType: 1, T.DateType: 4, T.TimestampType: 8, T.TimestampNTZType: 8}
 
 
-def data_volume(df: DataFrame) -> DataFrame:
+def data_volume(df: DataFrame, one: DataFrame | None = None) -> DataFrame:
     """(column_name, bytes, mb): text bytes for strings/binary, fixed width x rows otherwise.
 
     Stands in for the reference's in-memory footprint (values differ by design).
     """
-    exprs = []
-    for i, f in enumerate(df.schema.fields):
-        width = next((w for t, w in _WIDTHS.items() if isinstance(f.dataType, t)), None)
-        if width is not None:
-            e = F.count(F.lit(1)) * width
-        elif isinstance(f.dataType, T.DecimalType):
-            e = F.count(F.lit(1)) * 16
-        else:
-            e = F.coalesce(F.sum(F.octet_length(col(f.name).cast("string"))), F.lit(0))
-        exprs.append(e.cast("long").alias(f"b{i}"))
-    agg = df.agg(*exprs)
-    rows = F.array(*[F.struct(F.lit(f.name).alias("column_name"), F.col(f"b{i}").alias("bytes"))
+    rows = F.array(*[F.struct(F.lit(f.name).alias("column_name"), F.col(f"_b{i}").alias("bytes"))
                      for i, f in enumerate(df.schema.fields)])
-    return agg.select(F.inline(rows)).withColumn("mb", F.round(F.col("bytes") / (1024.0 * 1024.0), 3))
+    return one_row(df, volume_specs(df), one).select(F.inline(rows)).withColumn("mb", F.round(F.col("bytes") / (1024.0 * 1024.0), 3))
 
 
-def profile(df: DataFrame) -> dict[str, DataFrame]:
-    """The profile bundle as a dict of lazy tables."""
+def profile(df: DataFrame, shared=None) -> dict[str, DataFrame]:
+    """The profile bundle as a dict of tables; ``shared`` (``plans.shared.Shared``) has what several of them need."""
+    from ..plans.shared import Shared
     from .roles import datetime_columns, id_columns, target_candidates
 
+    s = shared or Shared(df)
     return {
-        "overview": overview(df),
+        "overview": overview(df, s.one, s.duplicates),
         "types": column_types(df),
-        "missing": missing(df),
-        "duplicates": duplicate_rows(df),
-        "volume": data_volume(df),
-        "numeric_summary": numeric_summary(df),
-        "categorical_summary": categorical_summary(df),
-        "outliers": outliers(df),
-        "correlations": pearson(df),
-        "strong_pairs": strong_pairs(df),
+        "missing": missing(df, s.one),
+        "duplicates": s.duplicates,
+        "volume": data_volume(df, s.one),
+        "numeric_summary": s.numeric_summary(),
+        "categorical_summary": categorical_summary(df, freq=s.frequencies),
+        "outliers": outliers(df, quartiles={c: [q[0], q[2]] for c, q in s.quartiles.items()}),
+        "correlations": s.pairs("corr"),
+        "strong_pairs": strong_pairs(df, matrix=s.pairs("corr")),
         "datetime_columns": datetime_columns(df),
         "id_columns": id_columns(df),
         "target_candidates": target_candidates(df),

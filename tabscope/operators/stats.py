@@ -52,16 +52,23 @@ def skew_and_kurtosis(n: int, sums: list[float]) -> tuple[float | None, float |
     return skew, ((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / (m2 * m2) - 3) + 6) if n >= 4 else None)
 
 
+DESCRIPTIVE_SCHEMA = f"{SUMMARY_SCHEMA}, skew double, kurtosis double"
+
+
+def descriptive_table(df: DataFrame, columns: list[str], quartiles: dict[str, list], row: dict) -> DataFrame:
+    """T1 from the quartiles and the aggregates of ``summary_specs`` and ``shape_specs``."""
+    shapes = [skew_and_kurtosis(row[f"n{i}"], [row[f"d{k}_{i}"] for k in range(1, 5)]) for i in range(len(columns))]
+    return df.sparkSession.createDataFrame([(*r, *x) for r, x in zip(summary_rows(df, columns, quartiles, row), shapes)], DESCRIPTIVE_SCHEMA)
+
+
 def descriptive_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Numeric summary plus bias-adjusted skewness and excess kurtosis, in the summary's three scans."""
     columns = columns if columns is not None else numeric_columns(df)
-    schema = f"{SUMMARY_SCHEMA}, skew double, kurtosis double"
     if not columns:
-        return df.sparkSession.createDataFrame([], schema)
+        return df.sparkSession.createDataFrame([], DESCRIPTIVE_SCHEMA)
     quartiles, _, row = column_quantiles(df, columns, SUMMARY_PROBS,
                                          more=lambda s: summary_specs(df, columns) + shape_specs(df, columns, s.mean))
-    shapes = [skew_and_kurtosis(row[f"n{i}"], [row[f"d{k}_{i}"] for k in range(1, 5)]) for i in range(len(columns))]
-    return df.sparkSession.createDataFrame([(*r, *x) for r, x in zip(summary_rows(df, columns, quartiles, row), shapes)], schema)
+    return descriptive_table(df, columns, quartiles, row)
 
 
 def covariance(df: DataFrame, columns: list[str] | None = None, digits: int | None = 4) -> DataFrame:
@@ -565,15 +572,20 @@ def stationarity(df: DataFrame, date_col: str, value_col: str, keys: list[str] |
     return res.drop("_all").withColumn("is_stationary", F.col("p_value") < ALPHA)
 
 
-def statistics(df: DataFrame, target: str | None = None, date_col: str | None = None) -> dict[str, DataFrame]:
-    """The suite as a dict of lazy tables, with the reference's input choices."""
+def statistics(df: DataFrame, target: str | None = None, date_col: str | None = None, shared=None) -> dict[str, DataFrame]:
+    """The suite as a dict of tables, with the reference's input choices; ``shared`` (``plans.shared.Shared``) has
+    what other sections of an analysis need as well."""
     from ..functions.columns import datetime_typed_columns
+    from ..plans.shared import Shared
     from .roles import target_rank_map
 
-    out: dict[str, DataFrame] = {"descriptive": descriptive_stats(df), "normality": normality(df)}
+    s = shared or Shared(df)
+    out: dict[str, DataFrame] = {"descriptive": s.descriptive_stats(), "normality": normality(df)}
     numeric = numeric_columns(df)
     if len(numeric) >= 2:
-        out.update(correlation_analysis(df))
+        out["pearson"] = s.pairs("corr").withColumn("r", F.round("r", 4))
+        out["spearman"] = spearman(df)
+        out["covariance"] = s.pairs("cov").withColumn("cov", F.round("cov", 4))
         ranks = target_rank_map(df)
         tgt = target or (min(ranks, key=ranks.get) if ranks else None)
         out["regression"] = ols(df, tgt)

@@ -2,7 +2,8 @@
 
 ``analyze`` wires the operators the way the reference's orchestrator runs its
 steps (intent -> profile -> cleaning plan -> statistics -> advice -> forecast
--> dashboard -> report). Every table is written once to the checkpoint folder,
+-> dashboard -> report). What several sections need is computed once
+(``shared``). Every table is written once to the checkpoint folder,
 so a table that fails, when built or when run, is reported in ``errors`` and
 the others still run; the report and ``summary`` read the written tables.
 """
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators import advice, clean, dashboard, forecast, intent, profile, report, stats
 from ..session import stable
+from .shared import Shared
 
 CONCURRENT_TABLES = 4
 
@@ -24,6 +26,7 @@ def analyze(df: DataFrame, query: str = "", source: str | None = None, keys: lis
             with_forecast: bool = True, forecast_models: list[str] | None = None) -> dict[str, DataFrame]:
     """Result tables by name (``section`` or ``section.table``) and ``errors`` (section, error) of those that failed."""
     spark = df.sparkSession
+    shared = Shared(df)
     out: dict[str, DataFrame] = {}
     errors: list[tuple[str, str]] = []
     q = spark.createDataFrame([(query,)], "query string")
@@ -50,22 +53,22 @@ def analyze(df: DataFrame, query: str = "", source: str | None = None, keys: lis
     run({
         "intent": lambda: intent.primary_intent(q, "query"),
         "tasks": lambda: intent.intent_tasks(q, "query"),
-        "profile": lambda: profile.profile(df),
-        "cleaning_plan": lambda: clean.plan(df),
-        "statistics": lambda: stats.statistics(df),
+        "profile": lambda: profile.profile(df, shared),
+        "cleaning_plan": lambda: clean.plan(df, shared.one, shared.duplicates),
+        "statistics": lambda: stats.statistics(df, shared=shared),
         "model_advice": lambda: advice.model_advice(df),
         "data_signals": lambda: advice.data_signals(df),
         "chart_advice": lambda: advice.chart_advice(df),
         **({"forecast": lambda: forecast.forecast(df, keys=keys, models=forecast_models)} if with_forecast else {}),
-        "kpis": lambda: dashboard.kpis(df),
-        "filters": lambda: dashboard.filter_options(df),
-        "date_bounds": lambda: dashboard.date_bounds(df),
+        "kpis": lambda: dashboard.kpis(df, one=shared.one),
+        "filters": lambda: dashboard.filter_options(df, freq=shared.frequencies),
+        "date_bounds": lambda: dashboard.date_bounds(df, one=shared.one),
         "charts": lambda: dashboard.chart_specs(df),
     })
     if under("statistics"):
         run({"notes": lambda: stats.notes(under("statistics"))})
     run({"report": lambda: report.report_lines(df, query, source, out.get("forecast.choice"), out.get("forecast.series"),
-                                               out.get("notes"))})
+                                               out.get("notes"), shared)})
     out["errors"] = spark.createDataFrame(sorted(errors), "section string, error string")
     return out
 

@@ -33,7 +33,7 @@ def test_every_section_runs_and_failures_at_run_time_are_reported(spark, monkeyp
     assert ("technical", 12) not in lines
 
     failing = df.select(F.raise_error(F.lit("late")).cast("double").alias("value"))
-    monkeypatch.setattr(analyze_module.dashboard, "kpis", lambda d: failing)
+    monkeypatch.setattr(analyze_module.dashboard, "kpis", lambda d, **known: failing)
     res = analyze(df, with_forecast=False)
     assert [r["section"] for r in res["errors"].collect()] == ["kpis"] and "kpis" not in res
     assert summary(res).count() > 20
@@ -51,3 +51,49 @@ def test_read_and_write_dispatch(spark, tmp_path):
         raise AssertionError("legacy .xls must be refused")
     except tables.LoadError:
         pass
+
+
+def test_shared_values_give_the_same_sections(spark):
+    """Every section from shared aggregates equals the section that scans for itself; missing values, ties, no values."""
+    from tabscope.operators import clean, dashboard, profile, stats
+    from tabscope.plans.shared import Shared
+
+    start = dt.datetime(2024, 1, 1)
+    rows = [(start + dt.timedelta(days=i % 20), None if i % 7 == 0 else float(i % 11), float("nan") if i % 5 == 0 else i * 1.5, None, i % 4, "abc"[i % 3] if i % 6 else None)
+            for i in range(200)]
+    df = spark.createDataFrame(rows, "t timestamp, sales double, cost double, none double, q int, g string").repartition(4)
+    s = Shared(df)
+    bundle, suite = profile.profile(df, s), stats.statistics(df, shared=s)
+    cases = [(bundle["overview"], profile.overview(df)), (bundle["missing"], profile.missing(df)), (bundle["volume"], profile.data_volume(df)),
+             (bundle["numeric_summary"], profile.numeric_summary(df)), (bundle["categorical_summary"], profile.categorical_summary(df)),
+             (bundle["outliers"], profile.outliers(df)), (bundle["duplicates"], profile.duplicate_rows(df)), (suite["descriptive"], stats.descriptive_stats(df)),
+             (suite["pearson"], profile.pearson(df, digits=4)), (suite["covariance"], stats.covariance(df)), (clean.plan(df, s.one, s.duplicates), clean.plan(df)),
+             (dashboard.kpis(df, one=s.one), dashboard.kpis(df)), (dashboard.filter_options(df, freq=s.frequencies), dashboard.filter_options(df)),
+             (dashboard.date_bounds(df, one=s.one), dashboard.date_bounds(df))]
+    for shared, own in cases:
+        assert shared.columns == own.columns
+        rounded = lambda d: sorted(tuple(round(v, 9) if isinstance(v, float) else str(v) for v in r) for r in map(tuple, d.collect()))
+        assert [tuple(map(str, r)) for r in rounded(shared)] == [tuple(map(str, r)) for r in rounded(own)]
+
+
+def test_an_analysis_scans_its_table_a_fixed_number_of_times(spark, tmp_path):
+    """Shared values, frequencies and pairs of a table: a few scans, whatever the number of rows and sections; the one-row
+    values of many columns are split, each part with columns of its own."""
+    from tabscope.plans.shared import Shared
+
+    def scans(columns):
+        seen = spark.sparkContext.accumulator(0)
+        path = str(tmp_path / f"t{columns}")
+        spark.range(64).select(*[(F.col("id") * (i + 1) % 17).cast("double").alias(f"c{i}") for i in range(columns)], (F.col("id") % 3).cast("string").alias("g")).coalesce(1).write.parquet(path)
+        df = spark.read.parquet(path)
+
+        def count(batches):
+            seen.add(1)
+            yield from batches
+
+        counted = df.mapInArrow(count, df.schema)
+        s = Shared(counted)
+        _ = s.row, s.one, s.duplicates.collect(), s.frequencies.collect(), s.pairs("corr").collect(), s.pairs("cov").collect(), s.numeric_summary().collect()
+        return seen.value
+
+    assert scans(2) == scans(3) <= 6 and scans(12) <= 10
