@@ -19,7 +19,7 @@ from ..functions.columns import (DATETIME_TYPES, NUMERIC_TYPES, as_text, col, is
                                  numeric_columns, q)
 from ..session import saved
 from .brackets import Sketch, interpolate, order_statistics, quantile_ranks
-from .profile import iqr_fences
+from .profile import iqr_fences, is_narrow, repeated_digests, row_digest
 
 # Step identifiers (the public names of the steps).
 DROP_HIGH_MISSING = "drop_high_missing_columns"
@@ -111,8 +111,18 @@ def drop_high_missing(df: DataFrame, threshold: float = HIGH_MISSING) -> DataFra
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
-    """C4: exact duplicate rows removed (which copy survives does not matter: rows are equal)."""
-    return df.dropDuplicates()
+    """C4: exact duplicate rows removed (which copy survives does not matter: rows are equal; NaN equals NaN only).
+
+    Wide rows: only the rows whose digest repeats are shuffled and compared whole; all others stay where they are, if
+    the repeated digests are few enough for the planner to send them to every task.
+    """
+    if not df.columns or is_narrow(df):
+        return df.dropDuplicates()
+    _, repeated = repeated_digests(df)
+    marked = df.select("*", *row_digest(df))
+    again = marked.join(repeated, ["_h1", "_h2"], "left_semi").select(*[col(c) for c in df.columns]).dropDuplicates()
+    alone = marked.join(repeated, ["_h1", "_h2"], "left_anti").select(*[col(c) for c in df.columns])
+    return alone.unionByName(again)
 
 
 def _one_row(df: DataFrame, names: list[str], long: DataFrame, value_col: str) -> DataFrame:

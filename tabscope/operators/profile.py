@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import (FLOAT_TYPES, as_text, col, is_missing, kind_of,
+from ..functions.columns import (ATOMIC_TYPES, FLOAT_TYPES, as_text, col, is_missing, kind_of,
                                  numeric_columns, categorical_columns, num)
+from ..session import saved
 from .brackets import column_quantiles
 from .quantiles import pick_quantiles, ranked_counts
 
@@ -70,19 +71,51 @@ def missing(df: DataFrame, one: DataFrame | None = None) -> DataFrame:
         F.round(F.col("n_missing") / F.greatest(F.col("_n"), F.lit(1)) * 100, 2).alias("pct_missing"))
 
 
+NARROW = 3  # fixed-width columns up to which a row is as short as its digest
+
+
+def _folded(df: DataFrame) -> DataFrame:
+    """NaN as NULL, so that missing values compare equal."""
+    return df.select(*[F.when(~F.isnan(col(f.name)), col(f.name)).alias(f.name) if isinstance(f.dataType, FLOAT_TYPES) else col(f.name)
+                       for f in df.schema.fields])
+
+
+def is_narrow(df: DataFrame) -> bool:
+    return len(df.columns) <= NARROW and all(type(f.dataType) in _WIDTHS for f in df.schema.fields)
+
+
+def row_digest(df: DataFrame) -> list:
+    """Two 64-bit hashes (_h1, _h2) of the whole row; which values are missing counts, as a hash skips NULLs."""
+    cells = [col(f.name) if isinstance(f.dataType, ATOMIC_TYPES) else F.to_json(F.struct(col(f.name))) for f in df.schema.fields]
+    absent = [col(c).isNull() for c in df.columns]
+    return [F.xxhash64(*absent, *cells).alias("_h1"), F.xxhash64(F.lit(7), *cells, *absent).alias("_h2")]
+
+
+def repeated_digests(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(digests with their number of rows, those of more than one row): only digests are shuffled, whatever a row's width."""
+    counts = saved(keyed.select(*row_digest(keyed)).groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_c")))
+    return counts, counts.where("_c > 1").select("_h1", "_h2")
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: n_rows, distinct_rows, duplicate_rows (missing values compare equal).
 
-    ``groupBy`` over all columns with partial aggregation: a row repeated a
-    billion times costs one row per map task before the shuffle.
+    Rows are counted by digest; the rows of repeated digests alone are grouped whole, which settles them. A row repeated
+    a billion times costs one row per map task before each shuffle. Narrow rows are grouped as they are.
     """
-    keyed = df.select(*[F.when(~F.isnan(col(f.name)), col(f.name)).alias(f.name)
-                        if isinstance(f.dataType, FLOAT_TYPES) else col(f.name)
-                        for f in df.schema.fields])
-    groups = keyed.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_c"))
-    return groups.agg(F.coalesce(F.sum("_c"), F.lit(0)).cast("long").alias("n_rows"),
-                      F.count(F.lit(1)).cast("long").alias("distinct_rows")).select(
-        "n_rows", "distinct_rows", (F.col("n_rows") - F.col("distinct_rows")).alias("duplicate_rows"))
+    keyed = _folded(df)
+
+    def distinct(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_c"))
+
+    if is_narrow(df):
+        totals = distinct(keyed).agg(F.coalesce(F.sum("_c"), F.lit(0)).cast("long").alias("n_rows"), F.count(F.lit(1)).alias("distinct_rows"))
+    else:
+        counts, repeated = repeated_digests(keyed)
+        again = distinct(keyed.select("*", *row_digest(keyed)).join(repeated, ["_h1", "_h2"], "left_semi").drop("_h1", "_h2"))
+        totals = counts.agg(F.coalesce(F.sum("_c"), F.lit(0)).cast("long").alias("n_rows"), F.count_if(F.col("_c") == 1).alias("_alone")).crossJoin(
+            F.broadcast(again.agg(F.count(F.lit(1)).alias("_more")))).select("n_rows", (F.col("_alone") + F.col("_more")).alias("distinct_rows"))
+    return totals.select("n_rows", "distinct_rows", (F.col("n_rows") - F.col("distinct_rows")).alias("duplicate_rows"))
 
 
 def ranked_values(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:

@@ -51,3 +51,31 @@ def test_onehot_and_datetime_parts(spark):
     assert set(oh.columns) >= {"s_a", "s_b"}
     parts = C.datetime_parts(df).orderBy("t").first()
     assert (parts["t_year"], parts["t_month"], parts["t_day"]) == (2024, 2, 29)
+
+
+def test_wide_rows_are_told_apart_whole(spark, monkeypatch):
+    """Repeats, swapped and missing values, NaN, arrays; digests that collide on purpose change no result."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from tabscope.operators import clean, profile
+
+    rows = [("a", None, 1.0, [1]), (None, "a", 1.0, [1]), ("a", None, 1.0, [1]), ("x" * 500, "b", float("nan"), [1, 2]),
+            ("x" * 500, "b", float("nan"), [1, 2]), ("x" * 500, "b", None, [1, 2]), (None, None, None, None), (None, None, None, None)] + [("hot", "hot", 2.0, [3])] * 300
+    df = spark.createDataFrame(rows, "p string, q string, r double, l array<int>").repartition(4)
+    distinct = Counter(map(str, df.distinct().collect()))
+    folded = len({(p, q, None if r is None or r != r else r, None if l is None else tuple(l)) for p, q, r, l in rows})
+
+    def check():
+        got = profile.duplicate_rows(df).first()
+        assert (got["n_rows"], got["distinct_rows"], got["duplicate_rows"]) == (len(rows), folded, len(rows) - folded)
+        assert Counter(map(str, clean.drop_duplicates(df).collect())) == distinct
+
+    check()
+    same = lambda d: [F.lit(1).alias("_h1"), F.lit(2).alias("_h2")]
+    monkeypatch.setattr(profile, "row_digest", same)
+    monkeypatch.setattr(clean, "row_digest", same)
+    check()
+    empty = df.limit(0)
+    assert profile.duplicate_rows(empty).first()["n_rows"] == 0 and clean.drop_duplicates(empty).count() == 0
