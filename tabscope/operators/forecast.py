@@ -22,12 +22,12 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
-from .ordered import stable
+from .ordered import null_safe_join, stable
 from . import series as TS
 
 # Model settings of the reference's candidates.
@@ -128,11 +128,13 @@ def _lag_rows(series: DataFrame, keys: list[str]) -> DataFrame:
     return lf.withColumn("r", F.col("idx") - F.col("n_lags")).withColumn("n_rows", F.col("n") - F.col("n_lags"))
 
 
-def _scaled(lag: DataFrame, by: list[str], known: Column) -> DataFrame:
-    """Features and label over ``scale``, the mean absolute value of the ``known`` rows of each group."""
-    part = [F.col(k) for k in by] or [F.lit(0)]
-    scale = F.avg(F.when(known, F.abs("value"))).over(Window.partitionBy(*part))
-    lag = lag.withColumn("scale", F.when(scale > 0, scale).otherwise(F.lit(1.0)))
+def _scaled(lag: DataFrame, by: list[str], known: Column, own: Column | None = None) -> DataFrame:
+    """Features and label over ``scale``, the mean absolute value of the ``known`` rows of each group, or of its ``own``
+    rows where it has no known one."""
+    means = lag.groupBy(*by).agg(F.avg(F.when(known, F.abs("value"))).alias("_known"), F.avg(F.when(own if own is not None else known, F.abs("value"))).alias("_own"))
+    means = means.select(*by, F.coalesce("_known", "_own").alias("_scale"))
+    lag = null_safe_join(lag, means, by) if by else lag.crossJoin(F.broadcast(means))
+    lag = lag.withColumn("scale", F.when(F.col("_scale") > 0, F.col("_scale")).otherwise(F.lit(1.0))).drop("_scale")
     feats = [F.coalesce(F.col(f"lag_{k}") / F.col("scale"), F.lit(-1.0)).alias(f"f{k}") for k in range(1, MAX_LAGS + 1)]
     return lag.select("*", *feats, (F.col("value") / F.col("scale")).alias("label"))
 
@@ -155,27 +157,40 @@ def _estimator(model: str, final: bool):
                         maxDepth=cfg["depth"], stepSize=cfg["rate"], subsamplingRate=cfg["subsample"], seed=cfg["seed"])
 
 
-def ml_backtest(series: DataFrame, keys: list[str], models: list[str] | None = None) -> DataFrame:
-    """F10-F12 backtests: per global fold index one pooled fit per model; test rows predicted.
+def pooled_folds(series: DataFrame, keys: list[str]) -> DataFrame:
+    """Lag rows by fold, with each series' own test window (positions test_start to test_end among its lag rows) and ``cut``.
 
-    The expanding split cuts each series' lag rows into as many folds as the
-    series' length asks for; fold i of every series trains one model (series
-    with fewer folds skip fold 2). Values are scaled by the fold's training rows.
+    ``cut`` is the earliest first test date of the fold over all series. A model pooled over the series learns on rows
+    before it alone, so that it sees no row of any series that is later than what it has to predict. Where series end at
+    very different times, the earliest one thus decides how much history a fold has.
     """
-    models = models or list(ML_MODELS)
     lag = _lag_rows(series, keys)
     lens = lag.groupBy(*keys).agg(F.max("n").alias("n"), F.max("n_rows").alias("n_rows"))
     fl = TS.folds(lens, keys, n_col="n_rows", count_col="n")
-    tagged = lag.join(fl, keys) if keys else lag.crossJoin(F.broadcast(fl))
-    scaled = _scaled(tagged, [*keys, "fold"], F.col("r") < F.col("test_start"))
-    data = stable(_assemble(scaled).select(*keys, "bucket", "value", "scale", "fold", "r", "test_start", "test_end",
+    tagged = null_safe_join(lag, fl, keys) if keys else lag.crossJoin(F.broadcast(fl))
+    cuts = tagged.where(F.col("r") == F.col("test_start")).groupBy("fold").agg(F.min("bucket").alias("cut"))
+    return tagged.join(F.broadcast(cuts), "fold")  # at most three rows
+
+
+def ml_backtest(series: DataFrame, keys: list[str], models: list[str] | None = None) -> DataFrame:
+    """F10-F12 backtests: per fold index one pooled fit per model on the rows before the fold's cut date; each series'
+    test rows predicted.
+
+    The expanding split cuts each series' lag rows into as many folds as the series' length asks for (series with fewer
+    folds skip fold 2). Values are scaled by the series' rows before the cut, or before its own test window if the cut is
+    earlier than the series.
+    """
+    models = models or list(ML_MODELS)
+    before_cut = F.col("bucket") < F.col("cut")
+    scaled = _scaled(pooled_folds(series, keys), [*keys, "fold"], before_cut, F.col("r") < F.col("test_start"))
+    data = stable(_assemble(scaled).select(*keys, "bucket", "value", "scale", "fold", "r", "test_start", "test_end", "cut",
                                            "features", "label"))
     jobs = [(m, f) for m in models for f in range(3)]
 
     def fit_predict(job):
         m, f = job
         part = data.where(F.col("fold") == f)
-        train = part.where(F.col("r") < F.col("test_start"))
+        train = part.where(before_cut)
         test = part.where((F.col("r") >= F.col("test_start")) & (F.col("r") < F.col("test_end")))
         if train.isEmpty() or test.isEmpty():
             return None
@@ -215,22 +230,20 @@ def _node_table(model, spark) -> dict:
         "treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild",
         "nodeData.split.featureIndex", F.try_element_at("nodeData.split.leftCategoriesOrThreshold", F.lit(1)).alias("thr")
     ).toPandas()
-    try:
-        meta = spark.read.parquet(f"{path}/treesMetadata").toDF("treeID", "_m", "weight").select("treeID", "weight").toPandas()
-        weights = dict(zip(meta["treeID"], meta["weight"]))
-    except Exception:  # noqa: BLE001 - forests have no tree weights
-        weights = {}
     from pyspark.ml.regression import RandomForestRegressionModel
 
+    forest = isinstance(model, RandomForestRegressionModel)  # predicts the mean of its trees; boosting the weighted sum
     # nodes of all trees one after another; ids count from 0 in each tree
     nodes = nodes.sort_values(["treeID", "id"])
     sizes = nodes.groupby("treeID").size()
     start = (sizes.cumsum() - sizes).reindex(nodes["treeID"]).to_numpy()
     inner = nodes["leftChild"].to_numpy() >= 0
     own = np.arange(len(nodes))
-    # a forest predicts the mean of its trees; boosting the weighted sum
-    forest = isinstance(model, RandomForestRegressionModel)
-    weight = np.full(len(sizes), 1.0 / len(sizes)) if forest else np.array([weights.get(t, 1.0) for t in sizes.index])
+    if forest:
+        weight = np.full(len(sizes), 1.0 / len(sizes))
+    else:
+        meta = spark.read.parquet(f"{path}/treesMetadata").toDF("treeID", "_m", "weight").select("treeID", "weight").toPandas()
+        weight = meta.set_index("treeID")["weight"].reindex(sizes.index).to_numpy()
     return {"feature": nodes["featureIndex"].fillna(-1).to_numpy(dtype=int), "threshold": nodes["thr"].fillna(0.0).to_numpy(),
             "left": np.where(inner, start + nodes["leftChild"].to_numpy(), own),
             "right": np.where(inner, start + nodes["rightChild"].to_numpy(), own),

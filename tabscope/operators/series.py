@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, datetime_typed_columns, num, numeric_columns
-from .ordered import previous_value
+from ..session import saved
+from .ordered import null_safe_join, previous_value
 from .profile import quantiles_from_ranked
 
 # Median-gap thresholds (days) -> frequency label and unit.
@@ -47,7 +48,7 @@ def detect_frequency(df: DataFrame, date_col: str, keys: list[str] | None = None
     ranked = hist.withColumn("before", F.coalesce(F.sum("cnt").over(wr), F.lit(0)).cast("long"))
     med = quantiles_from_ranked(ranked, [0.5], keys).select(*keys, F.col("value").alias("median_gap"))
     counts = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_dates"))
-    out = counts.join(med, keys, "left") if keys else counts.crossJoin(med)
+    out = counts.join(med, keys, "left") if keys else counts.crossJoin(F.broadcast(med))
     label, unit = F.lit("irregular"), F.lit("D")
     for limit, name, u in reversed(FREQ_RULES):
         label = F.when(F.col("median_gap") <= limit, F.lit(name)).otherwise(label)
@@ -119,8 +120,8 @@ def time_series(df: DataFrame, date_col: str | None = None, value_col: str | Non
     work, dcol, vcol = resolve_columns(df, date_col, value_col)
     raw = work.select(*[col(k) for k in keys], col(dcol).alias("t"), num(work, vcol).alias("v")).na.drop(
         subset=["t", "v"])
-    # one partial aggregate per (key, timestamp); every branch below reads this one exchange
-    per_t = raw.groupBy(*keys, "t").agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("_c"))
+    # the input is read once: every branch below reads its sums by key and timestamp
+    per_t = saved(raw.groupBy(*keys, "t").agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("_c")))
     sizes = per_t.groupBy(*keys).agg(F.sum("_c").alias("n_raw"))
     if frequency:
         labels = {u: name for _, name, u in FREQ_RULES}
@@ -128,10 +129,10 @@ def time_series(df: DataFrame, date_col: str | None = None, value_col: str | Non
                             F.lit(frequency).alias("unit"))
     else:
         det = detect_frequency(per_t, "t", keys).select(*keys, "frequency", "unit")
-        freq = sizes.join(det, keys) if keys else sizes.crossJoin(det)
+        freq = sizes.join(det, keys) if keys else sizes.crossJoin(F.broadcast(det))
     raw = per_t
     freq = freq.where(F.col("n_raw") >= min_points)
-    tagged = raw.join(freq.select(*keys, "unit"), keys) if keys else raw.crossJoin(freq.select("unit"))
+    tagged = raw.join(freq.select(*keys, "unit"), keys) if keys else raw.crossJoin(F.broadcast(freq.select("unit")))
     sums = tagged.groupBy(*keys, "unit", bucket_of(F.col("t"), F.col("unit")).alias("bucket")).agg(
         F.sum("v").alias("value"))
     bounds = sums.groupBy(*keys, "unit").agg(F.min("bucket").alias("first"), F.max("bucket").alias("last"))
@@ -140,9 +141,9 @@ def time_series(df: DataFrame, date_col: str | None = None, value_col: str | Non
     value = F.coalesce(F.col("value"), F.lit(0.0)) if fill == "zero" else F.col("value")
     out = filled.select(*keys, "bucket", value.alias("value"), "unit")
     sizes2 = out.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_buckets")).where(F.col("n_buckets") >= min_points)
-    out = out.join(sizes2, keys) if keys else out.crossJoin(sizes2)
+    out = out.join(sizes2, keys) if keys else out.crossJoin(F.broadcast(sizes2))
     labels = freq.select(*keys, "frequency")
-    out = out.join(labels, keys) if keys else out.crossJoin(labels)
+    out = out.join(labels, keys) if keys else out.crossJoin(F.broadcast(labels))
     return out.select(*keys, "bucket", "value", "frequency", "unit")
 
 
@@ -166,40 +167,64 @@ def series_status(df: DataFrame, date_col: str, value_col: str, keys: list[str]
     return j.select(*keys, "n_raw", (~few_rows & ~few_buckets).alias("available"), reason.alias("reason"))
 
 
+BLOCK = 1 << 16  # consecutive buckets of one series that a window sees at a time
+
+
+def _position(first: Column, bucket: Column, unit: Column) -> Column:
+    """Number of units from one bucket of a regular series to another."""
+    days, months = F.datediff(bucket, first), F.round(F.months_between(bucket, first))
+    return F.when(unit == "W", F.floor(days / 7)).when(unit == "MS", months).when(unit == "YS", F.round(months / 12)).otherwise(days).cast("long")
+
+
+def _by_key(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Join on the keys, null keys equal; without keys the right side has one row."""
+    return null_safe_join(left, right, keys) if keys else left.crossJoin(F.broadcast(right))
+
+
 def with_index(series: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """0-based position and length per key (windows over bounded bucketed series)."""
+    """0-based position ``idx`` and length ``n`` of each bucket of a regular series (as ``time_series`` makes it), per key.
+
+    Buckets are a unit apart, so that a position follows from the series' first bucket and no series is put in order.
+    """
     keys = keys or []
-    part = [F.col(k) for k in keys] or [F.lit(0)]
-    w = Window.partitionBy(*part).orderBy("bucket")
-    return series.withColumn("idx", (F.row_number().over(w) - 1).cast("long")).withColumn(
-        "n", F.count(F.lit(1)).over(Window.partitionBy(*part)))
+    ends = series.groupBy(*keys).agg(F.min("bucket").alias("_first"), F.count(F.lit(1)).alias("n"))
+    return _by_key(series, ends, keys).withColumn("idx", _position(F.col("_first"), F.col("bucket"), F.col("unit"))).drop("_first")
+
+
+def _blocks(indexed: DataFrame, halo: int) -> DataFrame:
+    """Rows with ``_b``, their block of BLOCK positions; the last ``halo`` rows of a block are also the next one's."""
+    block = F.floor(F.col("idx") / BLOCK)
+    ahead = F.when((F.col("idx") % BLOCK >= BLOCK - halo) & ((block + 1) * BLOCK < F.col("n")), block + 1)
+    return indexed.withColumn("_b", F.explode(F.array_compact(F.array(block, ahead))))
 
 
 def interpolate(series: DataFrame, keys: list[str] | None = None, value_col: str = "value") -> DataFrame:
-    """linear interpolation by position between known neighbours; edges take the nearest value."""
+    """linear interpolation by position between known neighbours; edges take the nearest value.
+
+    Windows run over blocks of a series; the known values nearest to a block, before and after it, are carried over from
+    a table of one row per block.
+    """
     keys = keys or []
-    part = [F.col(k) for k in keys] or [F.lit(0)]
-    s = with_index(series, keys)
-    wb = Window.partitionBy(*part).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    wa = Window.partitionBy(*part).orderBy("idx").rowsBetween(0, Window.unboundedFollowing)
-    known_i = F.when(F.col(value_col).isNotNull(), F.col("idx"))
-    s = (s.withColumn("_pv", F.last(value_col, ignorenulls=True).over(wb))
-         .withColumn("_pi", F.last(known_i, ignorenulls=True).over(wb))
-         .withColumn("_nv", F.first(value_col, ignorenulls=True).over(wa))
-         .withColumn("_ni", F.first(known_i, ignorenulls=True).over(wa)))
-    lin = F.col("_pv") + (F.col("_nv") - F.col("_pv")) * (F.col("idx") - F.col("_pi")) / (F.col("_ni") - F.col("_pi"))
+    s = _blocks(with_index(series, keys), 0)
+    point = F.when(F.col(value_col).isNotNull(), F.struct(F.col("idx").alias("i"), F.col(value_col).alias("v")))
+    ends = s.groupBy(*keys, "_b").agg(F.max(point).alias("_last"), F.min(point).alias("_next"))
+    whole = Window.partitionBy(*keys, F.lit(0)).orderBy("_b")
+    carry = ends.select(*keys, "_b", F.last("_last", ignorenulls=True).over(whole.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+                        F.first("_next", ignorenulls=True).over(whole.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    part = Window.partitionBy(*keys, "_b").orderBy("idx")
+    j = null_safe_join(s, carry, [*keys, "_b"])
+    j = (j.withColumn("_p", F.coalesce(F.last(point, ignorenulls=True).over(part.rowsBetween(Window.unboundedPreceding, 0)), "_before"))
+         .withColumn("_q", F.coalesce(F.first(point, ignorenulls=True).over(part.rowsBetween(0, Window.unboundedFollowing)), "_after")))
+    lin = F.col("_p.v") + (F.col("_q.v") - F.col("_p.v")) * (F.col("idx") - F.col("_p.i")) / (F.col("_q.i") - F.col("_p.i"))
     v = (F.when(F.col(value_col).isNotNull(), F.col(value_col))
-         .when(F.col("_pi").isNotNull() & F.col("_ni").isNotNull(), lin)
-         .otherwise(F.coalesce(F.col("_pv"), F.col("_nv"))))
-    return s.withColumn(value_col, v).drop("_pv", "_pi", "_nv", "_ni", "idx", "n")
+         .when(F.col("_p").isNotNull() & F.col("_q").isNotNull(), lin)
+         .otherwise(F.coalesce(F.col("_p.v"), F.col("_q.v"))))
+    return j.withColumn(value_col, v).select(*series.columns)
 
 
 def recent(series: DataFrame, keys: list[str] | None = None, max_points: int = MAX_POINTS) -> DataFrame:
-    """keep the most recent ``max_points`` buckets per key (planned as a window group limit)."""
-    keys = keys or []
-    part = [F.col(k) for k in keys] or [F.lit(0)]
-    w = Window.partitionBy(*part).orderBy(F.col("bucket").desc())
-    return series.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_points).drop("_r")
+    """keep the most recent ``max_points`` buckets per key."""
+    return with_index(series, keys).where(F.col("idx") >= F.col("n") - max_points).select(*series.columns)
 
 
 def lag_count(n: Column) -> Column:
@@ -213,12 +238,10 @@ def lag_features(series: DataFrame, keys: list[str] | None = None, max_lags: int
     Each key uses L = min(7, max(3, n // 10)) lags; lag_k with k > L is NULL.
     """
     keys = keys or []
-    part = [F.col(k) for k in keys] or [F.lit(0)]
-    s = with_index(series, keys).withColumn("n_lags", lag_count(F.col("n")))
-    w = Window.partitionBy(*part).orderBy("idx")
-    for k in range(1, max_lags + 1):
-        s = s.withColumn(f"lag_{k}", F.when(F.lit(k) <= F.col("n_lags"), F.lag("value", k).over(w)))
-    return s.where(F.col("idx") >= F.col("n_lags"))
+    s = _blocks(with_index(series, keys).withColumn("n_lags", lag_count(F.col("n"))), max_lags)
+    w = Window.partitionBy(*keys, "_b").orderBy("idx")
+    lags = [F.when(F.lit(k) <= F.col("n_lags"), F.lag("value", k).over(w)).alias(f"lag_{k}") for k in range(1, max_lags + 1)]
+    return s.select("*", *lags).where((F.floor(F.col("idx") / BLOCK) == F.col("_b")) & (F.col("idx") >= F.col("n_lags"))).drop("_b")
 
 
 def folds(lengths: DataFrame, keys: list[str] | None = None, n_col: str = "n", offset_col: str | None = None,
@@ -244,25 +267,23 @@ def folds(lengths: DataFrame, keys: list[str] | None = None, n_col: str = "n", o
 def naive_backtest(series: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """F8: last value before each fold's test window, carried over the window.
 
-    One window pass per key: a row is an anchor when the next row starts a
-    test window; each test row takes the latest anchor strictly before it.
+    Folds and the values before them are a row per key and fold, joined to the rows of the windows.
     (keys..., model, fold, bucket, y, yhat).
     """
     keys = keys or []
-    part = [F.col(k) for k in keys] or [F.lit(0)]
     s = with_index(series, keys)
     k = F.least(F.lit(3), F.greatest(F.lit(2), F.floor(F.col("n") / 10))).cast("long")
     size = F.floor(F.col("n") / (k + 1)).cast("long")
     first = F.col("n") - k * size
-    s = s.withColumn("_size", size).withColumn("_first", first)
-    in_test = (F.col("_size") > 0) & (F.col("idx") >= F.col("_first"))
-    anchor = (F.col("_size") > 0) & (F.col("idx") + 1 >= F.col("_first")) & (F.col("idx") + 1 < F.col("n")) & \
-        (F.pmod(F.col("idx") + 1 - F.col("_first"), F.col("_size")) == 0)
-    w = Window.partitionBy(*part).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("yhat", F.last(F.when(anchor, F.col("value")), ignorenulls=True).over(w))
-    return s.where(in_test).select(*keys, F.lit("NaiveLast").alias("model"),
-                                   F.floor((F.col("idx") - F.col("_first")) / F.col("_size")).cast("int").alias("fold"),
-                                   "bucket", F.col("value").alias("y"), "yhat")
+
+    def fold_of(idx):
+        return F.floor((idx - first) / size).cast("int")
+
+    held = s.where(size > 0)
+    inside = held.where(F.col("idx") >= first).withColumn("fold", fold_of(F.col("idx")))
+    follows = (F.col("idx") + 1 >= first) & (F.col("idx") + 1 < F.col("n")) & (F.pmod(F.col("idx") + 1 - first, size) == 0)
+    anchors = held.where(follows).select(*keys, fold_of(F.col("idx") + 1).alias("fold"), F.col("value").alias("yhat"))
+    return null_safe_join(inside, anchors, [*keys, "fold"]).select(*keys, F.lit("NaiveLast").alias("model"), "fold", "bucket", F.col("value").alias("y"), "yhat")
 
 
 def metrics(backtest: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -319,6 +340,6 @@ def naive_forecast(series: DataFrame, keys: list[str] | None = None) -> DataFram
                                      F.first("unit").alias("unit"))
     hs = horizon_steps(last, keys)
     pts = hs.select(*keys, "horizon", "h_ord", "unit", F.explode(F.sequence(F.lit(1), F.col("steps"))).alias("step"))
-    j = pts.join(last.drop("unit"), keys) if keys else pts.crossJoin(last.drop("unit"))
+    j = pts.join(last.drop("unit"), keys) if keys else pts.crossJoin(F.broadcast(last.drop("unit")))
     return j.select(*keys, "horizon", "step", step_after(F.col("last"), F.col("unit"), F.col("step")).alias("bucket"),
                     F.col("last_value").alias("value"))

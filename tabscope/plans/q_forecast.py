@@ -12,6 +12,7 @@ from ..operators import forecast as FC
 from ..operators import series as TS
 from ..operators.ordered import stable
 from .catalog import T_, register, rounded
+from .q_series import _series_cte
 
 K = "o_orderpriority"
 
@@ -54,6 +55,22 @@ def q_boosting_forecast(spark, sf):
     return rounded(pts[0].unionByName(pts[1]).join(metrics.select(K, "model", "rmse", "mae", "r2"), [K, "model"]), 4)
 
 
+@register("pooled_folds", f"""WITH {_series_cte('orders', 'W')},
+ix AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY bucket) - 1 AS idx, count(*) OVER (PARTITION BY {K}) AS n FROM ser),
+lr AS (SELECT *, idx - least(7, greatest(3, n // 10)) AS r, n - least(7, greatest(3, n // 10)) AS m, least(3, greatest(2, n // 10)) AS k FROM ix),
+fo AS (SELECT lr.*, fold, m - (k - fold) * (m // (k + 1)) AS s, m - (k - fold) * (m // (k + 1)) + m // (k + 1) AS e FROM lr, range(0, 3) f(fold) WHERE r >= 0 AND fold < k),
+cu AS (SELECT fold, min(bucket) AS cut FROM fo WHERE r = s GROUP BY fold)
+SELECT {K}, CAST(fold AS INTEGER) AS fold, cut, CAST(count(*) FILTER (WHERE bucket < cut) AS BIGINT) AS n_train, max(bucket) FILTER (WHERE bucket < cut) AS last_train,
+       CAST(count(*) FILTER (WHERE r >= s AND r < e) AS BIGINT) AS n_test, min(bucket) FILTER (WHERE r >= s AND r < e) AS first_test
+FROM fo JOIN cu USING (fold) GROUP BY {K}, fold, cut""")
+def q_pooled_folds(spark, sf):
+    """What each pooled fold learns on and predicts: no training row is later than any test row."""
+    rows = FC.pooled_folds(TS.time_series(T_(spark, sf, "orders"), "o_orderdate", "o_totalprice", [K], frequency="W"), [K])
+    known, test = F.col("bucket") < F.col("cut"), (F.col("r") >= F.col("test_start")) & (F.col("r") < F.col("test_end"))
+    return rows.groupBy(K, "fold", "cut").agg(F.count_if(known).alias("n_train"), F.max(F.when(known, F.col("bucket"))).alias("last_train"),
+                                              F.count_if(test).alias("n_test"), F.min(F.when(test, F.col("bucket"))).alias("first_test"))
+
+
 @register("model_choice")
 def q_model_choice(spark, sf):
     ser = _weekly(spark, sf)

@@ -116,6 +116,14 @@ def q_recent_points(spark, sf):
     return rounded(TS.recent(_spark_series(spark, sf), [K]), 4)
 
 
+@register("recent_points_500", f"""WITH {_series_cte('orders', 'D')},
+r AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY bucket DESC) AS rn FROM ser)
+SELECT {K}, bucket, round(value, 4) AS value, frequency, unit FROM r WHERE rn <= 500""")
+def q_recent_points_500(spark, sf):
+    """F5 with a limit that every series exceeds (the feature)."""
+    return rounded(TS.recent(_spark_series(spark, sf), [K], 500), 4)
+
+
 @register("lag_features", f"""WITH {_series_cte('orders', 'D')}, {_INDEXED},
 l AS (SELECT *, CAST(least(7, greatest(3, n // 10)) AS INTEGER) AS n_lags FROM ix)
 SELECT {K}, bucket, CAST(idx AS BIGINT) AS idx, CAST(n AS BIGINT) AS n, n_lags, round(value, 4) AS value,

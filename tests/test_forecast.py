@@ -74,3 +74,22 @@ def test_a_candidate_that_fails_is_left_out(spark, monkeypatch):
     monkeypatch.setattr(FC, "_estimator", broken)
     assert FC.ml_backtest(ser, [], ["XGBoost"]).count() == 0 and FC.final_models(ser, [], ["XGBoost"]) == {}
     assert {r["model"] for r in FC.backtest(ser, [], ["NaiveLast", "XGBoost"]).collect()} == {"NaiveLast"}
+
+
+def test_pooled_folds_never_see_later_rows_of_any_series(spark):
+    """Two series of one shape, the other 60 days ahead: a model that saw the leading series' later dates would know the
+    lagging one's jumps. No training row is as late as any test row, so the jump stays unknown."""
+    start = dt.date(2024, 1, 1)
+    value = lambda t: 1000.0 if t >= 140 else 10.0 + t % 3  # noqa: E731 - a jump on one date in both series
+    rows = [("lead", start + dt.timedelta(days=t), value(t), "D", "D") for t in range(200)]
+    rows += [("late", start + dt.timedelta(days=t), value(t), "D", "D") for t in range(100, 180)]
+    ser = spark.createDataFrame(rows, "k string, bucket date, value double, frequency string, unit string")
+    folds = FC.pooled_folds(ser, ["k"]).toPandas()
+    for _, fold in folds.groupby("fold"):
+        test = fold[(fold["r"] >= fold["test_start"]) & (fold["r"] < fold["test_end"])]
+        train = fold[fold["bucket"] < fold["cut"]]
+        assert train["bucket"].max() < test["bucket"].min() and set(test["k"]) == {"lead", "late"}
+    assert folds[folds["k"] == "late"].groupby("fold")["r"].size().tolist() == [73, 73, 73]
+    bt = FC.ml_backtest(ser, ["k"], ["RandomForest"]).toPandas()
+    first = bt[(bt["fold"] == 0) & (bt["y"] == 1000.0)]
+    assert len(first) and (first["yhat"] < 500).all()  # before the cut nothing had jumped

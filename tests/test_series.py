@@ -51,3 +51,28 @@ def test_folds_and_naive_backtest(spark):
     assert len(bt) == 30 and bt["yhat"].tolist() == [9.0] * 10 + [19.0] * 10 + [29.0] * 10
     m = TS.metrics(TS.naive_backtest(s)).first()
     assert abs(m["mae"] - 5.5) < 1e-12
+
+
+def test_one_long_series_in_blocks(spark, monkeypatch):
+    """Positions, lags, interpolation, recent points and the backtest do not depend on how a series is cut into blocks."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    for unit, offset in (("D", "D"), ("W", "7D"), ("MS", "MS"), ("YS", "YS")):
+        n = 150
+        value = pd.Series(rng.normal(size=n)).mask(rng.random(n) < 0.4)
+        value[:5], value[60:95], value[-3:] = np.nan, np.nan, np.nan
+        pdf = pd.DataFrame({"bucket": pd.date_range("2000-01-01", periods=n, freq=offset), "value": value, "unit": unit})
+        whole = spark.createDataFrame(pdf).withColumn("value", F.when(~F.isnan("value"), F.col("value"))).repartition(3)
+        monkeypatch.setattr(TS, "BLOCK", 16)
+        got = TS.interpolate(whole).orderBy("bucket").toPandas()["value"].to_numpy()
+        assert np.allclose(got, value.interpolate(limit_direction="both").to_numpy())
+        filled = whole.fillna(0.0)
+        plain = pdf["value"].fillna(0.0).to_numpy()
+        lags = TS.lag_features(filled).orderBy("idx").toPandas()
+        assert lags["idx"].tolist() == list(range(7, n))
+        assert all(np.allclose(lags[f"lag_{k}"], plain[7 - k:n - k]) for k in range(1, 8))
+        assert TS.recent(filled, max_points=20).toPandas()["bucket"].min() == pdf["bucket"].iloc[n - 20]
+        bt = TS.naive_backtest(filled).orderBy("bucket").toPandas()
+        assert len(bt) == 111 and np.allclose(bt["yhat"], np.repeat(plain[[38, 75, 112]], 37))
