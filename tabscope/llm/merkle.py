@@ -13,13 +13,12 @@ down, one row per subtree, and meet the leaves in one join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import plain, saved
+from .store import plain, positions, saved
 
 FANOUT, HEIGHT = 2, 4  # a pass has FANOUT ** HEIGHT slots
-LOW = (1 << 33) - 1  # row number inside a partition, in monotonically_increasing_id
 ENTRY = "struct<before:string,after:string>"
 
 
@@ -34,22 +33,6 @@ def field(value: Column) -> Column:
     return F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-"))
 
 
-def positions(rows: DataFrame, part: str, order: list[str]) -> DataFrame:
-    """rows, which must be stable from one pass to the next, with ``pos`` (from 0) and ``n`` (rows) within their part.
-
-    ``part`` holds no nulls. Rows that tie in the order are told apart by a row id, so that equal rows spread over
-    partitions too.
-    """
-    keys = [F.col(c) for c in (part, *order, "_row")]
-    ranged = saved(rows.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
-                   .select(*rows.columns, F.spark_partition_id().alias("_task"), F.monotonically_increasing_id().bitwiseAND(F.lit(LOW)).alias("_at")))
-    runs = ranged.groupBy(part, "_task").agg(F.count(F.lit(1)).alias("_count"), F.min("_at").alias("_first"))
-    same = Window.partitionBy(part)
-    before = F.coalesce(F.sum("_count").over(same.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shifts = runs.select(part, "_task", (before - F.col("_first")).alias("_shift"), F.sum("_count").over(same).alias("n"))
-    return ranged.join(shifts, [part, "_task"]).select(*rows.columns, (F.col("_at") + F.col("_shift")).alias("pos"), "n")
-
-
 def _level_up(nodes: list[Column], left: Column, fanout: int) -> list[Column]:
     """Parents of the slots of a subtree; a part with one node left passes it on."""
     runs = [nodes[i:i + fanout] for i in range(0, len(nodes), fanout)]

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash thresholds, without sorting rows.
 
-Every document gets a fixed hash of its id. Sizes are summed by source and the leading 12 bits of the hash; the
+Every document gets a fixed hash of its id, text and number among equal rows. Sizes are summed by source and the leading 12 bits of the hash; the
 running sums of a source's buckets show in which bucket its budget ends, and only that boundary bucket is summed again
 by the next 12 bits, until a single hash value is left. Documents below the threshold are taken once more than the
 others; a filter on the hash applies it. Thresholds of growing budgets are nested, so a larger mix contains a smaller.
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import WORD, fresh, plain, saved
+from .store import WORD, plain, positions, saved
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -19,9 +19,41 @@ MOST = 2
 BITS, LEVELS = 12, 5
 
 
-def id_hash(doc_id: str) -> Column:
-    """60 bits of the MD5 of the id as text (a null id counts as empty text)."""
-    return F.conv(F.substring(F.md5(F.coalesce(plain(doc_id).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+def row_hash(doc_id: Column, digest: Column, rank: Column) -> Column:
+    """60 bits of the MD5 of a row's id as text (null: empty), its text's MD5 and its number among equal rows."""
+    key = F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), digest, rank.cast("string"))
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
+
+
+def text_md5(text: str) -> Column:
+    return F.md5(F.coalesce(plain(text), F.lit("")))
+
+
+KEY = ["of_id", "of_source", "of_digest"]
+
+
+def _keys(doc_id: Column, source: Column, digest: Column) -> list[Column]:
+    return [c.alias(k) for c, k in zip((doc_id, source.cast("string"), digest), KEY)]
+
+
+def _equal(repeated: DataFrame) -> Column:
+    """The rows of a key table, null keys equal, against one with the same keys named again_*."""
+    same = [F.col(k).eqNullSafe(F.col(f"again_{k}")) for k in KEY]
+    return same[0] & same[1] & same[2]
+
+
+def numbered(rows: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """rows (KEY columns and others) with ``hash``; rows equal in id, source and text get numbers of their own.
+
+    repeated: the keys (again_*) that more than one row holds, None if there are none. Their rows are numbered over range
+    partitions, so that an id, or one whole row, may hold any share of the table and still spread over all hash values.
+    """
+    hash_ = lambda rank: row_hash(F.col("of_id"), F.col("of_digest"), rank).alias("hash")
+    if repeated is None:
+        return rows.select("*", hash_(F.lit(0)))
+    alone = rows.join(repeated, _equal(repeated), "left_anti").select("*", hash_(F.lit(0)))
+    again = saved(rows.join(repeated, _equal(repeated), "left_semi").withColumn("of_key", F.to_json(F.struct(*KEY))))
+    return alone.unionByName(positions(again, "of_key", []).select(*rows.columns, hash_(F.col("pos"))))
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -51,7 +83,7 @@ def thresholds(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """rows (source, size, hash), plan (source, budget) -> source, threshold: hashes below it hold the budget.
 
     Of the hash values the nearest prefix of the source's hash order is taken: a value is in if the middle of its size
-    lies within the budget. Documents with one hash value (a repeated id) are in or out together.
+    lies within the budget.
     """
     running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     # edge: the hash prefix chosen so far, at: size below it
@@ -78,34 +110,49 @@ def thresholds(rows: DataFrame, plan: DataFrame) -> DataFrame:
                                                      .otherwise(F.col("edge") + inside.cast("long"))).alias("threshold")))
 
 
+def _planned(df: DataFrame, doc_id: str, text: str, source: str, weights, share: float, most: int) -> tuple:
+    """(rows with hash and size, repeated keys or None, plan by source: of, source_size, target, base, threshold)."""
+    rows = saved(df.select(*_keys(plain(doc_id), plain(source), text_md5(text)),
+                           F.coalesce(F.regexp_count(plain(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+    repeated = saved(rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*[F.col(k).alias(f"again_{k}") for k in KEY]))
+    repeated = None if repeated.isEmpty() else repeated
+    rows = numbered(rows, repeated).withColumnRenamed("of_source", "source")
+    rows = rows if repeated is None else saved(rows)
+    plan = saved(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
+                 .withColumn("base", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
+                 .withColumn("budget", F.col("target") - F.col("base") * F.col("source_size")))
+    limits = thresholds(rows, plan.where((F.col("budget") > 0) & (F.col("base") < most)))
+    plan = plan.join(limits.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    return rows, repeated, saved(plan.withColumnRenamed("source", "of"))
+
+
+COPIES = "base + IF(hash < coalesce(threshold, 0), 1, 0)"
+
+
 def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
         weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, copies, taken.
 
     ``copies`` says how often the mix takes the document (0 to ``most``), ``taken`` = copies * size. Null and empty
-    texts have size 0 and follow their hash like the others; a null source is a source; rows that repeat an id are
-    taken alike; a source without words has target 0 and copies 0. Other columns are not read. An empty table gives
-    an empty result.
+    texts have size 0 and follow their hash like the others; a null source is a source; rows that repeat an id, or an id
+    and a text, have hashes of their own, so a source comes within half a document of its target whatever its ids are;
+    which of equal rows is taken once more is not said. A source without words has target 0 and copies 0. Other columns
+    are not read. An empty table gives an empty result.
     """
-    rows = saved(df.select(plain(doc_id).alias("doc_id"), plain(source).cast("string").alias("source"),
-                           F.coalesce(F.regexp_count(plain(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-                           id_hash(doc_id).alias("hash")))
-    plan = saved(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-                 .withColumn("base", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
-                 .withColumn("budget", F.col("target") - F.col("base") * F.col("source_size")))
-    limits = thresholds(rows, plan.where((F.col("budget") > 0) & (F.col("base") < most)))
-    plan = saved(plan.join(limits.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").drop("of"))
-    copies = F.col("base") + (F.col("hash") < F.coalesce("threshold", F.lit(0))).cast("long")
-    joined = rows.join(plan.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    return joined.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"),
-                         (copies * F.col("size")).alias("taken"))
-
-
-def mixed_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The mix itself: each input row as often as the mix takes it, with all its columns."""
-    key, of, copies = (fresh(df, n) for n in ("_id", "_source", "_copies"))
-    plan = (mix(df, doc_id, text, source, **options).where("copies > 0").groupBy(F.col("doc_id").alias(key), F.col("source").alias(of))
-            .agg(F.max("copies").alias(copies)))
-    same = plain(doc_id).eqNullSafe(F.col(key)) & plain(source).cast("string").eqNullSafe(F.col(of))
-    return (df.join(plan, same).select(*[plain(c) for c in df.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias(copies))
-            .select(*[plain(c) for c in df.columns]))
+    rows, _, plan = _planned(df, doc_id, text, source, weights, share, most)
+    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("of")))
+    return joined.select(F.col("of_id").alias("doc_id"), "source", "size", "source_size", "target", F.expr(COPIES).alias("copies"),
+                         (F.expr(COPIES) * F.col("size")).alias("taken"))
+
+
+def mixed_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+               weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """The mix itself: each input row as often as the mix takes it, with all its columns; see ``mix``.
+
+    Null and empty texts, null ids and sources, ties and repeated rows, extra columns and empty tables are treated as there.
+    """
+    _, repeated, plan = _planned(df, doc_id, text, source, weights, share, most)
+    whole = df.select(*_keys(plain(doc_id), plain(source), text_md5(text)), F.struct(*[plain(c) for c in df.columns]).alias("whole"))
+    joined = numbered(whole, repeated).join(plan, F.col("of_source").eqNullSafe(F.col("of"))).withColumn("copies", F.expr(COPIES)).where("copies > 0")
+    taken = joined.select("whole", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long"))).alias("copy"))
+    return taken.select(*[F.col("whole").getField(c).alias(c) for c in df.columns])

@@ -96,7 +96,8 @@ ORACLE = {
                doc_id = min(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256 FROM t""",
     "op3_mixing": rf"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
-                          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS hash FROM documents),
+                          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) || ':'
+                                   || (row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) - 1)), 1, 15))::BIGINT AS hash FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
         w AS (SELECT *, [5.0, 2.0, 1.0][place % 3 + 1]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS cap FROM s),
         l AS (SELECT *, cap / weight AS level, (SELECT sum(source_size) FROM s)::DOUBLE * 1.5::DOUBLE AS budget FROM w),

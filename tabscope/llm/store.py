@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabscope.session import ensure_checkpoint_dir
@@ -63,3 +63,23 @@ def keep_ids(df: DataFrame, doc_id: str, ids: DataFrame, how: str) -> DataFrame:
     key = fresh(df, "_id")
     ids = ids.select(plain(ids.columns[0]).alias(key))
     return df.join(ids, plain(doc_id).eqNullSafe(F.col(key)), how)
+
+
+LOW = (1 << 33) - 1  # row number inside a partition, in monotonically_increasing_id
+
+
+def positions(rows: DataFrame, part: str, order: list[str]) -> DataFrame:
+    """rows, which must be stable from one pass to the next, with ``pos`` (from 0) and ``n`` (rows) within their part.
+
+    ``part`` holds no nulls. Rows that tie in the order are told apart by a row id, so that equal rows spread over
+    partitions too. Rows are range-partitioned by part and order and numbered inside their partition, then shifted by a
+    table of one row per partition and part: no part, however large, is numbered in one task.
+    """
+    keys = [F.col(c) for c in (part, *order, "_row")]
+    ranged = saved(rows.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+                   .select(*rows.columns, F.spark_partition_id().alias("_task"), F.monotonically_increasing_id().bitwiseAND(F.lit(LOW)).alias("_at")))
+    runs = ranged.groupBy(part, "_task").agg(F.count(F.lit(1)).alias("_count"), F.min("_at").alias("_first"))
+    same = Window.partitionBy(part)
+    before = F.coalesce(F.sum("_count").over(same.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = runs.select(part, "_task", (before - F.col("_first")).alias("_shift"), F.sum("_count").over(same).alias("n"))
+    return ranged.join(shifts, [part, "_task"]).select(*rows.columns, (F.col("_at") + F.col("_shift")).alias("pos"), "n")
