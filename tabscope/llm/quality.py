@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .passages import NAMES, passage_features
@@ -99,11 +99,21 @@ def labelled(labels: DataFrame, column: str, doc_id: str = "doc_id") -> DataFram
             .groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other"))
 
 
+SAMPLE_BYTES = 1 << 20  # longer texts are scored, not learnt from
+
+
 def sample_rows(df: DataFrame, marks: DataFrame, limit: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, label, text of at most ``limit`` labelled documents, the first by hash of the id."""
-    chosen = marks.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(limit)
-    return (df.select(plain(doc_id).alias("doc_id"), F.coalesce(plain(text), F.lit("")).alias("text"))
-            .join(F.broadcast(chosen), "doc_id"))
+    """doc_id, label, text of at most ``limit`` labelled documents, the first by hash of the id.
+
+    Labels without a document don't count. Of the rows that share an id, however many, the one of the smallest text
+    digest is taken, so the sample has at most ``limit`` rows of at most SAMPLE_BYTES each.
+    """
+    short = df.select(plain(doc_id).alias("doc_id"), F.coalesce(plain(text), F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    chosen = (marks.join(short.select("doc_id").distinct(), "doc_id", "left_semi")
+              .orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(limit))
+    rows = short.join(F.broadcast(chosen), "doc_id").withColumn("digest", F.sha2("text", 256))
+    first = Window.partitionBy("doc_id").orderBy("digest")
+    return rows.withColumn("place", F.row_number().over(first)).where("place = 1").select("doc_id", "text", "label")
 
 
 def train(df: DataFrame, marks: DataFrame, limit: int = SAMPLE, doc_id: str = "doc_id", text: str = "text"):
