@@ -1,60 +1,10 @@
-"""Aggregate expressions that stay safe under ANSI mode.
-
-Spark's ``corr`` raises DIVIDE_BY_ZERO on a constant column under ANSI and a
-surrounding CASE does not help (the aggregate divides internally), so the
-correlation here is rebuilt from ``covar_samp`` and ``stddev_samp`` over the
-pairwise-complete rows, with the division guarded.
-"""
+"""One-row aggregates of many expressions that stay in whole-stage codegen."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def pair_values(a: Column, b: Column) -> tuple[Column, Column]:
-    """Both values only where both are present (pairwise-complete rows)."""
-    both = a.isNotNull() & b.isNotNull()
-    return F.when(both, a), F.when(both, b)
-
-
-def safe_corr(a: Column, b: Column) -> Column:
-    """Pearson r over pairwise-complete rows; NULL when either side is constant."""
-    x, y = pair_values(a, b)
-    varying = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    r = F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
-    # clamp the last-ulp overshoot of |r| > 1
-    return F.when(varying, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
-
-
-def pair_count(a: Column, b: Column) -> Column:
-    return F.count(F.when(a.isNotNull() & b.isNotNull(), F.lit(1)))
-
-
-def sample_skew(x: Column) -> Column:
-    """Bias-adjusted skewness G1 (pandas ``skew``); 0 on a constant column, n >= 3."""
-    n = F.count(x)
-    g1 = F.skewness(x)
-    adj = F.sqrt(n * (n - 1)) / (n - 2) * g1
-    return (F.when(n < 3, F.lit(None).cast("double"))
-            .when(F.var_pop(x) == 0, F.lit(0.0))
-            .otherwise(adj))
-
-
-def sample_kurtosis(x: Column) -> Column:
-    """Bias-adjusted excess kurtosis G2 (pandas ``kurt``); 0 on a constant column, n >= 4."""
-    n = F.count(x)
-    g2 = F.kurtosis(x)
-    adj = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
-    return (F.when(n < 4, F.lit(None).cast("double"))
-            .when(F.var_pop(x) == 0, F.lit(0.0))
-            .otherwise(adj))
-
-
-# Buffer slots of common aggregates (whole-stage codegen is disabled above
-# spark.sql.codegen.maxFields = 100 fields in one operator).
-SLOTS = {"count": 1, "sum": 1, "min": 1, "max": 1, "avg": 2, "stddev": 3, "var": 3, "covar": 4, "skew": 4,
-         "kurt": 5}
+# Buffer fields of one aggregate: whole-stage codegen is disabled above spark.sql.codegen.maxFields = 100 in one operator.
 MAX_SLOTS = 90
 
 
@@ -63,7 +13,7 @@ def one_row_agg(df, specs, max_slots: int = MAX_SLOTS):
     aggregates of at most ``max_slots`` buffer fields so each stays in whole-stage codegen.
 
     On a columnar source every chunk reads only its own columns, so splitting
-    does not re-read data; the one-row results are cross-joined.
+    does not re-read data; the one-row results are joined by broadcast.
     """
     chunks, cur, used = [], [], 0
     for alias, expr, slots in specs:
@@ -76,5 +26,5 @@ def one_row_agg(df, specs, max_slots: int = MAX_SLOTS):
         chunks.append(cur)
     out = df.agg(*chunks[0])
     for c in chunks[1:]:
-        out = out.crossJoin(df.agg(*c))
+        out = out.crossJoin(F.broadcast(df.agg(*c)))
     return out

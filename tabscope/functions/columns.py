@@ -90,28 +90,3 @@ def as_text(df: DataFrame, name: str) -> Column:
     if isinstance(df.schema[name].dataType, FLOAT_TYPES):
         c = F.when(~F.isnan(c), c)
     return c.cast("string")
-
-
-def fold_nan(df: DataFrame) -> DataFrame:
-    """Replace NaN by NULL in every floating column, keeping order and names."""
-    out = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, FLOAT_TYPES):
-            out.append(F.when(~F.isnan(col(f.name)), col(f.name)).alias(f.name))
-        else:
-            out.append(col(f.name))
-    return df.select(*out)
-
-
-def long_format(row_specs: list[tuple[str, dict[str, Column]]], schema_order: list[str]) -> Column:
-    """``inline(array(struct(...)))`` helper: one output row per spec.
-
-    ``row_specs`` is a list of (column name, {field: expression}) pairs;
-    every struct gets the fields in ``schema_order`` plus ``column_name``.
-    """
-    structs = []
-    for name, fields in row_specs:
-        parts = [F.lit(name).alias("column_name")]
-        parts += [fields[k].alias(k) for k in schema_order]
-        structs.append(F.struct(*parts))
-    return F.inline(F.array(*structs))

@@ -7,6 +7,7 @@ Arrow-batched pandas UDFs, so their cost does not grow with the data.
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,31 +15,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _betacf(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 400):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < 1e-15:
-            break
-    return h
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """The continued fraction 1 / (1 + d1 / (1 + d2 / ...)) of the incomplete beta function, from its end to its front.
+
+    d(2m) = m (b - m) x / ((a + 2m - 1)(a + 2m)) and d(2m+1) = -(a + m)(a + b + m) x / ((a + 2m)(a + 2m + 1)). For x below
+    its mean the number of terms needed grows with the root of the larger parameter.
+    """
+    value = 1.0
+    for k in range(200 + int(8 * math.sqrt(max(a, b))), 0, -1):
+        m, odd = divmod(k, 2)
+        if odd:
+            term = -(a + m) * (a + b + m) / ((a + 2 * m) * (a + 2 * m + 1))
+        else:
+            term = m * (b - m) / ((a + 2 * m - 1) * (a + 2 * m))
+        value = 1.0 + term * x / value
+    return 1.0 / value
 
 
 def betainc(a: float, b: float, x: float) -> float:
@@ -50,8 +41,8 @@ def betainc(a: float, b: float, x: float) -> float:
     lbeta = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
     front = math.exp(lbeta + a * math.log(x) + b * math.log1p(-x))
     if x < (a + 1.0) / (a + b + 2.0):
-        return front * _betacf(a, b, x) / a
-    return 1.0 - front * _betacf(b, a, 1.0 - x) / b
+        return front * _beta_fraction(a, b, x) / a
+    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
 
 
 def t_sf2(t: float, df: float) -> float:
@@ -106,33 +97,8 @@ def norm_cdf(z: float) -> float:
 
 
 def norm_ppf(p: float) -> float:
-    """Inverse normal CDF (Acklam's rational approximation + one Newton step)."""
-    if not (0.0 < p < 1.0):
-        return float("nan")
-    a = [-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
-         1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00]
-    b = [-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
-         6.680131188771972e+01, -1.328068155288572e+01]
-    c = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
-         -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00]
-    d = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00, 3.754408661907416e+00]
-    plow = 0.02425
-    if p < plow:
-        qq = math.sqrt(-2 * math.log(p))
-        x = (((((c[0] * qq + c[1]) * qq + c[2]) * qq + c[3]) * qq + c[4]) * qq + c[5]) / \
-            ((((d[0] * qq + d[1]) * qq + d[2]) * qq + d[3]) * qq + 1)
-    elif p > 1 - plow:
-        qq = math.sqrt(-2 * math.log(1 - p))
-        x = -(((((c[0] * qq + c[1]) * qq + c[2]) * qq + c[3]) * qq + c[4]) * qq + c[5]) / \
-            ((((d[0] * qq + d[1]) * qq + d[2]) * qq + d[3]) * qq + 1)
-    else:
-        qq = p - 0.5
-        r = qq * qq
-        x = (((((a[0] * r + a[1]) * r + a[2]) * r + a[3]) * r + a[4]) * r + a[5]) * qq / \
-            (((((b[0] * r + b[1]) * r + b[2]) * r + b[3]) * r + b[4]) * r + 1)
-    e = norm_cdf(x) - p
-    u = e * math.sqrt(2 * math.pi) * math.exp(x * x / 2)
-    return x - u / (1 + x * u / 2)
+    """Inverse normal CDF."""
+    return NormalDist().inv_cdf(p) if 0.0 < p < 1.0 else float("nan")
 
 
 def _vec(fn, *series: pd.Series) -> pd.Series:

@@ -195,17 +195,18 @@ def preview(df: DataFrame, n: int = 100, max_columns: int = 20) -> DataFrame:
     return df.select(*[col(c) for c in cols]).orderBy(*[col(c) for c in cols[:1]]).limit(n)
 
 
-def map_points(df: DataFrame, max_points: int | None = None, cell: float = 0.01) -> DataFrame:
-    """(lat, lon[, count]) pairs from columns named lat/latitude/enlem and lon/lng/longitude/boylam;
-    above ``max_points`` grid cells of ``cell`` degrees with counts."""
+def map_points(df: DataFrame) -> DataFrame:
+    """(lat, lon) pairs from columns named lat/latitude/enlem and lon/lng/longitude/boylam; none without both."""
     lat, lon = geo_columns(df)
     if lat is None or lon is None:
         return df.sparkSession.createDataFrame([], "lat double, lon double")
-    pts = df.select(num(df, lat).alias("lat"), num(df, lon).alias("lon")).na.drop()
-    if max_points is None or pts.count() <= max_points:
-        return pts
-    return (pts.groupBy((F.floor(F.col("lat") / cell) * cell).alias("lat"), (F.floor(F.col("lon") / cell) * cell).alias("lon"))
-            .agg(F.count(F.lit(1)).alias("count")))
+    return df.select(num(df, lat).alias("lat"), num(df, lon).alias("lon")).na.drop()
+
+
+def map_grid(df: DataFrame, cell: float = 0.01) -> DataFrame:
+    """(lat, lon, count): the points of ``map_points`` counted by grid cells of ``cell`` degrees, for maps of many points."""
+    return map_points(df).groupBy((F.floor(F.col("lat") / cell) * cell).alias("lat"), (F.floor(F.col("lon") / cell) * cell).alias("lon")).agg(
+        F.count(F.lit(1)).alias("count"))
 
 
 # Charts shown where an advice table recommends none.

@@ -94,12 +94,3 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float], keys: list[
             "prob", F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i") + 1)
         ).drop("_i")
     return pick_quantiles(ranked_counts(df, columns, keys), probs, keys)
-
-
-def quantile_wide(df: DataFrame, columns: list[str], probs: list[float], names: list[str],
-                  keys: list[str] | None = None, exact: bool = True) -> DataFrame:
-    """(keys..., column_name, <names...>) with one column per probability."""
-    keys = keys or []
-    qs = quantiles(df, columns, probs, keys, exact=exact)
-    aggs = [F.max(F.when(F.col("prob") == float(p), F.col("value"))).alias(n) for p, n in zip(probs, names)]
-    return qs.groupBy(*keys, "column_name").agg(*aggs)

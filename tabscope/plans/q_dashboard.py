@@ -234,10 +234,15 @@ def q_intent_tasks(spark, sf):
 
 @register("report_lines")
 def q_report_lines(spark, sf):
+    """G1 + G6 with the notes of the whole suite and a forecast (candidates that need no tree fits)."""
+    from ..operators import forecast as FC
     from ..operators import stats as S
+    from .shared import Shared
 
     df = T_(spark, sf, "orders")
-    return G.report_lines(df, "Satış analizi yap", "orders", notes=S.notes(S.statistics(df)))
+    shared = Shared(df)
+    bundle = FC.forecast(df, "o_orderdate", "o_totalprice", models=["NaiveLast", "ARIMA"])
+    return G.report_lines(df, "Satış analizi yap", "orders", bundle["choice"], bundle["series"], S.notes(S.statistics(df, shared=shared)), shared)
 
 
 @register("analysis_summary")

@@ -274,10 +274,9 @@ def q_adf(spark, sf):
 
 @register("stat_notes")
 def q_stat_notes(spark, sf):
+    """T15 from all eight sections of the suite over lineitem."""
     li = T_(spark, sf, "lineitem")
-    res = {"t_test": S.welch_t(li), "anova": S.anova(li), "trend": S.trend(li, "l_shipdate", "l_extendedprice"),
-           "regression": S.ols(li, target="l_orderkey")}
-    return S.notes(res)
+    return S.notes(S.statistics(li, target="l_orderkey", date_col="l_shipdate"))
 
 
 @register("seeded_sample", union_all([f"""SELECT '{c}' AS column_name, v FROM (

@@ -84,8 +84,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder, honouring the cluster's setting.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is. Only when nothing is configured (local runs, tests) a private
-    folder under the system temp dir is created.
+    as is; without it a cluster is refused, as its machines would not see
+    each other's files. Local runs and tests get a private folder under the
+    system temp dir.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -98,6 +99,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - unset key
             configured = None
     if not configured:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {sc.master} share")
         configured = tempfile.mkdtemp(prefix="tabscope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return configured

@@ -52,13 +52,13 @@ def test_map_points_by_name(spark):
     assert D.map_points(df).count() == 1
 
 
-def test_scatter_sample_and_map_points_limit(spark):
-    """A pair held by a third of the rows comes in proportion; points up to the limit come as they are."""
+def test_scatter_sample_and_map_grid(spark):
+    """A pair held by a third of the rows comes in proportion; a grid counts the points of a cell."""
     df = spark.createDataFrame([(1.0, 2.0)] * 300 + [(float(i), None if i % 5 else 1.0) for i in range(600)], "a double, b double")
     got = [tuple(r) for r in D.scatter_data(df, "a", "b", max_points=90).collect()]
     assert len(got) == 90 and got.count((1.0, 2.0)) == 30
     assert sorted(got, key=str) == sorted((tuple(r) for r in D.scatter_data(df.repartition(5), "a", "b", max_points=90).collect()), key=str)
     assert D.scatter_data(df, "a", "b", max_points=900).count() == 900
     points = spark.createDataFrame([(1.0, 2.0), (1.0, 2.0), (3.0, 4.0)], "lat double, lon double")
-    assert D.map_points(points, max_points=3).columns == ["lat", "lon"] and D.map_points(points, max_points=3).count() == 3
-    assert D.map_points(points, max_points=2).columns == ["lat", "lon", "count"]
+    assert D.map_points(points).columns == ["lat", "lon"] and D.map_points(points).count() == 3
+    assert {(r["lat"], r["lon"], r["count"]) for r in D.map_grid(points).collect()} == {(1.0, 2.0, 2), (3.0, 4.0, 1)}
