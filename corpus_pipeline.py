@@ -4,6 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kep
 Parquet in the shared folder and reads it back. All stages but the last return the columns of documents. Stages keep
 rows with null or empty texts (one of them, after exact deduplication) unless the classifier rejects them, keep clean
 documents, and give an empty table for an empty table. The mix repeats a document as often as it takes it.
+In every stage null, repeated and tied ids, null sources, repeated rows and very long texts are judged row by row by the
+text: an id that many rows share takes no other row with it, and of equal rows the stages keep or drop any.
 """
 
 from __future__ import annotations
@@ -54,7 +56,7 @@ STAGES = [
     ("bpe", tokenise),
 ]
 
-ORACLE_SQL = None  # the classifier can't be expressed in SQL; tests hold each stage against a brute-force version
+ORACLE_SQL = None  # the classifier can't be expressed in SQL; tests/llm/test_pipeline.py holds the stages and run() against plain Python
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
