@@ -126,3 +126,28 @@ def test_attention_gradient():
         down = loss()
         flat[at] = old
         assert abs((up - down) / 2e-6 - g.reshape(-1)[at]) < 1e-5
+
+
+def test_samples_are_bounded_whatever_ids_repeat(spark):
+    """A labelled id on a third of the rows gives one row; labels without a document and very long texts take no place."""
+    rows = [(1, f"text {i}") for i in range(500)] + [(i, f"other {i}") for i in range(2, 1000)] + [(2000, "x" * (quality.SAMPLE_BYTES + 1))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    marks = quality.labelled(spark.createDataFrame([(i, i % 2) for i in [*range(1, 300), 2000, *range(5000, 9000)]], "doc_id long, quality int"), "quality")
+    got = quality.sample_rows(df, marks, 200).collect()
+    assert len(got) == len({r.doc_id for r in got}) == 200 and all(r.doc_id < 300 for r in got)
+    everything = quality.sample_rows(df, marks, 10_000).collect()
+    assert sorted(r.doc_id for r in everything) == list(range(1, 300))
+
+
+def test_trained_classifiers_on_held_out_documents(spark):
+    """Operators 4 and 6 on given tables: held-out labels are told apart, every row gets a score, reruns agree."""
+    path = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    marks = {r.doc_id: r for r in labels.collect()}
+    for score, column in ((quality.score_quality, "quality"), (toxicity.score_toxicity, "toxic")):
+        got = score(docs, labels).collect()
+        assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+        assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+        held = [(r.score, marks[r.doc_id][column]) for r in got if r.held_out and r.doc_id in marks]
+        pairs = [(a > b) + (a == b) / 2 for a, x in held if x == 1 for b, y in held if y == 0]
+        assert len(pairs) > 50 and sum(pairs) / len(pairs) >= 0.9
