@@ -261,6 +261,16 @@ def onehot_levels(df: DataFrame, columns: list[str] | None = None, max_levels: i
                        F.row_number().over(Window.partitionBy("column_name").orderBy("value")).alias("level_rank"))
 
 
+def onehot_columns(df: DataFrame, columns: list[str] | None = None, max_levels: int = 20) -> DataFrame:
+    """(column_name, n_levels, encoded): the text columns with their number of levels; those above ``max_levels`` stay text."""
+    from .roles import distinct_counts
+
+    columns = columns if columns is not None else [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+    levels = F.coalesce("n_distinct", F.lit(0)).cast("long")
+    return names.join(distinct_counts(df, columns), "column_name", "left").select("column_name", levels.alias("n_levels"), (levels <= max_levels).alias("encoded"))
+
+
 def onehot(df: DataFrame, columns: list[str] | None = None, max_levels: int = 20) -> DataFrame:
     """One 0/1 column ``<col>_<level>`` per level of each low-cardinality text column.
 

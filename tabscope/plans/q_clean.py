@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators import clean as C
 from . import fixtures as fx
-from .catalog import DIRTY_COLS, T_, r6, register, rounded
+from .catalog import DIRTY_COLS, T_, r6, register, rounded, union_all
 
 D = fx.SQL["events_dirty"]
 NUM = ["event_id", "user_id", "value", "mostly_null"]
@@ -143,3 +143,10 @@ def q_clean_pipeline(spark, sf):
     out, _ = C.apply_cleaning(fx.events_dirty(spark, sf), [C.WINSORIZE, C.IMPUTE_MODE, C.IMPUTE_MEDIAN,
                                                            C.DROP_DUPLICATES, C.DROP_HIGH_MISSING])
     return rounded(out)
+
+
+@register("onehot_columns", union_all([f"SELECT '{c}' AS column_name, CAST(count(DISTINCT {c}) AS BIGINT) AS n_levels, count(DISTINCT {c}) <= 20 AS encoded FROM part"
+                                       for c in ("p_name", "p_brand", "p_type")]))
+def q_onehot_columns(spark, sf):
+    """Which text columns are encoded and which have too many levels."""
+    return C.onehot_columns(T_(spark, sf, "part"))

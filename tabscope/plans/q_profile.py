@@ -350,3 +350,22 @@ def q_value_column(spark, sf):
         dates = datetime_typed_columns(df)
         rows.append((t, dates[0] if dates else None, R.resolve_value_column(numeric_columns(df))))
     return spark.createDataFrame(rows, "table_name string, date_column string, value_column string")
+
+
+@register("categorical_projection", "SELECT o_orderstatus, o_orderdate, o_orderpriority FROM orders")
+def q_categorical_projection(spark, sf):
+    """R2: all rows of the columns that are not numeric."""
+    return R.categorical_projection(T_(spark, sf, "orders"))
+
+
+@register("value_column_totals", union_all([f"SELECT '{t}' AS table_name, '{c}' AS column_name, CAST(count({c}) AS BIGINT) AS n, round(sum(CAST({c} AS DOUBLE)), 2) AS total FROM {t}"
+                                            for t, c in (("orders", "o_totalprice"), ("lineitem", "l_orderkey"), ("events", "value"))]))
+def q_value_column_totals(spark, sf):
+    """R9 over rows: the column that a series of each table sums, and its sum."""
+    parts = []
+    for name in ("orders", "lineitem", "events"):
+        df = T_(spark, sf, name)
+        chosen = R.resolve_value_column([c for c in P.numeric_columns(df)])
+        parts.append(df.agg(F.count(chosen).alias("n"), F.round(F.sum(F.col(chosen).cast("double")), 2).alias("total"))
+                     .select(F.lit(name).alias("table_name"), F.lit(chosen).alias("column_name"), "n", "total"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
