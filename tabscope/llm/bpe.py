@@ -21,11 +21,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .memory import lean
 from .store import plain
 
 MODEL = "word_bpe_49k.json"
 SHORT = 64
-REMEMBERED = 400_000  # words whose ids a Python worker keeps
+REMEMBERED = 200_000  # words whose ids a Python worker keeps
 NONE = 1 << 30
 # Characters whose classes are the same in both regular expression libraries (the tests compare all code points);
 # texts with any other are split by the tokenizer file's own pre-tokenizer.
@@ -194,6 +195,7 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, ids: str
     schema = T.StructType([*rows.schema.fields, *more])
     place = keep.index(text)
 
+    @lean
     def run(batches):
         model = loaded(path or model_path())
         for batch in batches:
@@ -216,6 +218,7 @@ def decode(df: DataFrame, ids: str = "ids", path: str | None = None, decoded: st
     rows = df.select(*[plain(c) for c in keep])
     place = keep.index(ids)
 
+    @lean
     def run(batches):
         model = loaded(path or model_path())
         for batch in batches:

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .memory import lean
 from .store import SPACE, fresh, keep_ids, plain, saved
 
 COUNTERS = 4096
@@ -40,6 +41,7 @@ def frequent(digests: DataFrame, counters: int = COUNTERS) -> tuple[DataFrame, i
     ``counters`` digests can reach n / counters.
     """
 
+    @lean
     def summarise(batches):
         summary: Counter = Counter()
         rows = 0

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .graph import components
+from .memory import lean
 from .prefix_tree import PrefixTree, local_ids
 from .store import WORD, bucket_count, fresh, plain, saved, text_volume
 from .words import Words, mix64, pairs_index, pieces
@@ -73,6 +74,7 @@ def _int64(column: pa.Array) -> np.ndarray:
 def shingle_classes(rows: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, d1, d2 and the text's digest for each row of (doc_id, text, digest)."""
 
+    @lean
     def run(batches):
         for batch in batches:
             for piece in pieces(batch, "text"):
@@ -124,6 +126,7 @@ def dealt(batches, columns: int, *widths: type) -> list[np.ndarray]:
 def unshared(rows: DataFrame, size: int, buckets: int) -> DataFrame:
     """d1, d2, alone: for each class the number of its shingles that no other class has (or fewer, on clashes)."""
 
+    @lean
     def send(batches):
         for batch in batches:
             for piece in pieces(batch, "text"):
@@ -135,6 +138,7 @@ def unshared(rows: DataFrame, size: int, buckets: int) -> DataFrame:
                     values = sets.values[use]
                     yield deal(sets.digests, sets.doc[use], by_value(values, buckets), buckets, values.astype(np.uint32))
 
+    @lean
     def count(batches):
         owners, at, values = dealt(batches, 2, np.uint32)
         if not len(owners):
@@ -151,6 +155,7 @@ def unshared(rows: DataFrame, size: int, buckets: int) -> DataFrame:
         alone = np.bincount(owner[fresh & np.append(fresh[1:], True)], minlength=len(classes))
         yield deal(classes, np.arange(len(classes)), by_value(classes[:, 0].view(np.uint64), buckets), buckets, alone.astype(np.uint32))
 
+    @lean
     def total(batches):
         owners, at, alone = dealt(batches, 2, np.uint32)
         if not len(owners):
@@ -170,6 +175,7 @@ def _bloom_keys(d1: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
 def likely(left: DataFrame) -> list[np.ndarray]:
     """Bloom bitmaps of (d1, first_id), of fixed size."""
 
+    @lean
     def run(batches):
         for batch in batches:
             if batch.num_rows:
@@ -185,6 +191,7 @@ def class_sets(rows: DataFrame, left: DataFrame, size: int) -> DataFrame:
     """
     bitmaps = rows.sparkSession.sparkContext.broadcast(likely(left))
 
+    @lean
     def run(batches):
         maps = bitmaps.value
         for batch in batches:
@@ -205,6 +212,7 @@ def class_sets(rows: DataFrame, left: DataFrame, size: int) -> DataFrame:
 def ordered_sets(sets: DataFrame, buckets: int) -> DataFrame:
     """cls, n, values (packed, shared ones only, rare first), prefix (array of long): classes that may have links."""
 
+    @lean
     def send(batches):
         for batch in batches:
             arrays = [np.frombuffer(v, np.uint64) for v in batch.column(2).to_pylist()]
@@ -213,6 +221,7 @@ def ordered_sets(sets: DataFrame, buckets: int) -> DataFrame:
                 owners = np.stack([batch.column(i).to_numpy() for i in (0, 1)], 1)
                 yield deal(owners, np.repeat(np.arange(len(arrays)), [len(a) for a in arrays]), by_value(values, buckets), buckets, values)
 
+    @lean
     def count(batches):
         owners, at, values = dealt(batches, 2, np.uint64)
         if not len(values):
@@ -224,6 +233,7 @@ def ordered_sets(sets: DataFrame, buckets: int) -> DataFrame:
             target = by_value(mix64(owners[:, 0].view(np.uint64)), buckets)[at[keep]]
             yield deal(owners, at[keep], target, buckets, values[keep], often[keep].astype(np.uint32))
 
+    @lean
     def order(batches):
         owners, at, values, often = dealt(batches, 2, np.uint64, np.uint32)
         if not len(owners):
@@ -292,6 +302,7 @@ def _edges(rows: list[dict], root: np.ndarray, pending: np.ndarray) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(cls[at]), pa.array(cls[root[at]]), pa.array(pending[at])], ["u", "v", "pending"])
 
 
+@lean
 def chunk_links(batches):
     """First step, by (block, chunk): one row for each set of the chunk's components and those of the block's first set;
     sets not linked to that set are pending, as they still have to probe the block's other chunks."""
@@ -309,6 +320,7 @@ def chunk_links(batches):
         yield _edges(rows, root, ~near)
 
 
+@lean
 def cross_links(batches):
     """Second step, by (block, chunk, side): sets of chunk ``side`` left pending probe the tree of another chunk."""
     for rows in _groups(batches):
@@ -347,6 +359,7 @@ def tree_links(ordered: DataFrame, block_of: DataFrame, chunk_shingles: int) ->
     return links.unionByName(more.select("u", "v"))
 
 
+@lean
 def every_link(batches):
     """By (block, chunk, side): all links within a chunk (side = chunk) or between a chunk's tree and the sets of chunk
     ``side``. One row per linked class: the smallest class it hangs together with here and the documents it links to."""

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import lean
 from .words import mix64
 
 SHARDS = 64
@@ -64,6 +65,7 @@ def merged(reports: DataFrame, bits: int, level: int) -> list[np.ndarray]:
     """The two rows' bitmaps of cells counted at least ``level`` (1 or 2) times over all reports."""
     size = 1 << (bits - 6)
 
+    @lean
     def merge(batches):
         held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
+from .memory import lean
 from .store import bucket_count, plain, text_volume
 from .words import Words, pairs_index, pieces
 
@@ -61,6 +62,7 @@ class Places:
 def sketch_windows(rows: DataFrame, window: int, bits: int) -> list[np.ndarray]:
     """Bitmaps of sketch cells counted at least twice over all texts."""
 
+    @lean
     def run(batches):
         held, n = [], 0
         for batch in batches:
@@ -124,6 +126,7 @@ def exchange(keys: np.ndarray, doc: np.ndarray, position: np.ndarray, hashes: np
 def candidates(rows: DataFrame, window: int, bits: int, bitmaps, buckets: int) -> DataFrame:
     """Exchange rows of all windows that the sketch estimates repeated."""
 
+    @lean
     def run(batches):
         maps, held, n = bitmaps.value, [], 0
         for batch in batches:
@@ -177,6 +180,7 @@ def _read(keys: bytes, counts: bytes, positions: bytes):
 def repeats(sent: DataFrame, buckets: int) -> DataFrame:
     """key1, key2, positions (packed): starts of windows whose sequence starts elsewhere too, one row by document."""
 
+    @lean
     def group(batches):
         held = []
         for batch in batches:
@@ -204,6 +208,7 @@ def repeats(sent: DataFrame, buckets: int) -> DataFrame:
         if len(doc):
             yield _marks(np.concatenate(keys), doc, np.concatenate(positions), buckets)
 
+    @lean
     def gather(batches):
         rows = [_read(*row[1:]) for batch in batches for row in zip(*(col.to_pylist() for col in batch.columns))]
         if not rows:
@@ -246,6 +251,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     marks = repeats(candidates(keyed, window, bits, bitmaps, buckets), buckets)
     marked = rows.join(marks, ["key1", "key2"], "left").select("doc_id", "text", "positions")
 
+    @lean
     def run(batches):
         for batch in batches:
             for piece in pieces(batch, "text"):

@@ -19,6 +19,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .memory import lean
 from .quality import fold, labelled, sample_rows
 from .store import fresh, plain, saved
 from .words import _BYTE_LOWER, Words, mix64, pieces, text_bytes
@@ -28,6 +29,7 @@ LEXICON = 20_000  # learnt entries at most
 LEAST, STRONG, WEAK = 4, 40.0, 10.0  # toxic documents an entry needs; how many times likelier than in others
 PREFIXES = (4, 5, 6, 7, 8)
 STRETCH = 24
+PIECE_BYTES = 1 << 20  # text whose words are looked up at a time, some twenty numbers a word
 INSULTS = ("idiot moron stupid dumb loser trash scum clown pathetic worthless disgusting fool jerk garbage vermin filthy "
            "imbecile coward liar freak").split()
 SECOND = "you your yours yourself du dich dein deine toi vous votre usted ustedes".split()
@@ -127,9 +129,10 @@ GIVEN, ADDRESS = fingerprints(INSULTS), fingerprints(SECOND)
 
 
 def _sample_frame(sample: DataFrame, function, schema: str) -> DataFrame:
+    @lean
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", PIECE_BYTES):
                 yield from function(piece)
 
     return sample.select("doc_id", "label", "text", "part").mapInArrow(run, schema)
@@ -178,9 +181,10 @@ def featured(rows: DataFrame, lexicons: dict, text: str = "text", part: str | No
     names = [*keep, text]
     at = keep.index(part) if part else None
 
+    @lean
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch, text):
+            for piece in pieces(batch, text, PIECE_BYTES):
                 x = np.zeros((piece.num_rows, len(FEATURES)))
                 column = piece.column(len(keep))
                 if at is None:
