@@ -5,7 +5,7 @@
    counts of the quartiles' brackets (many columns in parts, as an aggregate has at most about 90 sums);
 3. the values inside the brackets;
 4. the value frequencies of the other columns;
-5. the distinct rows;
+5. the distinct rows (of wide rows: their digests, then the rows of repeated ones);
 6. the Gram matrix of the numeric columns, for correlations and covariances.
 
 Each is computed when first asked for and then kept: one-row values, pairs and quartiles as rows of the driver, value
